@@ -1,0 +1,11 @@
+"""Registry of the engine's own queries: name -> (spark, sf_dir) -> DataFrame, and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERY_SQL: dict[str, str] = {}
+FLAGSHIP = ""
