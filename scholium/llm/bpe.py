@@ -18,13 +18,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,16 +173,15 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text:
     return with_arrow_columns(docs, [text], fields, _digests, shared, pattern, cache_words, keep=keep if keep is None else list(keep))
 
 
-def literal_rank_map(spark: SparkSession, ranks: dict[bytes, int], buckets: int = 65_536) -> Callable[[Column], Column]:
+def literal_rank_map(ranks: dict[bytes, int], buckets: int = 65_536) -> Callable[[Column], Column]:
     """The rank of a binary column's value or null: a literal array of short lists, found by hash."""
-    rows = spark.createDataFrame([(piece, rank) for piece, rank in ranks.items()], "piece binary, rank int")
-    none = F.array().cast("array<struct<piece:binary,rank:int>>")
-    lists = rows.groupBy(F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int").alias("b")).agg(F.collect_list(F.struct("piece", "rank")).alias("e"))
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(lists, "b", "left").select("b", F.coalesce("e", none).alias("e"))
-    array = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda x: x["e"]).alias("lists")).scalar()
+    lists: list[list[dict]] = [[] for _ in range(buckets)]
+    for piece, rank in ranks.items():
+        lists[xxhash.xxh64_intdigest(piece, 42) % buckets].append({"piece": base64.b64encode(piece).decode(), "rank": rank})
+    array = F.from_json(F.lit(json.dumps(lists)), "array<array<struct<piece:binary,rank:int>>>")  # folded into a literal
 
     def look_up(piece: Column) -> Column:
-        entries = F.get(array, F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("int"))
+        entries = F.get(array, F.xxhash64(piece).bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int"))
         return F.get(F.filter(entries, lambda e: e["piece"] == piece), F.lit(0))["rank"]
 
     return look_up

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, quality, simhash, urlfilter
 from .common import table
 
 
@@ -38,10 +38,60 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Hosts and path prefixes with their verdicts.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP7_SQL = r"""
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, row_number() OVER () AS r, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict
+FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC) = 1
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.with_quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d)),
+f AS (SELECT r, len(ws) AS w, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again,
+             length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS s, length(regexp_replace(line, '[^|]', '', 'g')) AS bars,
+             length(regexp_replace(line, '\P{Lu}', '', 'g')) AS up, length(array_to_string(ws, '')) AS filled,
+             len(list_filter(range(2, len(ws) + 1), lambda j: ws[j] = ws[j - 1])) AS same,
+             regexp_matches(line, '(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|accept cookies|subscribe to our newsletter|sign in to continue') AS boiler,
+             regexp_matches(line, '[.!?:;,)"''][\x20\x09-\x0D]*$') AS ended
+      FROM l WHERE len(ws) > 0),
+b AS (SELECT r, sum(w) AS n_words, sum(filled) AS word_chars, sum(again::INT) AS n_dup_lines,
+             sum(w) FILTER (again OR bars >= 3 OR 10 * s > 3 * w OR 2 * up > filled OR (w >= 10 AND 2 * same > w) OR boiler OR (w < 3 AND NOT ended)) AS lost FROM f GROUP BY r),
+a AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM a)),
+q AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM g WHERE k > 1) GROUP BY r),
+c AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words FROM d LEFT JOIN b USING (r) LEFT JOIN q USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_lost_words <= n_words AS kept FROM c
+"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op3_simhash": op3_simhash, "op10_byte_bpe": op10_byte_bpe}
-QUERY_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_simhash": op3_simhash,
+    "op7_url_filter": op7_url_filter,
+    "op9_quality": op9_quality,
+    "op10_byte_bpe": op10_byte_bpe,
+}
+QUERY_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL}
