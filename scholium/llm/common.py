@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import ready
 
 
 def lower_ascii(column: Column) -> Column:
@@ -66,6 +64,7 @@ def with_arrow_columns(
     keep: the other columns to carry along, by default all."""
     new = {f.name for f in outputs}
     keep = [c for c in (frame.columns if keep is None else keep) if c not in new]
+    ready(frame.sparkSession)
     chosen = frame.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([T.StructField(f"k{i}", chosen.schema[i].dataType) for i in range(len(keep))] + list(outputs))
     n_keep, n_in = len(keep), len(inputs)
