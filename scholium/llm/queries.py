@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontaminate, quality, simhash, urlfilter, warc
+from . import bpe, decontaminate, licenses, quality, simhash, urlfilter, warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +52,16 @@ FROM f
 """
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 #: Hosts and path prefixes with their verdicts.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, verdict)")
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
 
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
+    "op5_licenses": op5_licenses,
     "op7_url_filter": op7_url_filter,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
