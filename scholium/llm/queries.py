@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontaminate, licenses, quality, simhash, urlfilter, warc
+from . import bpe, decontaminate, licenses, pii, quality, simhash, urlfilter, warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,10 @@ QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_licenses": op5_licenses,
     "op7_url_filter": op7_url_filter,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
