@@ -6,8 +6,9 @@ end has the stack that holds after it, and a key takes that of the last end befo
 for each URL the rule hosts above its host, the second, for each of these hosts, the rules whose path its path
 begins with. The longest rule wins (host and path together; of equal lengths the longer host).
 
-Each sweep works in groups (top-level label; rule host), and large groups are dealt into as many salts as their
-counted rows need, with the group's interval ends repeated for each salt, so that no task gets a hot group whole.
+Each sweep works in groups (top-level label; rule host). Groups of more rows than half a task's fair share are dealt
+into salts of that size, with the group's interval ends repeated for each salt, so that no task gets a hot group
+whole. Such groups are at most twice as many as there are partitions; only their list is broadcast.
 
 Defined cases: a URL that is null or lacks "://" has empty host and path and meets no rule. Rules with an empty or
 null host or a null path are void; of equal rules a block wins. Repeated rows of pages each give a row. Columns
@@ -19,10 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import cut, lower_ascii
 
-#: Keys of one group that go to one task.
-ROWS_PER_SALT = 200_000
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
 
@@ -39,26 +38,30 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
 
 
-def sweep(points: DataFrame, prefixes: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def sweep(points: DataFrame, prefixes: DataFrame) -> DataFrame:
     """points (group, key, row) with stack: the members of prefixes (group, key; distinct) that begin the key, outermost first.
 
     Points without any have an empty stack."""
+    points = cut(points)
+    counts = points.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    share = max(1, points.count() // (2 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(counts.where(F.col("n") > share).select("group", F.ceil(F.col("n") / share).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
     inner = prefixes.select("group", F.col("key").alias("inner"), F.explode(F.sequence(F.lit(0), F.length("key"))).alias("n"))
     above = inner.select("group", "inner", F.substring("inner", F.lit(1), F.col("n")).alias("key")).join(prefixes, ["group", "key"])
     nested = above.groupBy("group", "inner").agg(F.array_sort(F.collect_list("key")).alias("stack"))  # as many as its key has prefixes
     opens = nested.select("group", F.col("inner").cast("binary").alias("at"), F.lit(1).alias("kind"), "stack")
     closes = nested.select("group", F.concat(F.col("inner").cast("binary"), F.unhex(F.lit("FF"))).alias("at"), F.lit(0).alias("kind"), F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack"))
-    salts = points.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_salt)).cast("int").alias("salts"))
-    ends = opens.unionByName(closes).join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    ends = opens.unionByName(closes).join(hot, "group", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     shape = points.schema["row"].dataType
     ends = ends.withColumn("row", F.lit(None).cast(shape))
-    keyed = points.join(salts, "group").select("group", F.col("key").cast("binary").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("array<string>").alias("stack"), F.pmod(F.xxhash64("key", "row"), F.col("salts")).cast("int").alias("salt"), "row")
+    keyed = points.join(hot, "group", "left").select("group", F.col("key").cast("binary").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("array<string>").alias("stack"), F.pmod(F.xxhash64("key", "row"), salts).cast("int").alias("salt"), "row")
     order = Window.partitionBy("group", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = keyed.unionByName(ends).withColumn("open", F.last("stack", ignorenulls=True).over(order))
     return carried.where("kind = 2").select("group", "row", F.coalesce("open", F.array().cast("array<string>")).alias("stack"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url: str = "url", default: str = "allow", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages. rules: host, path, verdict (allow or block)."""
     usable = rules.where("host <> '' and path is not null").select(lower_ascii(F.col("host")).alias("host"), "path", "verdict")
     usable = usable.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # "block" is after "allow"
@@ -67,10 +70,10 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url:
     urls = pages.groupBy(F.col(page_id).alias("id"), F.col(url).alias("url")).agg(F.count(F.lit(1)).alias("copies"))
     split = urls.select("id", "url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     points = split.select(reversed_host(F.col("host")).alias("key"), F.struct("id", "url", "copies", "host", "path").alias("row"))
-    under = sweep(points.select(top(F.col("key")).alias("group"), "key", "row"), hosts, rows_per_salt)
+    under = sweep(points.select(top(F.col("key")).alias("group"), "key", "row"), hosts)
     met = under.where(F.size("stack") > 0).select(F.explode("stack").alias("group"), F.col("row.path").alias("key"), "row")
     paths = usable.select(reversed_host(F.col("host")).alias("group"), F.col("path").alias("key"))
-    fits = sweep(met, paths, rows_per_salt).where(F.size("stack") > 0).select("group", F.element_at("stack", -1).alias("key"), "row")
+    fits = sweep(met, paths).where(F.size("stack") > 0).select("group", F.element_at("stack", -1).alias("key"), "row")
     named = usable.select(reversed_host(F.col("host")).alias("group"), F.col("path").alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), "verdict")
     won = fits.join(named, ["group", "key"]).groupBy(F.col("row.id").alias("w_id"), F.col("row.url").alias("w_url")).agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "verdict")).alias("best"))
     same = split["id"].eqNullSafe(won["w_id"]) & split["url"].eqNullSafe(won["w_url"])
