@@ -49,6 +49,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Bytes of input that a function gets at once, unless a single row has more.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most that many bytes or, where rows differ much in size, about that many."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def with_arrow_columns(
     frame: DataFrame,
     inputs: Sequence[str],
@@ -72,9 +84,7 @@ def with_arrow_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make(*args)
         types = to_arrow_schema(outputs)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             got = fn(*[batch.column(n_keep + i) for i in range(n_in)])
             arrays = [batch.column(i) for i in range(n_keep)]
             arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f in types for x in (got[f.name],)]

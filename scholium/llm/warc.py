@@ -1,9 +1,9 @@
 """WARC archives with a two-level capture index.
 
-Pages are sorted by reversed-host URL keys and written to archives, a gzip member for each record. Beside each
-archive goes its capture index: lines "key date json" in key order, in gzip blocks of `block_lines`. A directory
-(Parquet, one row for each block: its first and last key and where it lies) is the second level. A look-up
-searches the directory by bisection, reads one block's range, searches that, and reads one record's range.
+Pages go to archives, a gzip member for each record. The capture index has a line "key date json" for each record,
+sorted by reversed-host URL key, in gzip blocks of `block_lines`. A directory (Parquet, one row for each block: its
+first and last key and where it lies) is the second level. A look-up searches the directory by bisection, reads one
+block's range, searches that, and reads one record's range.
 
 Of pages with equal payloads (of min_size bytes or more) the one of the smallest id is a response record, the
 others are revisit records that refer to it, with the HTTP headers but no payload.
@@ -31,9 +31,10 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ready
-from .common import cut, fresh_dir, with_arrow_columns
+from .common import PIECE_BYTES, cut, fresh_dir, pieces, with_arrow_columns
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 1000
@@ -120,43 +121,60 @@ class _Writer:
         return at
 
 
-def _archiver(root: str, block_lines: int, archive_bytes: int):
+CAPTURES = "key string, id_text string, url string, file string, at long, bytes long"
+
+
+def _archiver(root: str, archive_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = None
+        for batch in pieces(batches):
+            names, ats, sizes = [], [], []
+            for r in batch.to_pylist():
+                if archive is not None and archive.at >= archive_bytes:
+                    archive.out.close()
+                    archive = None
+                archive = archive or _Writer(root, ".warc.gz")
+                data = r["member"] if r["member"] is not None else _gzip(record("revisit", r["id"], r["url"], r["size"], r["digest"], refers_to=r["first"]))
+                names.append(archive.name)
+                ats.append(archive.add(data))
+                sizes.append(len(data))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "id_text", "url")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "id_text", "url", "file", "at", "bytes"])
+        if archive is not None:
+            archive.out.close()
+
+    return run
+
+
+def _indexer(root: str, block_lines: int):
+    """Captures come sorted by key; gives directory rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive = index = None
-        lines: list[str] = []
-        names = ["first_key", "last_key", "n", "index_file", "index_at", "index_bytes"]
+        index, lines = None, []
+        fields = [("first_key", pa.string()), ("last_key", pa.string()), ("n", pa.int32()), ("index_file", pa.string()), ("index_at", pa.int64()), ("index_bytes", pa.int64())]
 
         def block() -> pa.RecordBatch:
             data = _gzip("".join(lines).encode("utf-8", "surrogatepass"))
-            at = index.add(data)
-            row = [lines[0].partition("\t")[0], lines[-1].partition("\t")[0], len(lines), index.name, at, len(data)]
+            row = [lines[0].partition("\t")[0], lines[-1].partition("\t")[0], len(lines), index.name, index.add(data), len(data)]
             lines.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, fields, strict=True)], names=[n for n, _ in fields])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for r in batch.to_pylist():
-                if archive is None:
-                    archive, index = _Writer(root, ".warc.gz"), _Writer(root, ".cdx.gz")
-                data = r["member"] if r["member"] is not None else _gzip(record("revisit", r["id"], r["url"], r["size"], r["digest"], refers_to=r["first"]))
-                at = archive.add(data)
-                lines.append(f"{json.dumps(r['key'])[1:-1]}\t{DATE}\t" + json.dumps({"id": r["id_text"], "url": r["url"], "file": archive.name, "at": at, "bytes": len(data)}) + "\n")
-                if len(lines) >= block_lines or archive.at >= archive_bytes:
+                index = index or _Writer(root, ".cdx.gz")
+                lines.append(f"{json.dumps(r['key'])[1:-1]}\t{DATE}\t" + json.dumps({"id": r["id_text"], "url": r["url"], "file": r["file"], "at": r["at"], "bytes": r["bytes"]}) + "\n")
+                if len(lines) >= block_lines:
                     yield block()
-                if archive.at >= archive_bytes:
-                    archive.out.close()
-                    index.out.close()
-                    archive = None
         if lines:
             yield block()
-        if archive is not None:
-            archive.out.close()
+        if index is not None:
             index.out.close()
 
     return run
 
 
 def write_archives(pages: DataFrame, root: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_size: int = 0, block_lines: int = BLOCK_LINES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes archives and their indexes below root, and gives the directory (also written, at root/directory)."""
+    """Writes archives and their index below root, and gives the directory (also written, at root/directory)."""
     spark = pages.sparkSession
     plain = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -166,9 +184,9 @@ def write_archives(pages: DataFrame, root: str, *, page_id: str = "page_id", url
     met = packed.join(firsts, "sha", "left")
     own = F.col("first").isNull() | (F.col("size") < min_size) | F.coalesce(F.col("id") == F.col("first"), F.lit(False))
     typed = met.select("key", "id", F.col("id").cast("string").alias("id_text"), "url", "size", "digest", F.col("first").cast("string").alias("first"), F.when(own, F.col("member")).alias("member"))
-    dealt = typed.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    directory = dealt.mapInArrow(_archiver(root, block_lines, archive_bytes), DIRECTORY)
-    directory.write.parquet(f"{root}/directory")
+    captures = cut(typed.mapInArrow(_archiver(root, archive_bytes), CAPTURES))
+    dealt = captures.repartitionByRange("key", "file", "at").sortWithinPartitions("key", "file", "at")
+    dealt.mapInArrow(_indexer(root, block_lines), DIRECTORY).write.parquet(f"{root}/directory")
     return spark.read.schema(DIRECTORY).parquet(f"{root}/directory")
 
 
@@ -179,7 +197,8 @@ def _captures(store: pafs.FileSystem, folder: str, row: dict) -> list[dict]:
     out = []
     for line in data.decode("utf-8", "surrogatepass").splitlines():
         key, _, rest = line.split("\t", 2)
-        out.append({"key": json.loads(f'"{key}"')} | json.loads(rest))
+        got = json.loads(rest)
+        out.append({"key": json.loads(f'"{key}"'), "id_text": got["id"]} | {k: got[k] for k in ("url", "file", "at", "bytes")})
     return out
 
 
@@ -197,7 +216,7 @@ def _read(store: pafs.FileSystem, folder: str, captures: list[dict], with_payloa
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         if head["WARC-Type"] == "response" and digest != digest_of(got["payload"]):
             raise ValueError(f"{c['file']} at {c['at']}: the payload does not have its digest")
-        yield {"id_text": c["id"], "key": c["key"], "url": c["url"], "record_type": head["WARC-Type"], "payload_bytes": full, "payload_digest": digest, "refers_to": head.get("X-Refers-To-Page-ID"), "payload": got["payload"] if with_payload and head["WARC-Type"] == "response" else None}
+        yield {"id_text": c["id_text"], "key": c["key"], "url": c["url"], "record_type": head["WARC-Type"], "payload_bytes": full, "payload_digest": digest, "refers_to": head.get("X-Refers-To-Page-ID"), "payload": got["payload"] if with_payload and head["WARC-Type"] == "response" else None}
 
 
 def head_bytes(got: dict) -> int:
@@ -210,31 +229,39 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], kinds.get(f.name, pa.string())) for f in RECORDS], names=RECORDS.names)
 
 
-def read_archives(directory: DataFrame, root: str, *, with_payload: bool = False) -> DataFrame:
-    """RECORDS for every capture that the directory leads to, block by block."""
+def read_index(directory: DataFrame, root: str) -> DataFrame:
+    """CAPTURES of all index blocks that the directory names."""
+    ready(directory.sparkSession)
+    schema = to_arrow_schema(T.StructType.fromDDL(CAPTURES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(root)
         for batch in batches:
             for row in batch.to_pylist():
-                rows: list[dict] = []
-                size = 0
-                for r in _read(store, folder, _captures(store, folder, row), with_payload):
-                    rows.append(r)
-                    size += len(r["payload"] or b"")
-                    if size > 16 << 20:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _batch(rows)
+                yield pa.RecordBatch.from_pylist(_captures(store, folder, row), schema=schema)
 
-    ready(directory.sparkSession)
-    return directory.repartition(_tasks(directory)).mapInArrow(run, RECORDS)
+    return directory.mapInArrow(run, CAPTURES)
 
 
-def _tasks(directory: DataFrame) -> int:
-    """Four blocks for a task, and as many tasks as there are cores at least."""
-    return max(directory.sparkSession.sparkContext.defaultParallelism, -(-directory.count() // 4))
+def read_archives(directory: DataFrame, root: str, *, with_payload: bool = False) -> DataFrame:
+    """RECORDS for every capture in the index, each archive's ranges read in the order in which they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            rows: list[dict] = []
+            size = 0
+            for r in _read(store, folder, batch.to_pylist(), with_payload):
+                rows.append(r)
+                size += len(r["payload"] or b"")
+                if size > PIECE_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
+
+    near = F.floor(F.col("at") / (32 << 20))
+    return read_index(directory, root).repartition("file", near).sortWithinPartitions("file", "at").mapInArrow(run, RECORDS)
 
 
 def look_up(queries: DataFrame, directory: DataFrame, root: str, *, url: str = "url", max_directory: int = MAX_DIRECTORY) -> DataFrame:
