@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontaminate, licenses, pii, quality, simhash, urlfilter, warc
+from . import bpe, chat, decontaminate, licenses, pii, quality, simhash, urlfilter, warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts made of all conversations, parsed by a model of their labelled turns."""
+    turns = chat.as_transcripts(table(spark, sf_dir, "conversations"))
+    model = chat.fit(turns, conv="conv_id", place="turn", text="block", role="role")
+    return chat.parse(turns, model, conv="conv_id", place="turn", text="block")
+
+
 #: Hosts and path prefixes with their verdicts.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_licenses": op5_licenses,
+    "op6_chat": op6_chat,
     "op7_url_filter": op7_url_filter,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
