@@ -129,9 +129,15 @@ def _encoder(ranks: Broadcast, pattern: str, cache_words: int) -> Encoder:
     return _encoders[key]
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    """array<int> from packed ids."""
+    ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def _tokens(ranks: Broadcast, pattern: str, cache_words: int) -> Callable[[pa.Array], dict]:
     encoder = _encoder(ranks, pattern, cache_words)
-    return lambda texts: {"token_ids": [np.frombuffer(encoder.encode(t or ""), "<u4").astype(np.int32) for t in texts.to_pylist()]}
+    return lambda texts: {"token_ids": _lists([encoder.encode(t or "") for t in texts.to_pylist()])}
 
 
 def _digests(ranks: Broadcast, pattern: str, cache_words: int) -> Callable[[pa.Array], dict]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, decontaminate, licenses, pii, quality, simhash, urlfilter, warc
+from . import bpe, chat, decontaminate, licenses, pii, quality, simhash, toxicity, urlfilter, warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,15 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on labels outside the held-out quarter; scores every document."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = toxicity.with_scores(docs, network, keep=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -118,6 +127,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_licenses": op5_licenses,

@@ -39,12 +39,14 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 FIXED = 3
 DIM = FIXED + WORD_DIM + CHAR_DIM
 BUCKETS = 1 << 16
-GRAMS = 32
+#: Bytes of a word, its two marks included, of which all grams count; and how many those are at most.
+WORD_BYTES = 22
+GRAMS = sum(WORD_BYTES - k + 1 for k in (3, 4, 5, 6))
 VOCABULARY = 20_000
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
 STEPS, BATCH, RATE = 500, 128, 0.02
-#: Words whose projections a task remembers; 300 bytes each are 45 MB.
-CACHE_WORDS = 150_000
+#: Words whose projections a task remembers; 350 bytes each are 90 MB.
+CACHE_WORDS = 250_000
 CHUNK = 2048
 
 _words = re.compile(r"\w+").findall
@@ -54,11 +56,36 @@ def words_of(text: str | None) -> list[str]:
     return _words(text.lower()) if text else []
 
 
-def grams_of(word: str) -> list[int]:
-    """Buckets (from 1) of the character 3- to 6-grams of ^word$, shorter ones first, at most GRAMS of them."""
-    data = f"^{word}$".encode("utf-8", "surrogatepass")
-    found = [1 + zlib.crc32(data[i : i + k]) % (BUCKETS - 1) for k in (6, 5, 4, 3) for i in range(len(data) - k + 1)]
-    return found[:GRAMS] if len(found) <= GRAMS else found[:: -(-len(found) // GRAMS)]
+_POWERS = np.array([1, 0x01000193, 0x5BD1E995, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
+
+
+def _buckets(data: np.ndarray, k: int) -> np.ndarray:
+    """Of the k-grams along the last axis of bytes, from 1."""
+    n = data.shape[-1] - k + 1
+    total = sum(data[..., j : j + n] * _POWERS[j] for j in range(k)) + np.uint64(k)
+    total = (total ^ (total >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((total >> np.uint64(32)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+
+
+def grams_of(words: list[str]) -> np.ndarray:
+    """(words, GRAMS): buckets of the character 3- to 6-grams of ^word$, 0 for none.
+
+    Words of more than WORD_BYTES bytes give GRAMS of theirs, evenly spread."""
+    coded = [f"^{w}$".encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    out = np.zeros((len(words), GRAMS), np.int64)
+    short = np.flatnonzero(sizes <= WORD_BYTES)
+    data = np.frombuffer(b"".join([coded[k].ljust(WORD_BYTES, b"\0") for k in short.tolist()]), np.uint8).reshape(len(short), WORD_BYTES).astype(np.uint64)
+    at = 0
+    for k in (3, 4, 5, 6):
+        n = WORD_BYTES - k + 1
+        out[short, at : at + n] = _buckets(data, k) * (np.arange(n) + k <= sizes[short, None])
+        at += n
+    for k in np.flatnonzero(sizes > WORD_BYTES).tolist():
+        letters = np.frombuffer(coded[k], np.uint8).astype(np.uint64)
+        every = np.concatenate([_buckets(letters, n) for n in (3, 4, 5, 6)])
+        out[k] = every[np.linspace(0, len(every) - 1, GRAMS).astype(np.int64)]
+    return out
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -85,18 +112,14 @@ class Network:
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vectors of words, their rows in the vocabulary, and their gram buckets (padded by 0)."""
-        rows = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        grams = np.zeros((len(words), GRAMS), np.int64)
-        for k, w in enumerate(words):
-            g = grams_of(w)
-            grams[k, : len(g)] = g
+        rows, grams = np.array([self.vocabulary.get(w, 0) for w in words], np.int64), grams_of(words)
         return self.vectors(rows, grams), rows, grams
 
     def vectors(self, rows: np.ndarray, grams: np.ndarray) -> np.ndarray:
         some = grams > 0
         n = np.maximum(some.sum(axis=1), 1)[:, None].astype(np.float32)
         odds = self.gram_odds[grams]
-        fixed = np.stack([self.word_odds[rows], np.where(some, odds, -9).max(axis=1).clip(-3, 3), odds.sum(axis=1) / n[:, 0]], axis=1)
+        fixed = np.stack([self.word_odds[rows], np.where(some, odds, -3).max(axis=1), odds.sum(axis=1) / n[:, 0]], axis=1)
         return np.concatenate([fixed, self.tables["words"][rows], (self.tables["grams"][grams] * some[:, :, None]).sum(axis=1) / n], axis=1).astype(np.float32)
 
     def projected(self, vectors: np.ndarray) -> np.ndarray:
@@ -287,20 +310,18 @@ def train(texts: list[str], labels: list[int], share: float, *, steps: int = STE
     docs = [words_of(t) for t in texts]
     known = [k for k in range(len(docs)) if k % 2 == 0] if len(docs) > 200 else list(range(len(docs)))
     rest = [k for k in range(len(docs)) if k % 2 == 1] if len(docs) > 200 else known
-    counts, gram_counts, totals, memo = [Counter(), Counter()], [Counter(), Counter()], [0, 0], {}
+    counts, gram_counts, totals = [Counter(), Counter()], np.zeros((2, BUCKETS)), [0, 0]
     for k in known:
-        distinct = set(docs[k])
+        distinct = sorted(set(docs[k]))
         counts[labels[k]].update(distinct)
-        for w in distinct:
-            if w not in memo:
-                memo[w] = grams_of(w)
-        gram_counts[labels[k]].update({g for w in distinct for g in memo[w]})
+        if distinct:
+            gram_counts[labels[k], np.unique(grams_of(distinct))] += 1
         totals[labels[k]] += 1
     odds = _odds(counts, totals, 3)
     frequent = sorted(odds, key=lambda w: (-(counts[0][w] + counts[1][w]), w))[:VOCABULARY]
-    gram_odds = np.zeros(BUCKETS)
-    for g, x in _odds(gram_counts, totals, 4).items():
-        gram_odds[g] = x
+    odds_of = lambda n, total: np.log((n + 0.5) / (total + 1))
+    gram_odds = np.clip(odds_of(gram_counts[1], totals[1]) - odds_of(gram_counts[0], totals[0]), -3, 3)
+    gram_odds[(gram_counts.sum(axis=0) < 4) | (np.arange(BUCKETS) == 0)] = 0
     network = Network({w: k + 1 for k, w in enumerate(frequent)}, np.array([0.0, *[odds[w] for w in frequent]]), gram_odds)
     if min(totals) == 0 or not {labels[k] for k in rest} == {0, 1}:
         network.curve = (0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 20.0 * (1 if share else -1))
@@ -310,8 +331,10 @@ def train(texts: list[str], labels: list[int], share: float, *, steps: int = STE
     evidence: dict[str, float] = {}
     chosen, marks = [], []
     for k in fitted:
-        for w in set(docs[k]) - evidence.keys():
-            evidence[w] = max(odds.get(w, 0.0), max((gram_odds[g] for g in grams_of(w)), default=0.0))
+        fresh = sorted(set(docs[k]) - evidence.keys())
+        if fresh:
+            tops = gram_odds[grams_of(fresh)].max(axis=1).tolist()
+            evidence.update((w, max(odds.get(w, 0.0), top)) for w, top in zip(fresh, tops, strict=True))
         values = np.array([max(evidence[w] - 1, 0) ** 2 for w in docs[k]])
         spans = windows_of(len(docs[k]))
         by = sorted(range(len(spans)), key=lambda s: -values[spans[s][0] : spans[s][1]].sum())
@@ -330,11 +353,19 @@ def train(texts: list[str], labels: list[int], share: float, *, steps: int = STE
 def _calibrate(network: Network, docs: list[list[str]], labels: np.ndarray, share: float) -> None:
     best, counts = Scorer(network).best(docs)
     x = np.stack([best, np.log(np.maximum(counts, 1)), np.ones(len(docs))], axis=1)
-    theta, ridge = np.array([1.0, 0.0, 0.0]), np.diag([0.05, 0.5, 0.01])
-    for _ in range(50):
+    prior, ridge = np.array([1.0, 0.0, 0.0]), np.diag([0.05, 0.5, 0.01])
+
+    def loss(theta: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(labels == 1, -1, 1) * (x @ theta)).sum() + (theta - prior) @ ridge @ (theta - prior) / 2)
+
+    theta = prior
+    for _ in range(50):  # Newton's method, each step halved until it helps
         p = _sigmoid(x @ theta)
-        grad = x.T @ (p - labels) + ridge @ (theta - np.array([1.0, 0.0, 0.0]))
-        theta = theta - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, grad)
+        grad = x.T @ (p - labels) + ridge @ (theta - prior)
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, grad)
+        while loss(theta - move) > loss(theta) and np.abs(move).max() > 1e-9:
+            move = move / 2
+        theta = theta - move
     here = labels.mean()
     shift = np.log(share / (1 - share)) - np.log(here / (1 - here)) if 0 < share < 1 and 0 < here < 1 else 0.0
     network.curve = (float(max(theta[0], 0.05)), float(theta[1]), float(theta[2] + shift))
