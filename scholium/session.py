@@ -8,8 +8,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in a batch for Python functions, where the session has Spark's default: texts are large.
+BATCH_ROWS = 1024
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets the session's Python workers import this package, where they see the same path."""
+    """Lets the session's Python workers import this package, where they see the same path, and get small batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     root = str(Path(__file__).resolve().parent.parent)
     paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
