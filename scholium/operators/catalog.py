@@ -52,8 +52,7 @@ def cascade_delete(parents: DataFrame, children: list[tuple[DataFrame, list[str]
     for rows, on in children:
         named = lost.toDF(*on)
         out.append(without(rows, named, on))
-        lost = rows.join(named, on, "left_semi")
-        lost = lost.select(lost.columns[0]).distinct()
+        lost = rows.join(named, on, "left_semi").select(rows.columns[0]).distinct()
     return left, out
 
 

@@ -137,6 +137,7 @@ def update_in_order(state: DataFrame, candidates: DataFrame, *, user: str, thres
 
     kind = state.schema[user].dataType.simpleString()
     schema = f"{user} {kind}, id long, content string, memory_type string, memory_key string, importance double, confidence double, is_active boolean, superseded_by long"
+    candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])  # own columns, also where both come from one table
     return state.groupBy(user).cogroup(candidates.groupBy(user)).applyInPandas(fold, schema)
 
 

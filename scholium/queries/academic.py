@@ -1,2 +1,114 @@
+"""External records: pages and documents stand for what indexes reply."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import academic as A
+from ..session import table
+
 QUERIES: dict = {}
 QUERY_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            QUERY_SQL[name] = sql
+        return fn
+
+    return add
+
+
+@query("url_safety", r"""SELECT page_id, CASE WHEN regexp_full_match(u, '(?i)https?://[^/?#@\s]+(?:[/?#].*)?') THEN u ELSE '' END AS safe FROM
+ (SELECT page_id, trim(CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'javascript:' || url WHEN 3 THEN ' ' || upper(url) ELSE 'https:///x' END) AS u FROM pages)""")
+def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, u = F.col("page_id") % 5, F.col("url")
+    shown = F.when(k == 0, u).when(k == 1, F.replace(u, F.lit("://"), F.lit("://user:pw@"))).when(k == 2, F.concat(F.lit("javascript:"), u)).when(k == 3, F.concat(F.lit(" "), F.upper(u))).otherwise("https:///x")
+    return table(spark, sf_dir, "pages").select("page_id", A.safe_url(shown).alias("safe"))
+
+
+@query("doi_normalise", "SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' ELSE '10.1000/' || doc_id END AS doi FROM documents")
+def doi_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    k, d = i % 5, F.concat(F.lit("10.1000/"), i.cast("string"))
+    raw = F.when(k == 0, d).when(k == 1, F.concat(F.lit("https://doi.org/"), d)).when(k == 2, F.concat(F.lit(" DOI: "), d)).when(k == 3, F.concat(F.lit("10.1 "), d)).otherwise(F.concat(F.lit("http://dx.doi.org/"), d))
+    return table(spark, sf_dir, "documents").select("doc_id", A.normal_doi(raw).alias("doi"))
+
+
+@query("inverted_abstract", """SELECT item_id, string_agg(w, ' ' ORDER BY i) AS abstract FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, unnest(range(len(regexp_extract_all(lower(text), '[a-z]+')))) AS i FROM benchmark) GROUP BY 1""")
+def inverted_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by position to an inverted index and back."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("pos", "w"))
+    lists = words.groupBy("item_id", "w").agg(F.collect_list("pos").alias("at"))
+    index = lists.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    return index.select("item_id", A.rebuild_abstract(F.col("index")).alias("abstract"))
+
+
+def raw(spark: SparkSession, sf_dir: str, provider: str, step: int) -> DataFrame:
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").where(i % step == 0)
+    return docs.select(
+        F.lit(provider).alias("provider"), i.cast("string").alias("external_id"), F.concat(F.lit("<b>Paper</b> "), i.cast("string")).alias("title"), F.when(i % 7 != 0, F.substring("text", 1, 300)).alias("abstract"), F.split(F.concat("lang", F.lit("~A&amp;B~")), "~").alias("authors"),
+        F.when(i % 3 == 0, F.lit(2020)).alias("publication_year"), F.col("source").alias("venue"), F.when(i % 2 == 0, F.concat(F.lit("doi:10.1/"), i.cast("string"))).alias("doi"), F.concat(F.lit("https://x.example.org/"), i.cast("string")).alias("url"), i.cast("int").alias("citation_count"),
+    )
+
+
+PAPERS = r"""p AS (SELECT doc_id, '论文题名：Paper ' || doc_id || chr(10) || '作者：' || lang || ', A&B' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '年份：2020' || chr(10) ELSE '' END || '期刊/会议：' || source || chr(10) || '摘要：' ||
+ trim(regexp_replace(replace(replace(replace(replace(replace(substr(text, 1, 300), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g').regexp_replace('\s+', ' ', 'g')) AS page_content,
+ CASE WHEN doc_id % 2 = 0 THEN '10.1/' || doc_id ELSE doc_id::VARCHAR END AS own FROM documents WHERE doc_id % 7 <> 0)"""
+
+
+@query("paper_projection", f"WITH {PAPERS} SELECT doc_id::VARCHAR AS external_id, 'academic:crossref:' || own AS evidence_id, page_content FROM p")
+def paper_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.papers(raw(spark, sf_dir, "crossref", 1)).select("external_id", "evidence_id", "page_content")
+
+
+@query("provider_dedup", f"WITH {PAPERS} SELECT DISTINCT ON (k) doc_id::VARCHAR AS external_id, provider FROM (SELECT doc_id, 'semantic_scholar' AS provider, 0 AS o, CASE WHEN doc_id % 2 = 0 THEN own ELSE 'academic:semantic_scholar:' || own END AS k FROM p WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'crossref', 1, CASE WHEN doc_id % 2 = 0 THEN own ELSE 'academic:crossref:' || own END FROM p WHERE doc_id % 3 = 0) ORDER BY k, o, doc_id")
+def provider_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = [A.papers(raw(spark, sf_dir, p, s)).withColumn("pos", F.col("external_id").cast("long")) for p, s in (("semantic_scholar", 2), ("crossref", 3))]
+    return A.union_distinct(lists).select("external_id", "provider")
+
+
+@query("providers_in_order", "SELECT source AS provider, min(doc_id) AS first FROM documents GROUP BY source")
+def providers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("provider")).agg(F.min("doc_id").alias("first"))
+
+
+@query("adapter_replies", "SELECT doc_id::VARCHAR AS external_id, 'T' || doc_id AS title, 2000 + (doc_id % 20)::INT AS publication_year, CASE WHEN doc_id % 2 = 0 THEN 'https://www.semanticscholar.org/paper/' || doc_id || '?utm_source=api' ELSE 'https://e.example.org/' || doc_id END AS url, (doc_id % 9)::INT AS citation_count FROM documents")
+def adapter_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in the shape of one index, a paper each, read by its adapter."""
+    i = F.col("doc_id")
+    paper = F.struct(i.cast("string").alias("paperId"), F.concat(F.lit("T"), i.cast("string")).alias("title"), F.lit("x").alias("abstract"), (2000 + i % 20).cast("int").alias("year"), F.when(i % 2 == 1, F.concat(F.lit("https://e.example.org/"), i.cast("string"))).otherwise("").alias("url"), (i % 9).cast("int").alias("citationCount"))
+    replies = table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.array(paper).alias("data"))).alias("body"))
+    return A.semantic_scholar(replies, body="body").select("external_id", "title", "publication_year", "url", "citation_count")
+
+
+@query("usable_evidence", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 8 AND doc_id % 2 = 0 AND doc_id % 3 <> 0")
+def usable_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"), F.when(F.col("doc_id") % 2 == 0, "academic_search").otherwise("library").alias("evidence_origin"), F.when(F.col("doc_id") % 3 == 0, "guess").otherwise("abstract").alias("evidence_level"), F.lit("t").alias("page_content"))
+    return A.usable_evidence(rows, query="source", rank="rank", top_k=8).select("source", "doc_id")
+
+
+@query("external_context", "SELECT conv_id, string_agg(substr(text, 1, 80), chr(10) ORDER BY turn) AS context FROM conversations WHERE role <> 'user' GROUP BY conv_id")
+def external_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of trusted sources, each cut, in order."""
+    rows = table(spark, sf_dir, "conversations").where("role <> 'user'")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 80).alias("t")))), lambda x: x["t"])
+    return rows.groupBy("conv_id").agg(F.array_join(listed, "\n").alias("context"))
+
+
+@query("review_keep", "SELECT conv_id, turn FROM conversations WHERE turn < 3 AND turn % 2 = 0 AND conv_id % 4 <> 0")
+def review_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that a reviewer's reply keeps: places in range, of replies whose verdicts agree."""
+    turns = table(spark, sf_dir, "conversations")
+    i = F.col("conv_id")
+    verdict = F.when(i % 4 == 0, '{"answerable": true, "coverage": "insufficient", "keep": [0, 2]}').otherwise('```json\n{"answerable": true, "coverage": "direct", "keep": [0, 2, 99, -1]}\n```')
+    parsed = turns.select("conv_id").distinct().select("conv_id", F.from_json(F.regexp_extract(verdict, r"(?s)\{.*\}", 0), "answerable boolean, coverage string, keep array<int>").alias("r"))
+    sound = parsed.where((F.col("r.answerable") & F.col("r.coverage").isin("direct", "scoped")) | (~F.col("r.answerable") & (F.col("r.coverage") == "insufficient")))
+    keep = sound.select("conv_id", F.explode("r.keep").alias("turn")).where("turn >= 0")
+    return turns.join(keep, ["conv_id", "turn"], "left_semi").select("conv_id", "turn")

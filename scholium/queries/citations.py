@@ -1,2 +1,152 @@
+"""Citations: line items are evidence, orders are answers, parts are papers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import escape_markdown, mime_type
+from ..operators import citations as C
+from ..session import table
+
 QUERIES: dict = {}
 QUERY_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            QUERY_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    p = F.col("l_partkey")
+    met = items.join(parts.select("p_partkey", "p_name", "p_type"), p == F.col("p_partkey"))
+    return met.select(
+        F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("position"), p.alias("doc_id"), F.when(p % 3 != 0, p % 100).cast("int").alias("library_index"), F.concat(F.col("p_name"), F.when(p % 4 == 0, " [x]").otherwise("")).alias("title"),
+        (F.col("l_quantity") % 9).cast("int").alias("page"), (F.col("l_quantity") % 7 + F.col("l_quantity") % 9).cast("int").alias("page_end"), F.when(p % 5 == 0, "正文").otherwise(F.col("p_type")).alias("section"), (F.col("l_suppkey") % 4).cast("int").alias("paragraph"),
+    )
+
+
+PLACE = "concat_ws('，', CASE WHEN page <= 0 THEN '页码未知' WHEN page_end > page THEN '第' || page || '–' || page_end || '页' ELSE '第' || page || '页' END, CASE WHEN section <> '正文' THEN '§' || section END, CASE WHEN paragraph > 0 THEN '段落' || paragraph END)"
+EVIDENCE = f"""e AS (SELECT l_orderkey AS answer, l_linenumber AS position, l_partkey AS doc_id, CASE WHEN l_partkey % 3 <> 0 THEN l_partkey % 100 END AS library_index, p_name || CASE WHEN l_partkey % 4 = 0 THEN ' （x）' ELSE '' END AS title,
+ (l_quantity % 9)::INT AS page, (l_quantity % 7 + l_quantity % 9)::INT AS page_end, CASE WHEN l_partkey % 5 = 0 THEN '正文' ELSE p_type END AS section, (l_suppkey % 4)::INT AS paragraph FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT *, {PLACE} AS place FROM e)"""
+
+
+@query("citation_label", f"""WITH {EVIDENCE} SELECT answer, position, doc_id, '[文献' || CASE WHEN library_index > 0 THEN library_index::VARCHAR WHEN doc_id > 0 THEN 'ID' || doc_id ELSE '?' || greatest(1, position) END || '《' || title || '》，' || place || ']' AS label FROM g""")
+def citation_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evidence(spark, sf_dir)
+    return e.select("answer", "position", "doc_id", C.label(library_index=F.col("library_index"), doc_id=F.col("doc_id"), position=F.col("position"), title=F.col("title"), filename=F.lit("x.pdf"), page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph")).alias("label"))
+
+
+@query("external_label", "SELECT doc_id, '[GS文献' || greatest(1, doc_id % 5) || '《' || source || '》，' || concat_ws('，', CASE WHEN doc_id % 4 > 0 THEN (2000 + doc_id % 4)::VARCHAR ELSE '年份未知' END, CASE WHEN lang = 'en' THEN '开放学术索引' ELSE lang END, (['摘要', '检索片段', '开放全文', '外部检索内容'])[(doc_id % 4 + 1)::INT]) || ']' AS label FROM documents")
+def external_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    level = F.get(F.array(F.lit("Abstract"), F.lit("search_snippet"), F.lit("full_text"), F.lit("other")), k.cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.external_label(position=F.col("doc_id") % 5, title=F.col("source"), year=F.when(k > 0, 2000 + k), provider=F.when(F.col("lang") == "en", "").otherwise(F.col("lang")), level=level).alias("label"))
+
+
+NUMBERED = f"""{EVIDENCE}, f AS (SELECT answer, doc_id, min(position) AS first FROM g GROUP BY ALL), n AS (SELECT answer, doc_id, row_number() OVER (PARTITION BY answer ORDER BY first, doc_id) AS paper_no FROM f)"""
+
+
+@query("citation_number", f"WITH {NUMBERED} SELECT answer, position, doc_id, paper_no FROM g JOIN n USING (answer, doc_id)")
+def citation_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.number_papers(evidence(spark, sf_dir), answer="answer", position="position", key="doc_id").select("answer", "position", "doc_id", "paper_no")
+
+
+@query("reference_list", rf"""WITH {NUMBERED}, r AS (SELECT answer, paper_no, place, min(position) AS seen, arg_min(title, position) AS title FROM g JOIN n USING (answer, doc_id) GROUP BY ALL)
+SELECT answer, paper_no, '[' || paper_no || '] ' || regexp_replace(arg_min(title, seen), '([\\`*_{{}}\[\]()<>#+\-.!|])', '\\\1', 'g') || '：' || string_agg(place, '；' ORDER BY seen, place) AS reference FROM r GROUP BY answer, paper_no""")
+def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evidence(spark, sf_dir)
+    place = C.location(page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"), title=F.col("title"))
+    titled = e.withColumn("place", place).withColumn("title", C.title_of(F.col("title"), F.lit("")))
+    return C.reference_list(C.number_papers(titled, answer="answer", position="position", key="doc_id"), answer="answer", position="position", title="title", location="place")
+
+
+@query("citation_enrich", "SELECT l_orderkey, l_linenumber, CASE WHEN p_size > 25 THEN p_name ELSE 'old' END AS title FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def citation_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("doc_id"), F.lit("old").alias("title"))
+    papers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") > 25, F.col("p_name")).alias("title"))
+    return C.enrich(chunks, papers, key="doc_id", fields=["title"]).drop("doc_id")
+
+
+@query("target_tokens", "SELECT o_orderkey, 'g' || o_custkey || '-d' || o_orderkey || '-p' || (o_orderkey % 5) || '-r0' AS token, CASE WHEN o_orderkey % 7 <> 0 AND o_custkey > 0 THEN o_orderkey END AS doc_id FROM orders")
+def target_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", C.encode_target(F.col("o_custkey"), k, k % 5, F.lit(-1)).alias("token"))
+    read = C.decode_target(F.when(k % 7 == 0, F.concat(F.lit("x"), F.col("token"))).otherwise(F.concat(F.col("token"), F.lit(" "))))
+    return rows.select("o_orderkey", "token", read["doc_id"].alias("doc_id"))
+
+
+LOOK = """t AS (SELECT o_orderkey AS target, o_orderkey AS doc_id, o_orderkey % 4 AS page, o_orderkey % 9 AS paragraph FROM orders), c AS (SELECT l_orderkey AS doc_id, l_partkey % 4 AS page, l_linenumber AS paragraph, l_linenumber AS chunk_index FROM lineitem)"""
+
+
+@query("target_lookup", f"""WITH {LOOK}, p AS (SELECT target, chunk_index, CASE WHEN t.paragraph > 0 AND t.paragraph = c.paragraph THEN 0 WHEN t.page > 0 AND t.page = c.page THEN 1 ELSE 2 END AS priority FROM t JOIN c USING (doc_id))
+SELECT DISTINCT ON (target) target, priority, chunk_index FROM p ORDER BY target, priority, chunk_index""")
+def target_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    targets = table(spark, sf_dir, "orders").select(k.alias("target"), k.alias("doc_id"), (k % 4).alias("page"), (k % 9).alias("paragraph"))
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 4).alias("page"), F.col("l_linenumber").alias("paragraph"), F.col("l_linenumber").alias("chunk_index"))
+    return C.look_up(targets, chunks, target="target")
+
+
+@query("markdown_escape", r"SELECT doc_id, length(regexp_replace(text, '([\\`*_{}\[\]()<>#+\-.!|])', '\\\1', 'g')) AS n FROM documents")
+def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(escape_markdown(F.col("text"))).alias("n"))
+
+
+@query("strip_citations", "SELECT doc_id, lang || ' [' || (doc_id % 9) || '] end' AS body FROM documents")
+def strip_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered answers back to their plain text."""
+    n = (F.col("doc_id") % 9).cast("string")
+    shown = F.concat(F.col("lang"), F.lit(" [["), n, F.lit(']](?open_citation=g1-d2-p3-r4 "a \\"b\\"") end\n\n---\n\n### 参考来源\n['), n, F.lit("] x"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.strip_rendering(shown).alias("body"))
+
+
+@query("stored_labels", """SELECT doc_id, library_index, title, title = 'src' || library_index AS valid FROM (SELECT DISTINCT doc_id, (doc_id % 20)::INT AS library_index, source AS title FROM documents)""")
+def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    answers = docs.select("doc_id", F.concat(F.lit("a [文献"), (F.col("doc_id") % 20).cast("string"), F.lit("《"), F.col("source"), F.lit("》，第1页] b")).alias("text"))
+    papers = spark.range(20).select(F.col("id").cast("int").alias("library_index"), F.concat(F.lit("src"), F.col("id").cast("string")).alias("paper_title"), F.lit("").alias("filename"))
+    return C.stored_labels(answers, papers, answer="doc_id", text="text").drop("label")
+
+
+@query("paper_keys", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'academic:10.1/' || doc_id WHEN doc_id % 5 = 1 THEN 'academic:ev' || doc_id WHEN doc_id % 5 = 2 AND doc_id > 0 THEN 'doc_id:' || doc_id WHEN doc_id % 5 = 3 THEN 'library:0:' || (doc_id % 7 + 1) ELSE 'source:' || source END AS key FROM documents")
+def paper_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    k, s = i % 5, i.cast("string")
+    none = F.lit(None).cast("string")
+    key = C.paper_key(origin=F.when(k < 2, "Academic_Search"), doi=F.when(k == 0, F.concat(F.lit("10.1/"), s)), evidence_id=F.concat(F.lit("EV"), s), title=none, doc_id=F.when(k == 2, i), group_id=none, library_index=F.when(k == 3, i % 7 + 1), filename=F.upper("source"), position=F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
+
+
+@query("external_reference", "SELECT doc_id, concat_ws('｜', '外部论文《' || source || '》', CASE WHEN doc_id % 3 = 0 THEN 'A、B、C 等' WHEN doc_id % 3 = 1 THEN 'A' END, CASE WHEN lang <> 'en' THEN lang END, CASE WHEN doc_id % 2 = 0 THEN 'DOI: 10.1/' || doc_id END) AS ref FROM documents")
+def external_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    authors = F.when(i % 3 == 0, "A, B,, C ,D").when(i % 3 == 1, "A").otherwise(" , ")
+    return table(spark, sf_dir, "documents").select("doc_id", C.external_reference(title=F.col("source"), authors=authors, venue=F.when(F.col("lang") != "en", F.col("lang")), doi=F.when(i % 2 == 0, F.concat(F.lit("10.1/"), i.cast("string")))).alias("ref"))
+
+
+@query("image_types", "SELECT p_partkey, (['image/png', 'image/jpeg', 'image/webp', 'application/octet-stream'])[(p_partkey % 4 + 1)::INT] AS kind FROM part")
+def image_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.col("p_name"), F.get(F.array(F.lit(".PNG"), F.lit(".jpg"), F.lit(".webp"), F.lit("")), (F.col("p_partkey") % 4).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", mime_type(path).alias("kind"))
+
+
+@query("rendered_answers")
+def rendered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each order that cites its line items by bare numbers, rendered with links and references."""
+    e = evidence(spark, sf_dir)
+    place = C.location(page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"), title=F.col("title"))
+    label = C.label(library_index=F.col("library_index"), doc_id=F.col("doc_id"), position=F.col("position"), title=F.col("title"), filename=F.lit(""), page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"))
+    href = F.concat(F.lit("?open_citation="), C.encode_target(F.lit(1), F.col("doc_id"), F.col("page"), F.col("paragraph")))
+    one = F.struct("position", F.col("doc_id").cast("string").alias("key"), label.alias("label"), F.col("title").alias("reference"), place.alias("location"), href.alias("href"))
+    answers = e.groupBy("answer").agg(F.array_sort(F.collect_list(one)).alias("es"))
+    text = F.array_join(F.transform("es", lambda x, i: F.concat(F.lit("fact ["), (i + 1).cast("string"), F.lit("]"))), " ")
+    return answers.select("answer", C.render_answers(text, F.transform("es", lambda x: F.struct(x["label"].alias("label"), x["key"].alias("key"), x["reference"].alias("reference"), x["location"].alias("location"), x["href"].alias("href")))).alias("text"))

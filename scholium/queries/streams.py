@@ -1,2 +1,81 @@
+"""Streams over the events, and what depends on their order."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import table
+from ..streaming import events as S
+
 QUERIES: dict = {}
 QUERY_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            QUERY_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.stream(spark, sf_dir, pattern="events.parquet", time="ts")
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """Timestamps without a zone, as in the tables."""
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in rows.dtypes if t == "timestamp"})
+
+
+@query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.windowed(source(spark, sf_dir), time="ts", key="event_type", value="value", size="1 hour")
+    return plain(S.drain_complete(rows, S.scratch(spark, "stream")))
+
+
+@query("stream_sliding", "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(4) AS r(k) GROUP BY ALL")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.windowed(source(spark, sf_dir), time="ts", key="event_type", value="value", size="1 hour", slide="15 minutes")
+    return plain(S.drain_complete(rows, S.scratch(spark, "stream")))
+
+
+@query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.sessions(source(spark, sf_dir), time="ts", key="user_id", gap="30 minutes")
+    return plain(S.drain_complete(rows, S.scratch(spark, "stream")))
+
+
+@query("stream_last_seen", "SELECT user_id::VARCHAR AS key, count(*) AS n, max(ts) AS last FROM events GROUP BY 1")
+def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key's state at the end of what is there; keys idle for a day would expire as event time goes on."""
+    rows = S.last_seen(source(spark, sf_dir), time="ts", key="user_id", idle_minutes=24 * 60)
+    states = S.drain(rows, S.scratch(spark, "stream"))
+    return plain(states.groupBy("key").agg(F.max("n").alias("n"), F.max("last").alias("last")))
+
+
+@query("stream_upsert", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = S.scratch(spark, "upsert")
+    rows = source(spark, sf_dir).select("user_id", "event_id", F.struct("ts", "event_id").alias("version"))
+    S.incremental_upsert(rows, f"{where}/table", key=["user_id"], checkpoint=f"{where}/checkpoint", newest="version")
+    return S.current_version(spark, f"{where}/table").select("user_id", "event_id")
+
+
+BREAKER = """WITH RECURSIVE c AS (SELECT event_type AS service, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, epoch_us(ts) / 1000000.0 AS moment, event_id % 4 <> 0 AS ok FROM events),
+w AS (SELECT service, 0::BIGINT AS i, 'closed' AS state, 0::BIGINT AS n, 0::DOUBLE AS since, true AS allowed, 0::BIGINT AS event_id FROM c GROUP BY service
+ UNION ALL SELECT service, i, CASE WHEN NOT allowed THEN pre WHEN ok THEN 'closed' WHEN pre = 'half_open' OR n + 1 >= 3 THEN 'open' ELSE 'closed' END,
+  CASE WHEN allowed AND ok AND pre = 'half_open' THEN 0 WHEN allowed AND NOT ok AND pre = 'closed' THEN n + 1 ELSE n END, CASE WHEN allowed AND NOT ok AND (pre = 'half_open' OR n + 1 >= 3) THEN moment ELSE since END, allowed, event_id
+  FROM (SELECT w.service, c.i, c.moment, c.ok, w.n, w.since, c.event_id, CASE WHEN w.state = 'open' AND c.moment - w.since > 60 THEN 'half_open' ELSE w.state END AS pre, NOT (w.state = 'open' AND c.moment - w.since <= 60) AS allowed FROM w JOIN c ON c.service = w.service AND c.i = w.i + 1))
+SELECT service, event_id, state, allowed FROM w WHERE i > 0"""
+
+
+@query("breaker_states", BREAKER)
+def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a call of its type's service, in the order of ids; every fourth fails."""
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("service"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_id") % 4 != 0).alias("ok"))
+    return S.breaker_states(calls, service="service", order="event_id", at="at", ok="ok")
