@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from .common import with_arrow_columns
 
-#: Words whose ids a task remembers; 100 bytes each are 30 MB.
-CACHE_WORDS = 300_000
+#: Words whose ids a task remembers; 250 bytes each are 50 MB.
+CACHE_WORDS = 200_000
 #: Above this many bytes a word is merged with a heap.
 LONG_WORD = 64
 
@@ -140,19 +140,15 @@ def _tokens(ranks: Broadcast, pattern: str, cache_words: int) -> Callable[[pa.Ar
     return lambda texts: {"token_ids": _lists([encoder.encode(t or "") for t in texts.to_pylist()])}
 
 
-def _digests(ranks: Broadcast, pattern: str, cache_words: int) -> Callable[[pa.Array], dict]:
+def _round_trips(ranks: Broadcast, pattern: str, cache_words: int, with_ids: bool) -> Callable[[pa.Array], dict]:
     encoder = _encoder(ranks, pattern, cache_words)
 
-    def digest(texts: pa.Array) -> dict:
-        n, ids_hash, decoded_hash = [], [], []
-        for text in texts.to_pylist():
-            ids = encoder.encode(text or "")
-            n.append(len(ids) // 4)
-            ids_hash.append(hashlib.sha256(ids).hexdigest())
-            decoded_hash.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-        return {"n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": decoded_hash}
+    def run(texts: pa.Array) -> dict:
+        coded = [encoder.encode(t or "") for t in texts.to_pylist()]
+        out = {"n_tokens": [len(ids) // 4 for ids in coded], "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids in coded], "decoded_sha256": [hashlib.sha256(encoder.decode(ids)).hexdigest() for ids in coded]}
+        return out | ({"token_ids": _lists(coded)} if with_ids else {})
 
-    return digest
+    return run
 
 
 def _decoded(ranks: Broadcast, pattern: str, cache_words: int) -> Callable[[pa.Array], dict]:
@@ -172,11 +168,12 @@ def with_decoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, ids:
     return with_arrow_columns(docs, [ids], T.StructType([T.StructField("decoded", T.BinaryType())]), _decoded, shared, pattern, CACHE_WORDS)
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: Iterable[str] | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of each text, beside the columns of keep."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: Iterable[str] | None = None, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of each text, and with_ids its token_ids, beside the columns of keep."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return with_arrow_columns(docs, [text], fields, _digests, shared, pattern, cache_words, keep=keep if keep is None else list(keep))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * with_ids
+    return with_arrow_columns(docs, [text], T.StructType(fields), _round_trips, shared, pattern, cache_words, with_ids, keep=keep if keep is None else list(keep))
 
 
 def literal_rank_map(ranks: dict[bytes, int], buckets: int = 65_536) -> Callable[[Column], Column]:
