@@ -137,6 +137,7 @@ def with_quality(docs: DataFrame, *, text: str = "text", max_lost: float = MAX_L
 
 def clean(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The kept rows of docs with their cleaned texts; the columns of docs stay, also those named like FIELDS."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    kept = with_quality(rows, **options).where("kept")
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0)]).alias("row"), F.col(text).alias("text"))
+    kept = with_quality(rows, keep=["row"], **options).where("kept")
     return kept.select(*[F.col("clean_text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
