@@ -51,19 +51,23 @@ def _window_hash(hashes: str, at: Column, length: Column, window: int) -> Column
 
 def _probe(docs: DataFrame, table: DataFrame, lengths: list[int], window: int, all_rows: bool) -> DataFrame:
     """A row for each hit window of each text, and with all_rows one at position -1 for each row of docs."""
-    marks = F.array(F.lit(-1)) if all_rows else F.array().cast("array<int>")
-    short = lengths[0]
     tokens = docs.select("id", "tag", words_of(F.col("text")).alias("words"))
     hashed = tokens.select("id", "tag", "words", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    spots = F.when(F.col("n") >= short, F.concat(marks, F.sequence(F.lit(0), F.col("n") - short))).otherwise(marks)
-    spread = hashed.select("id", "tag", "words", "n", "hashes", F.explode(spots).alias("at"))
+    places = lambda k: F.when(F.col("n") >= k, F.sequence(F.lit(0), F.col("n") - k)).otherwise(F.array().cast("array<int>"))
+    # one generator, so that a text's windows meet the table in one loop and never stand beside its words in memory
     if len(lengths) > 1:
-        fits = F.filter(F.lit(lengths).cast("array<int>"), lambda k: F.col("at") + k <= F.col("n"))
-        spread = spread.withColumn("length", F.explode(F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(fits)))
+        spot = lambda at, k: F.struct(at.alias("at"), k.alias("length"))
+        none = F.transform(F.array().cast("array<int>"), lambda at: spot(at, at))
+        marks = F.array(spot(F.lit(-1), F.lit(0))) if all_rows else none
+        of_length = lambda k: F.transform(places(k), lambda at: spot(at, F.lit(k)))
+        spots = F.concat(marks, *map(of_length, lengths))
+        spread = hashed.select("id", "tag", "words", "n", "hashes", F.explode(spots).alias("spot")).select("id", "tag", "words", "n", "hashes", "spot.at", "spot.length")
         key = _window_hash("hashes", F.greatest(F.col("at"), F.lit(0)), F.col("length"), window)
     else:
-        spread = spread.withColumn("length", F.when(F.col("at") < 0, F.lit(0)).otherwise(F.lit(short)))
-        key = F.xxhash64(F.lit(short), *[F.get("hashes", F.col("at") + j) for j in range(short)])
+        marks = F.array(F.lit(-1)) if all_rows else F.array().cast("array<int>")
+        spread = hashed.select("id", "tag", "words", "n", "hashes", F.explode(F.concat(marks, places(lengths[0]))).alias("at"))
+        spread = spread.withColumn("length", F.when(F.col("at") < 0, F.lit(0)).otherwise(F.lit(lengths[0])))
+        key = F.xxhash64(F.lit(lengths[0]), *[F.get("hashes", F.col("at") + j) for j in range(lengths[0])])
     probes = spread.select("id", "tag", "words", "n", "at", "length", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(key).alias("hash"))
     if all_rows:
         table = table.unionByName(table.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("words"), F.array().cast("array<string>").alias("items")))
@@ -120,8 +124,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0
     same = F.col("id").eqNullSafe(F.col("hit_id")) & (_tag(F.col("text")) == F.col("hit_tag"))
     met = rows.join(F.broadcast(hits) if small else hits, same, "left")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(PIECE), F.lit(0))
-    starts_with_word = F.col("text").rlike(rf"\A(?:{PIECE.split('|')[0]})")
-    kept = F.filter(pieces, lambda p, i: ~F.array_contains(F.col("hit_words"), F.floor((i - F.when(starts_with_word, 0).otherwise(1)) / 2).cast("int")))
+    before = lambda ps: F.when(F.get(ps, F.lit(0)).rlike(f"^(?:{PIECE.split('|')[0]})"), 0).otherwise(1)
+    unhit = lambda ps: F.filter(ps, lambda p, i: ~F.array_contains(F.col("hit_words"), F.floor((i - before(ps)) / 2).cast("int")))
+    kept = F.get(F.transform(F.array(pieces), unhit), F.lit(0))  # the pieces are made once
     clean = F.when(F.col("hit_id").isNull() & F.col("hit_words").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     left = met.where(F.col("hit_words").isNull() | (F.size("hit_words") <= max_share * F.col("n_words")))
     return left.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
