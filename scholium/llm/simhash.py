@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,7 +259,9 @@ def _verifier(distance: int, place_limit: int):
 
 
 def links(classes: DataFrame, *, distance: int = DISTANCE, place_limit: int = PLACE_LIMIT) -> DataFrame:
-    """a, b: links between fingerprints of the column fp (distinct) that connect what the distance connects."""
+    """a, b: links between fingerprints of the column fp (distinct) that connect what the distance connects. Even distances only."""
+    if distance % 2:
+        raise ValueError("midpoints need an even distance")
     n, both = bit_statistics(classes)
     sent = _signatures(classes, plan_parts(n, both, distance))
     dealt = sent.repartition("place").sortWithinPartitions("place")
@@ -271,21 +273,18 @@ def links(classes: DataFrame, *, distance: int = DISTANCE, place_limit: int = PL
     masks = F.array(*[F.lit(m).cast("long") for m in flips(list(range(64)), distance // 2)])
     members = sent.join(crowded, "place", "left_semi").select("fp").distinct()
     through = members.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("middle"))
-    if distance % 2:  # ends at an odd distance have no middle; let one side reach a bit farther
-        wider = F.array(*[F.lit(m).cast("long") for m in flips(list(range(64)), distance // 2 + 1)])
-        far = members.select(F.col("fp").alias("b"), F.explode(wider).alias("mask")).select("b", F.col("b").bitwiseXOR(F.col("mask")).alias("middle"))
-        leads = through.join(far, "middle").select(F.col("fp").alias("a"), "b").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance)
-        return near.unionByName(leads.where("a <> b").distinct())
     leads = through.groupBy("middle").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("middle", "b")
     return near.unionByName(through.join(leads, "middle").select(F.col("fp").alias("a"), "b").where("a <> b").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, place_limit: int = PLACE_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tag, fp, component_id for each row of docs."""
-    prints = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle)
+    spread = found.rdd.getNumPartitions()  # a task reads many texts and writes a few numbers for each
+    prints = cut(found.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, spread // 8)))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(classes, distance=distance, place_limit=place_limit))
-    rooted = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     joined = rooted.where("root is not null")
     firsts = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     homes = rooted.where("root is null").select("fp", F.col("first_id").alias("component_id")).unionByName(joined.join(firsts, "root").select("fp", "component_id"))
@@ -297,6 +296,9 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     kept = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string"))).alias("home")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best"))
     keys = kept.select(F.col("best.doc_id").alias("kept_id"), F.col("best.tag").alias("kept_tag"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("tag"))
-    met = rows.join(keys, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tag") == F.col("kept_tag")), "left_semi")
-    return met.dropDuplicates(["id", "tag"]).select("row.*")
+    # one shuffle of the texts: the join's partitions and order also serve the choice among repeated rows
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    keys = keys.select(named(F.col("kept_id")).alias("kept_id"), "kept_tag").distinct()
+    rows = docs.select(named(F.col(doc_id)).alias("id"), F.xxhash64(text).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(keys, (F.col("id") == F.col("kept_id")) & (F.col("tag") == F.col("kept_tag")), "left_semi")
+    return met.withColumn("n", F.row_number().over(Window.partitionBy("id", "tag").orderBy("id"))).where("n = 1").select("row.*")
