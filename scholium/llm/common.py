@@ -43,9 +43,17 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder, without the plan that made them."""
+#: Rows of a few numbers each that make a file worth its own.
+ROWS_PER_FILE = 500_000
+
+
+def cut(frame: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, written to the shared folder, without the plan that made them.
+
+    rows: their number or a bound on it, where known; they then go to as few files as that needs."""
     shared_dir(frame.sparkSession)
+    if rows is not None:
+        frame = frame.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     return frame.checkpoint(eager=True)
 
 

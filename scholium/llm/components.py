@@ -12,12 +12,13 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node with a link to another.
 
     links: columns a and b, longs, in any direction, repeated or not; rows with a null or a = b link nothing.
-    Each round halves distances; between rounds the links are written to the shared folder. No neighbour
+    links is read twice, so it should be a written table. Each round halves distances; between rounds the links are written to the shared folder. No neighbour
     list is ever gathered: a node's least neighbour is an aggregate, joined back to the links."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
+    n = links.count()
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct(), n)
     state = _state(edges)
     while state[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)), state[0])
         before, state = state, _state(edges)
         if state == before:
             break

@@ -175,17 +175,18 @@ def _stand_ins(key: bytes) -> Callable[..., dict]:
 
 
 def moved_entities(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, value, attempt of the entities whose stand-in at attempt 0 would collide."""
+    """kind, value, attempt of the entities whose stand-in at attempt 0 would collide. found: a written table."""
     field = T.StructType([T.StructField("stand_in", T.StringType())])
     make = lambda rows: with_arrow_columns(rows, ["kind", "value", "attempt"], field, _stand_ins, key)
-    state = cut(make(found.withColumn("attempt", F.lit(0))))
+    n = found.count()
+    state = cut(make(found.withColumn("attempt", F.lit(0))), n)
     while True:
         # who came to a stand-in first keeps it; equals by the value
         order = Window.partitionBy("kind", "stand_in").orderBy("attempt", "value")
         ranked = state.withColumn("place", F.row_number().over(order))
         real = found.select("kind", F.col("value").alias("stand_in")).withColumn("is_real", F.lit(True))
         judged = ranked.join(real, ["kind", "stand_in"], "left").withColumn("lost", (F.col("place") > 1) | F.col("is_real").isNotNull())
-        judged = cut(judged.select("kind", "value", "attempt", "stand_in", "lost"))
+        judged = cut(judged.select("kind", "value", "attempt", "stand_in", "lost"), n)
         losers = judged.where("lost").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if losers.isEmpty():
             return judged.where("attempt > 0").select("kind", "value", "attempt")
@@ -217,7 +218,7 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: bytes = KEY, max_b
     """docs (or its columns in keep) with surrogates in its text, n_entities, and found (spans in the old text)."""
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c != text]
-    moved = cut(moved_entities(entities(docs, text=text), key))
+    moved = moved_entities(cut(entities(docs, text=text)), key)
     fields = T.StructType([T.StructField("text", T.StringType()), *FIELDS])
     order = [c for c in docs.columns if c in keep or c == text]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("row"), F.col(text).alias("text"))
