@@ -1,0 +1,434 @@
+"""Each operator against a plain, slow version, and on null, empty, long, repeated and extra-column inputs."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from scholium.llm import bpe, chat, decontaminate, licenses, pii, quality, simhash, toxicity, urlfilter, warc
+from scholium.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+LONG = "lorem ipsum dolor " * 9000
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, LONG), (5, "same text here for all of us now"), (5, "same text here for all of us now"), (None, "no id, but words"), (6, "日本語 and ß É ñ 👍🏽 text"), (7, "a" * 5000)]
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Defined cases, with columns whose names operators use inside."""
+    rows = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in ODD], "doc_id long, text string, words string, hash long, row string")
+    return rows.withColumns({c: F.lit("z") for c in ("id", "tag", "at", "items", "score", "entities", "key", "place", "kept")})
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("doc_id = -1")
+
+
+# 1 ------------------------------------------------------------------------------------------------------------------
+
+WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def windows(texts):
+    found = {}
+    for item, t in texts:
+        ws = WORDS.findall(lower(t or ""))
+        for i in range(len(ws) - min(10, len(ws)) + 1 if ws else 0):
+            found.setdefault(tuple(ws[i : i + 10]), set()).add(item)
+    return found
+
+
+def plain_hits(text, grams):
+    ws = WORDS.findall(lower(text or ""))
+    hit, items = set(), set()
+    for k in {len(g) for g in grams}:
+        for i in range(len(ws) - k + 1):
+            if (g := tuple(ws[i : i + k])) in grams:
+                hit |= set(range(i, i + k))
+                items |= grams[g]
+    return len(ws), len(hit), items
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 7])
+def test_contamination_is_that_of_all_windows(spark, docs, odd, bound):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    bench = bench.union(spark.createDataFrame([(900, "dolor LOREM"), (901, None), (902, "!!"), (903, "dolor lorem"), (None, "same text here for all of us now")], "item_id long, text string"))
+    texts = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    grams = windows((r.item_id, r.text) for r in bench.collect())
+    got = sorted((r.doc_id or -1, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.report(decontaminate.contamination(texts, bench, max_broadcast=bound)).collect())
+    want = []
+    for r in texts.collect():
+        n, k, items = plain_hits(r.text, grams)
+        want.append((r.doc_id or -1, n, k, tuple(sorted(str(i) for i in items if i is not None))))
+    assert got == sorted(want)
+    assert any(r[2] for r in got)
+
+
+def test_decontaminate_cuts_hit_words_and_keeps_columns(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    text = "One, two three Alpha beta GAMMA! four five six seven"
+    rows = odd.limit(1).withColumn("doc_id", F.lit(50).cast("long")).withColumn("text", F.lit(text))
+    mostly = rows.withColumn("doc_id", F.lit(51).cast("long")).withColumn("text", F.lit("alpha beta gamma x"))
+    out = decontaminate.decontaminate(odd.unionByName(rows).unionByName(mostly), bench)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == odd.columns and out.count() == len(ODD) + 1
+    assert got[50] == "One, two three four five six seven" and 51 not in got and got[4] == LONG
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+    assert decontaminate.decontaminate(odd, bench.where("item_id = 2")).count() == len(ODD)
+
+
+# 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_gradient_is_that_of_differences():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network({"a": 1}, np.zeros(2), np.zeros(toxicity.BUCKETS))
+    x = rng.standard_normal((3, 5, toxicity.DIM)).astype(np.float32)
+    over = np.zeros((3, 5), bool)
+    over[1, 3:] = True
+    labels = np.array([1, 0, 1], np.float32)
+    _, grads, d_x = net.gradient(x, over, labels)
+    for name in ("Wf", "Ub", "v", "w", "cb"):
+        at = tuple(rng.integers(0, s) for s in net.weights[name].shape)
+        keep, eps = net.weights[name][at], 1e-2
+        net.weights[name][at] = keep + eps
+        up = net.gradient(x, over, labels)[0]
+        net.weights[name][at] = keep - eps
+        down = net.gradient(x, over, labels)[0]
+        net.weights[name][at] = keep
+        assert abs((up - down) / (2 * eps) - grads[name][at]) < 2e-3, name
+    assert not d_x[1, 3:].any()
+
+
+def test_scores_learn_words_and_take_odd_texts(spark, odd, empty):
+    rng = np.random.default_rng(1)
+    plain = [" ".join(rng.choice(["sun", "moon", "river", "stone", "tree", "wind"], 40)) for _ in range(300)]
+    texts = [t.replace("river", "scoundrel", 1) if k % 3 == 0 else t for k, t in enumerate(plain)]
+    labels = [int("scoundrel" in t) for t in texts]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, v) for k, v in enumerate(labels)], "doc_id long, toxic int")
+    net = toxicity.fit(rows, marks, F.col("doc_id") % 4 != 2, steps=150)
+    score = {r.doc_id: r.score for r in toxicity.with_scores(rows, net).collect()}
+    held = [k for k in score if k % 4 == 2]
+    assert min(score[k] for k in held if labels[k]) > max(score[k] for k in held if not labels[k])
+    got = toxicity.with_scores(odd, net).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if not (r.text or "").strip()}) == 1
+    assert toxicity.with_scores(empty, net).count() == 0
+    alone = toxicity.fit(rows, marks.where("toxic = 1"), F.lit(True))
+    assert alone.curve[0] == 0
+
+
+def test_held_out_toxic_documents_are_found():
+    import duckdb
+
+    base = "/root/testdata/sf0.1"
+    found = duckdb.sql(f"SELECT d.doc_id, text, toxic FROM '{base}/documents.parquet' d JOIN '{base}/labels.parquet' USING (doc_id) WHERE length(text) < 20000 ORDER BY 1").fetchall()
+    fit, held = ([r for r in found if (zlib.crc32(str(r[0]).encode()) % 4 == 2) == h] for h in (False, True))
+    toxic, clean = ([r for r in fit if r[2] == v] for v in (1, 0))
+    used = toxic[:400] + clean[:700]
+    net = toxicity.train([r[1] for r in used], [r[2] for r in used], len(toxic) / len(fit), steps=200)
+    scores = toxicity.Scorer(net).scores([r[1] for r in held])
+    y = np.array([r[2] for r in held])
+    ranks = np.argsort(np.argsort(scores))
+    auc = (ranks[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
+    assert auc > 0.9
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(t):
+    ws = re.findall("[^\x20\x09-\x0d]+", lower(t or ""))
+    grams = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))] if ws else []
+    hashes = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(values, distance):
+    parent = list(range(len(values)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(values)):
+        for j in range(i):
+            if bin(values[i] ^ values[j]).count("1") <= distance:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("limit", [32_768, 2])
+def test_near_duplicates_are_all_links(spark, docs, odd, limit):
+    texts = docs.select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id IS NOT NULL"))
+    rows = sorted(texts.collect(), key=lambda r: r.doc_id)
+    prints = [plain_fingerprint(r.text) for r in rows]
+    roots = plain_components(prints, 4)
+    got = sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(texts, place_limit=limit).collect())
+    assert got == sorted((r.doc_id, p, rows[k].doc_id) for r, p, k in zip(rows, prints, roots, strict=True))
+
+
+def test_dense_and_random_fingerprints_connect_as_brute_force(spark):
+    rng = np.random.default_rng(5)
+    center = int(rng.integers(1 << 62))
+    values = {center}
+    for _ in range(400):
+        v = center
+        for b in rng.integers(0, 64, rng.integers(1, 7)):
+            v ^= 1 << int(b)
+        values.add(v)
+    values |= {int(x) for x in rng.integers(0, 1 << 62, 300)}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    classes = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = plain_components([v % (1 << 64) for v in values], 4)
+    for limit in (32_768, 20):
+        found = {r.node: r.root for r in components(simhash.links(classes, place_limit=limit)).collect()}
+        roots = [found.get(v, v) for v in values]
+        pairs = {(a, b) for a, b in zip(want, roots, strict=True)}
+        assert len(pairs) == len(set(want)) == len(set(roots))
+
+
+def test_thresholds_obey_the_pigeonhole_and_follow_skew():
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, (5000, 64))
+    bits[:, :20] = bits[:, :1]  # twenty bits that say the same
+    both = (bits.T @ bits).astype(float)
+    for m in (2, 3, 5):
+        groups = simhash.group_bits(5000, both, m)
+        assert sorted(b for g in groups for b in g) == list(range(64))
+        _, thresholds = simhash.allocate(groups, 5000, np.diag(both) / 5000, 4)
+        assert sum(t + 1 for t in thresholds) == 5
+    assert len({next(k for k, g in enumerate(simhash.group_bits(5000, both, 3)) if b in g) for b in range(20)}) == 1
+    with pytest.raises(ValueError):
+        simhash.links(None, distance=3)
+
+
+def test_one_of_each_keeps_columns_and_one_row(spark, odd, empty):
+    out = simhash.one_of_each(odd)
+    assert out.columns == odd.columns
+    assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 4, 5, 6, 7]
+    assert simhash.one_of_each(empty).count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_archives_give_back_every_page(spark, tmp_path):
+    html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "x" * 200_000, "<p>a</p>"]
+    rows = [(k, f"http://h{k % 2}.example.org/{k}?q", h) for k, h in enumerate(html)] + [(2, "http://h0.example.org/2?q", "<p>a</p>"), (None, None, "<p>b</p>"), (None, "no scheme", "only here")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("first", F.lit(2))
+    root = f"file://{tmp_path}/w"
+    directory = warc.write_archives(pages, root, block_lines=2, archive_bytes=500)
+    back = warc.read_archives(directory, root, with_payload=True).collect()
+    assert len(back) == len(rows)
+    for r in back:
+        if r.record_type == "response":
+            assert warc.digest_of(bytes(r.payload)) == r.payload_digest and len(r.payload) == r.payload_bytes
+    got = {(r.id_text, r.record_type, r.refers_to, r.payload_bytes) for r in back}
+    assert ("0", "response", None, 8) in got and ("2", "revisit", "0", 8) in got and ("6", "revisit", "0", 8) in got and ("4", "revisit", "3", 0) in got and (None, "revisit", "1", 8) in got and (None, "response", None, 9) in got
+    for bound in (1_000_000, 2):
+        found = warc.look_up(pages.select("url"), directory, root, max_directory=bound)
+        assert {r.url for r in found.collect()} >= {r[1] for r in rows if r[1]}  # and the page without a URL, by the empty key
+    assert warc.round_trip(spark, pages.where("page_id = 99")).count() == 0
+    assert warc.url_key("https://A.b.Example.org:80/x?y#z") == "org,example,b,a)/x?y" and warc.url_key(None) == ""
+
+
+# 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses_are_those_of_all_windows(spark, docs, odd, empty):
+    names = {k: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for k, t in licenses.TEMPLATES.items() for w in [re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())]}
+    extra = spark.createDataFrame([(9000 + k, "intro words here. " * k * 37 + t + " and more. " * 50) for k, t in enumerate(licenses.TEMPLATES.values())], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(extra)
+    for r in licenses.with_licenses(rows).collect():
+        ws = re.findall(rb"[0-9a-z\x80-\xff]+", (r.text or "").encode().lower())
+        own = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+        assert r.licenses == sorted(k for k, s in names.items() if len(own & set(s)) >= 0.8 * len(set(s))), r.doc_id
+        for n in r.notices:
+            assert 0 <= n["start"] < n["end"] <= len(r.text)
+    assert licenses.with_licenses(empty).count() == 0
+    with pytest.raises(ValueError):
+        licenses.Matcher({"x": "too short"})
+
+
+# 6 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def turns(spark):
+    return chat.as_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).cache()
+
+
+def test_roles_are_recovered_on_other_conversations(spark, turns):
+    model = chat.fit(turns.where("conv_id % 4 <> 2"), conv="conv_id", place="turn", text="block", role="role")
+    out = chat.parse(turns.where("conv_id % 4 = 2"), model, conv="conv_id", place="turn", text="block")
+    met = out.join(turns.select("conv_id", "turn", F.col("role").alias("true")), ["conv_id", "turn"])
+    assert met.agg(F.avg((F.col("true") == F.col("role")).cast("int"))).first()[0] > 0.95
+
+
+def test_parts_of_a_conversation_decode_as_one(spark, turns):
+    model = chat.fit(turns, conv="conv_id", place="turn", text="block", role="role")
+    one = turns.select(F.lit("c").alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), "block")
+    rows = sorted(one.collect(), key=lambda r: r.turn)
+    seen = np.array([chat.features(line, k == 0) for r in rows for k, line in enumerate(chat.lines_of(r.block))])
+    path, at, want = model.decode(seen).tolist(), 0, {}
+    for r in rows:
+        lines = chat.lines_of(r.block)
+        want[r.turn] = chat.render(lines, path[at : at + len(lines)])
+        at += len(lines)
+    for most in (50_000, 3):
+        got = chat.parse(one, model, conv="conv_id", place="turn", text="block", max_lines=most).collect()
+        assert {r.turn: (r.role, r.begins_turn, r.n_turns, r.rendered) for r in got} == want
+
+
+def test_viterbi_is_the_best_of_all_paths(turns):
+    from itertools import product
+
+    model = chat.fit(turns, conv="conv_id", place="turn", text="block", role="role")
+    seen = np.array([chat.features(t, k % 2 == 0) for k, t in enumerate(["User: hi?", "more", "- x", "A: well"])])
+    emit = model.scores(seen)
+    best = max(product(range(chat.N), repeat=4), key=lambda p: model.step[chat.START, p[0]] + emit[0, p[0]] + sum(model.step[a, b] + emit[t, b] for t, (a, b) in enumerate(zip(p, p[1:], strict=False), 1)))
+    assert model.decode(seen).tolist() == list(best)
+
+
+def test_odd_transcripts(spark, turns):
+    model = chat.fit(turns, conv="conv_id", place="turn", text="block", role="role")
+    rows = spark.createDataFrame([(None, 1, "User: a\n\nB"), (1, None, None), (1, 1, ""), (1, 1, ""), (2, 1, "x\n" * 5000)], "conv_id long, turn long, block string").withColumn("task", F.lit(1))
+    got = chat.parse(rows, model, conv="conv_id", place="turn", text="block").collect()
+    assert len(got) == 5 and all(r.role in chat.ROLES for r in got)
+    assert chat.parse(rows.where("turn = 9"), model, conv="conv_id", place="turn", text="block").count() == 0
+
+
+# 7 ------------------------------------------------------------------------------------------------------------------
+
+
+def plain_verdict(url, rules):
+    m = re.match(r"(?s)\A.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (lower(m[1]), m[2]) if m else ("", "")
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
+
+
+def test_verdicts_are_those_of_the_longest_rule(spark):
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/a", "allow"), ("b.example.org", "/e", "block"), ("com", "/", "block"), ("com", "", "allow"), ("EXAMPLE.com", "/x", "allow"), ("", "/", "block"), ("net", None, "block"), ("org", "/", "block")]
+    urls = [f"http{s}://{sub}example.{top}{path}" for s in ("", "s") for sub in ("", "b.", "B.b.", "x") for top in ("org", "com", "net") for path in ("", "/", "/es", "/es/", "/es/a?x", "/e#f", "/x", "/é", "?q")]
+    urls += [None, "", "no scheme/", "://", "http://org", "http://org/", "http://x.org:80/es/", urls[0], urls[0]]
+    pages = spark.createDataFrame([(k if k % 11 else None, u) for k, u in enumerate(urls)], "page_id long, url string").withColumn("stack", F.lit(0)).withColumn("host", F.lit("z"))
+    usable = [(lower(h), p, v) for h, p, v in rules if h and p is not None and (h, p, v) != ("org", "/", "allow")]
+    got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in urlfilter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect())
+    assert got == sorted(str((k if k % 11 else None, *plain_verdict(u, usable))) for k, u in enumerate(urls))
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert {r.verdict for r in urlfilter.judge(pages, none).collect()} == {"allow"}
+    assert urlfilter.judge(pages.where("page_id = -1"), none).count() == 0
+
+
+# 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_surrogates_keep_format_distinctness_and_coreference(spark, odd, empty):
+    text = "Call +1 (743) 555-3824 or 1-743-555-3824x, Mr. John Smith and Mrs Anna Berg; Mr John Smith at jo.e9@mail2.example.com, 227.5.221.1, 10.0.0.7, 4111 1111 1111 1111, token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\", госпожа Иванова."
+    rows = odd.unionByName(odd.limit(1).withColumn("text", F.lit(text)).withColumn("doc_id", F.lit(77).cast("long")))
+    for bound in (200_000, -1):
+        out = pii.pseudonymise(rows, max_broadcast=bound)
+        got = {r.doc_id: r for r in out.collect()}
+        assert [c for c in out.columns if c not in ("n_entities", "found")] == rows.columns and len(out.collect()) == len(ODD) + 1
+        new = got[77].text
+        for secret in ("555-3824", "Smith", "Berg", "jo.e9", "227.5", "4111 1111", "b44e15", "Иванова"):
+            assert secret not in new
+        assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and re.search(r"10\.\d+\.\d+\.\d+", new) and re.search(r'token = "[0-9a-f]{40}"', new)
+        assert pii.luhn(re.search(r"\d{4} \d{4} \d{4} \d{4}", new)[0].replace(" ", ""))
+        men = re.findall(r"Mr\.? (\w+ \w+)", new)
+        assert men[0] == men[1] and men[0].split()[0] in pii.GIVEN[("latin", "m")]
+        assert got[1].text is None and got[4].text == LONG and got[5].n_entities == 0
+    assert pii.pseudonymise(empty).count() == 0
+
+
+def test_no_two_entities_share_a_surrogate(spark):
+    people = [("person", f"m {g} {f}") for g in pii.GIVEN[("latin", "m")] for f in pii.FAMILY["latin"]][:400]
+    found = spark.createDataFrame(people, "kind string, value string")
+    moved = {(r.kind, r.value): r.attempt for r in pii.moved_entities(found).collect()}
+    assert moved  # the lists of names are short
+    names = [pii.surrogate(k, v, moved.get((k, v), 0), pii.KEY) for k, v in people]
+    assert len(set(names)) == len(names) and not set(names) & {v for _, v in people}
+
+
+# 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_of_odd_texts(spark, odd, empty):
+    got = quality.with_quality(odd).collect()
+    assert len(got) == len(ODD) and {r.n_words for r in got if not (r.text or "").strip()} == {0}
+    kept = quality.clean(odd)
+    assert kept.columns == odd.columns and kept.count() == 0  # the long one repeats itself
+    assert quality.with_quality(empty).count() == 0
+
+
+def test_lines_go_first_and_then_documents():
+    good = "\n".join(f"Sentence number {k} talks about thing {k * 7} and stops here." for k in range(12))
+    menu = "Home | About | Contact | Help"
+    got = dict(zip([f.name for f in quality.FIELDS], quality.judge(f"{menu}\n{good}\nAll rights reserved by us.\nSentence number 1 talks about thing 7 and stops here."), strict=True))
+    assert got["kept"] and got["clean_text"] == good and got["n_dup_lines"] == 1 and got["n_lost_words"] == 7 + 5 + 10
+    shout = "\n".join(f"BUY NOW!! DEAL {k} IS {chr(65 + k)}{chr(66 + k)} GREAT!!" for k in range(12))
+    assert not quality.judge(f"{shout}\n{good[:100]}")[7]
+    words = [str(k) for k in range(100)] + ["a", "b", "c", "d"] * 2
+    assert quality.judge(" ".join(words))[4] == 8
+
+
+# 10 -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def test_ids_are_those_of_the_library(spark, docs, odd, empty, ranks):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    for r in bpe.round_trip(rows, ranks, public_tokenizers.PATTERN, with_ids=True).collect():
+        want = library.encode_ordinary(r.text or "")
+        assert r.token_ids == want and r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert bpe.round_trip(empty, ranks, public_tokenizers.PATTERN).count() == 0
+    assert bytes(bpe.with_decoded(bpe.with_tokens(odd.where("doc_id = 6"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN).first().decoded).decode() == ODD[7][1]
+
+
+def test_long_words_and_small_caches(ranks):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN, cache_words=3)
+    for t in ("ab" * 4000, "the quick brown fox the quick brown fox", "é" * 3000, " \x85 x y\n\n z  "):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+
+
+def test_native_fold_gives_the_same_ids(spark, ranks):
+    small = {p: r for p, r in ranks.items() if r < 3000 or len(p) == 1}
+    words = [w.encode() for w in " the quick étude of überlange wörter running through ationsheit".split(" ") if w]
+    rows = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    got = {bytes(r.word): r.ids for r in bpe.encode_words_native(rows, bpe.literal_rank_map(small, buckets=4096)).collect()}
+    assert got == {w: bpe.merge(w, small) for w in words}
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 130)] + [(200, 200), (None, 5), (301, 300), (300, 301)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {found[k] for k in range(61)} == {0} and {found[k] for k in range(100, 130)} == {100} and 200 not in found and found[301] == 300
