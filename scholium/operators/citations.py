@@ -18,7 +18,7 @@ REFERENCES = r"(?s)\n{2,}---\s*\n{2,}### 参考来源\s*(?:\n.*)?$"
 
 def positive(value: Column) -> Column:
     """An integer above 0, or null."""
-    number = value.try_cast("int")
+    number = value.try_cast("long")
     return F.when(number > 0, number)
 
 

@@ -9,6 +9,7 @@ from ..functions.text import canonical_query, sentences, tokens
 from ..functions.vector import cosine, top_k
 from ..operators import compress as C
 from ..operators import retrieval as R
+from ..plans.answer import answer, hashing_embedding
 from ..session import table
 
 QUERIES: dict = {}
@@ -154,7 +155,8 @@ w AS (
 l AS (SELECT query_id, max_by(kept, rank) AS kept FROM w GROUP BY query_id)
 SELECT query_id, unnest(kept) AS vector_id, unnest(range(1, len(kept) + 1)) AS rank FROM l"""
 
-@query("sentence_split")
+@query("sentence_split", r"""WITH m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '([。！？!?])\s*', '\1' || chr(1), 'g'), '(\.)\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1)) AS parts FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM m) SELECT doc_id, len(s) AS n, array_to_string(list_transform(s, lambda x: length(x)), ',') AS lengths FROM s""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("s"))
     return rows.select("doc_id", F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: F.length(x).cast("string")), ",").alias("lengths"))
@@ -183,3 +185,16 @@ def compressed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, sentence filter and budget in one plan, for all questions at once."""
     rows = C.compress(answer_context(spark, sf_dir), overlap, group="question_id", order="rank", key="doc_id", text="text")
     return rows.select("question_id", "doc_id", "rank", "text")
+
+
+@query("hybrid_answers")
+def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question, every document a chunk, answered and cited in one plan with stand-in services."""
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None)
+    chunks = docs.select(
+        F.col("doc_id").alias("chunk_id"), "text", hashing_embedding(F.col("text")).cast("array<float>").alias("embedding"), "doc_id", F.lit(0).alias("library_index"), "source", F.concat("source", F.lit(".pdf")).alias("filename"), none.cast("string").alias("paper_title"),
+        F.lit(1).alias("page"), F.lit(1).alias("page_end"), F.lit("正文").alias("section"), F.lit(1).alias("paragraph_index"),
+    )
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return answer(questions, chunks)
