@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from .common import with_arrow_columns
 
-#: Words whose ids a task remembers; 250 bytes each are 50 MB.
-CACHE_WORDS = 200_000
+#: Words in each of two generations whose ids a task remembers; 200 bytes each are 100 MB for both.
+CACHE_WORDS = 250_000
 #: Above this many bytes a word is merged with a heap.
 LONG_WORD = 64
 
@@ -91,13 +91,19 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
+def _pack(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 class Encoder:
-    """Encodes texts, and remembers at most cache_words words."""
+    """Encodes texts, and remembers words in two generations of at most cache_words words: when the younger is full
+    it takes the place of the older, and words met again come back into the younger."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = CACHE_WORDS):
         self.ranks, self.split, self.limit = ranks, regex.compile(pattern).findall, cache_words
         self.pieces = {i: piece for piece, i in ranks.items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -105,10 +111,13 @@ class Encoder:
         for word in self.split(text):
             ids = known.get(word)
             if ids is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
+                ids = self.older.get(word)
+                if ids is None:
+                    ids = _pack(merge(word.encode(), self.ranks))
                 if len(word) <= LONG_WORD:
+                    if len(known) >= self.limit:
+                        self.older = known
+                        known = self.known = {}
                     known[word] = ids
             out.append(ids)
         return b"".join(out)
