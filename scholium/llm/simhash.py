@@ -137,6 +137,7 @@ def allocate(groups: list[list[int]], n: int, p: np.ndarray, distance: int) -> t
 
 def plan_parts(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the parts that are searched."""
+    n = max(n, 1)  # else every threshold would cost nothing
     p = np.diag(both) / max(n, 1)
     choices = []
     for m in range(min(2, distance + 1), distance + 2):
