@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import escape_markdown, squash
 
+#: The forms of targets, links and the references below an answer.
 TARGET = r"^g(\d+)-d(\d+)-p(\d+)-r(\d+)$"
 LINK = r'\[\[(\d+)\]\]\((?:\?open_citation=[^)\s"]+|https?://[^)\s"]+|#参考来源)(?:\s+"(?:\\.|[^"\\])*")?\)'
 REFERENCES = r"(?s)\n{2,}---\s*\n{2,}### 参考来源\s*(?:\n.*)?$"

@@ -6,31 +6,39 @@ reranking, compression, review of the evidence, generation, review of the answer
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
-from ..functions.text import canonical_query, sentences, tokens
+from ..functions.text import canonical_query, sentences
 from ..functions.vector import cosine, top_k
 from ..operators import citations as C
 from ..operators import compress
 from ..operators import retrieval as R
 
-INSUFFICIENT = "证据不足，暂未找到可以支持回答的文献内容。"
+#: Fixed value: the reply without evidence.
+INSUFFICIENT = "已检索历史文档，暂未找到相关内容，无法回答"
 DIMENSIONS = 64
 
 
-def hashing_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A stand-in for an embedding service: the counts of the tokens' hashes, of unit length."""
-    places = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda c: F.when(norm(counts) == 0, 0.0).otherwise(c / norm(counts)))
+def hashed_vector(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
+    counts = np.bincount([zlib.crc32(t.encode()) % dimensions for t in re.findall("[a-z0-9]+", (text or "").lower())] or [0], minlength=dimensions).astype(float)
+    if not re.search("[a-zA-Z0-9]", text or ""):
+        counts[:] = 0
+    return (counts / max(np.linalg.norm(counts), 1e-12)).tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashing_embedding(texts: pd.Series) -> pd.Series:
+    """A stand-in for an embedding service: the counts of the tokens' hashes, of unit length; zeros without tokens."""
+    return texts.map(hashed_vector)
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], *, text: str, out: str = "embedding", batch: int = DEFAULTS.embedding_batch) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import academic as A
+from ..operators import review as V
 from ..session import table
 
 QUERIES: dict = {}
@@ -94,21 +95,23 @@ def usable_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.usable_evidence(rows, query="source", rank="rank", top_k=8).select("source", "doc_id")
 
 
-@query("external_context", "SELECT conv_id, string_agg(substr(text, 1, 80), chr(10) ORDER BY turn) AS context FROM conversations WHERE role <> 'user' GROUP BY conv_id")
+@query("external_context", "SELECT conv_id, string_agg('[外部来源: ' || role || ']' || chr(10) || substr(text, 1, 80), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE role <> 'user' GROUP BY conv_id")
 def external_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of trusted sources, each cut, in order."""
-    rows = table(spark, sf_dir, "conversations").where("role <> 'user'")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 80).alias("t")))), lambda x: x["t"])
-    return rows.groupBy("conv_id").agg(F.array_join(listed, "\n").alias("context"))
+    """Texts of those who are not the user, as trusted context."""
+    rows = table(spark, sf_dir, "conversations").withColumn("allowed", F.col("role") != "user")
+    return V.outside_context(rows, question="conv_id", position="turn", source="role", content="text", allowed="allowed", most_chars=80)
 
 
-@query("review_keep", "SELECT conv_id, turn FROM conversations WHERE turn < 3 AND turn % 2 = 0 AND conv_id % 4 <> 0")
+@query("review_keep", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n IN (1, 3) AND conv_id % 4 IN (1, 2)")
 def review_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence that a reviewer's reply keeps: places in range, of replies whose verdicts agree."""
+    """Turns as evidence; of the reviewers' replies a quarter contradicts itself and another finds nothing."""
     turns = table(spark, sf_dir, "conversations")
-    i = F.col("conv_id")
-    verdict = F.when(i % 4 == 0, '{"answerable": true, "coverage": "insufficient", "keep": [0, 2]}').otherwise('```json\n{"answerable": true, "coverage": "direct", "keep": [0, 2, 99, -1]}\n```')
-    parsed = turns.select("conv_id").distinct().select("conv_id", F.from_json(F.regexp_extract(verdict, r"(?s)\{.*\}", 0), "answerable boolean, coverage string, keep array<int>").alias("r"))
-    sound = parsed.where((F.col("r.answerable") & F.col("r.coverage").isin("direct", "scoped")) | (~F.col("r.answerable") & (F.col("r.coverage") == "insufficient")))
-    keep = sound.select("conv_id", F.explode("r.keep").alias("turn")).where("turn >= 0")
-    return turns.join(keep, ["conv_id", "turn"], "left_semi").select("conv_id", "turn")
+    i = F.col("conv_id") % 4
+    reply = F.when(i == 0, '{"answerable": true, "coverage": "insufficient", "keep": [1]}').when(i == 3, '{"answerable": false, "coverage": "insufficient"}').otherwise('```json\n{"answerable": true, "coverage": "direct", "keep": [1, 3, 99, 0, -1, true, "x"]}\n```')
+    replies = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("reply", reply)
+    return V.keep_evidence(turns, V.valid_reviews(replies, question="conv_id", reply="reply", n_documents="n"), question="conv_id", position="turn").select("conv_id", "turn")
+
+
+@query("shown_documents", "SELECT source, string_agg('[' || n || '] ' || lang || chr(10) || substr(text, 1, 100), chr(10) || chr(10) ORDER BY n) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 12 GROUP BY source")
+def shown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.shown_documents(table(spark, sf_dir, "documents"), question="source", position="doc_id", label="lang", text="text", most_chars=100)

@@ -80,7 +80,7 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.report(items)
 
 
-@query("refusal_rate", """SELECT role, count(*) AS n, count(*) FILTER (a = '' OR regexp_matches(a, '无法回答|未找到相关|暂未找到|证据不足')) AS refused FROM
+@query("refusal_rate", """SELECT role, count(*) AS n, count(*) FILTER (a = '' OR regexp_matches(a, '无法回答|未找到相关|暂未找到')) AS refused FROM
  (SELECT role, CASE WHEN conv_id % 9 = 0 THEN '' WHEN conv_id % 7 = 0 THEN '抱歉，未找到相关文献。' ELSE text END AS a FROM conversations) GROUP BY role""")
 def refusal_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(F.col("conv_id") % 9 == 0, "").when(F.col("conv_id") % 7 == 0, "抱歉，未找到相关文献。").otherwise(F.col("text"))

@@ -340,3 +340,19 @@ def test_embedding_batches(spark):
     assert [r.embedding[0] for r in got] == [0, 1, 2, 3, 4] and not sizes
     with pytest.raises(Exception, match="another number"):
         P.embed(rows, lambda ts: [[0.0]] * (len(ts) + 1), text="text").collect()
+
+
+def test_judges(spark):
+    from scholium.operators.review import judged
+
+    replies = {"faithfulness": 'ok {"faithfulness": 1.7}', "answer_relevance": '{"answer_relevance": "x"}', "context_precision": "none", "context_recall": '{"context_recall": 0.25}'}
+    rows = spark.createDataFrame([("q", "a")], "question string, answer string")
+    got = judged(rows, lambda metric, row: replies[metric], inputs=["question", "answer"]).first()
+    assert (got.faithfulness, got.answer_relevance, got.context_precision, got.context_recall) == (1.0, None, None, 0.25)
+
+
+def test_summary_text(spark):
+    rows = spark.createDataFrame([(1, k, f"Chunk {k}. More.") for k in range(9)], "doc long, chunk_index int, text string")
+    got = P.summary(rows, doc="doc", most_chars=40).first().text
+    assert got == "\n\n".join(f"Chunk {k}. More." for k in range(5))[:40]
+    assert value(spark, P.quoted(F.col("x"), 2), x="One. Two. Three.") == "One. Two."
