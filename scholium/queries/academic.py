@@ -48,28 +48,28 @@ def inverted_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("item_id", A.rebuild_abstract(F.col("index")).alias("abstract"))
 
 
-def raw(spark: SparkSession, sf_dir: str, provider: str, step: int) -> DataFrame:
+def raw(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
+    """Every document as a record; every seventh lacks its abstract."""
     i = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").where(i % step == 0)
-    return docs.select(
-        F.lit(provider).alias("provider"), i.cast("string").alias("external_id"), F.concat(F.lit("<b>Paper</b> "), i.cast("string")).alias("title"), F.when(i % 7 != 0, F.substring("text", 1, 300)).alias("abstract"), F.split(F.concat("lang", F.lit("~A&amp;B~")), "~").alias("authors"),
+    return table(spark, sf_dir, "documents").select(
+        F.lit(provider).alias("provider"), i.cast("string").alias("external_id"), F.concat(F.lit("<b>Paper</b> "), i.cast("string")).alias("title"), F.when(i % 7 != 0, F.col("text")).alias("abstract"), F.split(F.concat("lang", F.lit("~A&amp;B~")), "~").alias("authors"),
         F.when(i % 3 == 0, F.lit(2020)).alias("publication_year"), F.col("source").alias("venue"), F.when(i % 2 == 0, F.concat(F.lit("doi:10.1/"), i.cast("string"))).alias("doi"), F.concat(F.lit("https://x.example.org/"), i.cast("string")).alias("url"), i.cast("int").alias("citation_count"),
     )
 
 
-PAPERS = r"""p AS (SELECT doc_id, '论文题名：Paper ' || doc_id || chr(10) || '作者：' || lang || ', A&B' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '年份：2020' || chr(10) ELSE '' END || '期刊/会议：' || source || chr(10) || '摘要：' ||
- trim(regexp_replace(replace(replace(replace(replace(replace(substr(text, 1, 300), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g').regexp_replace('\s+', ' ', 'g')) AS page_content,
- CASE WHEN doc_id % 2 = 0 THEN '10.1/' || doc_id ELSE doc_id::VARCHAR END AS own FROM documents WHERE doc_id % 7 <> 0)"""
+PAPERS = r"""a AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g').regexp_replace('\s+', ' ', 'g')) AS abstract FROM documents WHERE doc_id % 7 <> 0),
+p AS (SELECT doc_id, '论文题名：Paper ' || doc_id || chr(10) || '作者：' || lang || ', A&B' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '年份：2020' || chr(10) ELSE '' END || '期刊/会议：' || source || chr(10) || '摘要：' || CASE WHEN length(abstract) > 5000 THEN rtrim(substr(abstract, 1, 5000)) || '…' ELSE abstract END AS page_content,
+ CASE WHEN doc_id % 2 = 0 THEN '10.1/' || doc_id ELSE doc_id::VARCHAR END AS own FROM a WHERE abstract <> '')"""
 
 
 @query("paper_projection", f"WITH {PAPERS} SELECT doc_id::VARCHAR AS external_id, 'academic:crossref:' || own AS evidence_id, page_content FROM p")
 def paper_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.papers(raw(spark, sf_dir, "crossref", 1)).select("external_id", "evidence_id", "page_content")
+    return A.papers(raw(spark, sf_dir, "crossref")).select("external_id", "evidence_id", "page_content")
 
 
-@query("provider_dedup", f"WITH {PAPERS} SELECT DISTINCT ON (k) doc_id::VARCHAR AS external_id, provider FROM (SELECT doc_id, 'semantic_scholar' AS provider, 0 AS o, CASE WHEN doc_id % 2 = 0 THEN own ELSE 'academic:semantic_scholar:' || own END AS k FROM p WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'crossref', 1, CASE WHEN doc_id % 2 = 0 THEN own ELSE 'academic:crossref:' || own END FROM p WHERE doc_id % 3 = 0) ORDER BY k, o, doc_id")
+@query("provider_dedup", f"WITH {PAPERS} SELECT DISTINCT ON (k) doc_id::VARCHAR AS external_id, provider FROM (SELECT doc_id, provider, o, CASE WHEN doc_id % 2 = 0 THEN own ELSE 'academic:' || provider || ':' || own END AS k FROM p, (VALUES ('semantic_scholar', 0), ('crossref', 1)) AS v(provider, o)) ORDER BY k, o, doc_id")
 def provider_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = [A.papers(raw(spark, sf_dir, p, s)).withColumn("pos", F.col("external_id").cast("long")) for p, s in (("semantic_scholar", 2), ("crossref", 3))]
+    lists = [A.papers(raw(spark, sf_dir, p)).withColumn("pos", F.col("external_id").cast("long")) for p in ("semantic_scholar", "crossref")]
     return A.union_distinct(lists).select("external_id", "provider")
 
 

@@ -208,9 +208,9 @@ def caption_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", caption_number(line).alias("number"), is_continued(line).alias("continued"))
 
 
-@query("content_hash", r"SELECT item_id, sha256(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g'))) AS h FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query("content_hash", r"SELECT doc_id, sha256(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))) AS h FROM documents")
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("item_id", content_hash(F.col("text")).alias("h"))
+    return table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("h"))
 
 
 @query("squashed_text", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM pages")

@@ -100,7 +100,7 @@ def mem_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mem_update_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's user turns as candidates, folded in order over its first turn."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    shaped = turns.select(F.col("conv_id").alias("user_id"), F.col("turn"), F.concat(F.lit("用户"), F.substring("text", 1, 60)).alias("content"), F.lit("semantic").alias("memory_type"), F.concat(F.lit("k"), (F.col("turn") % 4).cast("string")).alias("memory_key"), F.lit(0.6).alias("importance"), F.lit(0.7).alias("confidence"))
+    shaped = turns.select(F.col("conv_id").alias("user_id"), F.col("turn"), F.concat(F.lit("用户"), "text").alias("content"), F.lit("semantic").alias("memory_type"), F.concat(F.lit("k"), (F.col("turn") % 4).cast("string")).alias("memory_key"), F.lit(0.6).alias("importance"), F.lit(0.7).alias("confidence"))
     state = shaped.where("turn = 0").select("user_id", F.lit(1).cast("long").alias("id"), "content", "memory_type", "memory_key", "importance", "confidence", F.lit(True).alias("is_active"), F.lit(None).cast("long").alias("superseded_by"))
     return M.update_in_order(state, shaped.where("turn > 0").withColumnRenamed("turn", "ord"), user="user_id").drop("content")
 
