@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import fresh_dir, table
 from ..streaming import events as S
 
 QUERIES: dict = {}
@@ -34,33 +34,33 @@ def plain(rows: DataFrame) -> DataFrame:
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.windowed(source(spark, sf_dir), time="ts", key="event_type", value="value", size="1 hour")
-    return plain(S.drain_complete(rows, S.scratch(spark, "stream")))
+    return plain(S.drain_complete(rows, fresh_dir(spark, "stream")))
 
 
 @query("stream_sliding", "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(4) AS r(k) GROUP BY ALL")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.windowed(source(spark, sf_dir), time="ts", key="event_type", value="value", size="1 hour", slide="15 minutes")
-    return plain(S.drain_complete(rows, S.scratch(spark, "stream")))
+    return plain(S.drain_complete(rows, fresh_dir(spark, "stream")))
 
 
 @query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.sessions(source(spark, sf_dir), time="ts", key="user_id", gap="30 minutes")
-    return plain(S.drain_complete(rows, S.scratch(spark, "stream")))
+    return plain(S.drain_complete(rows, fresh_dir(spark, "stream")))
 
 
 @query("stream_last_seen", "SELECT user_id::VARCHAR AS key, count(*) AS n, max(ts) AS last FROM events GROUP BY 1")
 def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key's state at the end of what is there; keys idle for a day would expire as event time goes on."""
     rows = S.last_seen(source(spark, sf_dir), time="ts", key="user_id", idle_minutes=24 * 60)
-    states = S.drain(rows, S.scratch(spark, "stream"))
+    states = S.drain(rows, fresh_dir(spark, "stream"))
     return plain(states.groupBy("key").agg(F.max("n").alias("n"), F.max("last").alias("last")))
 
 
 @query("stream_upsert", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = S.scratch(spark, "upsert")
+    where = fresh_dir(spark, "upsert")
     rows = source(spark, sf_dir).select("user_id", "event_id", F.struct("ts", "event_id").alias("version"))
     S.incremental_upsert(rows, f"{where}/table", key=["user_id"], checkpoint=f"{where}/checkpoint", newest="version")
     return S.current_version(spark, f"{where}/table").select("user_id", "event_id")

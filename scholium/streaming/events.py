@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -120,12 +119,3 @@ def breaker_states(calls: DataFrame, *, service: str, order: str, at: str, ok: s
         return pd.DataFrame(out, columns=[service, order, "state", "allowed"])
 
     return ready(calls.sparkSession) and calls.groupBy(service).applyInPandas(fold, f"{service} {kind}, {order} {order_kind}, state string, allowed boolean")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder below the session's checkpoint folder (a local default where none is set)."""
-    import os
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "scholium-checkpoints")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
