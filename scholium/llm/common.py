@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import string
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import ready
+from ..session import ready, shared_dir
 
 
 def lower_ascii(column: Column) -> Column:
@@ -20,29 +19,6 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    A local default is set only where that setting is absent, as in tests on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import os
-        import tempfile
-
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "scholium-checkpoints")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 #: Rows of a few numbers each that make a file worth its own.
 ROWS_PER_FILE = 500_000
 

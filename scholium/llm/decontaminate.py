@@ -113,13 +113,14 @@ def report(found: DataFrame) -> DataFrame:
     return each.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 100_000, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, doc_id: str = "doc_id", text: str = "text", broadcast_words: int = 2_000_000, **options) -> DataFrame:
     """docs without the hit words, and without the documents of which more than max_share of the words is hit.
 
     A removed word takes the separator after it along. All columns of docs stay; other texts are unchanged."""
     found = contamination(docs, benchmark, doc_id=doc_id, text=text, hits_only=True, **options)
     hits = cut(found.select(F.col("id").alias("hit_id"), F.col("tag").alias("hit_tag"), covered(F.col("starts")).alias("hit_words"), "n_words"))
-    small = hits.count() <= broadcast_rows
+    small = hits.agg(F.sum(F.size("hit_words") + 20)).first()[0]  # 4 bytes each, and 80 for a row
+    small = (small or 0) <= broadcast_words
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     same = F.col("id").eqNullSafe(F.col("hit_id")) & (_tag(F.col("text")) == F.col("hit_tag"))
     met = rows.join(F.broadcast(hits) if small else hits, same, "left")

@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import ready
-from .common import PIECE_BYTES, cut, fresh_dir, pieces, with_arrow_columns
+from ..session import fresh_dir, ready
+from .common import PIECE_BYTES, cut, pieces, with_arrow_columns
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 1000
 #: An archive is closed after this many bytes.
 ARCHIVE_BYTES = 256 << 20
-#: Directory rows that a look-up broadcasts at most; 200 bytes each are 200 MB.
-MAX_DIRECTORY = 1_000_000
+#: Directory rows that a look-up broadcasts at most; 500 bytes each are 100 MB.
+MAX_DIRECTORY = 200_000
 
 DIRECTORY = "first_key string, last_key string, n int, index_file string, index_at long, index_bytes long"
 
