@@ -171,3 +171,30 @@ def summary(chunks: DataFrame, *, doc: str, most_chunks: int = 5, most_chars: in
 def quoted(text: Column, n: int = 3) -> Column:
     """A stand-in for a summary: the first sentences."""
     return F.array_join(F.slice(sentences(text), 1, n), " ")
+
+
+def rewritten(questions: DataFrame, rewrite: Callable[[str], str] | None, *, most: int = 240, fallback: int = 500) -> DataFrame:
+    """questions with search_query: the rewriter's words up to `most` characters, else the question up to `fallback`."""
+    plain = F.substring(canonical_query(F.col("question")), 1, fallback)
+    if rewrite is None:
+        return questions.withColumn("search_query", plain)
+
+    @F.pandas_udf(T.StringType())
+    def ask(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            try:
+                return " ".join(rewrite(text).split())[:most] or None
+            except Exception:  # noqa: BLE001 - the question itself is searched instead
+                return None
+
+        return texts.map(one)
+
+    return questions.withColumn("search_query", F.coalesce(ask("question"), plain))
+
+
+def translation_context(texts: DataFrame, chunks: DataFrame, *, key: str, text: str, most_chars: int = 600, hits: int = 4, settings: Settings = DEFAULTS) -> DataFrame:
+    """key, context: for each text the best chunks for its first characters, as terms for its translator."""
+    asked = texts.select(F.col(key).alias("question_id"), F.lit(0).alias("qpos"), F.substring(text, 1, most_chars).alias("query"))
+    best = recall(asked, chunks, settings).where(F.col("rank") <= hits).join(chunks.select("chunk_id", "text"), "chunk_id")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda c: c["text"])
+    return best.groupBy(F.col("question_id").alias(key)).agg(F.array_join(listed, "\n\n").alias("context"))

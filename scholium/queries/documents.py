@@ -225,3 +225,24 @@ def locate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").where(F.length("text") > 300)
     found = [F.when(F.expr(f"locate(substring(text, 101, {w}), text)") > 0, F.struct(F.lit(w).alias("width"), F.expr(f"locate(substring(text, 101, {w}), text)").alias("at"))) for w in (180, 110, 70)]
     return rows.select("doc_id", F.coalesce(*found).alias("f")).select("doc_id", "f.width", "f.at")
+
+
+@query("parsed_blocks", f"""WITH {LINES}, k AS (SELECT doc_id, pos, line, pos // 5 + 1 AS page, CASE WHEN contains(lower(raw), 'table') THEN CASE WHEN contains(lower(raw), 'caption') THEN 'table_caption' ELSE 'table' END WHEN contains(lower(raw), 'image') THEN 'figure'
+ WHEN contains(lower(raw), 'equation') THEN 'equation' WHEN contains(lower(raw), 'title') THEN 'heading' WHEN contains(lower(raw), 'list') THEN 'list_item' ELSE 'paragraph' END AS kind FROM l),
+u AS (SELECT doc_id, page, 0 AS last, printf('%09d', pos) AS key, kind FROM k WHERE kind <> 'table' AND (trim(line) <> '' OR kind = 'figure') UNION ALL SELECT doc_id, page, 1, 't' || page, 'table' FROM (SELECT DISTINCT doc_id, page FROM k WHERE kind = 'table'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, last, key) AS ord, kind, page FROM u""")
+def parsed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as items; the tables of a page become one."""
+    items = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("ord"), F.col("raw").alias("type"), F.col("line").alias("text"), (F.floor(F.col("pos") / 5) + 1).alias("page"))
+    merged = items.where(L.parsed_kind(F.col("type")) == "table").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    tables = merged.select("doc_id", F.concat(F.lit("t"), F.col("page").cast("string")).alias("table_id"), F.col("page").alias("page_start"), F.lit("x").alias("text"))
+    return L.parsed_blocks(items, tables, doc="doc_id").drop("text")
+
+
+@query("table_detect", """SELECT p_partkey, p_partkey % 4 <> 3 AS is_table, CASE p_partkey % 4 WHEN 2 THEN p_name ELSE p_type END AS text FROM part""")
+def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    none = F.lit(None).cast("string")
+    kind, caption, body = F.when(k == 0, "Simple_Table").otherwise("text"), F.when(k == 1, F.col("p_name")), F.when(k == 2, F.col("p_name")).otherwise("  ")
+    found = L.is_table(kind, caption, F.col("p_type"), [body, none])
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("is_table"), L.first_text(body, none, F.col("p_type")).alias("text"))

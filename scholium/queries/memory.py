@@ -158,3 +158,8 @@ def repeat_turn_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions are the same here if their lengths agree modulo 3; the question asked has remainder 1."""
     rows = table(spark, sf_dir, "conversations").withColumn("key", F.length("text") % 3)
     return M.drop_repeats(rows, F.lit(1), session="conv_id", order="turn", role="role", message_key=F.col("key")).select("conv_id", "turn", "role")
+
+
+@query("mem_tallies", f"SELECT action, count(*) AS n, count(superseded_id) AS superseded FROM ({QUERY_SQL['mem_decisions']}) GROUP BY action")
+def mem_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mem_decisions(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count("superseded_id").alias("superseded"))

@@ -356,3 +356,18 @@ def test_summary_text(spark):
     got = P.summary(rows, doc="doc", most_chars=40).first().text
     assert got == "\n\n".join(f"Chunk {k}. More." for k in range(5))[:40]
     assert value(spark, P.quoted(F.col("x"), 2), x="One. Two. Three.") == "One. Two."
+
+
+def test_rewriting_and_translation_context(spark):
+    asked = spark.createDataFrame([(1, "Torque of motors??"), (2, "bread")], "question_id long, question string")
+
+    def rewrite(text):
+        if text == "bread":
+            raise RuntimeError
+        return "  motor   torque "
+
+    assert [r.search_query for r in P.rewritten(asked, rewrite).orderBy("question_id").collect()] == ["motor torque", "bread"]
+    texts = ["motor torque is high", "bread and flour", "salt water"]
+    chunks = spark.createDataFrame([(k, t, P.hashed_vector(t)) for k, t in enumerate(texts)], "chunk_id long, text string, embedding array<float>")
+    got = {r.question_id: r.context for r in P.translation_context(asked, chunks, key="question_id", text="question", hits=1).collect()}
+    assert got == {1: texts[0], 2: texts[1]}
