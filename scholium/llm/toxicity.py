@@ -1,7 +1,7 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words go into windows that overlap; all windows are scored and the text's score comes from its highest
-window. A word's input has a word part (an embedding of the sample's frequent words, and their log-odds of standing in
+A text's words go into windows that overlap, those of more than WORD_BYTES bytes in overlapping parts, so that a text
+without spaces is read whole; all windows are scored and the text's score comes from its highest window. A word's input has a word part (an embedding of the sample's frequent words, and their log-odds of standing in
 toxic documents) and a character part (the mean of embeddings of its character 3- to 6-grams, with the mean and the
 highest of their log-odds). Two gated recurrent units read a window in both directions; attention over their states
 gives its logit.
@@ -39,8 +39,9 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 FIXED = 3
 DIM = FIXED + WORD_DIM + CHAR_DIM
 BUCKETS = 1 << 16
-#: Bytes of a word, its two marks included, of which all grams count; and how many those are at most.
-WORD_BYTES = 22
+#: Bytes of an input, a word's two marks included; longer words are cut into parts, which share OVERLAP bytes so that
+#: every gram is in one of them. GRAMS is how many grams an input has at most.
+WORD_BYTES, OVERLAP = 22, 5
 GRAMS = sum(WORD_BYTES - k + 1 for k in (3, 4, 5, 6))
 VOCABULARY = 20_000
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
@@ -52,8 +53,32 @@ CHUNK = 2048
 _words = re.compile(r"\w+").findall
 
 
+def _coded(word: str) -> bytes:
+    """The bytes of an input: ^word$, or a part of that."""
+    return word[1:].encode("latin-1") if word[:1] == "\0" else f"^{word}$".encode("utf-8", "surrogatepass")
+
+
+def parts_of(word: str) -> list[str]:
+    """The word, or the parts of a long one: their bytes as characters after a zero, which no word has."""
+    coded = _coded(word)
+    if len(coded) <= WORD_BYTES:
+        return [word]
+    return ["\0" + coded[k : k + WORD_BYTES].decode("latin-1") for k in range(0, len(coded) - OVERLAP, WORD_BYTES - OVERLAP)]
+
+
 def words_of(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
+    """The words of a text, long ones in parts."""
+    words = _words(text.lower()) if text else []
+    most, sure = WORD_BYTES - 2, (WORD_BYTES - 2) // 4
+    if not words or max(map(len, words)) <= (most if text.isascii() else sure):
+        return words
+    out = []
+    for w in words:
+        if len(w) <= sure or (len(w) <= most and w.isascii()):
+            out.append(w)
+        else:
+            out += parts_of(w)
+    return out
 
 
 _POWERS = np.array([1, 0x01000193, 0x5BD1E995, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
@@ -68,23 +93,16 @@ def _buckets(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def grams_of(words: list[str]) -> np.ndarray:
-    """(words, GRAMS): buckets of the character 3- to 6-grams of ^word$, 0 for none.
-
-    Words of more than WORD_BYTES bytes give GRAMS of theirs, evenly spread."""
-    coded = [f"^{w}$".encode("utf-8", "surrogatepass") for w in words]
+    """(words, GRAMS): buckets of the character 3- to 6-grams of ^word$ or of a part of it, 0 for none."""
+    coded = [_coded(w) for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     out = np.zeros((len(words), GRAMS), np.int64)
-    short = np.flatnonzero(sizes <= WORD_BYTES)
-    data = np.frombuffer(b"".join([coded[k].ljust(WORD_BYTES, b"\0") for k in short.tolist()]), np.uint8).reshape(len(short), WORD_BYTES).astype(np.uint64)
+    data = np.frombuffer(b"".join([c.ljust(WORD_BYTES, b"\0") for c in coded]), np.uint8).reshape(len(words), WORD_BYTES).astype(np.uint64)
     at = 0
     for k in (3, 4, 5, 6):
         n = WORD_BYTES - k + 1
-        out[short, at : at + n] = _buckets(data, k) * (np.arange(n) + k <= sizes[short, None])
+        out[:, at : at + n] = _buckets(data, k) * (np.arange(n) + k <= sizes[:, None])
         at += n
-    for k in np.flatnonzero(sizes > WORD_BYTES).tolist():
-        letters = np.frombuffer(coded[k], np.uint8).astype(np.uint64)
-        every = np.concatenate([_buckets(letters, n) for n in (3, 4, 5, 6)])
-        out[k] = every[np.linspace(0, len(every) - 1, GRAMS).astype(np.int64)]
     return out
 
 

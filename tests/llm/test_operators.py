@@ -135,6 +135,17 @@ def test_scores_learn_words_and_take_odd_texts(spark, odd, empty):
     assert alone.curve[0] == 0
 
 
+def test_every_gram_of_a_long_run_is_read():
+    for run in ("".join(chr(0x4E00 + 7 * k % 5000) for k in range(3000)), "".join(f"{k:x}_" for k in range(400)), "é" * 41, "b" * 21):
+        parts = toxicity.words_of(run)
+        assert max(len(toxicity._coded(p)) for p in parts) <= toxicity.WORD_BYTES
+        whole = np.frombuffer(f"^{run}$".encode(), np.uint8).astype(np.uint64)
+        want = {int(b) for k in (3, 4, 5, 6) for b in toxicity._buckets(whole, k)}
+        assert want == set(toxicity.grams_of(parts).ravel().tolist()) - {0}
+    words = ["plain", "b" * 20, "wörter"]
+    assert toxicity.words_of(" ".join(words)) == words
+
+
 def test_held_out_toxic_documents_are_found():
     import duckdb
 
