@@ -1,0 +1,151 @@
+"""Near copies by exact Jaccard similarity of five-word shingles, found through MinHash bands.
+
+Words are runs without white space, with A-Z in lower case. Texts of the same words form one class. Each class has
+BANDS bands of ROWS minima; two classes of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS,
+which at 0.8 is 0.99995. Classes that share a band go into one candidate group, transitively. A group's shingles are
+gathered in one task, and there every class is compared exactly with all others that it is not yet linked to, through
+an inverted index: links of the similarity or more make the components.
+
+What a task holds grows with its candidate group: about 40 bytes for each shingle of its classes.
+
+Defined cases: null, empty and wordless texts form one class. A text of fewer words than a shingle is one shingle.
+Repeated rows are ordinary copies. All columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut, with_arrow_columns
+from .components import components
+from .simhash import SEED, keep_firsts, named
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 25, 5
+#: Classes with candidates whose list is broadcast; 100 bytes each are 20 MB.
+MAX_BROADCAST = 200_000
+
+_TIMES = np.random.default_rng(20240301).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLOCK = 1024
+
+
+def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    size = min(size, len(words))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A number for each band, which tells the bands apart too; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), _BLOCK):
+        least = np.minimum(least, (hashes[None, k : k + _BLOCK] * _TIMES).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(rows[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+def _marker(size: int) -> Callable[[pa.Array], dict]:
+    def run(texts: pa.Array) -> dict:
+        raw = texts.cast(pa.binary()).to_pylist()
+        same = [xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), SEED) - (1 << 63) for t in raw]
+        return {"class": same, "bands": [bands(shingles(t, size)) for t in raw]}
+
+    return run
+
+
+def _reader(size: int) -> Callable[[pa.Array], dict]:
+    return lambda texts: {"shingles": [shingles(t, size).tobytes() for t in texts.cast(pa.binary()).to_pylist()]}
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the place of the first set of its component."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    home, live, indexed = np.full(n, -1, np.int64), n, 0
+    values, owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for first in range(n):
+        if home[first] >= 0:
+            continue
+        home[first], live, queue = first, live - 1, [first]
+        while queue and live:
+            at = queue.pop()
+            if not indexed or 2 * live <= indexed:  # the index forgets what is linked
+                free = np.flatnonzero(home < 0)
+                values, owners = np.concatenate([sets[k] for k in free]), np.repeat(free, sizes[free])
+                order = np.argsort(values, kind="stable")
+                values, owners, indexed = values[order], owners[order], live
+            left, right = np.searchsorted(values, sets[at], "left"), np.searchsorted(values, sets[at], "right")
+            counts = right - left
+            places = np.repeat(left - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            met, common = np.unique(owners[places], return_counts=True)
+            near = met[(common >= similarity * (sizes[met] + sizes[at] - common) - 1e-9) & (home[met] < 0)]
+            home[near] = first
+            live -= len(near)
+            queue.extend(near.tolist())
+    return home
+
+
+def _verifier(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (root, class, shingles) come sorted by root and class. Gives class, home."""
+        root, names, sets = None, [], []
+
+        def close() -> pa.RecordBatch:
+            homes = linked(sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([names[k] for k in homes.tolist()], pa.int64())], names=["class", "home"])
+
+        for batch in batches:
+            for r, name, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r != root and names:
+                    yield close()
+                    names, sets = [], []
+                root = r
+                if not names or names[-1] != name:
+                    names.append(name)
+                    sets.append(np.frombuffer(data, np.uint64))
+        if names:
+            yield close()
+
+    return run
+
+
+def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, tag, home for each row of docs; rows of one component have one home."""
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    fields = T.StructType([T.StructField("class", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    found = with_arrow_columns(plain, ["text"], fields, _marker, shingle, keep=["doc_id", "tag"])
+    spread = found.rdd.getNumPartitions()  # a task reads many texts and writes a few numbers for each
+    prints = cut(found.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, spread // 8)))
+    meeting = prints.select("class", "bands").dropDuplicates(["class"]).select("class", F.explode("bands").alias("band"))
+    leader = F.first("class").over(Window.partitionBy("band").orderBy("class"))
+    pairs = cut(meeting.select(F.col("class").alias("a"), leader.alias("b")).where("a <> b").distinct())
+    roots = cut(components(pairs).withColumnRenamed("node", "class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
+    members = prints.join(roots, "class").groupBy("class", "root").agg(first).select("class", "root", named(F.col("first.doc_id")).alias("id"), F.col("first.tag").alias("tag"))
+    members = cut(members)
+    few = F.broadcast(members) if members.count() <= max_broadcast else members
+    texts = plain.select(named(F.col("doc_id")).alias("id"), "tag", "text").join(few, ["id", "tag"]).select("root", "class", "text")
+    sets = with_arrow_columns(texts, ["text"], T.StructType([T.StructField("shingles", T.BinaryType())]), _reader, shingle, keep=["root", "class"])
+    homes = sets.repartition("root").sortWithinPartitions("root", "class").mapInArrow(_verifier(similarity), "class long, home long")
+    return prints.select("doc_id", "tag", "class").join(homes, "class", "left").select("doc_id", "tag", F.coalesce("home", "class").alias("home"))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs but one of each component: that of the smallest doc_id, then of the least text hash."""
+    return keep_firsts(docs, near_copies(docs, doc_id=doc_id, text=text, **options), doc_id=doc_id, text=text)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -295,10 +295,19 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs but one of each component: that of the smallest doc_id, then of the least text hash."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    kept = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string"))).alias("home")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best"))
+    home = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string")))
+    return keep_firsts(docs, found.select("doc_id", "tag", home.alias("home")), doc_id=doc_id, text=text)
+
+
+def named(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("\0"))
+
+
+def keep_firsts(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first row of docs of each home. found: doc_id, tag, home of each row."""
+    kept = found.groupBy("home").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best"))
     keys = kept.select(F.col("best.doc_id").alias("kept_id"), F.col("best.tag").alias("kept_tag"))
     # one shuffle of the texts: the join's partitions and order also serve the choice among repeated rows
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
     keys = keys.select(named(F.col("kept_id")).alias("kept_id"), "kept_tag").distinct()
     rows = docs.select(named(F.col(doc_id)).alias("id"), F.xxhash64(text).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     met = rows.join(keys, (F.col("id") == F.col("kept_id")) & (F.col("tag") == F.col("kept_tag")), "left_semi")

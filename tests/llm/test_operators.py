@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, chat, decontaminate, licenses, pii, quality, simhash, toxicity, urlfilter, warc
+from scholium.llm import bpe, chat, decontaminate, licenses, nearcopies, pii, quality, simhash, toxicity, urlfilter, warc
 from scholium.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -240,6 +240,43 @@ def test_one_of_each_keeps_columns_and_one_row(spark, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_edited_copies_go_at_similarity_and_others_stay(spark, odd, empty):
+    """Copies of one text with a few words changed: gone at a Jaccard similarity of 0.8 or more, kept below."""
+    import corpus_pipeline
+
+    rng, rows, want = np.random.default_rng(5), [], set()
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, 300)]
+        new = list(words)
+        for at in range(10, 10 + 20 * (1 + k % 12), 20):  # each changes five shingles of 296
+            new[at] += "x"
+        one, two = ({tuple(ws[i : i + 5]) for i in range(296)} for ws in (words, new))
+        near = len(one & two) / len(one | two) >= 0.8
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(new))]
+        want |= {2 * k} if near else {2 * k, 2 * k + 1}
+    assert 60 < len(want) < 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()} == want
+    for bound in (200_000, -1):
+        out = nearcopies.one_of_each(odd, max_broadcast=bound)
+        assert out.columns == odd.columns and out.count() == 6
+    assert nearcopies.one_of_each(empty).count() == 0
+
+
+def test_linked_is_brute_force():
+    rng = np.random.default_rng(6)
+    seeds = [rng.integers(0, 1 << 60, 60, dtype=np.uint64) for _ in range(4)]
+    sets = [np.unique(np.append(rng.permutation(seeds[k % 4])[: rng.integers(45, 61)], rng.integers(0, 1 << 60, rng.integers(0, 6), dtype=np.uint64))) for k in range(80)]
+    home = list(range(80))
+    for a in range(80):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                home = [home[b] if h == home[a] else h for h in home] if home[a] != home[b] else home
+    got = nearcopies.linked(sets, 0.8).tolist()
+    assert 4 < len(set(got)) < 80 and all((got[a] == got[b]) == (home[a] == home[b]) for a in range(80) for b in range(80))
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
