@@ -44,7 +44,7 @@ FIND = re.compile(
     rf"|(?P<person>(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? (?:[A-ZÀ-ÞА-Я][\w'’-]+)(?: [A-ZÀ-ÞА-Я][\w'’-]+)?)"
 )
 #: A text without any of these has no entity; looking for them is cheap.
-HINT = re.compile(rf"[@0-9]|{'|'.join(sorted(_TITLES, key=len, reverse=True))}|[0-9a-fA-F]{{32}}|(?:token|secret|password|api_key) = \"")
+HINT = re.compile(rf"[@\d]|{'|'.join(sorted(_TITLES, key=len, reverse=True))}|[0-9a-fA-F]{{32}}|(?:token|secret|password|api_key) = \"")
 
 #: Given names by script and gender, family names by script.
 GIVEN = {

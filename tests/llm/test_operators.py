@@ -411,6 +411,13 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark, odd, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_texts_with_native_digits_only_are_scanned(spark):
+    numbers = ["012-345-6789", "123-45-6789", "4111 1111 1111 1111"]
+    rows = [(10 * zero + k, f"a {''.join(chr(zero + int(c)) if c.isdigit() else c for c in n)} b") for zero in (0x660, 0x966) for k, n in enumerate(numbers)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_entities == 1 and r.text != dict(rows)[r.doc_id] for r in out) and len(out) == len(rows)
+
+
 def test_no_two_entities_share_a_surrogate(spark):
     people = [("person", f"m {g} {f}") for g in pii.GIVEN[("latin", "m")] for f in pii.FAMILY["latin"]][:400]
     found = spark.createDataFrame(people, "kind string, value string")
