@@ -95,6 +95,16 @@ def stable_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", F.row_number().over(Window.orderBy("key")).alias("pos"))
 
 
+@query("stable_key_positions", """
+SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id = 0 THEN '' ELSE doc_id::VARCHAR END, lang, source, trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS pos FROM documents""")
+def stable_key_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of stable_key_order for all documents."""
+    none = F.lit(None).cast("string")
+    key = R.stable_key(doc_id=F.col("doc_id"), version=F.col("lang"), chunk_index=none, chunk_id=none, filename=F.col("source"), text=F.col("text"))
+    short = F.struct(*[F.col(f"key.k{k}") for k in range(1, 6)], F.substring("key.k6", 1, 64))
+    return R.positions(table(spark, sf_dir, "documents").select("doc_id", key.alias("key")), "key", ranges=short)
+
+
 @query("rerank_topn", f"""WITH {VECTORS}, c AS (SELECT near.query_id, near.vector_id, cos FROM near JOIN pairs USING (query_id, vector_id))
 SELECT query_id, vector_id, round(cos, 4) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vector_id) AS rank FROM c QUALIFY rank <= 5""")
 def rerank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,3 +371,15 @@ def test_rewriting_and_translation_context(spark):
     chunks = spark.createDataFrame([(k, t, P.hashed_vector(t)) for k, t in enumerate(texts)], "chunk_id long, text string, embedding array<float>")
     got = {r.question_id: r.context for r in P.translation_context(asked, chunks, key="question_id", text="question", hits=1).collect()}
     assert got == {1: texts[0], 2: texts[1]}
+
+
+def test_positions_of_all_documents(spark):
+    """More than the 500 of stable_key_order, over several partitions, and none."""
+    from pyspark.sql import functions as F
+
+    from scholium.operators import retrieval
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.struct(((F.col("id") * 7919) % 3001).alias("k")).alias("key")).repartition(7)
+    got = {r.doc_id: r.pos for r in retrieval.positions(rows, "key").collect()}
+    assert got == {d: n + 1 for n, d in enumerate(sorted(range(3000), key=lambda d: d * 7919 % 3001))}
+    assert retrieval.positions(rows.where("doc_id < 0"), "key").count() == 0
