@@ -383,3 +383,19 @@ def test_positions_of_all_documents(spark):
     got = {r.doc_id: r.pos for r in retrieval.positions(rows, "key").collect()}
     assert got == {d: n + 1 for n, d in enumerate(sorted(range(3000), key=lambda d: d * 7919 % 3001))}
     assert retrieval.positions(rows.where("doc_id < 0"), "key").count() == 0
+
+
+def test_shown_texts_are_cut_where_the_reference_cuts(spark):
+    """Longer than the prefixes of external_context and shown_documents."""
+    from pyspark.sql import functions as F
+
+    from scholium import queries
+
+    sf = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role <> 'user'")
+    longest = turns.orderBy(F.length("text").desc()).first()
+    got = {r.conv_id: r.context for r in queries.QUERIES["external_context_whole"](spark, sf).collect()}
+    assert 80 < len(longest.text) <= 8000 and longest.text in got[longest.conv_id]
+    shown = [r.shown for r in queries.QUERIES["shown_documents_whole"](spark, sf).collect()]
+    first = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 100").orderBy("doc_id").limit(4).collect()}
+    assert all(any(t[:2000] in s for s in shown) for t in first.values())
