@@ -118,6 +118,23 @@ def title_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.best_title(scored, doc="doc_id", fallback="source")
 
 
+@query("title_argmax_plausible", r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+c AS (SELECT doc_id, source, pos, regexp_replace(trim(regexp_replace(regexp_replace(trim(line), '^#{1,6}\s*', ''), '\s+', ' ', 'g')), '^[ \-–—|_]+|[ \-–—|_]+$', '', 'g') AS t FROM l WHERE pos < 20),
+p AS (SELECT *, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS alnum FROM c WHERE length(t) BETWEEN 6 AND 320),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM p WHERE alnum >= 5 AND alnum / length(t) >= 0.35
+  AND NOT regexp_matches(t, '(?i)^(?:\d+(?:\.\d+)*[.、]?\s*)?(?:abstract|摘要|introduction|引言|绪论|contents?|目录|references?|参考文献|acknowledg(?:e)?ments?|致谢|methods?|方法|results?|结果|conclusions?|结论)\s*$')
+  AND NOT regexp_matches(t, '(?i)(?:doi\s*:|https?://|www\.|@|issn|isbn|arxiv|transactions\s+on|proceedings\s+of|journal\s+of|volume\s+\d+|vol\.\s*\d+|copyright|all rights reserved|microsoft\s+word\s*-)')),
+k AS (SELECT *, round(55 - 2 * place + least(length(t), 120) / 30.0 - CASE WHEN lower(t) = lower(source) THEN 35 ELSE 0 END, 6) AS score FROM g WHERE place < 8)
+SELECT doc_id, first(t ORDER BY score DESC, length(t) DESC, t DESC) AS title FROM k GROUP BY doc_id""")
+def title_argmax_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the reference: of the first 20 lines the plausible ones, and of those the first 8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("pos < 20")
+    rows = docs.select("doc_id", "source", L.clean_title(F.col("line")).alias("text"), "pos").where(L.is_plausible_title(F.col("text")))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).where("place < 8")
+    scored = first.withColumn("score", 55 - 2 * F.col("place") + F.least(F.length("text"), F.lit(120)) / 30)
+    return L.best_title(scored, doc="doc_id", fallback="source")
+
+
 TABLES = r"""t AS (SELECT doc_id, pos, list_transform(string_split(regexp_replace(trim(line), '^\|+|\|+$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE contains(line, '|')),
 r AS (SELECT doc_id, pos, cells FROM t WHERE len(list_filter(cells, lambda c: NOT regexp_full_match(c, '[:\-\s]*'))) > 0)"""
 

@@ -399,3 +399,11 @@ def test_shown_texts_are_cut_where_the_reference_cuts(spark):
     shown = [r.shown for r in queries.QUERIES["shown_documents_whole"](spark, sf).collect()]
     first = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 100").orderBy("doc_id").limit(4).collect()}
     assert all(any(t[:2000] in s for s in shown) for t in first.values())
+
+
+def test_titles_after_implausible_lines(spark, tmp_path):
+    from scholium import queries
+
+    text = "\n".join(["", "Abstract", "1", "2", "3", "4", "5", "6", "7", "A plausible title of a paper"])
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.title for r in queries.QUERIES["title_argmax_plausible"](spark, str(tmp_path)).collect()] == ["A plausible title of a paper"]
