@@ -244,6 +244,19 @@ def locate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(*found).alias("f")).select("doc_id", "f.width", "f.at")
 
 
+@query("locate_evidence_all", """WITH e AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN nullif(substr(text, 101, 180), '') WHEN 1 THEN nullif(substr(text, 101, 110), '') || '#~#' ELSE nullif(substr(text, 101, 70), '') || '#~#' END AS e FROM documents),
+p AS (SELECT doc_id, instr(text, substr(e, 1, 180)) AS p180, instr(text, substr(e, 1, 110)) AS p110, instr(text, substr(e, 1, 70)) AS p70 FROM e)
+SELECT doc_id, CASE WHEN p180 > 0 THEN 180 WHEN p110 > 0 THEN 110 WHEN p70 > 0 THEN 70 END AS width, CASE WHEN p180 > 0 THEN p180 WHEN p110 > 0 THEN p110 WHEN p70 > 0 THEN p70 END AS at FROM p""")
+def locate_evidence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As locate_evidence for all documents; evidence differs from its page after 110 or 70 characters in two of three. Null where there is none or no window is found."""
+    k = F.col("doc_id") % 3
+    own = lambda w: F.nullif(F.substring("text", 101, w), F.lit(""))
+    e = F.when(k == 0, own(180)).when(k == 1, F.concat(own(110), F.lit("#~#"))).otherwise(F.concat(own(70), F.lit("#~#")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", e.alias("e"))
+    found = [F.when(F.expr(f"locate(substring(e, 1, {w}), text)") > 0, F.struct(F.lit(w).alias("width"), F.expr(f"locate(substring(e, 1, {w}), text)").alias("at"))) for w in (180, 110, 70)]
+    return rows.select("doc_id", F.coalesce(*found).alias("f")).select("doc_id", "f.width", "f.at")
+
+
 @query("parsed_blocks", f"""WITH {LINES}, k AS (SELECT doc_id, pos, line, pos // 5 + 1 AS page, CASE WHEN contains(lower(raw), 'table') THEN CASE WHEN contains(lower(raw), 'caption') THEN 'table_caption' ELSE 'table' END WHEN contains(lower(raw), 'image') THEN 'figure'
  WHEN contains(lower(raw), 'equation') THEN 'equation' WHEN contains(lower(raw), 'title') THEN 'heading' WHEN contains(lower(raw), 'list') THEN 'list_item' ELSE 'paragraph' END AS kind FROM l),
 u AS (SELECT doc_id, page, 0 AS last, printf('%09d', pos) AS key, kind FROM k WHERE kind <> 'table' AND (trim(line) <> '' OR kind = 'figure') UNION ALL SELECT doc_id, page, 1, 't' || page, 'table' FROM (SELECT DISTINCT doc_id, page FROM k WHERE kind = 'table'))

@@ -407,3 +407,12 @@ def test_titles_after_implausible_lines(spark, tmp_path):
     text = "\n".join(["", "Abstract", "1", "2", "3", "4", "5", "6", "7", "A plausible title of a paper"])
     spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.title for r in queries.QUERIES["title_argmax_plausible"](spark, str(tmp_path)).collect()] == ["A plausible title of a paper"]
+
+
+def test_every_window_finds_evidence_and_short_pages_have_none(spark):
+    from scholium import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["locate_evidence_all"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert {r.width for r in got} == {180, 110, 70, None}
