@@ -1,32 +1,40 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Fingerprints of equal value form one class. To find all classes within a Hamming distance, the 64 bits are
-dealt into m parts, correlated bits together, and each part i gets a threshold t_i with
-sum(t_i) = distance - m + 1: two fingerprints within the distance then agree up to t_i in some part i.
-A part's threshold of -1 leaves it out. The number of parts and the thresholds are those of the least
-estimated work, found by dynamic programming over estimates of candidate counts from the bits' statistics
-over all classes. Each class then sends every value within t_i of its own to the place of that value, and
-what meets there is verified exactly.
-
-At a place with many classes only links that join different components are given out: a breadth-first
-search over the classes there, in numpy, gives a spanning forest. Above `place_limit` classes the place is
-not gathered: its links are found through midpoints, values within half the distance of both ends, with one
-aggregate for each midpoint. Both ways lose no link's component.
-
-Defined cases: null, empty and wordless texts have fingerprint zero and link like any other. The component
-of a row is the smallest non-null doc_id in it, or null. Repeated rows are ordinary copies. Further columns
-are ignored by near_duplicates and kept by one_of_each.
+Fingerprints of equal value form one class. The bits are dealt into parts, correlated bits together, and each part gets
+a threshold: a class indexes its own value of the part, and probes every other value within the threshold, so that two
+classes meet at a place if they differ in at most that many bits of the part. What meets there is verified by all bits.
+A threshold of -1 leaves a part out. The thresholds are those of the least estimated work, found by dynamic programming
+over estimates of candidate counts from the bits' statistics over all classes. There are two rules for what they must
+reach:
+
+- exact (`near_duplicates`): fingerprints of one word of 64 bits, and thresholds with sum(t + 1) > distance over parts
+  that share no bit, so that two fingerprints within the distance meet by the pigeonhole principle.
+- by similarity (`near_copies`): 0.8 is about 10 of 64 bits, which no pigeonhole over 64 bits finds without comparing a
+  large share of all pairs. Fingerprints have several words, and the parts are dealt anew in rounds, as many as it takes
+  for two texts of the similarity to meet with probability `recall`. Those within `limit` bits, which such texts keep to
+  with probability 0.95, are linked.
+
+At a place with many classes only links that join different components are given out: a breadth-first search over the
+classes there, in numpy, gives a spanning forest. Above `place_limit` rows the place is not gathered. In the exact rule
+its links are found through midpoints, values within half the distance of both ends, with one aggregate for each
+midpoint, which loses none. By similarity, all its rows are compared with some pivots of the place; rows near none go to
+places of their own by further parts, where they meet all that share those; two rows that are near different pivots
+meet at their other places.
+
+Defined cases: null, empty and wordless texts have fingerprint zero and link like any other. The component of a row is
+the smallest non-null doc_id in it, or null. Repeated rows are ordinary copies. Further columns are ignored by
+near_duplicates and near_copies and kept by one_of_each.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,73 +44,116 @@ from .components import components
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
+#: For near copies: words in a shingle, similarity (Jaccard, of shingles), words of 64 bits in a fingerprint, the
+#: probability that two texts of the similarity meet, and that they keep to the limit of bits.
+COPY_SHINGLE, SIMILARITY, WORDS, RECALL, WITHIN = 5, 0.8, 4, 0.98, 0.95
 PLACE_LIMIT = 32_768
+PIVOTS = 16
+#: Rows that are broadcast at most; 100 bytes each are 50 MB.
+MAX_BROADCAST = 500_000
+#: The most frequent fingerprints, whose rows are joined by broadcast.
+FREQUENT = 10_000
 #: Costs of sending a value and of comparing a pair, in microseconds; only their ratio matters.
 SEND_COST, PAIR_COST = 1.0, 0.02
 
+Parts = list[tuple[list[int], int]]
+_MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """As a signed 64-bit number."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    size = min(shingle, len(words))
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
-    digest, counts, n = xxhash.xxh64_digest, np.zeros(64, np.int64), len(starts)
+
+# fingerprints ---------------------------------------------------------------------------------------------------------
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """Signed 64-bit words. A bit is set if it is in over half of the shingles' hashes; further words are of further
+    hashes, mixed from the first."""
+    tokens = (text or b"").lower().split()
+    if not tokens:
+        return np.zeros(words, np.int64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    size = min(shingle, len(tokens))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - size + 1].tolist()
+    digest, counts, n = xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64), len(starts)
     spans = list(zip(starts, ends[size - 1 :].tolist(), strict=True))
-    for k in range(0, n, 65_536):  # bounds the memory that a long text takes
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in spans[k : k + 65_536]])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
+    for k in range(0, n, 16_384):  # bounds the memory that a long text takes
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans[k : k + 16_384]], np.uint64)
+        for w in range(words):
+            own = hashes if w == 0 else (hashes ^ (hashes >> np.uint64(32))) * _MIX[w]
+            own = own if w == 0 else own ^ (own >> np.uint64(29))
+            counts[w] += np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1).view(">i8").ravel().astype(np.int64)
+
 
+def names(words: int) -> list[str]:
+    """The columns of a fingerprint."""
+    return ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
 
-def _fingerprinter(shingle: int):
-    return lambda texts: {"fp": np.fromiter((fingerprint(t, shingle) for t in texts.cast(pa.binary()).to_pylist()), np.int64, len(texts))}
 
+def _fingerprinter(shingle: int, words: int) -> Callable[[pa.Array], dict]:
+    def run(texts: pa.Array) -> dict:
+        found = np.array([fingerprint(t, shingle, words) for t in texts.cast(pa.binary()).to_pylist()], np.int64).reshape(-1, words)
+        return {name: found[:, k] for k, name in enumerate(names(words))}
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, tag (a hash that tells texts under one id apart), fp (signed 64-bit)."""
+    return run
+
+
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, tag (a hash that tells texts under one id apart) and the fingerprint's columns, in a few files."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
-    return with_arrow_columns(plain, ["text"], T.StructType([T.StructField("fp", T.LongType())]), _fingerprinter, shingle, keep=["doc_id", "tag"])
+    fields = T.StructType([T.StructField(c, T.LongType()) for c in names(words)])
+    found = with_arrow_columns(plain, ["text"], fields, _fingerprinter, shingle, words, keep=["doc_id", "tag"])
+    few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, found.rdd.getNumPartitions() // 8)
+    return cut(found.repartition(few))  # numbers only, so that every split's texts are read by a task of its own
+
 
+# parts and thresholds -------------------------------------------------------------------------------------------------
 
-def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
+
+def bit_statistics(classes: DataFrame, words: int = 1) -> tuple[int, np.ndarray]:
     """The number of fingerprints and, for each two bits, of those that have both."""
+    size = 64 * words
+    upper = np.triu_indices(size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((64, 64))
-        n = 0
+        both, n = np.zeros((size, size)), 0
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).astype(">i8")
-            bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+            values = np.stack([c.to_numpy(zero_copy_only=False).astype(">i8") for c in batch.columns], axis=1)
+            bits = np.unpackbits(values.view(np.uint8).reshape(-1, size // 8), axis=1).astype(np.float32)
             both += (bits.T @ bits).astype(np.float64)
             n += len(values)
-        cells = np.append(both.ravel(), n).astype(np.int64)
+        cells = np.append(both[upper], n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], names=["cell", "n"])
 
-    rows = classes.select("fp").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 4097 rows
-    cells = np.zeros(4097)
+    rows = classes.select(*names(words)).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a number for each two bits
+    cells = np.zeros(len(upper[0]) + 1)
     for cell, n in rows:
         cells[cell] = n
-    return int(cells[-1]), cells[:-1].reshape(64, 64)
+    both = np.zeros((size, size))
+    both[upper] = cells[:-1]
+    return int(cells[-1]), np.maximum(both, both.T)
+
 
+def group_bits(n: int, both: np.ndarray, parts: int, deal: int = 0) -> list[list[int]]:
+    """The bits in groups of about equal size, each begun by a bit and filled with what correlates most with it.
 
-def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
-    """The 64 bits in groups of about equal size, each begun by a bit and filled with what correlates most with it."""
+    Another `deal` gives other groups: it adds its own noise to the correlations."""
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     tied = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
+    if deal:
+        noise = np.random.default_rng(deal).random(tied.shape)
+        tied = tied + (noise + noise.T) / 4
     np.fill_diagonal(tied, 0)
-    free, groups = set(range(64)), []
+    free, groups = np.ones(len(both), bool), []
     for k in range(parts):
-        room = len(free) // (parts - k)
-        group = [max(sorted(free), key=lambda b: tied[b, sorted(free)].sum())]
-        free.remove(group[0])
+        room = int(free.sum()) // (parts - k)
+        first = int(np.where(free, tied[:, free].sum(axis=1), -1).argmax())
+        group, pull = [first], tied[first].copy()
+        free[first] = False
         while len(group) < room:
-            group.append(max(sorted(free), key=lambda b: tied[b, group].sum()))
-            free.remove(group[-1])
+            group.append(int(np.where(free, pull, -1).argmax()))
+            free[group[-1]] = False
+            pull += tied[group[-1]]
         groups.append(sorted(group))
     return groups
 
@@ -118,197 +169,321 @@ def near_shares(bits: list[int], p: np.ndarray, most: int) -> list[float]:
     return np.cumsum(chances)[: most + 1].tolist()
 
 
-def allocate(groups: list[list[int]], n: int, p: np.ndarray, distance: int) -> tuple[float, list[int]]:
-    """The thresholds of least estimated cost, by dynamic programming over the groups and what they sum to."""
-    most = distance - len(groups) + 1 + (len(groups) - 1)  # one group takes all and the others are left out
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # by the sum of (threshold + 1)
-    for bits in groups:
-        near = near_shares(bits, p, most)
-        cost = [0.0] + [n * sum(math.comb(len(bits), j) for j in range(t + 1)) * SEND_COST + n * n / 2 * near[t] * PAIR_COST for t in range(most + 1)]
-        step: dict[int, tuple[float, list[int]]] = {}
-        for total, (spent, chosen) in best.items():
-            for t in range(-1, most + 1):
-                at = total + t + 1
-                if at <= distance + 1 and (at not in step or spent + cost[t + 1] < step[at][0]):
-                    step[at] = (spent + cost[t + 1], [*chosen, t])
-        best = step
-    return best[distance + 1]
-
-
-def plan_parts(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the parts that are searched."""
+def costs(bits: list[int], n: int, p: np.ndarray, most: int) -> list[float]:
+    """Of searching a part with threshold 0, 1, ... most: its rows, and the pairs that meet (each once)."""
+    near = near_shares(bits, p, most)
+    return [n * sum(math.comb(len(bits), j) for j in range(t + 1)) * SEND_COST + n * n / 2 * near[t] * PAIR_COST for t in range(len(near))]
+
+
+def allocate(options: list[list[tuple[float, int]]], target: int) -> tuple[float, list[int]]:
+    """The thresholds of least cost whose weights reach the target together, by dynamic programming over the parts.
+
+    options: for each part the (cost, weight) of thresholds 0, 1, ...; -1 costs and weighs nothing."""
+    best, steps = np.full(target + 1, np.inf), []
+    best[0] = 0.0
+    for own in options:
+        after, choice, before = best.copy(), np.full(target + 1, -1), np.arange(target + 1)
+        for t, (cost, weight) in enumerate(own):
+            weight = min(weight, target)
+            moved = np.append(np.full(weight, np.inf), best[: target + 1 - weight] + cost)
+            came = np.arange(target + 1) - weight
+            came[target] = target - weight + int(best[target - weight :].argmin())  # what goes past the target counts as it
+            moved[target] = best[came[target]] + cost
+            better = moved < after
+            after[better], choice[better], before[better] = moved[better], t, came[better]
+        steps.append((choice, before))
+        best = after
+    at, chosen = target, []
+    for choice, before in reversed(steps):
+        chosen.append(int(choice[at]))
+        at = int(before[at])
+    return float(best[target]), chosen[::-1]
+
+
+def plan_exact(n: int, both: np.ndarray, distance: int) -> Parts:
+    """(bits, threshold) of the parts that are searched: two classes within the distance meet."""
     n = max(n, 1)  # else every threshold would cost nothing
-    p = np.diag(both) / max(n, 1)
-    choices = []
+    p, choices = np.diag(both) / n, []
     for m in range(min(2, distance + 1), distance + 2):
         groups = group_bits(n, both, m)
-        cost, thresholds = allocate(groups, n, p, distance)
+        options = [[(c, t + 1) for t, c in enumerate(costs(g, n, p, distance))] for g in groups]
+        cost, thresholds = allocate(options, distance + 1)
         choices.append((cost, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
     return min(choices, key=lambda x: x[0])[1]
 
 
-def flips(bits: list[int], most: int) -> list[int]:
-    """The masks that flip up to `most` of the bits (numbered from the highest), as signed 64-bit numbers."""
-    ones, masks = [1 << (63 - b) for b in bits], [0]
-    layer = [(0, -1)]
+def share_of_bits(similarity: float) -> float:
+    """Expected share of differing bits of two texts of a Jaccard similarity: the angle between their shingle sets."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def within(bits: int, share: float, most: int) -> float:
+    """The probability that at most so many of the bits differ."""
+    return sum(math.comb(bits, j) * share**j * (1 - share) ** (bits - j) for j in range(most + 1))
+
+
+def limit_of(similarity: float, words: int, probability: float = WITHIN) -> int:
+    """The number of bits that two texts of the similarity keep to with the probability."""
+    return next(d for d in range(64 * words + 1) if within(64 * words, share_of_bits(similarity), d) >= probability)
+
+
+def plan_recall(n: int, both: np.ndarray, similarity: float, recall: float) -> Parts:
+    """(bits, threshold) of the parts that are searched: two texts of the similarity meet with probability recall."""
+    n, share, scale = max(n, 1), share_of_bits(similarity), 2000
+    p, choices = np.diag(both) / n, []
+    for width in range(8, 41, 2):
+        m = len(both) // width
+        weigh = lambda g, t: int(scale * math.log1p(-min(within(len(g), share, t), 1 - 1e-9)) / math.log1p(-recall))  # noqa: B023, E731
+        each = weigh(range(width), 0) * m
+        rounds = -(-scale // each) + 1 if each else 0
+        if not 0 < rounds * m <= 1000:
+            continue
+        groups = [g for deal in range(rounds) for g in group_bits(n, both, m, deal)]
+        options = [[(c, weigh(g, t)) for t, c in enumerate(costs(g, n, p, 1))] for g in groups]
+        cost, thresholds = allocate(options, scale)
+        if cost < np.inf:
+            choices.append((cost, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
+    return min(choices, key=lambda x: x[0])[1]
+
+
+# places ---------------------------------------------------------------------------------------------------------------
+
+
+def _masks(bits: list[int], words: int) -> list[int]:
+    """A signed mask of the bits (numbered from the highest of the first word) for each word."""
+    out = [sum(1 << (63 - b % 64) for b in bits if b // 64 == w) for w in range(words)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
+
+
+def flips(bits: list[int], most: int, words: int = 1) -> list[list[int]]:
+    """The masks that flip up to `most` of the bits, none first."""
+    sets, layer = [()], [()]
     for _ in range(most):
-        layer = [(mask | one, k) for mask, last in layer for k, one in enumerate(ones) if k > last]
-        masks += [mask for mask, _ in layer]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+        layer = [(*s, b) for s in layer for b in bits if not s or b > s[-1]]
+        sets += layer
+    return [_masks(list(s), words) for s in sets]
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
-def _signatures(classes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """place, fp: each class at every value that it sends in each part."""
-    sent = []
+def _place(k: int, bits: list[int], words: int, mask: Column | None = None, salt: Column | None = None) -> Column:
+    values = []
+    for w, (name, own) in enumerate(zip(names(words), _masks(bits, words), strict=True)):
+        if own:
+            value = F.col(name).bitwiseAND(_long(own))
+            values.append(value if mask is None else value.bitwiseXOR(mask[w]))
+    return F.xxhash64(*([] if salt is None else [salt]), F.lit(k), *values)
+
+
+def _signatures(classes: DataFrame, parts: Parts, words: int) -> DataFrame:
+    """place, probe and the fingerprint: each class at its own value of each part, and at those that it probes."""
+    own = F.array(*[_place(k, bits, words) for k, (bits, _) in enumerate(parts)])
+    out = classes.select(F.explode(own).alias("place"), F.lit(False).alias("probe"), *names(words))
     for k, (bits, threshold) in enumerate(parts):
-        own = sum(1 << (63 - b) for b in bits)
-        own = own - (1 << 64) if own >> 63 else own
-        value = F.col("fp").bitwiseAND(F.lit(own).cast("long"))
-        if threshold == 0:
-            places = classes.select(F.xxhash64(F.lit(k), value).alias("place"), "fp")
-        else:
-            masks = F.array(*[F.lit(m).cast("long") for m in flips(bits, threshold)])
-            places = classes.select("fp", value.alias("value"), F.explode(masks).alias("mask")).select(F.xxhash64(F.lit(k), F.col("value").bitwiseXOR(F.col("mask"))).alias("place"), "fp")
-        sent.append(places)
-    out = sent[0]
-    for more in sent[1:]:
-        out = out.unionByName(more)
+        if threshold > 0:
+            masks = F.array(*[F.array(*map(_long, m)) for m in flips(bits, threshold, words)[1:]])
+            spread = classes.select(*names(words), F.explode(masks).alias("mask"))
+            out = out.unionByName(spread.select(_place(k, bits, words, F.col("mask")).alias("place"), F.lit(True).alias("probe"), *names(words)))
     return out
 
 
-def _forest(values: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect whatever is connected among the values."""
-    left, out = np.unique(values), []
+def _apart(a: list[Column], b: list[Column]) -> Column:
+    """Differing bits."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+
+def _forest(values: np.ndarray, probe: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect whatever the pairs within the distance connect; two probes are no pair."""
+    left, flags, out = values, probe, []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left, flags = [(left[0], flags[0])], left[1:], flags[1:]
         while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= distance
+            at, probing = queue.pop()
+            near = np.bitwise_count(left ^ at).sum(axis=1) <= distance
+            if probing:
+                near &= ~flags
             if near.any():
                 met = left[near]
-                out.append((np.full(len(met), at), met))
-                queue.extend(met)
-                left = left[~near]
+                out.append((np.repeat(at[None], len(met), axis=0), met))
+                queue.extend(zip(met, flags[near], strict=True))
+                left, flags = left[~near], flags[~near]
     return out
 
 
-def _verifier(distance: int, place_limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by place. Gives links (a, b), and (place, null) where there are more than place_limit rows."""
-        held_place, held, size = None, [], 0
+def _schema(words: int) -> str:
+    return ", ".join(f"{side}{k} long" for side in "ab" for k in range(words))
 
-        def links(pairs) -> pa.RecordBatch:
-            a, b = (np.concatenate([x[k] for x in pairs]).view(np.int64) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if size > place_limit:
-                yield pa.RecordBatch.from_arrays([pa.array([held_place], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
-            elif size > 1:
-                yield links(_forest(np.concatenate(held), distance))
+def _verifier(distance: int, place_limit: int, words: int):
+    sides = [f"{side}{k}" for side in "ab" for k in range(words)]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            edges = np.flatnonzero(np.diff(places)) + 1
-            first, last = (edges[0], edges[-1]) if len(edges) else (len(places), len(places))
-            if held_place is not None and places[0] != held_place:
-                yield from close()
-                held_place, held, size = None, [], 0
-                first = 0
-            elif held_place is None:
-                first = 0
-            if first:  # goes on with the place of the batch before
-                size += first
-                held = [*held, fps[:first].copy()] if size <= place_limit else []
-                if first < len(places):
-                    yield from close()
-                    held_place, held, size = None, [], 0
-            if first == len(places):
-                continue
-            last = last if len(edges) else 0
-            inner_p, inner_f = places[first:last], fps[first:last]
-            if len(inner_p) > 1:
-                yield from _inside(inner_p, inner_f, links)
-            held_place, held, size = int(places[last]), [fps[last:].copy()], len(places) - last
-            held = held if size <= place_limit else []
-        yield from close()
-
-    def _inside(places: np.ndarray, fps: np.ndarray, links) -> Iterator[pa.RecordBatch]:
-        """All places that begin and end in this batch: small ones by lags, others one by one."""
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(places)) + 1))
+    def batch_of(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(a[:, k]).view(np.int64)) for k in range(words)]
+        columns += [pa.nulls(len(a), pa.int64()) if b is None else pa.array(np.ascontiguousarray(b[:, k]).view(np.int64)) for k in range(words)]
+        return pa.RecordBatch.from_arrays(columns, names=sides)
+
+    def settle(places: np.ndarray, probe: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All rows of some places: small ones by lags, others one by one; (place, null) where there are too many."""
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(places)) + 1)) if len(places) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(places)))
-        big = sizes > 48
-        out = []
-        for s, k in zip(starts[big], sizes[big], strict=True):
-            if k > place_limit:
-                yield pa.RecordBatch.from_arrays([pa.array([places[s]], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
+        big, out = sizes > 48, []
+        for s, n in zip(starts[big].tolist(), sizes[big].tolist(), strict=True):
+            if n > place_limit:
+                yield batch_of(np.repeat(places[s : s + 1].view(np.uint64)[:, None], words, axis=1), None)
             else:
-                out += _forest(fps[s : s + k], distance)
+                out += _forest(values[s : s + n], probe[s : s + n], distance)
         few = np.repeat(~big, sizes)
-        p, f = places[few], fps[few]
+        p, q, f = places[few], probe[few], values[few]
         for lag in range(1, int(sizes[~big].max()) if (~big).any() else 0):
-            a, b = f[:-lag], f[lag:]
-            met = (p[:-lag] == p[lag:]) & (a != b) & (np.bitwise_count(a ^ b) <= distance)
-            if met.any():
-                out.append((a[met], b[met]))
-        yield links(out)
+            met = np.flatnonzero((p[:-lag] == p[lag:]) & ~(q[:-lag] & q[lag:]))
+            apart = np.bitwise_count(f[met] ^ f[met + lag]).sum(axis=1)
+            met = met[(apart <= distance) & (apart > 0)]
+            if len(met):
+                out.append((f[met], f[met + lag]))
+        if out:
+            yield batch_of(np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by place."""
+        held: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = (
+                batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False),
+                np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1).view(np.uint64),
+            )
+            if held is not None:
+                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from settle(*[x[:last] for x in rows])
+            held = tuple(x[last : last + place_limit + 49].copy() for x in rows)  # more would only be counted
+        if held is not None:
+            yield from settle(*held)
 
     return run
 
 
+def _named(rows: DataFrame, words: int) -> DataFrame:
+    """a, b: links by the classes' numbers."""
+    number = lambda side: F.col(f"{side}0") if words == 1 else F.xxhash64(*[f"{side}{k}" for k in range(words)])
+    return rows.select(number("a").alias("a"), number("b").alias("b"))
+
+
+def number(words: int) -> Column:
+    """A class's number: its fingerprint, or a hash of the longer ones."""
+    return F.col("fp") if words == 1 else F.xxhash64(*names(words))
+
+
+def _met(sent: DataFrame, distance: int, place_limit: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(links, crowded places)."""
+    dealt = sent.repartition("place").sortWithinPartitions("place")
+    found = cut(dealt.mapInArrow(_verifier(distance, place_limit, words), _schema(words)).distinct())
+    return found.where("b0 is not null"), found.where("b0 is null").select(F.col("a0").alias("place"))
+
+
+def _members(sent: DataFrame, crowded: DataFrame) -> DataFrame:
+    few = crowded.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return sent.join(F.broadcast(crowded) if few else crowded, "place", "left_semi")
+
+
 def links(classes: DataFrame, *, distance: int = DISTANCE, place_limit: int = PLACE_LIMIT) -> DataFrame:
     """a, b: links between fingerprints of the column fp (distinct) that connect what the distance connects. Even distances only."""
     if distance % 2:
         raise ValueError("midpoints need an even distance")
-    n, both = bit_statistics(classes)
-    sent = _signatures(classes, plan_parts(n, both, distance))
-    dealt = sent.repartition("place").sortWithinPartitions("place")
-    found = cut(dealt.mapInArrow(_verifier(distance, place_limit), "a long, b long").distinct())
-    near = found.where("b is not null")
-    crowded = found.where("b is null").select(F.col("a").alias("place"))
+    sent = _signatures(classes, plan_exact(*bit_statistics(classes), distance), 1)
+    near, crowded = _met(sent, distance, place_limit, 1)
     if crowded.isEmpty():
-        return near
-    masks = F.array(*[F.lit(m).cast("long") for m in flips(list(range(64)), distance // 2)])
-    members = sent.join(crowded, "place", "left_semi").select("fp").distinct()
+        return _named(near, 1)
+    masks = F.array(*[_long(m[0]) for m in flips(list(range(64)), distance // 2)])
+    members = _members(sent, crowded).select("fp").distinct()
     through = members.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("middle"))
     leads = through.groupBy("middle").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("middle", "b")
-    return near.unionByName(through.join(leads, "middle").select(F.col("fp").alias("a"), "b").where("a <> b").distinct())
+    return _named(near, 1).unionByName(through.join(leads, "middle").select(F.col("fp").alias("a"), "b").where("a <> b").distinct())
 
 
-def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, place_limit: int = PLACE_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tag, fp, component_id for each row of docs."""
-    found = fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle)
-    spread = found.rdd.getNumPartitions()  # a task reads many texts and writes a few numbers for each
-    prints = cut(found.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, spread // 8)))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(classes, distance=distance, place_limit=place_limit))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+def copy_links(classes: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS, limit: int | None = None, place_limit: int = PLACE_LIMIT) -> DataFrame:
+    """a, b: links between the numbers of fingerprints (distinct) that differ in at most limit bits; see the module's text."""
+    limit = limit_of(similarity, words) if limit is None else limit
+    parts, own = plan_recall(*bit_statistics(classes, words), similarity, recall), names(words)
+    sent = _signatures(classes, parts, words)
+    near, crowded = _met(sent, limit, place_limit, words)
+    out = _named(near, words)
+    if crowded.isEmpty():
+        return out
+    members = cut(_members(sent, crowded))
+    bucket = F.pmod(F.xxhash64(*own), F.lit(PIVOTS))
+    pivots = members.groupBy("place", bucket.alias("bucket")).agg(F.min(F.struct(*own)).alias("pivot")).groupBy("place").agg(F.collect_list("pivot").alias("pivots"))  # PIVOTS at most
+    few = pivots.limit(MAX_BROADCAST // PIVOTS + 1).count() <= MAX_BROADCAST // PIVOTS
+    mine = [F.col(c) for c in own]
+    close = F.filter("pivots", lambda v: _apart(mine, [v[c] for c in own]) <= limit)
+    judged = members.join(F.broadcast(pivots) if few else pivots, "place").withColumn("near", close)
+    hashed = lambda v: F.xxhash64(*[v[c] for c in own])
+    steps = F.transform(F.concat(F.array(F.struct(*own)), "near"), hashed)
+    pairs = F.arrays_zip(F.slice(steps, F.lit(1), F.size("near")).alias("a"), F.slice(steps, F.lit(2), F.size("near")).alias("b"))
+    stars = judged.where(F.size("near") > 0).select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a <> b").distinct()
+    # rows near no pivot: at places of their own, with all rows of the crowded place that share those
+    again = F.explode(F.array(*[_place(k, bits, words, salt=F.col("place")) for k, (bits, _) in enumerate(parts)])).alias("place")
+    loose = judged.where(F.size("near") == 0).select(again, F.lit(False).alias("probe"), *own)
+    bound = judged.where(F.size("near") > 0).select(again, F.lit(True).alias("probe"), *own)
+    finer, rest = _met(loose.unionByName(_members(bound, loose.select("place").distinct())), limit, place_limit, words)
+    hubs = _members(loose, rest).groupBy("place").agg(F.min(F.struct(*own)).alias("hub"))
+    last = _members(loose, rest).join(hubs, "place").where((_apart(mine, [F.col("hub")[c] for c in own]) <= limit)).select(F.xxhash64(*own).alias("a"), hashed(F.col("hub")).alias("b")).where("a <> b")
+    return out.unionByName(stars).unionByName(_named(finer, words)).unionByName(last)
+
+
+# components -----------------------------------------------------------------------------------------------------------
+
+
+def _rooted(prints: DataFrame, words: int, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, tag, the fingerprint and component_id of each row of prints; find: classes to links."""
+    own = names(words)
+    classes = cut(prints.groupBy(*own).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).withColumn("class", number(words)))
+    roots = components(find(classes))
+    rooted = classes.select("class", "first_id", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
     joined = rooted.where("root is not null")
     firsts = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    homes = rooted.where("root is null").select("fp", F.col("first_id").alias("component_id")).unionByName(joined.join(firsts, "root").select("fp", "component_id"))
-    return prints.join(homes, "fp").select("doc_id", "tag", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs but one of each component: that of the smallest doc_id, then of the least text hash."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    home = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string")))
-    return keep_firsts(docs, found.select("doc_id", "tag", home.alias("home")), doc_id=doc_id, text=text)
+    alone = rooted.where("root is null").select("class", F.col("first_id").alias("component_id"), "n", F.col("class").alias("root"))
+    homes = cut(alone.unionByName(joined.join(firsts, "root").select("class", "component_id", "n", "root")))
+    # the frequent classes, a fixed number, by broadcast: the others have no hot key
+    top = homes.orderBy(F.desc("n"), "class").limit(FREQUENT).drop("n")
+    rows = prints.withColumn("class", number(words))
+    met = rows.join(F.broadcast(top), "class", "left")
+    rest = met.where("root is null").drop("root", "component_id").join(homes.drop("n"), "class")
+    return met.where("root is not null").unionByName(rest).select("doc_id", "tag", *own, "root", "component_id")
 
 
-def named(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("\0"))
-
-
-def keep_firsts(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first row of docs of each home. found: doc_id, tag, home of each row."""
-    kept = found.groupBy("home").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best"))
-    keys = kept.select(F.col("best.doc_id").alias("kept_id"), F.col("best.tag").alias("kept_tag"))
-    # one shuffle of the texts: the join's partitions and order also serve the choice among repeated rows
-    keys = keys.select(named(F.col("kept_id")).alias("kept_id"), "kept_tag").distinct()
+def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, place_limit: int = PLACE_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, tag, fp, root, component_id for each row of docs: components of fingerprints within the distance."""
+    prints = fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle)
+    return _rooted(prints, 1, lambda classes: links(classes, distance=distance, place_limit=place_limit))
+
+
+def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, words: int = WORDS, recall: float = RECALL, place_limit: int = PLACE_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, tag, fp0 to fp3, root, component_id for each row of docs: components of texts of about the similarity or more."""
+    prints = fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, words=words)
+    return _rooted(prints, words, lambda classes: copy_links(classes, similarity=similarity, recall=recall, words=words, place_limit=place_limit))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of docs but one of each component: that of the smallest doc_id, then of the least text hash.
+
+    found: what near_duplicates or near_copies give for docs. The texts are shuffled only where the list of the rows
+    that go, or of those that are repeated, is too long to be broadcast."""
+    found = cut(found.select("doc_id", "tag", "root"))
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    kept = found.groupBy("root").agg(first.alias("best")).select(named(F.col("best.doc_id")).alias("id"), F.col("best.tag").alias("tag"), F.lit(True).alias("stays"))
+    each = found.groupBy(named(F.col("doc_id")).alias("id"), "tag").agg(F.count(F.lit(1)).alias("n"))
+    marked = cut(each.join(kept, ["id", "tag"], "left").where("stays is null or n > 1").select("id", "tag", F.coalesce("stays", F.lit(False)).alias("stays")))
+    few = marked.limit(max_broadcast + 1).count() <= max_broadcast
+    side = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     rows = docs.select(named(F.col(doc_id)).alias("id"), F.xxhash64(text).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    met = rows.join(keys, (F.col("id") == F.col("kept_id")) & (F.col("tag") == F.col("kept_tag")), "left_semi")
-    return met.withColumn("n", F.row_number().over(Window.partitionBy("id", "tag").orderBy("id"))).where("n = 1").select("row.*")
+    out = rows.join(side(marked.select("id", "tag")), ["id", "tag"], "left_anti").select("row.*")
+    repeated = marked.where("stays").select("id", "tag")
+    if repeated.isEmpty():
+        return out
+    once = rows.join(side(repeated), ["id", "tag"], "left_semi").groupBy("id", "tag").agg(F.first("row").alias("row"))
+    return out.unionByName(once.select("row.*"))

@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, chat, decontaminate, licenses, nearcopies, pii, quality, simhash, toxicity, urlfilter, warc
+from scholium.llm import bpe, chat, decontaminate, licenses, pii, quality, simhash, toxicity, urlfilter, warc
 from scholium.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -165,9 +165,9 @@ def test_held_out_toxic_documents_are_found():
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
-def plain_fingerprint(t):
+def plain_fingerprint(t, size=4):
     ws = re.findall("[^\x20\x09-\x0d]+", lower(t or ""))
-    grams = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))] if ws else []
+    grams = [" ".join(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))] if ws else []
     hashes = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -218,63 +218,76 @@ def test_dense_and_random_fingerprints_connect_as_brute_force(spark):
         assert len(pairs) == len(set(want)) == len(set(roots))
 
 
-def test_thresholds_obey_the_pigeonhole_and_follow_skew():
+def correlated_bits():
     rng = np.random.default_rng(2)
     bits = rng.integers(0, 2, (5000, 64))
     bits[:, :20] = bits[:, :1]  # twenty bits that say the same
-    both = (bits.T @ bits).astype(float)
+    return (bits.T @ bits).astype(float)
+
+
+def test_thresholds_obey_the_pigeonhole_and_follow_skew():
+    both = correlated_bits()
     for m in (2, 3, 5):
         groups = simhash.group_bits(5000, both, m)
         assert sorted(b for g in groups for b in g) == list(range(64))
-        _, thresholds = simhash.allocate(groups, 5000, np.diag(both) / 5000, 4)
-        assert sum(t + 1 for t in thresholds) == 5
     assert len({next(k for k, g in enumerate(simhash.group_bits(5000, both, 3)) if b in g) for b in range(20)}) == 1
+    parts = simhash.plan_exact(5000, both, 4)
+    assert sum(t + 1 for _, t in parts) >= 5 and len({b for bits, _ in parts for b in bits}) == sum(len(bits) for bits, _ in parts)
     with pytest.raises(ValueError):
         simhash.links(None, distance=3)
 
 
-def test_one_of_each_keeps_columns_and_one_row(spark, odd, empty):
-    out = simhash.one_of_each(odd)
-    assert out.columns == odd.columns
-    assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 4, 5, 6, 7]
-    assert simhash.one_of_each(empty).count() == 0
+def test_allocation_is_the_cheapest_of_all():
+    from itertools import product
 
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        options = [[(float(rng.integers(1, 50)), int(rng.integers(1, 5))) for _ in range(2)] for _ in range(4)]
+        value = lambda ts: (sum(o[t][0] for o, t in zip(options, ts, strict=True) if t >= 0), sum(o[t][1] for o, t in zip(options, ts, strict=True) if t >= 0))  # noqa: B023, E731
+        target = int(rng.integers(1, 9))
+        cost, chosen = simhash.allocate(options, target)
+        want = min((value(ts)[0] for ts in product((-1, 0, 1), repeat=4) if value(ts)[1] >= target), default=np.inf)
+        assert cost == want and (cost == np.inf or (value(chosen)[0] == cost and value(chosen)[1] >= target))
 
-def test_edited_copies_go_at_similarity_and_others_stay(spark, odd, empty):
-    """Copies of one text with a few words changed: gone at a Jaccard similarity of 0.8 or more, kept below."""
-    import corpus_pipeline
 
-    rng, rows, want = np.random.default_rng(5), [], set()
-    for k in range(60):
-        words = [f"w{x}" for x in rng.integers(0, 10_000, 300)]
+def test_one_of_each_keeps_columns_and_one_row(spark, odd, empty):
+    for find in (simhash.near_duplicates, simhash.near_copies):
+        for bound in (500_000, -1):
+            out = simhash.one_of_each(odd, find(odd), max_broadcast=bound)
+            assert out.columns == odd.columns
+            assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 4, 5, 6, 7]
+        assert simhash.one_of_each(empty, find(empty)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [32_768, 40])
+def test_copies_of_the_similarity_are_found_and_only_close_ones_are_linked(spark, limit):
+    """Texts with a few words changed, a dense group among them: recall at a Jaccard similarity of 0.8 or more, and
+    components that are parts of those of all pairs within the limit of bits. With the smaller place limit most of the
+    dense group's places are crowded."""
+    rng, rows, near = np.random.default_rng(5), [], []
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, 300)] if k < 220 else [f"hot{x}" for x in range(300)]
         new = list(words)
-        for at in range(10, 10 + 20 * (1 + k % 12), 20):  # each changes five shingles of 296
-            new[at] += "x"
-        one, two = ({tuple(ws[i : i + 5]) for i in range(296)} for ws in (words, new))
-        near = len(one & two) / len(one | two) >= 0.8
+        for at in rng.choice(290, 1 + k % 8 if k < 220 else 2, replace=False):
+            new[at] = f"n{rng.integers(1 << 40)}"
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(new))]
-        want |= {2 * k} if near else {2 * k, 2 * k + 1}
-    assert 60 < len(want) < 120
+        one, two = ({tuple(ws[i : i + 5]) for i in range(296)} for ws in (words, new))
+        if len(one & two) >= 0.8 * len(one | two):
+            near.append((2 * k, 2 * k + 1))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()} == want
-    for bound in (200_000, -1):
-        out = nearcopies.one_of_each(odd, max_broadcast=bound)
-        assert out.columns == odd.columns and out.count() == 6
-    assert nearcopies.one_of_each(empty).count() == 0
-
-
-def test_linked_is_brute_force():
-    rng = np.random.default_rng(6)
-    seeds = [rng.integers(0, 1 << 60, 60, dtype=np.uint64) for _ in range(4)]
-    sets = [np.unique(np.append(rng.permutation(seeds[k % 4])[: rng.integers(45, 61)], rng.integers(0, 1 << 60, rng.integers(0, 6), dtype=np.uint64))) for k in range(80)]
-    home = list(range(80))
-    for a in range(80):
-        for b in range(a):
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
-                home = [home[b] if h == home[a] else h for h in home] if home[a] != home[b] else home
-    got = nearcopies.linked(sets, 0.8).tolist()
-    assert 4 < len(set(got)) < 80 and all((got[a] == got[b]) == (home[a] == home[b]) for a in range(80) for b in range(80))
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, place_limit=limit).collect()}
+    assert len(near) > 150 and sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
+    assert len({found[2 * k] for k in range(220, 300)}) == 1
+    prints = [int.from_bytes(simhash.fingerprint(t.encode(), 5, 4).astype(">i8").tobytes(), "big") for _, t in rows]
+    whole = plain_components(prints, simhash.limit_of(0.8, 4))
+    assert all(whole[k] == whole[found[k]] for k in range(len(rows)))
+
+
+def test_longer_fingerprints_are_majorities_of_mixed_hashes():
+    text = "one two three four five six seven"
+    words = simhash.fingerprint(text.encode(), 5, 4)
+    assert int(words[0]) % (1 << 64) == plain_fingerprint(text, 5) and len(set(words.tolist())) == 4
+    assert not simhash.fingerprint(None, 5, 4).any() and abs(simhash.share_of_bits(1.0)) < 1e-9
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
