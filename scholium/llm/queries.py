@@ -92,7 +92,8 @@ QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """Every document with surrogates, by the session's key (or one of this run's own)."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=pii.key_of(spark), keep=["doc_id"])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
