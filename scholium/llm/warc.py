@@ -1,12 +1,15 @@
 """WARC archives with a two-level capture index.
 
-Pages go to archives, a gzip member for each record. The capture index has a line "key date json" for each record,
-sorted by reversed-host URL key, in gzip blocks of `block_lines`. A directory (Parquet, one row for each block: its
-first and last key and where it lies) is the second level. A look-up searches the directory by bisection, reads one
-block's range, searches that, and reads one record's range.
+Pages go to archives, a gzip member for each record, behind a warcinfo record. The capture index has a line "key date
+json" for each record, sorted by reversed-host URL key, in gzip blocks of `block_lines`. A directory (Parquet, one row
+for each block: its first and last key and where it lies) is the second level. A look-up searches the directory by
+bisection, reads the ranges of the blocks that it finds, searches each by bisection, and reads the records' ranges. Many
+look-ups go together: blocks are read once for all keys in them, records in the order in which they lie, and the blocks
+and records of one frequent key by many tasks.
 
-Of pages with equal payloads (of min_size bytes or more) the one of the smallest id is a response record, the
-others are revisit records that refer to it, with the HTTP headers but no payload.
+Of pages with equal payloads (of min_size bytes or more) the one of the smallest id is a response record, the others
+are revisit records that refer to it, with the HTTP headers but no payload. Which is which is decided by hashes alone;
+payloads stay with the task that reads them, unless the list of payloads with copies is too long to be broadcast.
 
 A task writes under names of its own and hands on what it wrote, so a task that is run again leaves files that no
 directory row names. Files go through pyarrow.fs, to any store that it knows.
@@ -31,10 +34,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import fresh_dir, ready
-from .common import PIECE_BYTES, cut, pieces, with_arrow_columns
+from .common import PIECE_BYTES, cut, pieces
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 1000
@@ -42,6 +44,8 @@ BLOCK_LINES = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Directory rows that a look-up broadcasts at most; 500 bytes each are 100 MB.
 MAX_DIRECTORY = 200_000
+#: Payloads with copies whose list is broadcast at most; 200 bytes each are 40 MB.
+MAX_BROADCAST = 200_000
 
 DIRECTORY = "first_key string, last_key string, n int, index_file string, index_at long, index_bytes long"
 
@@ -59,17 +63,26 @@ def _line(value: object) -> str:
     return str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in str(value) for c in "\r\n") else str(value)
 
 
-def record(kind: str, page: object, url: str | None, size: int, digest: str, payload: bytes = b"", refers_to: object = None) -> bytes:
+def record(kind: str, name: str, page: object, url: str | None, date: str, size: int, digest: str, payload: bytes = b"", refers_to: object = None, refers_url: str | None = None) -> bytes:
+    """name: what the record's id is made of."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url}')}>"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"]
     head += [f"WARC-Target-URI: {_line(url)}"] * (url is not None) + [f"X-Page-ID: {_line(page)}"] * (page is not None)
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"Content-Type: application/http; msgtype={'response'}"]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {_line(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {_line(refers_to)}", f"WARC-Refers-To-Date: {date}"]
+        head += [f"WARC-Refers-To-Target-URI: {_line(refers_url)}"] * (refers_url is not None)
     head += [f"Content-Length: {len(http) + len(payload)}", "", ""]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + http + payload + b"\r\n\r\n"
 
 
+def info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    body = b"software: scholium\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
+
+
 def parse(raw: bytes) -> dict:
     """headers, http (its headers) and payload of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -85,21 +98,6 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _members() -> Callable[..., dict]:
-    def run(ids: pa.Array, urls: pa.Array, pages: pa.Array) -> dict:
-        keys, sizes, digests, members = [], [], [], []
-        for page, url, html in zip(ids.to_pylist(), urls.to_pylist(), pages.cast(pa.binary()).to_pylist(), strict=True):
-            payload = html or b""
-            digest = digest_of(payload)
-            keys.append(url_key(url))
-            sizes.append(len(payload))
-            digests.append(digest)
-            members.append(_gzip(record("response", page, url, len(payload), digest, payload)))
-        return {"key": keys, "size": sizes, "digest": digests, "member": members}
-
-    return run
-
-
 def _gzip(data: bytes) -> bytes:
     packer = zlib.compressobj(5, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -126,20 +124,27 @@ CAPTURES = "key string, id_text string, url string, file string, at long, bytes
 
 def _archiver(root: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id_text, url, html as bytes, first, first_url): revisits of first, where that is not null."""
         archive = None
         for batch in pieces(batches):
-            names, ats, sizes = [], [], []
+            keys, names, ats, sizes = [], [], [], []
             for r in batch.to_pylist():
                 if archive is not None and archive.at >= archive_bytes:
                     archive.out.close()
                     archive = None
-                archive = archive or _Writer(root, ".warc.gz")
-                data = r["member"] if r["member"] is not None else _gzip(record("revisit", r["id"], r["url"], r["size"], r["digest"], refers_to=r["first"]))
+                if archive is None:
+                    archive = _Writer(root, ".warc.gz")
+                    archive.add(_gzip(info(archive.name)))
+                payload, name = r["html"] or b"", f"{archive.name}/{archive.at}"
+                kind = "response" if r["first"] is None else "revisit"
+                kept = payload if kind == "response" else b""
+                data = _gzip(record(kind, name, r["id_text"], r["url"], DATE, len(payload), digest_of(payload), kept, r["first"], r["first_url"]))
+                keys.append(url_key(r["url"]))
                 names.append(archive.name)
                 ats.append(archive.add(data))
                 sizes.append(len(data))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "id_text", "url")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "id_text", "url", "file", "at", "bytes"])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("id_text", "url")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *kept, pa.array(names, pa.string()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "id_text", "url", "file", "at", "bytes"])
         if archive is not None:
             archive.out.close()
 
@@ -173,17 +178,25 @@ def _indexer(root: str, block_lines: int):
     return run
 
 
-def write_archives(pages: DataFrame, root: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_size: int = 0, block_lines: int = BLOCK_LINES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def first_copies(plain: DataFrame, min_size: int) -> DataFrame:
+    """sha, first, first_url of the payloads (of min_size bytes or more) that several rows of plain (id, url, sha, bytes) have."""
+    some = plain.where(F.col("bytes") >= min_size).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("best"))
+    return some.where((F.col("n") > 1) & F.col("best.id").isNotNull()).select("sha", F.col("best.id").alias("first"), F.col("best.url").alias("first_url"))
+
+
+def write_archives(pages: DataFrame, root: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_size: int = 0, block_lines: int = BLOCK_LINES, archive_bytes: int = ARCHIVE_BYTES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Writes archives and their index below root, and gives the directory (also written, at root/directory)."""
-    spark = pages.sparkSession
-    plain = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    firsts = plain.select("id", F.sha1(body).alias("sha"), F.length(body).alias("bytes")).where(F.col("bytes") >= min_size).groupBy("sha").agg(F.min("id").alias("first"))
-    fields = T.StructType([T.StructField("key", T.StringType()), T.StructField("size", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("member", T.BinaryType())])
-    packed = with_arrow_columns(plain.withColumn("sha", F.sha1(body)), ["id", "url", "html"], fields, _members, keep=["id", "url", "sha"])
-    met = packed.join(firsts, "sha", "left")
-    own = F.col("first").isNull() | (F.col("size") < min_size) | F.coalesce(F.col("id") == F.col("first"), F.lit(False))
-    typed = met.select("key", "id", F.col("id").cast("string").alias("id_text"), "url", "size", "digest", F.col("first").cast("string").alias("first"), F.when(own, F.col("member")).alias("member"))
+    spark = ready(pages.sparkSession)
+    plain = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("html"))
+    hashed = plain.withColumns({"sha": F.sha1("html"), "bytes": F.length("html")})
+    firsts = cut(first_copies(hashed.select("id", "url", "sha", "bytes"), min_size))
+    if firsts.limit(max_broadcast + 1).count() <= max_broadcast:
+        met = hashed.join(F.broadcast(firsts), "sha", "left")
+    else:  # rows of one payload go by their ids, so no task gets all
+        rows = hashed.select("id", "sha").distinct().join(firsts, "sha").toDF("r_sha", "r_id", "first", "first_url")
+        met = hashed.join(rows, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left")
+    own = F.coalesce(F.col("id") == F.col("first"), F.lit(False))
+    typed = met.select(F.col("id").cast("string").alias("id_text"), "url", "html", F.when(~own, F.col("first").cast("string")).alias("first"), "first_url")
     captures = cut(typed.mapInArrow(_archiver(root, archive_bytes), CAPTURES))
     dealt = captures.repartitionByRange("key", "file", "at").sortWithinPartitions("key", "file", "at")
     dealt.mapInArrow(_indexer(root, block_lines), DIRECTORY).write.parquet(f"{root}/directory")
@@ -229,22 +242,58 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], kinds.get(f.name, pa.string())) for f in RECORDS], names=RECORDS.names)
 
 
-def read_index(directory: DataFrame, root: str) -> DataFrame:
-    """CAPTURES of all index blocks that the directory names."""
-    ready(directory.sparkSession)
-    schema = to_arrow_schema(T.StructType.fromDDL(CAPTURES))
+def _key(text: str) -> str:
+    """A key as the directory has it."""
+    return json.loads(f'"{text}"')
+
+
+def find_blocks(keys: DataFrame, directory: DataFrame, *, max_directory: int = MAX_DIRECTORY) -> DataFrame:
+    """key, index_file, index_at, index_bytes: the blocks that may have each key (of the column key, distinct), by bisection.
+
+    A directory of more than max_directory rows is searched in slices, ranges of its keys, each broadcast by itself."""
+    spark = ready(keys.sparkSession)
+    slices, out = max(1, -(-directory.count() // max_directory)), None
+    if slices > 1:
+        directory = cut(directory.repartitionByRange(2 * slices, "first_key", "last_key", "index_file", "index_at").withColumn("slice", F.spark_partition_id()))
+    for k in range(2 * slices if slices > 1 else 1):
+        rows = sorted((_key(r["first_key"]), _key(r["last_key"]), r["index_file"], r["index_at"], r["index_bytes"]) for r in (directory.where(F.col("slice") == k) if slices > 1 else directory).collect())
+        shared = spark.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            rows = shared.value
+            firsts, tops = [r[0] for r in rows], []  # tops: the greatest last key so far, which bisection needs
+            for r in rows:
+                tops.append(max(r[1], tops[-1]) if tops else r[1])
+            for batch in batches:
+                met = [(key, *r[2:]) for key in batch.column(0).to_pylist() for r in rows[bisect_left(tops, key) : bisect_right(firsts, key)] if r[1] >= key]
+                if met:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*met, strict=True)], names=["key", "index_file", "index_at", "index_bytes"])
+
+        got = keys.select("key").mapInArrow(run, "key string, index_file string, index_at long, index_bytes long")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def find_captures(blocks: DataFrame, root: str) -> DataFrame:
+    """CAPTURES of the keys in the blocks that find_blocks gave; a block is read once and searched by bisection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(root)
+        at, captures, keys = None, [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(_captures(store, folder, row), schema=schema)
+            found = []
+            for r in batch.to_pylist():
+                if at != (r["index_file"], r["index_at"]):
+                    at, captures = (r["index_file"], r["index_at"]), _captures(store, folder, r)
+                    keys = [c["key"] for c in captures]
+                found += captures[bisect_left(keys, r["key"]) : bisect_right(keys, r["key"])]
+            yield pa.RecordBatch.from_arrays([pa.array([c[f] for c in found], kind) for f, kind in (("key", pa.string()), ("id_text", pa.string()), ("url", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("bytes", pa.int64()))], names=["key", "id_text", "url", "file", "at", "bytes"])
 
-    return directory.mapInArrow(run, CAPTURES)
+    return blocks.repartition("index_file", "index_at").sortWithinPartitions("index_file", "index_at", "key").mapInArrow(run, CAPTURES)
 
 
-def read_archives(directory: DataFrame, root: str, *, with_payload: bool = False) -> DataFrame:
-    """RECORDS for every capture in the index, each archive's ranges read in the order in which they lie."""
+def read_records(captures: DataFrame, root: str, *, with_payload: bool = False) -> DataFrame:
+    """RECORDS of captures, each archive's ranges read in the order in which they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(root)
@@ -261,48 +310,25 @@ def read_archives(directory: DataFrame, root: str, *, with_payload: bool = False
                 yield _batch(rows)
 
     near = F.floor(F.col("at") / (32 << 20))
-    return read_index(directory, root).repartition("file", near).sortWithinPartitions("file", "at").mapInArrow(run, RECORDS)
-
+    return captures.repartition("file", near).sortWithinPartitions("file", "at").mapInArrow(run, RECORDS)
 
-def look_up(queries: DataFrame, directory: DataFrame, root: str, *, url: str = "url", max_directory: int = MAX_DIRECTORY) -> DataFrame:
-    """RECORDS (with payloads) of the captures of each queried URL: bisection in the directory, then in a block.
 
-    A directory of more than max_directory rows is searched in slices, each broadcast by itself."""
-    spark = ready(queries.sparkSession)
-    n = directory.count()
-    if n > max_directory:
-        parts = [look_up(queries, directory.where(F.pmod(F.xxhash64("index_file", "index_at"), F.lit(-(-n // max_directory))) == k), root, url=url, max_directory=n) for k in range(-(-n // max_directory))]
-        out = parts[0]
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        return out
-    rows = sorted((r.asDict() for r in directory.collect()), key=lambda r: (json.loads(f'"{r["first_key"]}"'), json.loads(f'"{r["last_key"]}"')))
-    shared = spark.sparkContext.broadcast(rows)
+def look_up(queries: DataFrame, directory: DataFrame, root: str, *, url: str = "url", with_payload: bool = True, max_directory: int = MAX_DIRECTORY) -> DataFrame:
+    """RECORDS of the captures of each different URL key asked for; a null URL asks for records without one."""
+    ready(queries.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pafs.FileSystem.from_uri(root)
-        rows = shared.value
-        firsts, lasts = ([json.loads(f'"{r[k]}"') for r in rows] for k in ("first_key", "last_key"))
-        tops = []  # the greatest last key so far, which bisection needs
-        for x in lasts:
-            tops.append(max(x, tops[-1]) if tops else x)
+    def key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked in batch.column(0).to_pylist():
-                key, found = url_key(asked), []
-                for row in rows[bisect_left(tops, key) : bisect_right(firsts, key)]:
-                    captures = _captures(store, folder, row)
-                    keys = [c["key"] for c in captures]
-                    found += captures[bisect_left(keys, key) : bisect_right(keys, key)]
-                if found:
-                    yield _batch(list(_read(store, folder, found, True)))
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
 
-    return queries.select(F.col(url).alias("url")).where("url is not null").distinct().mapInArrow(run, RECORDS)
+    keys = queries.select(F.col(url).cast("string").alias("url")).distinct().mapInArrow(key_batches, "key string").distinct()
+    return read_records(find_captures(find_blocks(keys, directory, max_directory=max_directory), root), root, with_payload=with_payload)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, *, page_id: str = "page_id", **options) -> DataFrame:
-    """Writes the pages below the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes the pages below the shared folder and looks all their URLs up again: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     root = fresh_dir(spark, "warc")
     kind = pages.schema[page_id].dataType
     directory = cut(write_archives(pages, root, page_id=page_id, **options))
-    back = read_archives(directory, root)
+    back = look_up(pages, directory, root, url=options.get("url", "url"), with_payload=False)
     return back.select(F.col("id_text").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

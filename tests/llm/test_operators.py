@@ -293,26 +293,41 @@ def test_longer_fingerprints_are_majorities_of_mixed_hashes():
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_archives_give_back_every_page(spark, tmp_path):
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_archives_give_back_every_page(spark, tmp_path, bound):
     html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "x" * 200_000, "<p>a</p>"]
     rows = [(k, f"http://h{k % 2}.example.org/{k}?q", h) for k, h in enumerate(html)] + [(2, "http://h0.example.org/2?q", "<p>a</p>"), (None, None, "<p>b</p>"), (None, "no scheme", "only here")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("first", F.lit(2))
+    rows += [(20 + k, "http://hot.example.org/", f"<p>{k % 5}</p>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("first", F.lit(2)).withColumn("sha", F.lit(3))
     root = f"file://{tmp_path}/w"
-    directory = warc.write_archives(pages, root, block_lines=2, archive_bytes=500)
-    back = warc.read_archives(directory, root, with_payload=True).collect()
-    assert len(back) == len(rows)
-    for r in back:
-        if r.record_type == "response":
-            assert warc.digest_of(bytes(r.payload)) == r.payload_digest and len(r.payload) == r.payload_bytes
-    got = {(r.id_text, r.record_type, r.refers_to, r.payload_bytes) for r in back}
-    assert ("0", "response", None, 8) in got and ("2", "revisit", "0", 8) in got and ("6", "revisit", "0", 8) in got and ("4", "revisit", "3", 0) in got and (None, "revisit", "1", 8) in got and (None, "response", None, 9) in got
-    for bound in (1_000_000, 2):
-        found = warc.look_up(pages.select("url"), directory, root, max_directory=bound)
-        assert {r.url for r in found.collect()} >= {r[1] for r in rows if r[1]}  # and the page without a URL, by the empty key
+    directory = warc.write_archives(pages, root, block_lines=2, archive_bytes=900, max_broadcast=bound)
+    for most in (1_000_000, 2):
+        back = warc.look_up(pages.select("url"), directory, root, max_directory=most).collect()
+        assert len(back) == len(rows)
+        for r in back:
+            if r.record_type == "response":
+                assert warc.digest_of(bytes(r.payload)) == r.payload_digest and len(r.payload) == r.payload_bytes
+        got = {(r.id_text, r.record_type, r.refers_to, r.payload_bytes) for r in back}
+        assert ("0", "response", None, 8) in got and ("2", "revisit", "0", 8) in got and ("6", "revisit", "0", 8) in got and ("4", "revisit", "3", 0) in got and (None, "revisit", "1", 8) in got and (None, "response", None, 9) in got
+        assert ("20", "response", None, 8) in got and ("25", "revisit", "20", 8) in got
+    one = warc.look_up(spark.createDataFrame([("https://h1.example.org/1?q",), ("http://h9.example.org/",), (None,)], "url string"), directory, root).collect()
+    assert sorted(r.id_text or "" for r in one) == ["", "", "1"]  # the scheme is no part of a key; no URL is the empty key
     assert warc.round_trip(spark, pages.where("page_id = 99")).count() == 0
     assert warc.url_key("https://A.b.Example.org:80/x?y#z") == "org,example,b,a)/x?y" and warc.url_key(None) == ""
 
 
+def test_archives_are_proper_files(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a.org/1", "same"), (1, "http://a.org/1", "same"), (2, "http://a.org/2", "same")], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    raw = b"".join(gzip.open(f).read() for f in tmp_path.glob("w/*.warc.gz"))
+    heads = re.findall(rb"WARC/1\.1\r\nWARC-Type: (\w+)", raw)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert sorted(heads) == [b"response", b"response", b"revisit", b"warcinfo"] and len(set(ids)) == 4
+    assert raw.count(b"WARC-Refers-To-Target-URI: http://a.org/1") == 1 and raw.count(b"WARC-Refers-To-Date") == 1
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
