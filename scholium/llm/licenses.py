@@ -4,18 +4,20 @@ Words are runs of letters and digits in lower case (bytes from 0x80 up count as
 Each template has a level: windows of the smallest power of two of shingles whose half holds 1.25 times the
 template's shingles, at strides of half a window. A copy of the template then lies in one window, and with a
 containment of 0.8 their Jaccard similarity is 0.8 / 5.2 = 0.15 at least. With 48 bands of one row the chance to
-miss such a window is below (1 - 0.15) ** 48 = 0.0004. A window that meets a template in a band is verified: the
-share of the template's shingles, compared as words, that occur in the window must reach the threshold.
+miss such a window is below (1 - 0.15) ** 48 = 0.0004. A level's templates stand in one table for each band, sorted by
+their minima, where windows look their own minima up; so retrieval costs the logarithm of the number of templates. A
+window that meets a template in a band is verified: the share of the template's shingles, compared as words, that occur
+in the window must reach the threshold.
 
 Defined cases: null, empty and wordless texts, and those of fewer than five words, have no notice. Repeated rows each
-give a row. Templates of fewer than five words are refused. Columns that carry an output's name are replaced, all
+give a row. Templates of fewer than five words are refused; without templates nothing is found. Columns that carry an output's name are replaced, all
 others are kept. Long texts are read whole, piece by piece.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import with_arrow_columns
+from .license_texts import NOTICES, TEXTS
 
 SHINGLE = 5
 BANDS = 48
@@ -31,20 +34,8 @@ CONTAINMENT = 0.8
 STRIDE = 4
 PIECE = 1 << 16
 
-#: Notices of common licenses, by their public texts.
-TEMPLATES = {
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-}
+#: What is looked for where nothing else is given.
+TEMPLATES = NOTICES | TEXTS
 
 FIELDS = T.StructType(
     [
@@ -103,7 +94,7 @@ class Matcher:
         self.containment = containment
         self.names = sorted(templates)
         self.shingles: list[set[tuple[bytes, ...]]] = []
-        self.levels: dict[int, list[int]] = {}  # windows' shingles -> templates
+        levels: dict[int, list[int]] = {}  # windows' shingles -> templates
         minima = []
         for k, name in enumerate(self.names):
             lowered = templates[name].encode().lower()
@@ -116,11 +107,14 @@ class Matcher:
             size = 2 * STRIDE
             while size / 2 < 1.25 * len(hashes):
                 size *= 2
-            self.levels.setdefault(size, []).append(k)
-        self.minima = np.array(minima)
-        self.largest = max(self.levels)
-        # one sorted list of all band values, to leave texts without any early
-        self.any = [np.unique(self.minima[:, k]) for k in range(BANDS)]
+            levels.setdefault(size, []).append(k)
+        self.largest = max(levels, default=0)
+        # by level, for each band: the templates' minima, sorted, and whose they are
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size, own in levels.items():
+            values = np.array([minima[k] for k in own])
+            orders = np.argsort(values, axis=0, kind="stable")
+            self.tables[size] = [(values[orders[:, b], b], np.array(own)[orders[:, b]]) for b in range(BANDS)]
 
     def find(self, text: bytes) -> list[tuple[int, int, int, float]]:
         """(template, first byte, last byte + 1, containment), merged where those of a template overlap."""
@@ -128,8 +122,8 @@ class Matcher:
         starts, ends, words = words_of(lowered)
         hashes = shingle_hashes(words)
         found: dict[int, list[tuple[int, int, float]]] = {}
-        step = PIECE - PIECE % self.largest
-        for low in range(0, len(hashes), step):  # pieces overlap by a largest window
+        step = PIECE - PIECE % max(self.largest, 1)
+        for low in range(0, len(hashes) if self.largest else 0, step):  # pieces overlap by a largest window
             part = hashes[low : low + step + self.largest]
             for window, size, template in self._candidates(part):
                 hit = self._verify(lowered, starts, ends, low + window, min(size, len(part) - window), template)
@@ -146,16 +140,20 @@ class Matcher:
             out += [(template, *m) for m in merged]
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
-    def _candidates(self, hashes: np.ndarray):
+    def _candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(first shingle, shingles, template) of the windows that meet a template in a band."""
         if not len(hashes):
             return
         least, size = _minima(hashes, np.arange(0, len(hashes), STRIDE)), 2 * STRIDE
         while size <= self.largest:
             paired = np.minimum(least, np.vstack([least[1:], least[-1:]]))  # windows of two strides
-            for template in self.levels.get(size, ()):
-                for w in np.flatnonzero((paired == self.minima[template]).any(axis=1)).tolist():
-                    yield w * size // 2, size, template
+            met = set()
+            for band, (values, owners) in enumerate(self.tables.get(size, ())):
+                left, right = np.searchsorted(values, paired[:, band], "left"), np.searchsorted(values, paired[:, band], "right")
+                for w in np.flatnonzero(left < right).tolist():
+                    met.update((w, t) for t in owners[left[w] : right[w]].tolist())
+            for w, template in sorted(met):
+                yield w * size // 2, size, template
             least, size = paired[::2], size * 2
 
     def _verify(self, lowered: bytes, starts: np.ndarray, ends: np.ndarray, first: int, size: int, template: int) -> tuple[int, int, float] | None:
@@ -178,8 +176,9 @@ def _scanner(templates: dict[str, str], containment: float) -> Callable[[pa.Arra
         licenses, notices = [], []
         for text in texts.cast(pa.binary()).to_pylist():
             found = matcher.find(text) if text else []
-            chars = lambda k: len(text[:k].decode("utf-8", "replace"))  # noqa: B023, E731
-            notices.append([{"license": matcher.names[t], "start": chars(a), "end": chars(b), "containment": share} for t, a, b, share in found])
+            # characters before each byte
+            chars = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))) if found else []
+            notices.append([{"license": matcher.names[t], "start": int(chars[a]), "end": int(chars[b]), "containment": share} for t, a, b, share in found])
             licenses.append(sorted({matcher.names[t] for t, *_ in found}))
         return {"licenses": licenses, "notices": notices}
 

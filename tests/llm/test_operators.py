@@ -341,11 +341,24 @@ def test_licenses_are_those_of_all_windows(spark, docs, odd, empty):
         assert r.licenses == sorted(k for k, s in names.items() if len(own & set(s)) >= 0.8 * len(set(s))), r.doc_id
         for n in r.notices:
             assert 0 <= n["start"] < n["end"] <= len(r.text)
-    assert licenses.with_licenses(empty).count() == 0
+    found = {r.doc_id: r.notices for r in licenses.with_licenses(extra).collect()}
+    for k, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        whole = extra.where(f"doc_id = {9000 + k}").first().text
+        spans = [whole[n["start"] : n["end"]] for n in found[9000 + k] if n["license"] == name]
+        assert spans and re.findall(r"\w+", spans[0])[:4] == re.findall(r"\w+", text)[:4], name
+    named = licenses.with_licenses(extra.limit(1).withColumns({"licenses": F.lit(1), "notices": F.lit(2)}))
+    assert named.columns == ["doc_id", "text", "licenses", "notices"] and named.first().licenses
+    assert licenses.with_licenses(empty).count() == 0 and licenses.Matcher({}).find(b"Released under the MIT License.") == []
     with pytest.raises(ValueError):
         licenses.Matcher({"x": "too short"})
 
 
+def test_license_in_long_text_with_other_scripts():
+    text = "日本 " * 70_000 + licenses.TEMPLATES["ISC-text"] + " é" * 100
+    (hit,) = [n for n in licenses._scanner(licenses.TEMPLATES, 0.8)(pa.array([text]))["notices"][0] if n["license"] == "ISC-text"]
+    assert text[hit["start"] : hit["end"]].startswith("Permission to use") and hit["containment"] == 1
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
