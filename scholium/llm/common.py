@@ -33,6 +33,23 @@ def cut(frame: DataFrame, rows: int | None = None) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: The most frequent keys, whose rows are joined by broadcast.
+FREQUENT = 10_000
+
+
+def join_spread(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with the columns of side, which has one row for each key of rows and, as weight, how many rows have it.
+
+    Rows of the most frequent keys, a fixed number, meet theirs by broadcast and stay where they are; the others have
+    no hot key. rows is read twice, so it should be a written table; weight is dropped."""
+    own = [c for c in side.columns if c not in (key, weight)]
+    packed = side.select(key, F.struct(*own).alias("_side"), weight)
+    top = packed.orderBy(F.desc(weight), key).limit(FREQUENT).drop(weight)
+    met = rows.join(F.broadcast(top), key, "left")
+    rest = met.where("_side is null").drop("_side").join(packed.drop(weight), key)
+    return met.where("_side is not null").unionByName(rest).select(*rows.columns, *[F.col(f"_side.{c}").alias(c) for c in own])
+
+
 #: Bytes of input that a function gets at once, unless a single row has more.
 PIECE_BYTES = 4 << 20
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, with_arrow_columns
+from .common import cut, join_spread, with_arrow_columns
 from .components import components
 
 SHINGLE = 4
@@ -51,8 +51,6 @@ PLACE_LIMIT = 32_768
 PIVOTS = 16
 #: Rows that are broadcast at most; 100 bytes each are 50 MB.
 MAX_BROADCAST = 500_000
-#: The most frequent fingerprints, whose rows are joined by broadcast.
-FREQUENT = 10_000
 #: Costs of sending a value and of comparing a pair, in microseconds; only their ratio matters.
 SEND_COST, PAIR_COST = 1.0, 0.02
 
@@ -368,8 +366,8 @@ def _verifier(distance: int, place_limit: int, words: int):
 
 def _named(rows: DataFrame, words: int) -> DataFrame:
     """a, b: links by the classes' numbers."""
-    number = lambda side: F.col(f"{side}0") if words == 1 else F.xxhash64(*[f"{side}{k}" for k in range(words)])
-    return rows.select(number("a").alias("a"), number("b").alias("b"))
+    of = lambda side: F.col(f"{side}0") if words == 1 else F.xxhash64(*[f"{side}{k}" for k in range(words)])
+    return rows.select(of("a").alias("a"), of("b").alias("b"))
 
 
 def number(words: int) -> Column:
@@ -447,12 +445,7 @@ def _rooted(prints: DataFrame, words: int, find: Callable[[DataFrame], DataFrame
     firsts = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     alone = rooted.where("root is null").select("class", F.col("first_id").alias("component_id"), "n", F.col("class").alias("root"))
     homes = cut(alone.unionByName(joined.join(firsts, "root").select("class", "component_id", "n", "root")))
-    # the frequent classes, a fixed number, by broadcast: the others have no hot key
-    top = homes.orderBy(F.desc("n"), "class").limit(FREQUENT).drop("n")
-    rows = prints.withColumn("class", number(words))
-    met = rows.join(F.broadcast(top), "class", "left")
-    rest = met.where("root is null").drop("root", "component_id").join(homes.drop("n"), "class")
-    return met.where("root is not null").unionByName(rest).select("doc_id", "tag", *own, "root", "component_id")
+    return join_spread(prints.withColumn("class", number(words)), homes, "class", "n").select("doc_id", "tag", *own, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, place_limit: int = PLACE_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
