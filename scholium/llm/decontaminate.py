@@ -2,7 +2,8 @@
 
 The windows (n-grams) of the benchmark form a hash table that is broadcast; every window of every training
 text probes it by a 64-bit hash, and a hit counts only where the words are equal. The table is broadcast
-in slices of a checked number of windows, one scan for each slice, so its size never grows past the bound.
+in slices of a checked number of bytes, one scan for each slice, so its size never grows past the bound. It has no
+items: a window names its set of items, and the sets are joined to the texts that were hit.
 
 Defined cases: a null or wordless text has no words and no hits. An item without words has no window; an
 item of fewer words than the window length is one window of all its words. Items whose id is null make hits
@@ -23,8 +24,9 @@ from .common import cut, lower_ascii
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows in one broadcast table; 200 bytes each are 200 MB at most.
-MAX_BROADCAST_WINDOWS = 1_000_000
+#: Bytes of windows (their words, and ROW_BYTES for each) in one broadcast table, if no single window has more.
+MAX_BROADCAST = 128 << 20
+ROW_BYTES = 64
 
 
 def words_of(text: Column) -> Column:
@@ -33,14 +35,15 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
-    """length, hash, words of each distinct window, with the distinct ids of the items that have it."""
+    """length, hash, words and items of each distinct window, and item_set, which tells sets of items apart."""
     words = benchmark.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
     sized = words.select("item", "words", F.least(F.size("words"), F.lit(window)).alias("length"))
     starts = sized.select("item", "words", "length", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)).alias("start"))
     rows = starts.select("item", "length", F.slice("words", F.col("start"), F.col("length")).alias("gram")).distinct()
     grams = rows.groupBy("length", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hashed = grams.withColumn("hashes", F.transform("gram", lambda w: F.xxhash64(w)))
-    return hashed.select("length", _window_hash("hashes", F.lit(0), F.col("length"), window).alias("hash"), F.concat_ws(" ", "gram").alias("words"), "items")
+    item_set = F.sha2(F.to_json("items"), 256)
+    return hashed.select("length", _window_hash("hashes", F.lit(0), F.col("length"), window).alias("hash"), F.concat_ws(" ", "gram").alias("words"), "items", item_set.alias("item_set"))
 
 
 def _window_hash(hashes: str, at: Column, length: Column, window: int) -> Column:
@@ -70,11 +73,11 @@ def _probe(docs: DataFrame, table: DataFrame, lengths: list[int], window: int, a
         key = F.xxhash64(F.lit(lengths[0]), *[F.get("hashes", F.col("at") + j) for j in range(lengths[0])])
     probes = spread.select("id", "tag", "words", "n", "at", "length", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(key).alias("hash"))
     if all_rows:
-        table = table.unionByName(table.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("words"), F.array().cast("array<string>").alias("items")))
-    table = table.select(F.col("length").alias("w_length"), F.col("hash").alias("w_hash"), F.col("words").alias("w_words"), "items")
+        table = table.unionByName(table.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("words"), F.lit(None).cast("string").alias("item_set")))
+    table = table.select(F.col("length").alias("w_length"), F.col("hash").alias("w_hash"), F.col("words").alias("w_words"), "item_set")
     same = (F.col("at") < 0) | (F.col("w_words") == F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.col("length"))))
     met = probes.join(F.broadcast(table), (F.col("hash") == F.col("w_hash")) & (F.col("length") == F.col("w_length")) & same)
-    return met.select("id", "tag", "n", "at", "length", "items")
+    return met.select("id", "tag", "n", "at", "length", "item_set")
 
 
 def _tag(text: Column) -> Column:
@@ -82,23 +85,38 @@ def _tag(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("m"), F.length(text).alias("n"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS, hits_only: bool = False) -> DataFrame:
-    """id, tag, copies, n_words, starts array<struct<at, length>>, items array<string> for each distinct (id, text).
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST, hits_only: bool = False) -> DataFrame:
+    """id, tag, copies, n_words, starts array<struct<at, length>> for each distinct (id, text), and items array<string>.
 
-    copies: how many rows of docs are that row. hits_only: leaves out rows without hits."""
+    copies: how many rows of docs are that row. hits_only: leaves out rows without hits, and the items."""
     table = cut(benchmark_windows(benchmark, window, item_id, item_text))
     lengths = sorted(r[0] for r in table.select("length").distinct().collect())  # at most `window` numbers
-    slices = max(1, math.ceil(table.count() / max_broadcast))
+    size = table.agg(F.sum(F.octet_length("words") + ROW_BYTES)).first()[0] or 0
+    slices = max(1, math.ceil(size / max_broadcast))
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("tag", _tag(F.col("text")))
-    parts = [_probe(plain, table.where(F.pmod("hash", F.lit(slices)) == k) if slices > 1 else table, lengths or [window], window, k == 0 and not hits_only) for k in range(slices)]
+    grams = table.select("length", "hash", "words", "item_set")
+    parts = [_probe(plain, grams.where(F.pmod("hash", F.lit(slices)) == k) if slices > 1 else grams, lengths or [window], window, k == 0 and not hits_only) for k in range(slices)]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
     hit = F.when(F.col("at") >= 0, F.struct("at", "length"))
-    return rows.groupBy("id", "tag").agg(
-        F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).alias("copies"), F.max("n").cast("long").alias("n_words"),
-        F.collect_set(hit).alias("starts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    found = rows.groupBy("id", "tag").agg(
+        F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).alias("copies"), F.max("n").cast("long").alias("n_words"), F.collect_set(hit).alias("starts"), F.collect_set("item_set").alias("sets")
     )
+    return found.drop("sets") if hits_only else _with_items(cut(found), table, max_broadcast)
+
+
+def _with_items(found: DataFrame, table: DataFrame, max_broadcast: int) -> DataFrame:
+    """found with the distinct items of its sets."""
+    sets = table.groupBy("item_set").agg(F.first("items").alias("items"))
+    size = sets.agg(F.sum(F.octet_length(F.to_json("items")) + ROW_BYTES)).first()[0] or 0
+    each = found.where(F.size("sets") > 0).select("id", "tag", F.explode("sets").alias("item_set"))
+    met = each.join(F.broadcast(sets) if size <= max_broadcast else sets, "item_set")
+    own = met.groupBy(F.col("id").alias("o_id"), F.col("tag").alias("o_tag")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    same = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("tag") == F.col("o_tag"))
+    hit = found.where(F.size("sets") > 0).join(own, same).drop("o_id", "o_tag", "sets")
+    none = found.where(F.size("sets") == 0).drop("sets").withColumn("items", F.array().cast("array<string>"))
+    return none.unionByName(hit)
 
 
 def covered(starts: Column) -> Column:
@@ -125,9 +143,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0
     same = F.col("id").eqNullSafe(F.col("hit_id")) & (_tag(F.col("text")) == F.col("hit_tag"))
     met = rows.join(F.broadcast(hits) if small else hits, same, "left")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(PIECE), F.lit(0))
+    # what lies between hit words: word k is piece 2 k, or 2 k + 1 behind a separator, and the piece after it its separator
+    edges = F.concat(F.array(F.lit(-1)), F.array_sort("hit_words"), F.array(F.col("n_words").cast("int")))
+    gaps = lambda e: F.filter(F.transform(F.slice(e, 2, F.size(e) - 1), lambda stop, i: F.struct((F.get(e, i) + 1).alias("first"), stop.alias("stop"))), lambda g: g["stop"] > g["first"])
     before = lambda ps: F.when(F.get(ps, F.lit(0)).rlike(f"^(?:{PIECE.split('|')[0]})"), 0).otherwise(1)
-    unhit = lambda ps: F.filter(ps, lambda p, i: ~F.array_contains(F.col("hit_words"), F.floor((i - before(ps)) / 2).cast("int")))
-    kept = F.get(F.transform(F.array(pieces), unhit), F.lit(0))  # the pieces are made once
+    kept_of = lambda x: F.concat(F.slice(x["ps"], F.lit(1), x["b"]), F.flatten(F.transform(gaps(x["e"]), lambda g: F.slice(x["ps"], 2 * g["first"] + x["b"] + 1, 2 * (g["stop"] - g["first"])))))
+    with_before = F.transform(F.array(F.struct(pieces.alias("ps"), edges.alias("e"))), lambda x: F.struct(x["ps"].alias("ps"), x["e"].alias("e"), before(x["ps"]).alias("b")))
+    kept = F.get(F.transform(with_before, kept_of), F.lit(0))  # the pieces are made once
     clean = F.when(F.col("hit_id").isNull() & F.col("hit_words").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     left = met.where(F.col("hit_words").isNull() | (F.size("hit_words") <= max_share * F.col("n_words")))
     return left.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
