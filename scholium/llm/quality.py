@@ -1,9 +1,9 @@
 """Quality rules, line by line first: lines that fail a rule go, then documents that lost too much go.
 
-A line fails if it is navigation (three bars or more, or one or two words without an ending mark), symbol-laden
-(over three symbols for ten words), shouted (over half of its characters are capitals), stuttered (over half of
-ten words or more equal the word before), boilerplate (a phrase of web pages) or equal to an earlier line.
-Lines without words neither fail nor count.
+A line fails if it is navigation (three bars or more), unpunctuated (under eight words and no ending mark, as menus,
+buttons and headings are), symbol-laden (over three symbols for ten words), shouted (over half of its characters are
+capitals), stuttered (over half of ten words or more equal the word before), boilerplate (a phrase of web pages, in
+English, German, French or Spanish) or equal to an earlier line. Lines without words neither fail nor count.
 
 Defined cases: null is as empty; a document without words fails the base rules. Repeated rows each give a row.
 Columns that carry an output's name are replaced, all others are kept. Texts of any length are read whole.
@@ -26,8 +26,16 @@ from .common import with_arrow_columns
 MIN_WORDS = 50
 #: Documents that lose a larger share of their words are rejected.
 MAX_LOST = 0.5
-BOILERPLATE = r"(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|accept cookies|subscribe to our newsletter|sign in to continue"
-ENDINGS = ".!?:;,)\"'"
+PHRASES = (
+    "all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|accept cookies|subscribe to our newsletter|sign in to continue",
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|newsletter abonnieren|javascript aktivieren",
+    "tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|inscrivez-vous à notre newsletter|activer javascript",
+    "todos los derechos reservados|política de (privacidad|cookies)|términos de (uso|servicio)|aceptar cookies|suscríbete a nuestro|activar javascript",
+)
+BOILERPLATE = f"(?i){'|'.join(PHRASES)}"
+#: Lines of fewer words need an ending mark.
+UNPUNCTUATED = 8
+ENDINGS = ".!?:;,)\"'…。！？：；，）»”’"
 SYMBOLS = "#*$%&|<>"
 
 SPACE, SYMBOL, UPPER, BAR = 1, 2, 4, 8
@@ -85,7 +93,7 @@ def judge(text: str, max_lost: float = MAX_LOST, min_words: int = MIN_WORDS) ->
             n_dup += 1
             bad[k] = True
         seen.add(line)
-        if line_words[k] < 3 and line.rstrip("\t\n\x0b\f\r ")[-1:] not in ENDINGS:
+        if line_words[k] < UNPUNCTUATED and line.rstrip("\t\n\x0b\f\r ")[-1:] not in ENDINGS:
             bad[k] = True
     if _boilerplate(text):
         for k in range(len(lines)):

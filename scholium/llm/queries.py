@@ -100,18 +100,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
 
 
-OP9_SQL = r"""
+OP9_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d)),
 f AS (SELECT r, len(ws) AS w, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again,
              length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS s, length(regexp_replace(line, '[^|]', '', 'g')) AS bars,
-             length(regexp_replace(line, '\P{Lu}', '', 'g')) AS up, length(array_to_string(ws, '')) AS filled,
+             length(regexp_replace(line, '\P{{Lu}}', '', 'g')) AS up, length(array_to_string(ws, '')) AS filled,
              len(list_filter(range(2, len(ws) + 1), lambda j: ws[j] = ws[j - 1])) AS same,
-             regexp_matches(line, '(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|accept cookies|subscribe to our newsletter|sign in to continue') AS boiler,
-             regexp_matches(line, '[.!?:;,)"''][\x20\x09-\x0D]*$') AS ended
+             regexp_matches(line, '{quality.BOILERPLATE}') AS boiler,
+             regexp_matches(line, '[.!?:;,)"''…。！？：；，）»”’][\x20\x09-\x0D]*$') AS ended
       FROM l WHERE len(ws) > 0),
 b AS (SELECT r, sum(w) AS n_words, sum(filled) AS word_chars, sum(again::INT) AS n_dup_lines,
-             sum(w) FILTER (again OR bars >= 3 OR 10 * s > 3 * w OR 2 * up > filled OR (w >= 10 AND 2 * same > w) OR boiler OR (w < 3 AND NOT ended)) AS lost FROM f GROUP BY r),
+             sum(w) FILTER (again OR bars >= 3 OR 10 * s > 3 * w OR 2 * up > filled OR (w >= 10 AND 2 * same > w) OR boiler OR (w < {quality.UNPUNCTUATED} AND NOT ended)) AS lost FROM f GROUP BY r),
 a AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM a)),
 q AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM g WHERE k > 1) GROUP BY r),
