@@ -1,9 +1,9 @@
 """Transcripts to chat turns: a hidden Markov model over line features finds the roles, by Viterbi.
 
 A transcript is a sequence of blocks of lines. States are a role's first line and its further lines; a line's
-features are its speaker marker (of a user, an assistant, a system, a bare dash, or none), whether it begins a block,
-whether it asks, and its length class. The model's tables are counted, with add-one smoothing, on a bounded sample of
-labelled blocks. Turns are rendered in one canonical form, without their markers.
+features are its speaker marker (of a user, an assistant, a system, a bare dash, an unknown speaker, or none), whether it
+begins a block, whether it asks, and its length class. The model's tables are counted, with add-one smoothing, on a
+bounded sample of labelled blocks and their first lines. Turns are rendered in one canonical form, without their markers.
 
 Sequences are dealt by ranges of (conversation, place), so a conversation of any length may lie in many tasks. Each
 task sums up the parts of conversations that it does not hold whole as max-plus matrices; the driver finds the states
@@ -34,6 +34,8 @@ N = 2 * len(ROLES)
 START = N
 #: Labelled blocks that the model is fitted on, at most.
 SAMPLE_BLOCKS = 20_000
+#: Lines of each that it is fitted on, at most.
+SAMPLE_LINES = 200
 MAX_LINES = 50_000
 
 _MARKERS = [
@@ -41,9 +43,10 @@ _MARKERS = [
     (2, r"(?:assistant|ai|bot|answer|a)\s*[:>]\s*|<(?:bot|assistant)>\s*|\[assistant\]\s*|#+ (?:assistant|response)\b:?\s*"),
     (3, r"(?:system|note)\s*[:>]\s*|<(?:sys|system)>\s*|\[system\]\s*|#+ system\b:?\s*"),
     (4, r"[-–—]\s+"),
+    (5, r"(?-i:[A-Z])[\w.]{0,15}(?: [\w.]{1,10})?\s?(?:[:>|]|[-–—]) +"),
 ]
 _MARKER = re.compile("|".join(f"(?P<m{k}>{p})" for k, p in _MARKERS), re.IGNORECASE)
-SIZES = (5, 2, 2, 3)
+SIZES = (6, 2, 2, 3)
 
 
 def features(line: str, begins_block: bool) -> tuple[int, int, int, int]:
@@ -94,19 +97,19 @@ class Model:
         return path
 
 
-def fit(labelled: DataFrame, *, conv: str, place: str, text: str, role: str, sample_blocks: int = SAMPLE_BLOCKS) -> Model:
-    """The model of the first sample_blocks blocks by a hash of the conversation; only line features are gathered."""
+def fit(labelled: DataFrame, *, conv: str, place: str, text: str, role: str, sample_blocks: int = SAMPLE_BLOCKS, sample_lines: int = SAMPLE_LINES) -> Model:
+    """The model of the first sample_blocks blocks by a hash of the conversation; only line features are sorted and gathered."""
     ready(labelled.sparkSession)
-    rows = labelled.select(F.xxhash64(F.col(conv).cast("string")).alias("h"), F.col(conv).cast("string").alias("conv"), F.col(place).alias("place"), F.col(role).alias("role"), F.col(text).alias("text"))
-    chosen = rows.orderBy("h", "conv", "place", "text").limit(sample_blocks)
+    rows = labelled.select(F.xxhash64(F.col(conv).cast("string")).alias("h"), F.col(conv).cast("string").alias("conv"), F.col(place).alias("place"), F.col(role).alias("role"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            marks = [[v for k, line in enumerate(lines_of(t)) for v in features(line, k == 0)] for t in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(marks, pa.list_(pa.int32()))], names=["h", "conv", "place", "role", "marks"])
+            marks = [[v for k, line in enumerate(lines_of(t)[:sample_lines]) for v in features(line, k == 0)] for t in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(marks, pa.list_(pa.int32()))], names=["h", "conv", "place", "role", "tag", "marks"])
 
-    kind = chosen.schema["place"].dataType.simpleString()
-    gathered = chosen.mapInArrow(seen, f"h long, conv string, place {kind}, role string, marks array<int>").collect()
+    kind = rows.schema["place"].dataType.simpleString()
+    marked = rows.mapInArrow(seen, f"h long, conv string, place {kind}, role string, tag long, marks array<int>")
+    gathered = marked.orderBy("h", "conv", "place", "tag").limit(sample_blocks).collect()
     first, step, emit = np.zeros(N), np.zeros((N, N)), [np.zeros((N, size)) for size in SIZES]
     before, last = None, None
     for r in sorted(gathered, key=lambda r: (r["h"], r["conv"] is not None, r["conv"] or "", r["place"] is not None, r["place"] if r["place"] is not None else 0)):
@@ -231,8 +234,8 @@ def parse(transcripts: DataFrame, model: Model, *, conv: str, place: str, text:
     return out.select(F.col("conv").cast(kind).alias(conv), F.col("place").alias(place), "role", "begins_turn", "n_turns", "rendered")
 
 
-#: Markers by style and role, for transcripts made of labelled turns.
-STYLES = [("User: ", "Assistant: ", "System: "), ("Human: ", "AI: ", "[system] "), ("Q: ", "A: ", "Note: "), ("### User\n", "### Assistant\n", "### System\n"), ("<user> ", "<bot> ", "<sys> "), ("- ", "- ", "- ")]
+#: Markers by style and role, for transcripts made of labelled turns. The last two styles name speakers that no marker knows.
+STYLES = [("User: ", "Assistant: ", "System: "), ("Human: ", "AI: ", "[system] "), ("Q: ", "A: ", "Note: "), ("### User\n", "### Assistant\n", "### System\n"), ("<user> ", "<bot> ", "<sys> "), ("- ", "- ", "- "), ("Caller | ", "Desk | ", "Log | "), ("Kim – ", "Helper 2 – ", "Setup – ")]
 
 
 def as_transcripts(turns: DataFrame, *, conv: str = "conv_id", place: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

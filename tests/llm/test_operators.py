@@ -139,6 +139,45 @@ def test_scores_learn_words_and_take_odd_texts(spark, odd, empty):
     assert alone.curve[0] == 0
 
 
+def test_scores_are_those_of_every_window():
+    """Against a plain pass: each window by itself, its words one by one through both gated units and the attention."""
+    rng = np.random.default_rng(8)
+    vocabulary = {w: k + 1 for k, w in enumerate(["sun", "moon", "river"])}
+    net = toxicity.Network(vocabulary, rng.standard_normal(4), rng.standard_normal(toxicity.BUCKETS))
+
+    def plain(words):
+        x = [net.inputs([w])[0][0] for w in words]
+        sigmoid = lambda v: 1 / (1 + np.exp(-v))
+        states = []
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, out = np.zeros(toxicity.HIDDEN), {}
+            for t in order:
+                a, b = x[t] @ net.weights[f"W{d}"] + net.weights[f"c{d}"], h @ net.weights[f"U{d}"]
+                H = toxicity.HIDDEN
+                z, r = sigmoid(a[:H] + b[:H]), sigmoid(a[H : 2 * H] + b[H : 2 * H])
+                h = (1 - z) * np.tanh(a[2 * H :] + r * b[2 * H :]) + z * h
+                out[t] = h
+            states.append(out)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(x))]
+        weights = np.exp([b @ net.weights["v"] for b in both])
+        return sum(a * (b @ net.weights["w"]) for a, b in zip(weights, both, strict=True)) / weights.sum() + net.weights["b"][0]
+
+    texts = ["", "sun", "moon river " * 15, "sun moon tree " * 40, "wörter " * 33 + "x" * 90, "日本語" * 60 + " sun"]
+    words = [toxicity.words_of(t) for t in texts]
+    best, counts = toxicity.Scorer(net).best(words)
+    for k, ws in enumerate(words):
+        spans = [(a, min(a + toxicity.WINDOW, len(ws))) for a in range(0, len(ws), toxicity.STRIDE) if a == 0 or a + toxicity.WINDOW - toxicity.STRIDE < len(ws)] if ws else []
+        assert counts[k] == len(spans) and (not ws or {i for a, b in spans for i in range(a, b)} == set(range(len(ws))))
+        want = max((plain(ws[a:b]) for a, b in spans), default=net.weights["b"][0])
+        assert abs(best[k] - want) < 1e-3
+
+
+def test_without_labels_there_is_a_score(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    net = toxicity.fit(odd, none, F.lit(True))
+    assert {0 <= r.score <= 1 for r in toxicity.with_scores(odd, net).collect()} == {True}
+
+
 def test_every_gram_of_a_long_run_is_read():
     for run in ("".join(chr(0x4E00 + 7 * k % 5000) for k in range(3000)), "".join(f"{k:x}_" for k in range(400)), "é" * 41, "b" * 21):
         parts = toxicity.words_of(run)
@@ -375,7 +414,9 @@ def test_roles_are_recovered_on_other_conversations(spark, turns):
     model = chat.fit(turns.where("conv_id % 4 <> 2"), conv="conv_id", place="turn", text="block", role="role")
     out = chat.parse(turns.where("conv_id % 4 = 2"), model, conv="conv_id", place="turn", text="block")
     met = out.join(turns.select("conv_id", "turn", F.col("role").alias("true")), ["conv_id", "turn"])
-    assert met.agg(F.avg((F.col("true") == F.col("role")).cast("int"))).first()[0] > 0.95
+    known = F.pmod(F.xxhash64("conv_id"), F.lit(len(chat.STYLES))) < len(chat.STYLES) - 2
+    share = {r.known: r.share for r in met.groupBy(known.alias("known")).agg(F.avg((F.col("true") == F.col("role")).cast("int")).alias("share")).collect()}
+    assert share[True] > 0.95 and share[False] > 0.85
 
 
 def test_parts_of_a_conversation_decode_as_one(spark, turns):
