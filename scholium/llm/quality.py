@@ -11,7 +11,6 @@ Columns that carry an output's name are replaced, all others are kept. Texts of
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable
 
@@ -26,13 +25,13 @@ from .common import with_arrow_columns
 MIN_WORDS = 50
 #: Documents that lose a larger share of their words are rejected.
 MAX_LOST = 0.5
-PHRASES = (
-    "all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|accept cookies|subscribe to our newsletter|sign in to continue",
-    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|newsletter abonnieren|javascript aktivieren",
-    "tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|inscrivez-vous à notre newsletter|activer javascript",
-    "todos los derechos reservados|política de (privacidad|cookies)|términos de (uso|servicio)|aceptar cookies|suscríbete a nuestro|activar javascript",
-)
-BOILERPLATE = f"(?i){'|'.join(PHRASES)}"
+#: Phrases of web pages, in lower case.
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "accept cookies", "subscribe to our newsletter", "sign in to continue",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren", "javascript aktivieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "conditions d’utilisation", "accepter les cookies", "inscrivez-vous à notre newsletter", "activer javascript",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "términos de servicio", "aceptar cookies", "suscríbete a nuestro", "activar javascript",
+)
 #: Lines of fewer words need an ending mark.
 UNPUNCTUATED = 8
 ENDINGS = ".!?:;,)\"'…。！？：；，）»”’"
@@ -97,7 +96,7 @@ def judge(text: str, max_lost: float = MAX_LOST, min_words: int = MIN_WORDS) ->
             bad[k] = True
     if _boilerplate(text):
         for k in range(len(lines)):
-            bad[k] |= bool(_boilerplate(lines[k]))
+            bad[k] |= _boilerplate(lines[k])
     bad &= line_words > 0
     lost = int(line_words[bad].sum())
     repeated = _repeated(ids, len(known))
@@ -107,7 +106,9 @@ def judge(text: str, max_lost: float = MAX_LOST, min_words: int = MIN_WORDS) ->
     return n, word_chars, n_symbols, n_dup, repeated, lost, failed, kept, clean
 
 
-_boilerplate = re.compile(BOILERPLATE).search
+def _boilerplate(text: str) -> bool:
+    low = text.lower()
+    return any(phrase in low for phrase in BOILERPLATE)
 
 
 def _repeated(ids: np.ndarray, size: int) -> int:

@@ -114,7 +114,7 @@ f AS (SELECT r, len(ws) AS w, row_number() OVER (PARTITION BY r, line ORDER BY i
              length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS s, length(regexp_replace(line, '[^|]', '', 'g')) AS bars,
              length(regexp_replace(line, '\P{{Lu}}', '', 'g')) AS up, length(array_to_string(ws, '')) AS filled,
              len(list_filter(range(2, len(ws) + 1), lambda j: ws[j] = ws[j - 1])) AS same,
-             regexp_matches(line, '{quality.BOILERPLATE}') AS boiler,
+             regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE).replace("'", "''")}') AS boiler,
              regexp_matches(line, '[.!?:;,)"''…。！？：；，）»”’][\x20\x09-\x0D]*$') AS ended
       FROM l WHERE len(ws) > 0),
 b AS (SELECT r, sum(w) AS n_words, sum(filled) AS word_chars, sum(again::INT) AS n_dup_lines,
