@@ -38,6 +38,7 @@ class Settings:
     image_concurrency: int = 4
     summary_concurrency: int = 4
     broadcast_rows: int = 200_000
+    literal_terms: int = 5_000
 
     CLAMPED = ("parse_concurrency", "image_concurrency", "summary_concurrency")
 

@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.text import sentences
 from ..functions.vector import cosine
+from .ordered import running
 
 
 def char_budget(rows: DataFrame, *, group: str, order: str, text: str, budget: int = DEFAULTS.context_budget) -> DataFrame:
     """Rows while fewer than `budget` characters came before them in their group; the crossing row is cut to fit.
 
-    A budget of 0 or less is none."""
+    A budget of 0 or less is none. order: tells the rows of a group apart. Lengths are summed without the texts, which
+    then meet the few rows that are kept."""
     if budget <= 0:
         return rows
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_b", before).where(F.col("_b") < budget).withColumn(text, F.expr(f"substring({text}, 1, int({budget} - _b))")).drop("_b")
+    lengths = rows.select(F.col(group).alias("_kept_group"), F.col(order).alias("_kept_order"), F.length(text).alias("_kept_length"))
+    kept = running(lengths, by=["_kept_group"], order=[F.col("_kept_order")], value=F.col("_kept_length")).where(F.col("_before") < budget).select("_kept_group", "_kept_order", "_before")
+    met = rows.join(kept, F.col(group).eqNullSafe(F.col("_kept_group")) & F.col(order).eqNullSafe(F.col("_kept_order")))
+    return met.withColumn(text, F.expr(f"substring({text}, 1, int({budget} - _before))")).drop("_kept_group", "_kept_order", "_before")
 
 
 def greedy_dedup(ranked: DataFrame, *, group: str, order: str, key: str, embedding: str, threshold: float = DEFAULTS.redundancy_threshold) -> DataFrame:

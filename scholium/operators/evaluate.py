@@ -29,30 +29,17 @@ def scorecard(results: DataFrame, evidence: DataFrame, *, question: str, ks: tup
     flagged = relevance(results, evidence, question=question, tolerance=tolerance)
     total = evidence.select(question, base_name(F.col("filename")).alias("n"), "page").distinct().groupBy(question).agg(F.count(F.lit(1)).alias("total"))
     gain = F.when(F.col("relevant"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
-    first = flagged.groupBy(question).agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
-    by_k = [flagged.where(F.col("rank") <= k).groupBy(question).agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("found"), F.sum(gain).alias("dcg")).withColumn("k", F.lit(k)) for k in ks]
+    first = F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first")
+    # one pass: each result counts for every k that it is within, and for 0, which is all ranks
+    spread = flagged.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, (0, *ks))), lambda k: (k == 0) | (F.col("rank") <= k))))
+    sums = spread.groupBy(question, "k").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("found"), F.sum(gain).alias("dcg"), first)
     every = total.join(F.broadcast(reduce(DataFrame.unionByName, [total.sparkSession.range(1).select(F.lit(k).alias("k")) for k in ks])))  # one row for each k
-    card = every.join(reduce(DataFrame.unionByName, by_k), [question, "k"], "left").join(first, question, "left")
+    whole = sums.where("k = 0").select(question, "first")
+    card = every.join(sums.drop("first"), [question, "k"], "left").join(whole, question, "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("total", "k").cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return card.select(question, "k", F.round(F.coalesce(F.col("found"), F.lit(0)) / F.col("total"), digits).alias("recall"), F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal, digits).alias("ndcg"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), digits).alias("mrr"))
 
 
-def percentile(values: Column, p: float) -> Column:
-    """Of a sorted array: the value at p of the way, the place rounded half to even."""
-    return F.element_at(values, (F.bround(F.lit(p) * (F.size(values) - 1)) + 1).cast("int"))
-
-
-def percentiles(rows: DataFrame, *, group: str, value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """group, p50, p95, p99: exact, by rank, so that no group's values are gathered."""
-    from pyspark.sql import Window
-
-    some = rows.where(F.col(value).isNotNull())
-    n = some.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1)
-    met = ranked.join(n, group)
-    return met.groupBy(group).agg(*[F.max(F.when(F.col("r") == F.bround(F.lit(p) * (F.col("n") - 1)), F.col(value))).alias(f"p{round(p * 100)}") for p in ps])
-
-
 def mean4(column: str) -> Column:
     return F.round(F.avg(column), 4)
 

@@ -6,18 +6,16 @@ reranking, compression, review of the evidence, generation, review of the answer
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
-from ..functions.text import canonical_query, sentences
+from ..functions.text import canonical_query, sentences, tokens
 from ..functions.vector import cosine, top_k
 from ..operators import citations as C
 from ..operators import compress
@@ -28,17 +26,12 @@ INSUFFICIENT = "已检索历史文档，暂未找到相关内容，无法回答"
 DIMENSIONS = 64
 
 
-def hashed_vector(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
-    counts = np.bincount([zlib.crc32(t.encode()) % dimensions for t in re.findall("[a-z0-9]+", (text or "").lower())] or [0], minlength=dimensions).astype(float)
-    if not re.search("[a-zA-Z0-9]", text or ""):
-        counts[:] = 0
-    return (counts / max(np.linalg.norm(counts), 1e-12)).tolist()
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashing_embedding(texts: pd.Series) -> pd.Series:
+def hashing_embedding(text: Column) -> Column:
     """A stand-in for an embedding service: the counts of the tokens' hashes, of unit length; zeros without tokens."""
-    return texts.map(hashed_vector)
+    buckets = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % DIMENSIONS)
+    counts = F.transform(F.array(buckets), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda k: F.size(F.filter(bs, lambda b: b == k)).cast("double")))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.get(F.transform(counts, lambda v: F.transform(F.array(F.greatest(norm(v), F.lit(1e-12))), lambda n: F.transform(v, lambda x: x / n))[0]), F.lit(0))
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], *, text: str, out: str = "embedding", batch: int = DEFAULTS.embedding_batch) -> DataFrame:

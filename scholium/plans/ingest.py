@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name, is_safe_filename
 from ..operators import catalog as K
-from ..operators.layout import chunk_documents
+from ..operators.layout import BLOCK, chunk_documents
 from ..sources.readers import parsed_files, plain_pages
 from .answer import embed, hashing_embedding
 from .plugins import Plugins
@@ -42,9 +42,10 @@ def ingest(spark: SparkSession, path: str, library: str, *, group_id: int, parse
     uploads = named.select(F.lit(group_id).alias("group_id"), "filename", _doc_id().alias("doc_id"), F.col("filename").alias("name"))
     mine = old.where(F.col("group_id") == group_id)
     numbered = K.assign_index(mine, uploads, group="group_id", name="filename", order="doc_id").select("doc_id", "library_index")
-    bodies = named.select(_doc_id().alias("doc_id"), F.lit(None).cast("array<struct<block_id:string,type:string,text:string,page:int,page_end:int,reading_order:double>>").alias("blocks"), "pages", "markdown")
-    chunks = chunk_documents(bodies).join(uploads.select("doc_id", "filename"), "doc_id").join(numbered, "doc_id")
-    chunks = chunks.withColumns({"chunk_id": F.xxhash64("doc_id", "chunk_index", F.lit(version)), "paper_title": F.regexp_replace("filename", r"\.[^.]*$", "")})
+    none = F.lit(None).cast(f"array<{BLOCK}>").alias("blocks")
+    bodies = named.select(_doc_id().alias("doc_id"), "filename", none, "pages", "markdown").join(numbered, "doc_id")
+    chunks = chunk_documents(bodies).drop("group_id", "version").withColumn("permission", F.lit(f"group:{group_id}"))  # the former two are in the path
+    chunks = chunks.withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index", F.lit(version)))
     if plugins is not None:
         changed = plugins.run("before_ingest", chunks).value
         chunks = K.governance(changed, chunks, key="chunk_id", keep=["doc_id", "filename", "library_index"])

@@ -95,15 +95,8 @@ def usable_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.usable_evidence(rows, query="source", rank="rank", top_k=8).select("source", "doc_id")
 
 
-@query("external_context", "SELECT conv_id, string_agg('[外部来源: ' || role || ']' || chr(10) || substr(text, 1, 80), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE role <> 'user' GROUP BY conv_id")
+@query("external_context", "SELECT conv_id, string_agg('[外部来源: ' || role || ']' || chr(10) || substr(text, 1, 8000), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE role <> 'user' GROUP BY conv_id")
 def external_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of those who are not the user, as trusted context."""
-    rows = table(spark, sf_dir, "conversations").withColumn("allowed", F.col("role") != "user")
-    return V.outside_context(rows, question="conv_id", position="turn", source="role", content="text", allowed="allowed", most_chars=80)
-
-
-@query("external_context_whole", "SELECT conv_id, string_agg('[外部来源: ' || role || ']' || chr(10) || substr(text, 1, 8000), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE role <> 'user' GROUP BY conv_id")
-def external_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of those who are not the user, as trusted context, cut as the reference cuts them."""
     rows = table(spark, sf_dir, "conversations").withColumn("allowed", F.col("role") != "user")
     return V.outside_context(rows, question="conv_id", position="turn", source="role", content="text", allowed="allowed")
@@ -119,11 +112,6 @@ def review_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.keep_evidence(turns, V.valid_reviews(replies, question="conv_id", reply="reply", n_documents="n"), question="conv_id", position="turn").select("conv_id", "turn")
 
 
-@query("shown_documents", "SELECT source, string_agg('[' || n || '] ' || lang || chr(10) || substr(text, 1, 100), chr(10) || chr(10) ORDER BY n) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 12 GROUP BY source")
+@query("shown_documents", "SELECT source, string_agg('[' || n || '] ' || lang || chr(10) || substr(text, 1, 2000), chr(10) || chr(10) ORDER BY n) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 12 GROUP BY source")
 def shown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.shown_documents(table(spark, sf_dir, "documents"), question="source", position="doc_id", label="lang", text="text", most_chars=100)
-
-
-@query("shown_documents_whole", "SELECT source, string_agg('[' || n || '] ' || lang || chr(10) || substr(text, 1, 2000), chr(10) || chr(10) ORDER BY n) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 12 GROUP BY source")
-def shown_documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.shown_documents(table(spark, sf_dir, "documents"), question="source", position="doc_id", label="lang", text="text")

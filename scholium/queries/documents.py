@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bar_row, caption_number, content_hash, is_continued, is_meaningful, recursive_split, splitter, squash, stride_split, visible
+from ..functions.text import bar_row, caption_number, content_hash, is_continued, is_meaningful, similarity_ratio, splitter, squash, stride_split, visible
+from ..functions.text import table_rows as cells_of
 from ..operators import layout as L
 from ..session import table
 from ..sources.readers import content_list
@@ -48,7 +49,7 @@ def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("raw", L.chunk_kind(F.col("raw")).alias("kind"), L.parsed_kind(F.col("raw")).alias("parsed")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SECTIONS = KINDS + """, s AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'heading' THEN nullif(trim(regexp_replace(trim(line), '^#+', '')), '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '正文') AS section FROM b)"""
+SECTIONS = KINDS + r""", s AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'heading' THEN nullif(trim(regexp_replace(trim(line), '^#{1,6}\s+', '')), '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '正文') AS section FROM b)"""
 
 
 @query("section_carry", f"WITH {SECTIONS} SELECT doc_id, pos, kind, section FROM s")
@@ -104,35 +105,37 @@ def meaningful_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(visible(F.col("html"))).alias("n_visible"), is_meaningful(F.col("html")).alias("meaningful"))
 
 
-@query("title_argmax", r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-c AS (SELECT doc_id, source, pos, regexp_replace(trim(regexp_replace(regexp_replace(trim(line), '^#{1,6}\s*', ''), '\s+', ' ', 'g')), '^[ \-–—|_]+|[ \-–—|_]+$', '', 'g') AS t FROM l WHERE pos < 8),
-p AS (SELECT *, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS alnum FROM c WHERE length(t) BETWEEN 6 AND 320),
-k AS (SELECT *, round(55 - 2 * pos + least(length(t), 120) / 30.0 - CASE WHEN lower(t) = lower(source) THEN 35 ELSE 0 END, 6) AS score FROM p WHERE alnum >= 5 AND alnum / length(t) >= 0.35
+PLAUSIBLE = r"""length(t) BETWEEN 6 AND 320 AND length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) >= 5 AND length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) / length(t) >= 0.35
   AND NOT regexp_matches(t, '(?i)^(?:\d+(?:\.\d+)*[.、]?\s*)?(?:abstract|摘要|introduction|引言|绪论|contents?|目录|references?|参考文献|acknowledg(?:e)?ments?|致谢|methods?|方法|results?|结果|conclusions?|结论)\s*$')
-  AND NOT regexp_matches(t, '(?i)(?:doi\s*:|https?://|www\.|@|issn|isbn|arxiv|transactions\s+on|proceedings\s+of|journal\s+of|volume\s+\d+|vol\.\s*\d+|copyright|all rights reserved|microsoft\s+word\s*-)'))
-SELECT doc_id, first(t ORDER BY score DESC, length(t) DESC, t DESC) AS title FROM k GROUP BY doc_id""")
+  AND NOT regexp_matches(t, '(?i)(?:doi\s*:|https?://|www\.|@|issn|isbn|arxiv|transactions\s+on|proceedings\s+of|journal\s+of|volume\s+\d+|vol\.\s*\d+|copyright|all rights reserved|microsoft\s+word\s*-)')"""
+CLEAN = r"regexp_replace(trim(regexp_replace(regexp_replace(trim({0}), '^#{{1,6}}\s*', ''), '\s+', ' ', 'g')), '^[ \-–—|_]+|[ \-–—|_]+$', '', 'g')"
+
+
+@query("title_argmax", rf"""WITH l AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+c AS (SELECT doc_id, source, pos, {CLEAN.format("line")} AS t FROM l), g AS (SELECT * FROM c WHERE {PLAUSIBLE}),
+h AS (SELECT * FROM g WHERE doc_id % 2 = 0 AND pos < 5 AND pos % 5 IN (0, 3)),
+f AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM g WHERE doc_id % 2 = 1 AND pos < 20 QUALIFY place < 8),
+z AS (SELECT doc_id, pos, t, 10 + (pos * 7) % 5 AS size, pos * 90 AS y FROM g WHERE doc_id % 3 = 0 AND pos < 6 AND pos * 90 <= 390),
+r AS (SELECT *, size / top AS rel FROM (SELECT *, max(size) OVER (PARTITION BY doc_id) AS top FROM z) WHERE size / top >= 0.78),
+k AS (SELECT doc_id, 120 - least(pos, 20)::DOUBLE AS score, 1000 + pos AS pos, t FROM h
+ UNION ALL SELECT doc_id, 126, 10000000, string_agg(t, ' ' ORDER BY pos) FROM h GROUP BY doc_id HAVING count(*) BETWEEN 2 AND 3
+ UNION ALL SELECT doc_id, 55 - 2 * place + least(length(t), 120) / 30.0, 20000000 + place, t FROM f
+ UNION ALL SELECT doc_id, 90 + least(length(t), 120) / 30.0, 30000000, t FROM (SELECT doc_id, 'Properties of ' || source || ' ' || lang AS t FROM documents WHERE doc_id % 5 = 0)
+ UNION ALL SELECT doc_id, 100 + 12 * rel - y / 600.0 * 8 + least(length(t), 120) / 30.0, 30000001 + pos, t FROM r
+ UNION ALL SELECT doc_id, 114 + 8 * max(rel), 40000000, string_agg(t, ' ' ORDER BY pos) FROM r GROUP BY doc_id HAVING count(*) BETWEEN 2 AND 4),
+b AS (SELECT k.doc_id, first(t ORDER BY round(score - CASE WHEN lower(t) = lower(source) THEN 35 ELSE 0 END, 6) DESC, length(t) DESC, pos) AS title FROM (SELECT * FROM k WHERE {PLAUSIBLE}) AS k JOIN documents USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, coalesce(title, source) AS title FROM documents LEFT JOIN b USING (doc_id)""")
 def title_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("pos < 8")
-    rows = docs.select("doc_id", "source", L.clean_title(F.col("line")).alias("text"), "pos")
-    scored = rows.withColumn("score", 55 - 2 * F.col("pos") + F.least(F.length("text"), F.lit(120)) / 30)
-    return L.best_title(scored, doc="doc_id", fallback="source")
-
-
-@query("title_argmax_plausible", r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-c AS (SELECT doc_id, source, pos, regexp_replace(trim(regexp_replace(regexp_replace(trim(line), '^#{1,6}\s*', ''), '\s+', ' ', 'g')), '^[ \-–—|_]+|[ \-–—|_]+$', '', 'g') AS t FROM l WHERE pos < 20),
-p AS (SELECT *, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS alnum FROM c WHERE length(t) BETWEEN 6 AND 320),
-g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM p WHERE alnum >= 5 AND alnum / length(t) >= 0.35
-  AND NOT regexp_matches(t, '(?i)^(?:\d+(?:\.\d+)*[.、]?\s*)?(?:abstract|摘要|introduction|引言|绪论|contents?|目录|references?|参考文献|acknowledg(?:e)?ments?|致谢|methods?|方法|results?|结果|conclusions?|结论)\s*$')
-  AND NOT regexp_matches(t, '(?i)(?:doi\s*:|https?://|www\.|@|issn|isbn|arxiv|transactions\s+on|proceedings\s+of|journal\s+of|volume\s+\d+|vol\.\s*\d+|copyright|all rights reserved|microsoft\s+word\s*-)')),
-k AS (SELECT *, round(55 - 2 * place + least(length(t), 120) / 30.0 - CASE WHEN lower(t) = lower(source) THEN 35 ELSE 0 END, 6) AS score FROM g WHERE place < 8)
-SELECT doc_id, first(t ORDER BY score DESC, length(t) DESC, t DESC) AS title FROM k GROUP BY doc_id""")
-def title_argmax_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the reference: of the first 20 lines the plausible ones, and of those the first 8."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("pos < 20")
-    rows = docs.select("doc_id", "source", L.clean_title(F.col("line")).alias("text"), "pos").where(L.is_plausible_title(F.col("text")))
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).where("place < 8")
-    scored = first.withColumn("score", 55 - 2 * F.col("place") + F.least(F.length("text"), F.lit(120)) / 30)
-    return L.best_title(scored, doc="doc_id", fallback="source")
+    """Titles by headings, first lines, file properties and large lines, each for some documents."""
+    k, lines = F.col("doc_id"), F.split("text", "\n")
+    kind = lambda i: F.when(i % 5 == 0, "section_title").when(i % 5 == 3, "Heading").otherwise("text")
+    block = lambda x, i: F.struct(kind(i).alias("type"), x.alias("text"), (F.floor(i / 5) + 1).cast("int").alias("page"), F.lit(None).cast("double").alias("reading_order"))
+    large = lambda x, i: F.struct((10 + (i * 7) % 5).cast("double").alias("size"), (i * 90).cast("double").alias("y"), x.alias("text"))
+    parsed = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat("source", F.lit(".pdf")).alias("filename"), F.when(k % 2 == 0, F.transform(lines, block)).alias("blocks"), F.when(k % 2 == 1, F.array(F.struct(F.lit(1).alias("page"), F.col("text").alias("text")))).alias("pages"),
+        F.when(k % 5 == 0, F.concat_ws(" ", F.lit("Properties of"), "source", "lang")).alias("metadata_title"), F.lit(600.0).alias("page_height"), F.when(k % 3 == 0, F.transform(F.slice(lines, 1, 6), large)).alias("lines"),
+    )
+    return L.paper_titles(parsed, doc="doc_id", filename="filename")
 
 
 TABLES = r"""t AS (SELECT doc_id, pos, list_transform(string_split(regexp_replace(trim(line), '^\|+|\|+$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE contains(line, '|')),
@@ -155,21 +158,52 @@ def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fill_down(blanked, table=["doc_id"], order="pos", cells="cells")
 
 
-@query("table_text")
+@query("table_text", f"""WITH {TABLES}, p AS (SELECT doc_id, pos, unnest(list_resize(cells, w, '')) AS raw, unnest(range(w)) AS col FROM (SELECT *, max(len(cells)) OVER (PARTITION BY doc_id) AS w FROM r)),
+f AS (SELECT doc_id, pos, col, raw, coalesce(last_value(nullif(raw, '') IGNORE NULLS) OVER (PARTITION BY doc_id, col ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS cell, dense_rank() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM p),
+n AS (SELECT doc_id, col, cell AS name FROM f WHERE i = 0),
+w AS (SELECT doc_id, i, 'Row ' || i || ': ' || string_agg(CASE WHEN name = '' THEN 'column' ELSE name END || '=' || cell, '; ' ORDER BY col) AS line FROM f JOIN n USING (doc_id, col) WHERE i > 0 AND cell <> '' GROUP BY doc_id, i),
+a AS (SELECT doc_id, min(pos) AS a, max(pos) AS b FROM r GROUP BY doc_id), c AS (SELECT doc_id, string_agg(name, '; ' ORDER BY col) AS names FROM n GROUP BY doc_id), t2 AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body FROM w GROUP BY doc_id)
+SELECT doc_id, trim('Table: table ' || doc_id || chr(10) || 'Pages: ' || CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END || chr(10) || 'Columns: ' || names || coalesce(chr(10) || body, ''), ' ') AS text FROM a JOIN c USING (doc_id) LEFT JOIN t2 USING (doc_id)""")
 def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bar_rows(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cells"))), lambda r: r["cells"]).alias("rows"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    """The lines with bars of each document as one table, in words."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "cells"))), lambda r: r["cells"])
+    rows = bar_rows(spark, sf_dir).groupBy("doc_id").agg(listed.alias("rows"), F.min("pos").alias("a"), F.max("pos").alias("b"))
     text = L.table_text(F.concat(F.lit("table "), F.col("doc_id").cast("string")), F.col("a"), F.col("b"), F.col("rows"), F.lit(""))
     return rows.select("doc_id", text.alias("text"))
 
 
-@query("continued_tables")
-def continued_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run of table lines on a page is a table; those that go on over pages are joined."""
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of table lines on a page is a table; pages give captions and boxes in turn."""
     rows = bar_rows(spark, sf_dir).withColumn("page", (F.floor(F.col("pos") / 5) + 1).cast("int"))
-    tables = rows.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cells"))), lambda r: r["cells"]).alias("rows"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "cells"))), lambda r: r["cells"])
+    tables = rows.groupBy("doc_id", "page").agg(listed.alias("rows"), (F.min(F.col("pos") % 5) / 5).alias("top"), ((F.max(F.col("pos") % 5) + 1) / 5).alias("bottom"))
+    k = F.col("page") % 4
+    caption = F.when(k == 0, F.concat(F.lit("Table "), F.floor(F.col("page") / 4).cast("string"))).when(k == 1, "Table 1 (continued)").otherwise("")
     none = F.lit(None).cast("double")
-    shaped = tables.select("doc_id", F.col("page").alias("ord"), F.lit("").alias("caption"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), "rows", none.alias("top"), none.alias("bottom"), is_continued(F.lit("")).alias("has_continued"))
-    return L.merge_continued(shaped, doc="doc_id").withColumn("n_rows", F.size("rows")).drop("rows")
+    return tables.select("doc_id", F.col("page").alias("ord"), caption.alias("caption"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), "rows", F.when(k != 2, F.col("top")).otherwise(none).alias("top"), F.when(k != 2, F.col("bottom")).otherwise(none).alias("bottom"))
+
+
+@query("continued_tables")
+def continued_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that go on over pages, joined. The likeness of headers is no SQL function."""
+    return L.merge_continued(page_tables(spark, sf_dir), doc="doc_id").withColumn("n_rows", F.size("rows")).drop("rows")
+
+
+@query("header_likeness")
+def header_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the first words of neighbouring documents of a source are, by matching blocks."""
+    head = F.substring_index("text", "\n", 1)
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", head.alias("head"), F.lag(head).over(Window.partitionBy("source").orderBy("doc_id")).alias("before"))
+    return rows.where("before is not null").select("doc_id", F.round(similarity_ratio("before", "head"), 6).alias("ratio"))
+
+
+@query("markup_tables", """SELECT page_id, 4 AS n_rows, 'lang~' || page_id || '~' || page_id || '|a & b~c~|x~~' || substr(url, 1, 8) || '|1~2~3' AS cells FROM pages""")
+def markup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in HTML, with spans, references and rows without text, read to cells."""
+    page = F.col("page_id").cast("string")
+    rows = [F.lit("<table><TR><th>lang</th><th colspan='2'>"), page, F.lit("</th></TR><tr><td> </td></tr><tr><td>a &amp; <b>b</b></td><td>c</td><td></td></tr><tr><td>x<td><td>"), F.substring("url", 1, 8), F.lit("</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>")]
+    found = table(spark, sf_dir, "pages").select("page_id", cells_of(F.concat(*rows)).alias("rows"))
+    return found.select("page_id", F.size("rows").alias("n_rows"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "~")), "|").alias("cells"))
 
 
 @query("content_items", """SELECT event_id, 1 + (event_id % 2 = 0)::INT AS n, CASE WHEN event_id % 2 = 0 THEN 'title|' || event_type ELSE event_type END AS types, json_extract_string(props, '$.k')::INT + 1 AS page FROM events""")
@@ -205,15 +239,49 @@ def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", F.length("text").alias("n_chars"))
 
 
-@query("chunk_documents")
+CHUNK_COLUMNS = ["doc_id", "chunk_index", "page", "page_start", "page_end", "section", "content_type", "char_count", "table_id", "table_caption", "continued_table", "paper_title", "library_index", "permission", "layout_confidence"]
+
+
+@query("chunk_documents", rf"""WITH RECURSIVE {SECTIONS},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, kind IN ('table', 'equation', 'figure', 'figure_caption', 'table_caption') AS atomic FROM s WHERE trim(line) <> '' AND doc_id % 2 = 0),
+w AS (SELECT doc_id, 0::BIGINT AS i, 0 AS pack, 0::BIGINT AS used, true AS closed, false AS placed FROM r GROUP BY doc_id
+  UNION ALL SELECT r.doc_id, r.i,
+    CASE WHEN kind = 'heading' THEN w.pack WHEN w.closed OR atomic OR w.used + length(trim(line)) > 1000000 THEN w.pack + 1 ELSE w.pack END,
+    CASE WHEN kind = 'heading' THEN w.used WHEN w.closed OR atomic OR w.used + length(trim(line)) > 1000000 THEN length(line) ELSE w.used + length(line) END,
+    kind = 'heading' OR atomic, kind <> 'heading'
+  FROM w JOIN r ON r.doc_id = w.doc_id AND r.i = w.i + 1),
+blocks AS (SELECT doc_id, 0 AS way, w.pack AS part, string_agg(trim(line), chr(10) || chr(10) ORDER BY i) AS text, min(pos // 5 + 1) AS page, min(pos // 5 + 1) AS page_start, max(pos // 5 + 1) AS page_end, arg_min(section, i) AS section,
+  arg_min(CASE WHEN atomic THEN kind ELSE 'paragraph' END, i) AS content_type FROM w JOIN r USING (doc_id, i) WHERE placed GROUP BY doc_id, w.pack),
+o AS (SELECT doc_id, pos, trim(line) AS line FROM l WHERE doc_id % 2 = 1),
+x AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s+(.+)$') THEN trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1)) WHEN line <> '' AND ((regexp_full_match(line, '\d+(\.\d+){{0,3}}\.?\s+\S.{{0,60}}') AND NOT regexp_matches(line, '[。，,]$')) OR (length(line) <= 40 AND NOT regexp_matches(line, '[。.，,；;]$'))) THEN line END AS h FROM o),
+pages AS (SELECT doc_id, 0 AS way, pos AS part, line AS text, pos + 1 AS page, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '正文') AS section FROM x),
+tables AS (SELECT doc_id, 1 AS way, 0 AS part, CASE WHEN doc_id % 4 = 1 THEN 'Table: ' || lang ELSE 'Table t1' || chr(10) || 'Pages: 2-3' || chr(10) || 'Caption:' || chr(10) || lang || ' | ' || source END AS text, 2 AS page, CASE WHEN doc_id % 4 = 1 THEN 'Cap ' || lang ELSE 'Table' END AS section, CASE WHEN doc_id % 4 = 1 THEN 'Cap ' || lang ELSE '' END AS caption FROM documents WHERE doc_id % 2 = 1),
+u AS (SELECT doc_id, way, part, text, page, page_start, page_end, section, content_type, NULL::VARCHAR AS table_id, NULL::VARCHAR AS table_caption, NULL::BOOLEAN AS continued_table FROM blocks
+ UNION ALL SELECT doc_id, way, part, text, page, NULL::BIGINT, NULL::BIGINT, section, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::BOOLEAN FROM pages WHERE text <> ''
+ UNION ALL SELECT doc_id, way, part, text, page, 2, 3, section, 'table', 't1', caption, doc_id % 4 = 1 FROM tables)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY way, part) - 1 AS chunk_index, page, page_start, page_end, section, content_type, length(u.text) AS char_count, table_id, table_caption, continued_table, source AS paper_title, (doc_id % 7)::INT AS library_index, 'group:' || (doc_id % 3) AS permission,
+ CASE WHEN doc_id % 2 = 0 THEN 'high' END AS layout_confidence FROM u JOIN documents USING (doc_id)""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as parsed papers: a third has blocks, a third pages, a third text alone."""
-    rows = table(spark, sf_dir, "documents")
-    each = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.concat(F.lit("b"), i.cast("string")).alias("block_id"), F.get(F.array(*map(F.lit, RAW_TYPES)), i % len(RAW_TYPES)).alias("type"), x.alias("text"), (F.floor(i / 5) + 1).cast("int").alias("page"), F.lit(None).cast("int").alias("page_end"), F.lit(None).cast("double").alias("reading_order")))
-    pages = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("page"), x.alias("text")))
-    kind = F.col("doc_id") % 3
-    parsed = rows.select("doc_id", F.when(kind == 0, each).alias("blocks"), F.when(kind == 1, pages).alias("pages"), F.col("text").alias("markdown"))
-    return L.chunk_documents(parsed).drop("text")
+    """Documents as parsed papers: half have blocks, the others pages and tables. Chunks may be longer than any text, so that none is split."""
+    k = F.col("doc_id")
+    kind = lambda i: F.get(F.array(*map(F.lit, RAW_TYPES)), i % len(RAW_TYPES))
+    none = F.lit(None)
+    block = lambda x, i: F.struct(F.concat(F.lit("b"), i.cast("string")).alias("block_id"), kind(i).alias("type"), x.alias("text"), (F.floor(i / 5) + 1).cast("int").alias("page"), none.cast("int").alias("page_end"), none.cast("double").alias("reading_order"))
+    lines = F.split("text", "\n")
+    one = F.struct(F.lit("t1").alias("table_id"), F.when(k % 4 == 1, F.concat(F.lit("Cap "), "lang")).alias("caption"), F.lit(2).alias("page_start"), F.lit(3).alias("page_end"), (k % 4 == 1).alias("continued"), F.when(k % 4 == 1, F.concat(F.lit("Table: "), "lang")).alias("normalized_text"), F.concat_ws(" | ", "lang", "source").alias("raw_text"))
+    parsed = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(k % 2 == 0, F.transform(lines, block)).alias("blocks"), F.when(k % 2 == 1, F.transform(lines, lambda x, i: F.struct((i + 1).alias("page"), F.trim(x).alias("text")))).alias("pages"), F.lit("").alias("markdown"),
+        F.array(one).alias("tables"), F.concat("source", F.lit(".pdf")).alias("filename"), (k % 7).cast("string").alias("library_index"), (k % 3).alias("group_id"),
+    )
+    return L.chunk_documents(parsed, target=1_000_000, most=1_000_000).select(*CHUNK_COLUMNS)
+
+
+@query("chunk_markdown")
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown alone, split where separators allow; the splits are no SQL function."""
+    none = F.lit(None)
+    parsed = table(spark, sf_dir, "documents").select("doc_id", none.cast(f"array<{L.BLOCK}>").alias("blocks"), none.cast(f"array<{L.PAGE}>").alias("pages"), F.col("text").alias("markdown"))
+    return L.chunk_documents(parsed).select("doc_id", "chunk_index", "page", "section", "char_count")
 
 
 @query("caption_numbers", r"""SELECT doc_id, lower(regexp_extract(line, '(?i)(?:table|tab\.?|表)\s*([a-z]?\d+(?:[.-]\d+)*)', 1)) AS number, regexp_matches(line, '(?i)continued|cont\.|续表|接上表|续') AS continued FROM
@@ -230,31 +298,21 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("h"))
 
 
-@query("squashed_text", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM pages")
+@query("squashed_text", r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages")
 def squashed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.length(squash(F.regexp_replace("html", r"<[^>]+>", " "))).alias("n"))
-
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(squash(F.regexp_replace("html", r"<[^>]+>", " ")), 256).alias("text_sha256"))
 
-@query("locate_evidence", """SELECT doc_id, CASE WHEN p180 > 0 THEN 180 WHEN p70 > 0 THEN 70 END AS width, CASE WHEN p180 > 0 THEN p180 WHEN p70 > 0 THEN p70 END AS at FROM
- (SELECT doc_id, instr(text, substr(text, 101, 180)) AS p180, instr(text, substr(text, 101, 70)) AS p70 FROM documents WHERE length(text) > 300)""")
-def locate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a piece of evidence begins in its page, by windows of 180, 110 and 70 characters."""
-    rows = table(spark, sf_dir, "documents").where(F.length("text") > 300)
-    found = [F.when(F.expr(f"locate(substring(text, 101, {w}), text)") > 0, F.struct(F.lit(w).alias("width"), F.expr(f"locate(substring(text, 101, {w}), text)").alias("at"))) for w in (180, 110, 70)]
-    return rows.select("doc_id", F.coalesce(*found).alias("f")).select("doc_id", "f.width", "f.at")
 
-
-@query("locate_evidence_all", """WITH e AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN nullif(substr(text, 101, 180), '') WHEN 1 THEN nullif(substr(text, 101, 110), '') || '#~#' ELSE nullif(substr(text, 101, 70), '') || '#~#' END AS e FROM documents),
+@query("locate_evidence", """WITH e AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN nullif(substr(text, 101, 180), '') WHEN 1 THEN nullif(substr(text, 101, 110), '') || '#~#' ELSE nullif(substr(text, 101, 70), '') || '#~#' END AS e FROM documents),
 p AS (SELECT doc_id, instr(text, substr(e, 1, 180)) AS p180, instr(text, substr(e, 1, 110)) AS p110, instr(text, substr(e, 1, 70)) AS p70 FROM e)
 SELECT doc_id, CASE WHEN p180 > 0 THEN 180 WHEN p110 > 0 THEN 110 WHEN p70 > 0 THEN 70 END AS width, CASE WHEN p180 > 0 THEN p180 WHEN p110 > 0 THEN p110 WHEN p70 > 0 THEN p70 END AS at FROM p""")
-def locate_evidence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As locate_evidence for all documents; evidence differs from its page after 110 or 70 characters in two of three. Null where there is none or no window is found."""
+def locate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a piece of evidence begins in its page, by windows of 180, 110 and 70 characters; it differs from its page after 110 or 70 in two of three. Null where there is none or no window is found."""
     k = F.col("doc_id") % 3
     own = lambda w: F.nullif(F.substring("text", 101, w), F.lit(""))
     e = F.when(k == 0, own(180)).when(k == 1, F.concat(own(110), F.lit("#~#"))).otherwise(F.concat(own(70), F.lit("#~#")))
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", e.alias("e"))
-    found = [F.when(F.expr(f"locate(substring(e, 1, {w}), text)") > 0, F.struct(F.lit(w).alias("width"), F.expr(f"locate(substring(e, 1, {w}), text)").alias("at"))) for w in (180, 110, 70)]
-    return rows.select("doc_id", F.coalesce(*found).alias("f")).select("doc_id", "f.width", "f.at")
+    return rows.select("doc_id", L.locate(F.col("e"), F.col("text")).alias("f")).select("doc_id", "f.width", "f.at")
 
 
 @query("parsed_blocks", f"""WITH {LINES}, k AS (SELECT doc_id, pos, line, pos // 5 + 1 AS page, CASE WHEN contains(lower(raw), 'table') THEN CASE WHEN contains(lower(raw), 'caption') THEN 'table_caption' ELSE 'table' END WHEN contains(lower(raw), 'image') THEN 'figure'

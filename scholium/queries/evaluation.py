@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clamp01, is_refusal
 from ..operators import evaluate as E
+from ..operators import ordered as O
 from ..session import table
 from .retrieval import VECTORS, vectors
 
@@ -65,7 +66,7 @@ def scorecard_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("latency_percentiles", """WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)
 SELECT event_type, v[round_even(0.5 * (len(v) - 1), 0)::INT + 1] AS p50, v[round_even(0.95 * (len(v) - 1), 0)::INT + 1] AS p95, v[round_even(0.99 * (len(v) - 1), 0)::INT + 1] AS p99 FROM s""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.percentiles(table(spark, sf_dir, "events"), group="event_type", value="value")
+    return O.percentiles(table(spark, sf_dir, "events"), group="event_type", value="value")
 
 
 ITEMS = """i AS (SELECT e.event_id, e.event_id % 5 = 0 AS expect_refusal, (e.event_id % 5 = 0) <> (e.event_id % 11 = 0) AS refused, CASE WHEN e.event_id % 5 <> 0 THEN value / 100 END AS recall, CASE WHEN e.event_id % 3 <> 0 THEN value / 200 END AS mrr, value AS latency FROM events e)"""

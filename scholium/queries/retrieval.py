@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_query, sentences, tokens
+from ..functions.text import ascii_lower, canonical_query, sentences, tokens
 from ..functions.vector import cosine, top_k
 from ..operators import compress as C
 from ..operators import retrieval as R
@@ -26,19 +26,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-TERMS = """
-tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents),
+#: What the compatibility form makes of the characters of the tables that it changes, and the tokens.
+PLAIN = "translate(translate({0}, '" + chr(0xAA) + chr(0xBA) + chr(0xB2) + chr(0xB3) + chr(0xB9) + chr(0xB5) + chr(0xA0) + "', 'ao231" + chr(0x3BC) + " '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TOKENS = r"regexp_extract_all({0}, '[a-z0-9]+|[^\s\p{{Z}}\p{{P}}a-z0-9]')"
+TOKENS_OF = lambda c: TOKENS.format(PLAIN.format(c))
+
+
+def terms_sql(tokens: str, text: str = "documents") -> str:
+    return f"""
+tok AS (SELECT doc_id, {tokens} AS ts FROM {text}),
 post AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS token FROM tok),
 df AS (SELECT token, count(DISTINCT doc_id) AS df FROM post GROUP BY token),
 n AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
 raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, n),
 idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
-BM25 = f"""{TERMS},
-asked AS (SELECT item_id AS question_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY 1, 2),
+
+def bm25_sql(tokens: str, asked: str, k: int = 20) -> str:
+    return f"""{terms_sql(tokens)},
+asked AS (SELECT item_id AS question_id, token, count(*) AS times FROM (SELECT item_id, unnest({asked}) AS token FROM benchmark) GROUP BY 1, 2),
 tf AS (SELECT doc_id, dl, token, count(*) AS f FROM post WHERE token IN (SELECT token FROM asked) GROUP BY 1, 2, 3),
 sums AS (SELECT question_id, doc_id, round(sum(times * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (token) JOIN asked USING (token), n GROUP BY 1, 2),
-bm AS (SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM sums WHERE score > 0 QUALIFY rank <= 20)"""
+bm AS (SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM sums WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+TERMS = terms_sql(TOKENS_OF("text"))
+BM25 = bm25_sql(TOKENS_OF("text"), TOKENS_OF("text"))
 
 
 def bm25(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
@@ -52,6 +65,22 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("bm25_topk", f"WITH {BM25} SELECT * FROM bm")(bm25)
 
+#: Ideographs for letters: texts whose runs have no spaces between words.
+HAN_LETTERS = "".join(chr(0x4E00 + 97 * k) for k in range(26))
+HAN_TEXT = f"translate(translate(substr(text, 1, length(text)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'abcdefghijklmnopqrstuvwxyz', '{HAN_LETTERS}')"
+HAN_TOKENS = rf"flatten(list_transform(regexp_extract_all({PLAIN.format(HAN_TEXT)}, '[a-z0-9]+|[㐀-鿿]+|[^\s\p{{Z}}\p{{P}}a-z0-9㐀-鿿]'), lambda r: CASE WHEN length(r) > 1 AND regexp_matches(r, '^[㐀-鿿]') THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END))"
+
+
+@query("bm25_han", f"WITH {bm25_sql(HAN_TOKENS, HAN_TOKENS)} SELECT * FROM bm")
+def bm25_han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk over the same texts in ideographs, whose terms are pairs of neighbours."""
+    from string import ascii_lowercase
+
+    han = F.translate(ascii_lower(F.col("text")), ascii_lowercase, HAN_LETTERS).alias("text")
+    docs, asked = table(spark, sf_dir, "documents").select("doc_id", han), table(spark, sf_dir, "benchmark").select("item_id", han)
+    return R.bm25(asked, docs, 20, question_id="item_id", question="text", doc_id="doc_id", text="text")
+
+
 DISTANCE = "round(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 6)"
 VECTORS = f"""q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS vector_id, round(list_cosine_similarity(q.e, v.e), 6) AS cos, abs({DISTANCE}) AS dist FROM q, v),
@@ -79,26 +108,35 @@ RRF = f"""WITH {VECTORS}, u AS (SELECT query_id, vector_id, rank, 0 AS l FROM ne
 s AS (SELECT query_id, vector_id, round(sum(0.5 / (60 + rank)), 9) AS score, min(l) AS l, min_by(rank, l) AS r FROM u GROUP BY 1, 2)"""
 
 
+BUCKETS = "list_transform(ts, lambda t: ('0x' || substr(md5(t), 1, 4))::INT % 64)"
+HASHED = "list_transform(range(64), lambda k: len(list_filter(bs, lambda b: b = k))::DOUBLE)"
+
+
+@query("hybrid_fuse", f"""WITH {BM25},
+v AS (SELECT doc_id, {HASHED} AS e FROM (SELECT doc_id, {BUCKETS} AS bs FROM tok)),
+q AS (SELECT item_id, {HASHED} AS e FROM (SELECT item_id, {BUCKETS} AS bs FROM (SELECT item_id, {TOKENS_OF("text")} AS ts FROM benchmark))),
+near AS (SELECT item_id AS query_id, doc_id AS vector_id, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN list_sum(q.e) = 0 OR list_sum(v.e) = 0 THEN 0 ELSE round(list_cosine_similarity(q.e, v.e), 6) END DESC, doc_id) AS rank FROM q, v QUALIFY rank <= 20),
+u AS (SELECT question_id AS query_id, doc_id AS vector_id, rank, 0 AS l FROM bm UNION ALL SELECT query_id, vector_id, rank, 1 FROM near),
+s AS (SELECT query_id, vector_id, round(sum(0.5 / (60 + rank)), 9) AS score, min(l) AS l, min_by(rank, l) AS r FROM u GROUP BY 1, 2)
+SELECT query_id, vector_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r, vector_id) AS rank FROM s""")
+def hybrid_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords and vectors fused: BM25 of each benchmark item, and its nearest documents by hashed token counts."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), hashing_embedding(F.col("text")).alias("embedding"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vector_id"), hashing_embedding(F.col("text")).alias("embedding"))
+    near = top_k(asked, docs, 20, query_id="query_id", vector_id="vector_id", metric="cosine")
+    words = bm25(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.col("doc_id").alias("vector_id"), "rank")
+    return R.fuse([words, near], key="vector_id", query="query_id")
+
+
 @query("rrf_fuse", RRF + " SELECT query_id, vector_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r, vector_id) AS rank FROM s")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuse([vectors(spark, sf_dir, "l2"), vectors(spark, sf_dir, "cosine")], key="vector_id", query="query_id")
 
 
 @query("stable_key_order", """
-SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id = 0 THEN '' ELSE doc_id::VARCHAR END, lang, source, trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS pos FROM documents QUALIFY pos <= 500""")
-def stable_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    key = R.stable_key(doc_id=F.col("doc_id"), version=F.col("lang"), chunk_index=none, chunk_id=none, filename=F.col("source"), text=F.col("text"))
-    first = table(spark, sf_dir, "documents").select("doc_id", key.alias("key")).orderBy("key").limit(500)  # a top-500 report
-    from pyspark.sql import Window
-
-    return first.select("doc_id", F.row_number().over(Window.orderBy("key")).alias("pos"))
-
-
-@query("stable_key_positions", """
 SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id = 0 THEN '' ELSE doc_id::VARCHAR END, lang, source, trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS pos FROM documents""")
-def stable_key_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of stable_key_order for all documents."""
+def stable_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the order of its key."""
     none = F.lit(None).cast("string")
     key = R.stable_key(doc_id=F.col("doc_id"), version=F.col("lang"), chunk_index=none, chunk_id=none, filename=F.col("source"), text=F.col("text"))
     short = F.struct(*[F.col(f"key.k{k}") for k in range(1, 6)], F.substring("key.k6", 1, 64))
@@ -135,7 +173,7 @@ k AS (SELECT *, CASE WHEN trim(regexp_replace(plain, '[\s?？!！。．.;；:：
 SELECT conv_id, turn, query, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM f QUALIFY pos <= 3""")
 def query_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three different questions of each conversation, in canonical form."""
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", canonical_query(F.col("text"), normal_form=False).alias("query")).where("query <> ''")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", canonical_query(F.col("text")).alias("query")).where("query <> ''")
     first = R.first_of_each(asked.withColumn("key", F.lower("query")), within=["conv_id"], key=["key"], order=[F.col("turn")])
     return first.where("rank <= 3").select("conv_id", "turn", "query", F.col("rank").alias("pos"))
 
@@ -185,12 +223,24 @@ def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(docs.select("doc_id", "text"), "doc_id").join(asked.select(F.col("item_id").alias("question_id"), F.array_distinct(tokens(F.col("text"))).alias("asked")), "question_id")
 
 
-@query("sentence_filter")
+SENTENCES = rf"""WITH {BM25},
+best AS (SELECT question_id, doc_id, rank, text, list_distinct({TOKENS_OF("b.text")}) AS asked FROM (SELECT question_id, doc_id, rank, d.text FROM bm JOIN documents AS d USING (doc_id) WHERE rank <= 5) JOIN (SELECT item_id AS question_id, text AS btext FROM benchmark) USING (question_id)),
+""".replace("b.text", "btext") + r"""parts AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([。！？!?])\s*', '\1' || chr(1), 'g'), '(\.)\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM best),
+each AS (SELECT *, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM parts),
+own AS (SELECT *, list_distinct(OWN) AS ts FROM each),
+sim AS (SELECT *, CASE WHEN len(ts) = 0 THEN 0 ELSE round(len(list_intersect(ts, asked)) / len(ts), 6) END AS sim FROM own),
+kept AS (SELECT *, first_value(pos) OVER (PARTITION BY question_id, doc_id ORDER BY sim DESC, pos) AS top, max(sim) OVER (PARTITION BY question_id, doc_id) AS most FROM sim),
+short AS (SELECT question_id, doc_id, any_value(rank) AS rank, any_value(text) AS whole, len(any_value(ss)) AS n, count(*) AS k, string_agg(s, ' ' ORDER BY pos) AS joined, sum(length(s)) AS total FROM kept WHERE sim >= 0.25 OR (most < 0.25 AND pos = top) GROUP BY question_id, doc_id),
+filtered AS (SELECT question_id, doc_id, rank, CASE WHEN n <= 1 OR k = n THEN whole ELSE joined END AS text, NOT (n <= 1 OR k = n) AS compressed, CASE WHEN n <= 1 OR k = n THEN length(whole) ELSE total END AS char_count FROM short)""".replace("OWN", TOKENS_OF("s"))
+
+
+@query("sentence_filter", SENTENCES + " SELECT question_id, doc_id, text, compressed, char_count::INT AS char_count FROM filtered")
 def sentence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sentence_filter(answer_context(spark, sf_dir), overlap, key=["question_id", "doc_id"], text="text")
 
 
-@query("compressed_context")
+@query("compressed_context", SENTENCES + """, used AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM filtered)
+ SELECT question_id, doc_id, rank, substr(text, 1, (4000 - used)::INT) AS text FROM used WHERE used < 4000""")
 def compressed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, sentence filter and budget in one plan, for all questions at once."""
     rows = C.compress(answer_context(spark, sf_dir), overlap, group="question_id", order="rank", key="doc_id", text="text")

@@ -1,6 +1,7 @@
 """Exact behaviour on small inputs."""
 
 import difflib
+import hashlib
 import json
 
 import pytest
@@ -12,7 +13,7 @@ from scholium.functions.vector import cosine, top_k
 from scholium.operators import academic as A
 from scholium.operators import catalog as K
 from scholium.operators import citations as C
-from scholium.operators import compress, evaluate, layout, memory, relational
+from scholium.operators import compress, evaluate, layout, memory, ordered, relational
 from scholium.operators import retrieval as R
 from scholium.plans import answer as P
 from scholium.plans import ingest as I
@@ -38,7 +39,8 @@ def test_sentences_do_not_cut_decimals(spark):
 def test_text_functions(spark):
     assert value(spark, T.clean_markup(F.col("x")), x="<p>a &amp; b</p>\n c") == "a & b c"
     assert value(spark, T.shortened(F.col("x"), 3), x="ab cd") == "ab…"
-    assert value(spark, T.cjk_tokens(F.col("x")), x="Ｆast 电机模型 x") == ["fast", "电机", "机模", "模型", "x"]
+    assert value(spark, T.tokens(F.col("x")), x="Ｆast 电机模型 x，é+ ？电。") == ["fast", "电机", "机模", "模型", "x", "é", "+", "电"]
+    assert value(spark, T.unescaped(F.col("x")), x="a&amp;b &#8217;&#x4E2D; &eacute;&nosuch; &#xD800; &amp;lt;&") == "a&b ’中 é&nosuch; &#xD800; &lt;&"
     assert value(spark, T.similarity_ratio(F.col("x"), F.col("y")), x="ab-cd", y="abXd") == pytest.approx(difflib.SequenceMatcher(None, "abcd", "abxd").ratio())
     assert value(spark, T.json_object(F.col("x")), x='say ```json\n{"a": {"b": 1}}\n``` ok') == '{"a": {"b": 1}}'
     assert value(spark, T.base_name(F.col("x")), x="a\\b/C.PDF") == "c.pdf"
@@ -53,10 +55,32 @@ def test_recursive_split_bounds_and_overlap():
     assert T.recursive_split("", 10, 2) == []
 
 
-def test_table_rows():
-    assert T.table_rows("<table><tr><th colspan=2>A</th></tr><tr><td>1</td><td> 2 </td></tr></table>") == [["A", "A"], ["1", "2"]]
-    assert T.table_rows("| a | b |\n|---|:-:|\n| 1 | |") == [["a", "b"], ["1", ""]]
-    assert T.table_rows("a\tb\nplain") == [["a", "b"]]
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("<table><tr><th colspan=2>A</th></tr><tr><td>1</td><td> 2 </td></tr></table>", [["A", "A"], ["1", "2"]]),
+        ('<TR><TD COLSPAN="3" class=x>a &amp; <b>b</b>\n c</TD></TR><tr><td> </td></tr><tr><td colspan="x">1<td>2</td></tr>', [["a & b c"] * 3, ["1", "2"]]),
+        ("| a | b |\n|---|:-:|\n| 1 | |", [["a", "b"], ["1", ""]]),
+        ("a\tb\nplain\n-\t:-", [["a", "b"]]),
+        ("plain <table>", []),
+        (None, []),
+    ],
+)
+def test_table_rows(spark, text, want):
+    assert value(spark, T.table_rows(F.col("x").cast("string")), x=text) == want
+
+
+def test_json_of_replies(spark):
+    first = lambda x: value(spark, T.json_first(F.col("x")), x=x)
+    assert first('so: {"a": [1, "}"]} and {"b": 2}') == '{"a": [1, "}"]}' and first("```json\n[1, 2]\n```") == "[1, 2]" and first("none") is None and first('{"a"') is None
+    whole = lambda x: value(spark, T.json_whole(F.col("x")), x=x)
+    assert whole('x ```json\n{"a": 1}\n``` {"b": 2}') == '{"a": 1}' and whole('ok {"a": 1}.') == '{"a": 1}' and whole("[1]") is None and whole('{"a": 1} {"b": 2}') is None
+    judge = lambda x: value(spark, T.json_object(F.col("x")), x=x)
+    assert judge('```json\n{"a": 1}\n``` {"b": 2}') == '{"a": 1}' and judge('x {"a": 1} {"b": 2}') is None
+
+
+def test_metadata_is_scalar(spark):
+    assert value(spark, T.scalar(F.array(F.lit("é"), F.lit("b")), "array<string>")) == '["é","b"]' and value(spark, T.scalar(F.lit(3), "int")) == 3
 
 
 def test_reading_order_section_and_packing(spark):
@@ -69,10 +93,27 @@ def test_reading_order_section_and_packing(spark):
 
 def test_chunks_prefer_blocks_then_pages_then_markdown(spark):
     schema = f"doc_id long, blocks array<{layout.BLOCK}>, pages array<struct<page:int,text:string>>, markdown string"
-    rows = [(1, [("b", "text", "block text", 3, None, None)], [(1, "ignored")], "ignored"), (2, None, [(4, "# Title\nLegacy paragraph.")], "ignored"), (3, None, None, "only this"), (4, [], [], None)]
+    rows = [(1, [("b", "text", "block text", 3, None, None, [1.0, 2.0], "i", "p", "m")], [(1, "ignored")], "ignored"), (2, None, [(4, "# Title\nLegacy paragraph.")], "ignored"), (3, None, None, "only this"), (4, [], [], None)]
     got = {r.doc_id: r for r in layout.chunk_documents(spark.createDataFrame(rows, schema)).collect()}
     assert got[1].text == "block text" and got[1].page == 3 and got[2].page == 4 and got[2].section == "Title" and got[3].text == "only this" and 4 not in got
-    assert got[1].chunk_index == 0 and got[1].paragraph_index == 1
+    assert got[1].chunk_index == 0 and got[1].paragraph_index == 1 and (got[1].bbox, got[1].block_ids, got[1].image_id) == ("[1.0,2.0]", '["b"]', "i") and got[2].bbox is None and got[3].library_index == 0
+
+
+def test_long_blocks_and_markdown_are_split(spark):
+    """Against the plain splitter: layout blocks also behind semicolons, Markdown chunks numbered as pages with the section of those before."""
+    long = "; ".join(f"clause {k} of a long sentence" for k in range(120))
+    mark = "\n\n".join(f"## Part {k}\n" + " ".join(f"word{k}x{j}" for j in range(90)) + "." for k in range(6))
+    schema = f"doc_id long, blocks array<{layout.BLOCK}>, pages array<{layout.PAGE}>, markdown string"
+    rows = [(1, [("b", "text", long, 1, None, None, None, None, None, None)], None, ""), (2, None, None, mark)]
+    got = layout.chunk_documents(spark.createDataFrame(rows, schema), target=300, most=500, overlap=50).orderBy("doc_id", "chunk_index").collect()
+    assert [r.text for r in got if r.doc_id == 1] == T.recursive_split(long, 500, 50, T.BLOCK_SEPARATORS)
+    pieces = T.recursive_split(mark, 300, 50)
+    section, want = layout.BODY, []
+    for k, piece in enumerate(pieces, 1):
+        head = piece.strip().splitlines()[0]
+        section = head.lstrip("# ") if head.startswith("## ") else head if len(head) <= 40 and head[-1] not in "。.，,；;" else section
+        want.append((k, section, piece))
+    assert [(r.page, r.section, r.text) for r in got if r.doc_id == 2] == want and len(want) > 10
 
 
 def test_continued_tables(spark):
@@ -86,7 +127,7 @@ def test_continued_tables(spark):
 
 def test_table_text(spark):
     rows = F.from_json(F.lit(json.dumps([["A", ""], ["1", "2"], ["", ""]])), "array<array<string>>")
-    assert value(spark, layout.table_text(F.lit("T"), F.lit(2), F.lit(3), rows, F.lit(""))) == "Table: T\nPages: 2-3\nColumns: A; \nRow 1: A=1; column=2"
+    assert value(spark, layout.table_text(F.lit("T"), F.lit(2), F.lit(3), rows, F.lit(""))) == "Table: T\nPages: 2-3\nColumns: A; \nRow 1: A=1; column=2\nRow 2: A=1; column=2"
     none = F.from_json(F.lit("[]"), "array<array<string>>")
     assert value(spark, layout.table_text(F.lit("T"), F.lit(2), F.lit(2), none, F.lit("raw"))) == "Table: T\nPages: 2\nContent:\nraw"
 
@@ -333,6 +374,13 @@ def test_plugin_changes_and_governance(spark, tmp_path):
     assert row.filename == "a.pdf" and row.tag == "t"
 
 
+def test_hashing_embedding(spark):
+    got = value(spark, P.hashing_embedding(F.col("x")), x="b a b")
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % P.DIMENSIONS
+    assert got[place("b")] == pytest.approx(2 / 5**0.5) and got[place("a")] == pytest.approx(1 / 5**0.5) and sum(x > 0 for x in got) == 2
+    assert not any(value(spark, P.hashing_embedding(F.col("x").cast("string")), x=None)) and len(got) == P.DIMENSIONS
+
+
 def test_embedding_batches(spark):
     sizes = []
     rows = spark.createDataFrame([(k, f"t{k}") for k in range(5)], "id long, text string").coalesce(1)
@@ -368,51 +416,45 @@ def test_rewriting_and_translation_context(spark):
 
     assert [r.search_query for r in P.rewritten(asked, rewrite).orderBy("question_id").collect()] == ["motor torque", "bread"]
     texts = ["motor torque is high", "bread and flour", "salt water"]
-    chunks = spark.createDataFrame([(k, t, P.hashed_vector(t)) for k, t in enumerate(texts)], "chunk_id long, text string, embedding array<float>")
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").withColumn("embedding", P.hashing_embedding(F.col("text")).cast("array<float>"))
     got = {r.question_id: r.context for r in P.translation_context(asked, chunks, key="question_id", text="question", hits=1).collect()}
     assert got == {1: texts[0], 2: texts[1]}
 
 
 def test_positions_of_all_documents(spark):
-    """More than the 500 of stable_key_order, over several partitions, and none."""
-    from pyspark.sql import functions as F
-
-    from scholium.operators import retrieval
-
+    """Over several partitions, and of none."""
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.struct(((F.col("id") * 7919) % 3001).alias("k")).alias("key")).repartition(7)
-    got = {r.doc_id: r.pos for r in retrieval.positions(rows, "key").collect()}
+    got = {r.doc_id: r.pos for r in R.positions(rows, "key").collect()}
     assert got == {d: n + 1 for n, d in enumerate(sorted(range(3000), key=lambda d: d * 7919 % 3001))}
-    assert retrieval.positions(rows.where("doc_id < 0"), "key").count() == 0
-
-
-def test_shown_texts_are_cut_where_the_reference_cuts(spark):
-    """Longer than the prefixes of external_context and shown_documents."""
-    from pyspark.sql import functions as F
-
-    from scholium import queries
-
-    sf = "/root/testdata/sf0.001"
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role <> 'user'")
-    longest = turns.orderBy(F.length("text").desc()).first()
-    got = {r.conv_id: r.context for r in queries.QUERIES["external_context_whole"](spark, sf).collect()}
-    assert 80 < len(longest.text) <= 8000 and longest.text in got[longest.conv_id]
-    shown = [r.shown for r in queries.QUERIES["shown_documents_whole"](spark, sf).collect()]
-    first = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 100").orderBy("doc_id").limit(4).collect()}
-    assert all(any(t[:2000] in s for s in shown) for t in first.values())
-
-
-def test_titles_after_implausible_lines(spark, tmp_path):
-    from scholium import queries
-
-    text = "\n".join(["", "Abstract", "1", "2", "3", "4", "5", "6", "7", "A plausible title of a paper"])
-    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [r.title for r in queries.QUERIES["title_argmax_plausible"](spark, str(tmp_path)).collect()] == ["A plausible title of a paper"]
-
-
-def test_every_window_finds_evidence_and_short_pages_have_none(spark):
-    from scholium import queries
-
-    sf = "/root/testdata/sf0.001"
-    got = queries.QUERIES["locate_evidence_all"](spark, sf).collect()
-    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert {r.width for r in got} == {180, 110, 70, None}
+    assert R.positions(rows.where("doc_id < 0"), "key").count() == 0
+
+
+def test_running_sums_and_percentiles_of_a_hot_group(spark):
+    """A group that spans all ranges, small ones, and one without a name."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 < 8, F.lit("hot")).when(F.col("id") % 10 == 8, F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), "id", ((F.col("id") * 37) % 101).cast("double").alias("v"))
+    plain = {}
+    for r in rows.orderBy("id").collect():
+        n, total = plain.get((r.g, None), (0, 0.0))
+        plain[r.g, r.id], plain[r.g, None] = (n + 1, total), (n + 1, total + r.v)
+    got = ordered.running(rows.repartition(9), by=["g"], order=[F.col("id")], value=F.col("v"))
+    assert {(r.g, r.id): (r._n, r._before) for r in got.collect()} == {k: v for k, v in plain.items() if k[1] is not None}
+    for r in ordered.percentiles(rows, group="g", value="v").collect():
+        values = sorted(x.v for x in rows.collect() if x.g == r.g)
+        assert (r.p50, r.p95, r.p99) == tuple(values[round(p * (len(values) - 1))] for p in (0.5, 0.95, 0.99))
+
+
+def test_titles_after_implausible_lines(spark):
+    pages = [(1, "\n".join(["", "Abstract", "1", "2", "3", "4", "5", "6", "7", "A plausible title of a paper"])), (2, "Other words of a page")]
+    rows = spark.createDataFrame([(1, "download_1.pdf", [pages[1], pages[0]]), (2, "a/My file name.pdf", [(1, "Journal of Applied Energy\nA Semi-Superconducting Synchronous Motor Design\nAlice Zhang and Bob Li\nAbstract")]), (3, "a/No title.pdf", None)], f"id long, filename string, pages array<{layout.PAGE}>")
+    got = {r.id: r.title for r in layout.paper_titles(rows, doc="id", filename="filename").collect()}
+    assert got == {1: "A plausible title of a paper", 2: "A Semi-Superconducting Synchronous Motor Design", 3: "No title"}
+
+
+def test_titles_of_headings_and_large_lines(spark):
+    block = lambda kind, text, order, page=1: ("b", kind, text, page, None, float(order), None, None, None, None)
+    headings = [block("heading", "High-Temperature Superconducting Motors for Aviation", 0), block("heading", "1 Introduction", 3)]
+    split = [block("title", "High-Temperature Superconducting", 0), block("title", "Motors for Aviation and Ships", 1), block("text", "no heading of any kind", 2)]
+    lines = [(20.0, 100.0, "A Title in Large Letters"), (8.0, 50.0, "small words above the title"), (20.0, 700.0, "Large Words Too Far Below")]
+    rows = spark.createDataFrame([(1, "a.pdf", headings, None, None), (2, "a.pdf", split, None, None), (3, "a.pdf", None, "Words of its properties", lines), (4, "a.pdf", None, "Words of its properties", None)], f"id long, filename string, blocks array<{layout.BLOCK}>, metadata_title string, lines array<struct<size:double,y:double,text:string>>").withColumn("page_height", F.lit(800.0))
+    got = {r.id: r.title for r in layout.paper_titles(rows, doc="id", filename="filename").collect()}
+    assert got == {1: "High-Temperature Superconducting Motors for Aviation", 2: "High-Temperature Superconducting Motors for Aviation and Ships", 3: "A Title in Large Letters", 4: "Words of its properties"}
