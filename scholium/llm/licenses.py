@@ -4,10 +4,10 @@ Words are runs of letters and digits in lower case (bytes from 0x80 up count as
 Each template has a level: windows of the smallest power of two of shingles whose half holds 1.25 times the
 template's shingles, at strides of half a window. A copy of the template then lies in one window, and with a
 containment of 0.8 their Jaccard similarity is 0.8 / 5.2 = 0.15 at least. With 48 bands of one row the chance to
-miss such a window is below (1 - 0.15) ** 48 = 0.0004. A level's templates stand in one table for each band, sorted by
-their minima, where windows look their own minima up; so retrieval costs the logarithm of the number of templates. A
-window that meets a template in a band is verified: the share of the template's shingles, compared as words, that occur
-in the window must reach the threshold.
+miss such a window is below (1 - 0.15) ** 48 = 0.0004. A level has one table from (band, minimum) to templates, in
+which windows look their minima up, those that a row of bits does not rule out; so retrieval costs the same for any
+number of templates. A window that meets a template in a band is verified: the share of the template's shingles, compared
+as words, that occur in the window must reach the threshold.
 
 Defined cases: null, empty and wordless texts, and those of fewer than five words, have no notice. Repeated rows each
 give a row. Templates of fewer than five words are refused; without templates nothing is found. Columns that carry an output's name are replaced, all
@@ -33,6 +33,8 @@ CONTAINMENT = 0.8
 #: Shingles in the smallest windows' strides.
 STRIDE = 4
 PIECE = 1 << 16
+#: Bits of a minimum by which windows are ruled out before the table of bands is asked.
+LOW_BITS = 18
 
 #: What is looked for where nothing else is given.
 TEMPLATES = NOTICES | TEXTS
@@ -52,6 +54,7 @@ _AT = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _MIX = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_A = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_B = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_BAND_ROWS = np.arange(BANDS, dtype=np.uint32) << np.uint32(LOW_BITS)
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -109,12 +112,17 @@ class Matcher:
                 size *= 2
             levels.setdefault(size, []).append(k)
         self.largest = max(levels, default=0)
-        # by level, for each band: the templates' minima, sorted, and whose they are
-        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        # by level: the templates that have a minimum in a band; and which low bits of minima there are in each band, in
+        # one row, so that nearly all windows need no look-up
+        self.tables: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.marks: dict[int, np.ndarray] = {}
         for size, own in levels.items():
-            values = np.array([minima[k] for k in own])
-            orders = np.argsort(values, axis=0, kind="stable")
-            self.tables[size] = [(values[orders[:, b], b], np.array(own)[orders[:, b]]) for b in range(BANDS)]
+            table, marks = {}, np.zeros(BANDS << LOW_BITS, bool)
+            for k in own:
+                for band, value in enumerate(minima[k].tolist()):
+                    table.setdefault((band, value), []).append(k)
+                    marks[(band << LOW_BITS) + (value & ((1 << LOW_BITS) - 1))] = True
+            self.tables[size], self.marks[size] = table, marks
 
     def find(self, text: bytes) -> list[tuple[int, int, int, float]]:
         """(template, first byte, last byte + 1, containment), merged where those of a template overlap."""
@@ -148,10 +156,10 @@ class Matcher:
         while size <= self.largest:
             paired = np.minimum(least, np.vstack([least[1:], least[-1:]]))  # windows of two strides
             met = set()
-            for band, (values, owners) in enumerate(self.tables.get(size, ())):
-                left, right = np.searchsorted(values, paired[:, band], "left"), np.searchsorted(values, paired[:, band], "right")
-                for w in np.flatnonzero(left < right).tolist():
-                    met.update((w, t) for t in owners[left[w] : right[w]].tolist())
+            if size in self.tables:
+                rows, bands = np.nonzero(self.marks[size][_BAND_ROWS + (paired & np.uint32((1 << LOW_BITS) - 1))])
+                for w, band, value in zip(rows.tolist(), bands.tolist(), paired[rows, bands].tolist(), strict=True):
+                    met.update((w, t) for t in self.tables[size].get((band, value), ()))
             for w, template in sorted(met):
                 yield w * size // 2, size, template
             least, size = paired[::2], size * 2
