@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shortened, squash
+from ..functions.text import clean_markup, shortened
 
 S2 = "struct<data:array<struct<paperId:string,title:string,abstract:string,year:int,authors:array<struct<name:string>>,venue:string,url:string,externalIds:struct<DOI:string>,citationCount:int,publicationDate:string,openAccessPdf:struct<url:string>>>>"
 OPENALEX = "struct<results:array<struct<id:string,display_name:string,doi:string,publication_year:int,is_retracted:boolean,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<display_name:string>>>,primary_location:struct<source:struct<display_name:string>,landing_page_url:string>,cited_by_count:int>>>"
@@ -36,16 +36,14 @@ def attributed(url: Column) -> Column:
 
 
 def cleaned(text: Column, most: int) -> Column:
-    """Tags as spaces, the five entities resolved, white space squashed, cut to `most` characters."""
-    plain = F.coalesce(text, F.lit(""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return shortened(squash(F.regexp_replace(plain, r"<[^>]+>", " ")), most)
+    """Character references resolved, tags as spaces, white space squashed, cut to `most` characters."""
+    return shortened(clean_markup(text), most)
 
 
 def rebuild_abstract(index: Column) -> Column:
-    """Words by their positions 0 to 99,999; words at one position in the order of the words."""
-    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(F.filter(e["value"], lambda p: p.between(0, 99_999)), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    """Words by their positions 0 to 99,999; words at one position in the order of the index."""
+    placed = lambda e, i: F.transform(F.filter(e["value"], lambda p: p.between(0, 99_999)), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))
+    pairs = F.flatten(F.transform(F.map_entries(index), placed))
     return F.coalesce(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), F.lit(""))
 
 

@@ -13,13 +13,17 @@ from ..functions.vector import cosine
 from .ordered import running
 
 
-def char_budget(rows: DataFrame, *, group: str, order: str, text: str, budget: int = DEFAULTS.context_budget) -> DataFrame:
+def char_budget(rows: DataFrame, *, group: str, order: str, text: str, budget: int = DEFAULTS.context_budget, short_groups: bool = False) -> DataFrame:
     """Rows while fewer than `budget` characters came before them in their group; the crossing row is cut to fit.
 
     A budget of 0 or less is none. order: tells the rows of a group apart. Lengths are summed without the texts, which
-    then meet the few rows that are kept."""
+    then meet the few rows that are kept. short_groups: groups are known to be short, such as a question's candidates;
+    then one window does."""
     if budget <= 0:
         return rows
+    if short_groups:
+        before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.withColumn("_before", before).where(F.col("_before") < budget).withColumn(text, F.expr(f"substring({text}, 1, int({budget} - _before))")).drop("_before")
     lengths = rows.select(F.col(group).alias("_kept_group"), F.col(order).alias("_kept_order"), F.length(text).alias("_kept_length"))
     kept = running(lengths, by=["_kept_group"], order=[F.col("_kept_order")], value=F.col("_kept_length")).where(F.col("_before") < budget).select("_kept_group", "_kept_order", "_before")
     met = rows.join(kept, F.col(group).eqNullSafe(F.col("_kept_group")) & F.col(order).eqNullSafe(F.col("_kept_order")))
@@ -55,7 +59,9 @@ def sentence_filter(rows: DataFrame, similarity: Callable[[Column], Column], *,
 
 
 def compress(ranked: DataFrame, similarity: Callable[[Column], Column] | None, *, group: str, order: str, key: str, text: str, embedding: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """Duplicates, then sentences, then the budget; without embeddings or similarities only the budget."""
+    """Duplicates, then sentences, then the budget; without embeddings or similarities only the budget.
+
+    A group is a question's candidates, short by the k of their recall."""
     rows = ranked
     if embedding is not None:
         kept = greedy_dedup(ranked, group=group, order=order, key=key, embedding=embedding, threshold=settings.redundancy_threshold)
@@ -64,4 +70,4 @@ def compress(ranked: DataFrame, similarity: Callable[[Column], Column] | None, *
     if similarity is not None:
         short = sentence_filter(rows, similarity, key=[group, key], text=text, threshold=settings.sentence_threshold)
         rows = rows.drop(text).join(short.withColumnRenamed("text", text), [group, key])
-    return char_budget(rows, group=group, order=order, text=text, budget=settings.context_budget)
+    return char_budget(rows, group=group, order=order, text=text, budget=settings.context_budget, short_groups=True)

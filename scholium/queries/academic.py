@@ -87,6 +87,30 @@ def adapter_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.semantic_scholar(replies, body="body").select("external_id", "title", "publication_year", "url", "citation_count")
 
 
+@query("openalex_replies", "SELECT 'W' || doc_id AS external_id, 'T' || doc_id AS title, 'b a b' AS abstract, 'https://doi.org/10.1/' || doc_id AS doi, (1990 + doc_id % 30)::INT AS publication_year, lang AS venue, CASE WHEN doc_id % 2 = 0 THEN 'https://e.example.org/' || doc_id ELSE 'W' || doc_id END AS url FROM documents WHERE doc_id % 5 <> 0")
+def openalex_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with abstracts as inverted indexes; every fifth paper is retracted."""
+    i = F.col("doc_id")
+    d = i.cast("string")
+    source = F.struct(F.struct(F.col("lang").alias("display_name")).alias("source"), F.when(i % 2 == 0, F.concat(F.lit("https://e.example.org/"), d)).alias("landing_page_url"))
+    index = F.create_map(F.lit("a"), F.array(F.lit(1)), F.lit("b"), F.array(F.lit(0), F.lit(2)))
+    paper = F.struct(F.concat(F.lit("W"), d).alias("id"), F.concat(F.lit("T"), d).alias("display_name"), F.concat(F.lit("https://doi.org/10.1/"), d).alias("doi"), (1990 + i % 30).cast("int").alias("publication_year"), (i % 5 == 0).alias("is_retracted"), index.alias("abstract_inverted_index"), source.alias("primary_location"))
+    replies = table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.array(paper).alias("results"))).alias("body"))
+    return A.openalex(replies, body="body").select("external_id", "title", "abstract", "doi", "publication_year", "venue", "url")
+
+
+@query("crossref_replies", "SELECT '10.1/' || doc_id AS external_id, CASE WHEN doc_id % 4 <> 0 THEN 'T' || doc_id END AS title, CASE doc_id % 3 WHEN 0 THEN 2001 WHEN 1 THEN 2002 END::INT AS publication_year, 'G' || doc_id || ' F|Solo' AS authors, source AS venue, CASE WHEN doc_id % 2 = 0 THEN 'https://x.example.org/' || doc_id ELSE 'https://doi.org/10.1/' || doc_id END AS url FROM documents")
+def crossref_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies whose years stand in several places, with names in parts."""
+    i = F.col("doc_id")
+    d = i.cast("string")
+    date = lambda year: F.struct(F.array(F.array(F.lit(year), F.lit(1))).alias("date-parts"))
+    people = F.array(F.struct(F.concat(F.lit("G"), d).alias("given"), F.lit("F").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.lit("Solo").alias("family")), F.struct(F.lit("").alias("given"), F.lit("").alias("family")))
+    paper = F.struct(F.concat(F.lit("10.1/"), d).alias("DOI"), F.when(i % 4 != 0, F.array(F.concat(F.lit("T"), d))).otherwise(F.array().cast("array<string>")).alias("title"), people.alias("author"), F.when(i % 3 == 0, date(2001)).alias("published-print"), F.when(i % 3 == 1, date(2002)).alias("issued"), F.array("source").alias("container-title"), F.when(i % 2 == 0, F.concat(F.lit("https://x.example.org/"), d)).alias("URL"))
+    replies = table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.struct(F.array(paper).alias("items")).alias("message"))).alias("body"))
+    return A.crossref(replies, body="body").select("external_id", "title", "publication_year", F.array_join("authors", "|").alias("authors"), "venue", "url")
+
+
 @query("usable_evidence", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 8 AND doc_id % 2 = 0 AND doc_id % 3 <> 0")
 def usable_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -102,14 +126,35 @@ def external_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.outside_context(rows, question="conv_id", position="turn", source="role", content="text", allowed="allowed")
 
 
-@query("review_keep", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n IN (1, 3) AND conv_id % 4 IN (1, 2)")
+REVIEWS = {
+    "contradiction": '{"answerable": true, "coverage": "insufficient", "keep": [1]}', "refusal": 'No. {"answerable": false, "coverage": "insufficient", "keep": []} So be it.',
+    "kept": '```json\n{"answerable": true, "coverage": "direct", "keep": [3, 1, 99, 0, -1, true, 2.0, "2", 3]}\n```', "second": '{"answerable": true, "coverage": "scoped", "keep": [2]}', "texts": '{"answerable": true, "coverage": "direct", "keep": ["1"]}', "word": '{"answerable": "true", "coverage": "direct", "keep": [1]}',
+}
+
+
+def replies_of(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str | None]], texts: dict[str, str]) -> DataFrame:
+    """conv_id, first, second: the pairs of replies in turn."""
+    k = F.col("conv_id") % len(pairs)
+    pick = lambda side: F.get(F.array(*[F.lit(texts[p[side]] if p[side] else None).cast("string") for p in pairs]), k.cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", pick(0).alias("first"), pick(1).alias("second"))
+
+
+@query("review_keep", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, conv_id % 8 AS k FROM conversations) WHERE CASE k WHEN 0 THEN true WHEN 1 THEN n IN (1, 3) AND n <= 12 WHEN 2 THEN n = 2 WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN true WHEN 6 THEN true ELSE true END")
 def review_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as evidence; of the reviewers' replies a quarter contradicts itself and another finds nothing."""
-    turns = table(spark, sf_dir, "conversations")
-    i = F.col("conv_id") % 4
-    reply = F.when(i == 0, '{"answerable": true, "coverage": "insufficient", "keep": [1]}').when(i == 3, '{"answerable": false, "coverage": "insufficient"}').otherwise('```json\n{"answerable": true, "coverage": "direct", "keep": [1, 3, 99, 0, -1, true, "x"]}\n```')
-    replies = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("reply", reply)
-    return V.keep_evidence(turns, V.valid_reviews(replies, question="conv_id", reply="reply", n_documents="n"), question="conv_id", position="turn").select("conv_id", "turn")
+    """Turns as evidence. Reviews contradict themselves, keep some, refuse once or twice, fail the second time, keep by words, say yes in words, or are no JSON: what does not hold takes nothing away."""
+    pairs = [("contradiction", None), ("kept", None), ("refusal", "second"), ("refusal", "refusal"), ("refusal", "contradiction"), ("texts", None), ("word", None), ("none", None)]
+    replies = replies_of(spark, sf_dir, pairs, REVIEWS | {"none": "I cannot say."})
+    return V.reviewed_evidence(table(spark, sf_dir, "conversations"), replies, question="conv_id", position="turn").select("conv_id", "turn")
+
+
+@query("answer_review", "SELECT DISTINCT conv_id, CASE conv_id % 6 WHEN 0 THEN 'kept' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'refused' ELSE 'failed' END AS outcome, CASE conv_id % 6 WHEN 0 THEN 'As reviewed' WHEN 1 THEN 'Second' END AS answer FROM conversations")
+def answer_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of answers: mended, refused once or twice, blank, or of another type."""
+    texts = {"kept": '{"answerable": true, "coverage": "scoped", "answer": "  As reviewed\\n"}', "second": '{"answerable": true, "coverage": "direct", "answer": "Second"}', "refusal": REVIEWS["refusal"], "blank": '{"answerable": true, "coverage": "direct", "answer": " "}', "number": '{"answerable": true, "coverage": "direct", "answer": 3}'}
+    pairs = [("kept", None), ("refusal", "second"), ("refusal", "refusal"), ("blank", None), ("number", None), ("refusal", "blank")]
+    rows = replies_of(spark, sf_dir, pairs, texts).select("conv_id", V.answer_verdict(F.col("first")).alias("a"), V.answer_verdict(F.col("second")).alias("b"))
+    state = V.outcome(F.col("a.state"), F.col("b.state"))
+    return rows.select("conv_id", state.alias("outcome"), F.when(state == "kept", F.col("a.answer")).when(state == "confirmed", F.col("b.answer")).alias("answer"))
 
 
 @query("shown_documents", "SELECT source, string_agg('[' || n || '] ' || lang || chr(10) || substr(text, 1, 2000), chr(10) || chr(10) ORDER BY n) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 12 GROUP BY source")

@@ -357,10 +357,50 @@ def test_files_to_answers(spark, tmp_path):
     assert chunks.where("text LIKE '%12 units%'").count() == 0
     asked = spark.createDataFrame([(1, "What torque density do superconducting motors reach?"), (2, "xyzzy?")], "question_id long, question string")
     chosen = chunks.withColumn("page_end", F.col("page_end").cast("int"))
-    got = {r.question_id: r for r in P.answer(asked, chosen, P.Services(plan=lambda q: ["torque density"], review=lambda q, ts: [k for k, t in enumerate(ts) if "torque" in t and "torque" in q])).collect()}
-    assert not got[1].refused and "torque" in got[1].answer and "参考来源" in got[1].answer and got[2].refused
-    none = P.answer(asked, chosen, P.Services(check=lambda q, ts, a: False)).collect()
-    assert all(r.refused and r.answer == P.INSUFFICIENT for r in none)
+    keeping = lambda q, ts, n: json.dumps({"answerable": True, "coverage": "direct", "keep": [k for k, t in enumerate(ts, 1) if "torque" in t]} if "torque" in q else {"answerable": False, "coverage": "insufficient"})
+    got = {r.question_id: r for r in P.answer(asked, chosen, P.Services(plan=lambda q: ["torque density"], review_evidence=keeping)).collect()}
+    assert not got[1].refused and "torque" in got[1].answer and "参考来源" in got[1].answer and got[2].refused and got[1].queries == ["What torque density do superconducting motors reach", "torque density"]
+    none = P.answer(asked, chosen, P.Services(review_answer=lambda q, ts, d, n: '{"answerable": false, "coverage": "insufficient"}')).collect()
+    assert all(r.refused and r.answer == P.INSUFFICIENT and r.n_evidence == 0 and not r.degraded for r in none) and {r.rejection_stage for r in none} == {"answer_review"}
+
+
+REFUSED, KEPT = '{"coverage": "insufficient", "answerable": false, "keep": []}', '{"coverage": "direct", "answerable": true, "keep": [2]}'
+
+
+@pytest.mark.parametrize(
+    ("evidence", "answers", "want"),
+    [
+        ([KEPT], [None], ("draft: proof", True, None, ["answer review failed"], 1)),
+        ([REFUSED, KEPT], ['{"coverage": "direct", "answerable": true, "answer": " mended "}'], ("mended", True, None, ["evidence confirmed by a second opinion"], 1)),
+        ([REFUSED, REFUSED], [], (P.INSUFFICIENT, False, "evidence_review", [], 0)),
+        ([REFUSED, "what?"], [REFUSED, REFUSED], (P.INSUFFICIENT, True, "answer_review", ["evidence review failed"], 0)),
+        ([None], [REFUSED, '{"coverage": "scoped", "answerable": true, "answer": "less"}'], ("less", True, None, ["evidence review failed", "answer confirmed by a second opinion"], 2)),
+    ],
+)
+def test_reviews_and_second_opinions(spark, evidence, answers, want):
+    """None: the reviewer is down."""
+    texts = ["noise about motors", "proof about motors"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").withColumns({"embedding": P.hashing_embedding(F.col("text")).cast("array<float>"), "doc_id": F.col("chunk_id") + 1, "library_index": F.lit(1), "paper_title": F.lit("T"), "filename": F.lit("a.pdf"), "page": F.lit(1), "page_end": F.lit(1), "section": F.lit("s"), "paragraph_index": F.lit(1)})
+
+    def say(replies, n):
+        if replies[n - 1] is None:
+            raise RuntimeError("down")
+        return replies[n - 1]
+
+    services = P.Services(
+        review_evidence=lambda q, ts, n: say(evidence, n).replace("[2]", str([k for k, t in enumerate(ts, 1) if "proof" in t])), write=lambda q, ts: "draft: " + ts[-1].split()[0], review_answer=lambda q, ts, d, n: say(answers, n)
+    )
+    row = P.answer(spark.createDataFrame([(1, "motors?")], "question_id long, question string"), chunks, services).first()
+    assert (row.answer, row.degraded, row.rejection_stage, row.warnings, row.n_evidence) == want
+
+
+def test_failing_plans_and_writers(spark):
+    chunks = spark.createDataFrame([(1, "motors turn")], "chunk_id long, text string").withColumns({"embedding": P.hashing_embedding(F.col("text")).cast("array<float>"), "doc_id": F.lit(1), "library_index": F.lit(1), "paper_title": F.lit("T"), "filename": F.lit("a.pdf"), "page": F.lit(1), "page_end": F.lit(1), "section": F.lit("s"), "paragraph_index": F.lit(1)})
+    asked = spark.createDataFrame([(1, "motors?"), (2, "Motors ？")], "question_id long, question string")
+    down = lambda *a: 1 / 0
+    rows = P.answer(asked, chunks, P.Services(plan=down, write=down, baseline=lambda q, ts: f"plain {len(ts)}")).collect()
+    assert {(r.answer, r.refused, tuple(r.warnings), tuple(r.queries)) for r in rows} == {("plain 1", False, ("planning failed", "writer failed"), ("motors",)), ("plain 1", False, ("planning failed", "writer failed"), ("Motors",))}
+    assert all(r.refused and r.answer == P.INSUFFICIENT for r in P.answer(asked, chunks, P.Services(write=down)).collect())
 
 
 def test_plugin_changes_and_governance(spark, tmp_path):
