@@ -22,49 +22,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+#: Bytes of queries that go out in one broadcast.
+QUERY_BYTES = 128 << 20
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vector_id: str, embedding: str = "embedding", metric: str = "cosine", exclude_self: bool = False, block: int = 4096, digits: int = 6) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vector_id: str, embedding: str = "embedding", metric: str = "cosine", exclude_self: bool = False, block: int = 4096, query_bytes: int = QUERY_BYTES, digits: int = 6) -> DataFrame:
     """query_id, vector_id, score, rank: the k best vectors of each query, ties by vector_id.
 
-    Queries go out in broadcast blocks of checked size; a task multiplies a block with its rows by matrix and passes
-    on only what may be among the k best, so the shuffle carries k rows for each query and task. Cosine: higher is
-    better; l2 (squared): lower. Rows without an embedding match nothing."""
+    Queries go out in broadcasts of a checked size, one scan of the vectors for each (for 64 numbers, 260,000 queries);
+    a task multiplies a block of queries with its rows by matrix and passes on only what may be among the k best, so the
+    shuffle carries k rows for each query and task. Cosine: higher is better; l2 (squared): lower. Rows without an
+    embedding match nothing."""
     spark = ready(vectors.sparkSession)
-    rows = queries.where(F.col(embedding).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(embedding).alias("e")).orderBy("q")
-    total = rows.count()
-    found = None
+    rows = queries.where(F.col(embedding).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(embedding).alias("e"))
+    size = rows.agg(F.sum(F.size("e") * 8 + 8)).first()[0] or 0
+    slices, found = max(1, -(-size // query_bytes)), None
     plain = vectors.where(F.col(embedding).isNotNull()).select(F.col(vector_id).cast("long").alias("v"), F.col(embedding).alias("e"))
-    for first in range(0, max(total, 1), block):
-        part = rows.offset(first).limit(block).collect()  # `block` vectors
+    for k_slice in range(slices):
+        part = (rows.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == k_slice) if slices > 1 else rows).collect()  # query_bytes, or about that
         ids, matrix = np.array([r["q"] for r in part], np.int64), np.array([r["e"] for r in part], np.float64)
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            norms = np.linalg.norm(matrix, axis=1) if len(ids) else np.zeros(0)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
+            all_ids, all_rows = shared.value
+            for batch in batches if len(all_ids) else ():
+                if not batch.num_rows:
                     continue
                 v = batch.column(0).to_numpy()
-                width = matrix.shape[1]
-                e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                products = matrix @ e.T
+                e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, all_rows.shape[1])
                 own = np.linalg.norm(e, axis=1)
-                if metric == "cosine":
-                    scale = np.outer(norms, own)
-                    scores = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
-                else:
-                    scores = -((norms**2)[:, None] + (own**2)[None] - 2 * products)
-                scores = np.round(scores, digits)
-                if exclude_self:
-                    scores[ids[:, None] == v[None]] = -np.inf
-                keep = min(k, len(v))
-                worst = np.partition(scores, len(v) - keep, axis=1)[:, len(v) - keep]
-                q, at = np.nonzero((scores >= worst[:, None]) & np.isfinite(scores))  # ties stay for the ids to decide
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v[at]), pa.array(scores[q, at] * (1 if metric == "cosine" else -1))], names=["q", "v", "score"])
+                for first in range(0, len(all_ids), block):
+                    ids, rows = all_ids[first : first + block], all_rows[first : first + block]
+                    norms, products = np.linalg.norm(rows, axis=1), rows @ e.T
+                    if metric == "cosine":
+                        scale = np.outer(norms, own)
+                        scores = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
+                    else:
+                        scores = -((norms**2)[:, None] + (own**2)[None] - 2 * products)
+                    scores = np.round(scores, digits)
+                    if exclude_self:
+                        scores[ids[:, None] == v[None]] = -np.inf
+                    keep = min(k, len(v))
+                    worst = np.partition(scores, len(v) - keep, axis=1)[:, len(v) - keep]
+                    q, at = np.nonzero((scores >= worst[:, None]) & np.isfinite(scores))  # ties stay for the ids to decide
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v[at]), pa.array(scores[q, at] * (1 if metric == "cosine" else -1))], names=["q", "v", "score"])
 
         got = plain.mapInArrow(search, "q long, v long, score double")
         found = got if found is None else found.unionByName(got)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import difflib
+import math
 import re
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import clamp01, content_hash
+from ..functions.vector import cosine
 
 #: Types and subtypes, labels of secrets, signs of negation, cues of questions and of self-disclosure.
 TYPES = ("semantic", "episodic")
@@ -88,14 +91,23 @@ def touch(memories: DataFrame, used: DataFrame, now: Column, *, key: str = "id")
     return met.withColumn("access_count", F.when(active, F.col("access_count") + 1).otherwise(F.col("access_count"))).withColumn("last_accessed", F.when(active, now).otherwise(F.col("last_accessed"))).drop("_k")
 
 
+#: Existing rows of one user and type that one task compares with a candidate.
+ROWS_PER_SALT = 50_000
+
+
 def write_decisions(candidates: DataFrame, existing: DataFrame, similarity: Column, *, threshold: float = 0.92) -> DataFrame:
     """candidate_id, action, target_id, superseded_id for candidates that do not depend on one another.
 
     candidates: candidate_id, c_user, c_type, c_key, c_hash, c_negated; existing: id, user, type, key, hash, negated,
     updated_at (active ones). similarity: over the columns of both. The best existing row of the same type is that of
-    equal content, else the most similar; it is a duplicate from the threshold on if both or neither negate."""
-    same = (F.col("c_user") == F.col("user")) & (F.col("c_type") == F.col("type"))
-    met = candidates.join(existing, same, "left")
+    equal content, else the most similar; it is a duplicate from the threshold on if both or neither negate. A candidate
+    goes to as many tasks as the rows of its user and type fill, and brings one row back from each."""
+    sizes = existing.groupBy(F.col("user").alias("_user"), F.col("type").alias("_type")).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > ROWS_PER_SALT).select("_user", "_type", F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    own = existing.join(large, (F.col("user") == F.col("_user")) & (F.col("type") == F.col("_type")), "left").withColumn("_salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("_user", "_type", "_salts")
+    asked = candidates.join(large, (F.col("c_user") == F.col("_user")) & (F.col("c_type") == F.col("_type")), "left").withColumn("_c_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_user", "_type", "_salts")
+    met = asked.join(own, (F.col("c_user") == F.col("user")) & (F.col("c_type") == F.col("type")) & (F.col("_c_salt") == F.col("_salt")), "left")
     sim = F.when(F.col("c_hash") == F.col("hash"), 1.0).otherwise(F.round(similarity, 6))
     best = F.max(F.when(F.col("id").isNotNull(), F.struct(sim.alias("s"), (-F.col("id")).alias("i"), (F.col("negated") == F.col("c_negated")).alias("agree"))))
     own_key = F.max(F.when(F.col("key") == F.col("c_key"), F.struct("updated_at", "id")))
@@ -106,39 +118,92 @@ def write_decisions(candidates: DataFrame, existing: DataFrame, similarity: Colu
     return found.select("candidate_id", F.when(merge, "merge").otherwise("insert").alias("action"), F.when(merge, dup_id).alias("target_id"), F.when(~merge, F.col("own.id")).alias("superseded_id"))
 
 
-def update_in_order(state: DataFrame, candidates: DataFrame, *, user: str, threshold: float = 0.92) -> DataFrame:
-    """The memories of each user after its candidates, one after the other, each seeing what those before it did.
-
-    state: user, id, content, memory_type, memory_key, importance, confidence, is_active, superseded_by; candidates:
-    user, ord, content, memory_type, memory_key, importance, confidence. Similarity is the matching-blocks ratio."""
-    columns = ["id", "content", "memory_type", "memory_key", "importance", "confidence", "is_active", "superseded_by"]
-    bare = lambda t: re.sub(r"[\W_]+", "", t).lower()
-    negated = lambda t: any(w in t.lower() for w in NEGATIONS)
+#: Columns of a memory, beside its user.
+MEMORY = "id long, content string, memory_type string, memory_key string, importance double, confidence double, embedding array<double>, session_id long, expires_at timestamp, updated_at timestamp, is_active boolean, superseded_by long"
+
+
+def _bare(text: str) -> str:
+    return re.sub(r"[\W_]+", "", text).lower()
+
+
+def _alike(one: dict, two: dict) -> float:
+    """1 for equal contents; the cosine of the embeddings where both have one, else the ratio of matching blocks."""
+    if _bare(one["content"]) == _bare(two["content"]):
+        return 1.0
+    a, b = one["embedding"], two["embedding"]
+    if a is not None and b is not None and len(a) == len(b):
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
+    return difflib.SequenceMatcher(None, _bare(one["content"]), _bare(two["content"])).ratio()
+
+
+class _Memories:
+    """One user's memories while candidates come in, and what was done."""
+
+    def __init__(self, rows: list[dict], now: pd.Timestamp, threshold: float, keep_days: float):
+        self.now, self.threshold, self.until = now, threshold, now + pd.Timedelta(days=keep_days)
+        # the latest update first, as they are looked through; new ones go behind
+        self.live = sorted((r for r in rows if r["is_active"]), key=lambda r: (r["updated_at"] or pd.Timestamp.min, r["id"]), reverse=True)
+        self.rows, self.actions, self.next_id = rows, [], max((r["id"] for r in rows), default=0) + 1
+
+    def take(self, c: dict) -> None:
+        same = [r for r in self.live if r["memory_type"] == c["memory_type"]]
+        equal = next((r for r in same if _bare(r["content"]) == _bare(c["content"])), None)
+        likes = [(_alike(c, r), r) for r in same] if equal is None else [(1.0, equal)]
+        like, best = max(likes, key=lambda x: x[0], default=(0.0, None))  # of equals the first
+        owner = next((r for r in same if c["memory_key"] and r["memory_key"] == c["memory_key"]), None)
+        negated = lambda r: any(w in r["content"].lower() for w in NEGATIONS)
+        double = best if best is not None and like >= self.threshold and negated(best) == negated(c) else None
+        expiry = self.until if c["memory_type"] == "episodic" else None
+        if double is not None and (owner is None or owner is double):
+            double |= {"importance": min(1.0, max(double["importance"], c["importance"]) + 0.03), "confidence": max(double["confidence"], c["confidence"]), "session_id": c["session_id"], "updated_at": self.now}
+            double |= {"embedding": double["embedding"] if double["embedding"] is not None else c["embedding"], "expires_at": expiry or double["expires_at"]}
+            self.actions.append("merged")
+            return
+        fresh = c | {"id": self.next_id, "expires_at": expiry, "updated_at": self.now, "is_active": True, "superseded_by": None}
+        self.next_id += 1
+        self.rows.append(fresh)
+        self.actions.append("inserted")
+        if owner is not None:
+            owner |= {"is_active": False, "superseded_by": fresh["id"], "updated_at": self.now}
+            self.live = [r for r in self.live if r is not owner]
+            self.actions.append("superseded")
+        self.live.append(fresh)
+
+
+def update_in_order(state: DataFrame, candidates: DataFrame, *, user: str, now: datetime.datetime, threshold: float = 0.92, keep_days: float = DEFAULTS.episodic_max_idle_days) -> DataFrame:
+    """The memories of each user after its candidates, one after the other, each seeing what those before it did, and
+    what was done: inserted, merged, superseded, a number for each user.
+
+    state: user and the columns of MEMORY; candidates: user, ord, content, memory_type, memory_key, importance,
+    confidence, and embedding and session_id where there are such. Episodic memories expire keep_days after now, also when
+    they are merged. A user's memories are held by one task; how candidates meet depends on their order."""
+    fields = [x.split(" ")[0] for x in MEMORY.split(", ")]
+    at = pd.Timestamp(now)
+
+    def records(frame: pd.DataFrame, order: str) -> list[dict]:
+        rows = frame.sort_values(order).to_dict("records") if len(frame) else []
+        clean = lambda v: None if v is None or (not isinstance(v, (list, tuple)) and not hasattr(v, "shape") and pd.isna(v)) else v
+        return [{f: clean(r.get(f)) for f in fields} for r in rows]
 
     def fold(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        rows = old.sort_values("id")[columns].to_dict("records") if len(old) else []
-        for c in new.sort_values("ord").to_dict("records"):
-            live = [r for r in rows if r["is_active"] and r["memory_type"] == c["memory_type"]]
-            sims = [(1.0 if bare(r["content"]) == bare(c["content"]) else difflib.SequenceMatcher(None, bare(c["content"]), bare(r["content"])).ratio(), -r["id"], r) for r in live]
-            top = max(sims, key=lambda s: s[:2], default=None)
-            dup = top[2] if top and top[0] >= threshold and negated(top[2]["content"]) == negated(c["content"]) else None
-            own = next((r for r in reversed(live) if c["memory_key"] and r["memory_key"] == c["memory_key"]), None)
-            if dup is not None and (own is None or own is dup):
-                dup |= {"importance": min(1.0, max(dup["importance"], c["importance"]) + 0.03), "confidence": max(dup["confidence"], c["confidence"])}
-                continue
-            fresh = {k: c.get(k) for k in columns} | {"id": max((r["id"] for r in rows), default=0) + 1, "is_active": True, "superseded_by": None}
-            rows.append(fresh)
-            if own is not None:
-                own |= {"is_active": False, "superseded_by": fresh["id"]}
-        out = pd.DataFrame(rows, columns=columns)
-        out["superseded_by"] = out["superseded_by"].astype("Int64")
+        own = _Memories(records(old, "id"), at, threshold, keep_days)
+        for c in records(new, "ord"):
+            own.take(c)
+        out = pd.DataFrame(own.rows, columns=fields)
+        for c in ("superseded_by", "session_id"):
+            out[c] = out[c].astype("Int64")
+        for c in ("expires_at", "updated_at"):
+            out[c] = pd.to_datetime(out[c])
+        for c in ("inserted", "merged", "superseded"):
+            out[c] = own.actions.count(c)
         out.insert(0, user, key[0])
         return out
 
     kind = state.schema[user].dataType.simpleString()
-    schema = f"{user} {kind}, id long, content string, memory_type string, memory_key string, importance double, confidence double, is_active boolean, superseded_by long"
     candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])  # own columns, also where both come from one table
-    return state.groupBy(user).cogroup(candidates.groupBy(user)).applyInPandas(fold, schema)
+    whole = state.select(F.col(user), *[(F.col(c.split(" ", 1)[0]) if c.split(" ", 1)[0] in state.columns else F.lit(None)).cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) for c in MEMORY.split(", ")])
+    return whole.groupBy(user).cogroup(candidates.groupBy(user)).applyInPandas(fold, f"{user} {kind}, {MEMORY}, inserted int, merged int, superseded int")
 
 
 def memory_context(memories: DataFrame, *, group: str) -> DataFrame:
@@ -155,6 +220,20 @@ def format_memories(memories: DataFrame, *, group: str) -> DataFrame:
     return memories.groupBy(group).agg(F.array_join(listed, "\n").alias("text"))
 
 
+def relevant_turns(turns: DataFrame, *, embedding: str, asked: str, threshold: float) -> DataFrame:
+    """Messages of a window (see recent_turns) that are like what is asked (a column of each row); all where there is no
+    embedding of it."""
+    like = cosine(F.col(embedding), F.col(asked))
+    return turns.where(F.col(asked).isNull() | (F.round(like, 6) >= threshold))
+
+
+def session_library(sessions: DataFrame, given: DataFrame, *, session: str, group: str) -> DataFrame:
+    """session, group: the library that a request names, else that of its session; null where neither is known."""
+    known = sessions.select(F.col(session).alias("_s"), F.col(group).alias("_g"))
+    met = given.join(known, F.col(session) == F.col("_s"), "left")
+    return met.select(session, F.coalesce(group, "_g").alias(group))
+
+
 def recent_turns(messages: DataFrame, *, session: str, order: str, turns: int) -> DataFrame:
     """The last 2 * turns messages of each session, with their position (from 1) in order."""
     last = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))

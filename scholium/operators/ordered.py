@@ -40,3 +40,18 @@ def percentiles(rows: DataFrame, *, group: str, value: str, ps: tuple[float, ...
     wanted = n.select("_key", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.bround(F.lit(p) * (F.col("_count") - 1)) + 1).cast("long").alias("at")) for k, p in enumerate(ps)])).alias("w")).select("_key", "w.k", "w.at")
     met = placed.join(wanted, F.col(group).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("at")))  # as many rows as percentiles
     return met.groupBy(group).agg(*[F.max(F.when(F.col("k") == k, F.col(value))).alias(f"p{round(p * 100)}") for k, p in enumerate(ps)])
+
+
+def carried(rows: DataFrame, *, by: list[str], order: list[Column], value: Column) -> DataFrame:
+    """rows with _carried: the last value that is not null, of the row itself or those before it in its group."""
+    keys = [F.col(f"`{c}`") for c in by]
+    dealt = rows.withColumn("_value", value).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    shared_dir(rows.sparkSession)
+    placed = dealt.withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True).withColumns({"_part": F.shiftright("_id", 33), "_group": F.struct(*keys)})
+    inside = Window.partitionBy("_part", "_group").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = placed.withColumn("_own", F.last("_value", ignorenulls=True).over(inside))
+    ends = placed.groupBy("_part", "_group").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_id"))).alias("_last"))
+    past = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col("_part").alias("_p"), F.col("_group").alias("_g"), F.last("_last", ignorenulls=True).over(past).alias("_prior"))
+    met = within.join(before, (F.col("_part") == F.col("_p")) & F.col("_group").eqNullSafe(F.col("_g")))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("_own", "_prior").alias("_carried"))

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried
+
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: str, at: str, values: list[str]) -> DataFrame:
     """left with the values of the last row of right of the same key at or before its time; no time twice in a key of right.
 
-    One sort by key and time and a carried value: a key's rows stream through a task, none is paired with another."""
+    One sort by key and time, in ranges, and a carried value: none is paired with another, and a frequent key lies in as
+    many ranges as it fills."""
     l = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType)).withColumn("_row", F.struct(*left.columns))
     r = right.select(F.col(by), F.col(at), F.lit(0).alias("_side"), F.struct(*values).alias("_v"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
     both = l.select(by, at, "_side", "_v", "_row").unionByName(r)
-    carried = F.last("_v", ignorenulls=True).over(Window.partitionBy(by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_got", carried).where("_side = 1").select("_row.*", *[F.col(f"_got.{v}").alias(v) for v in values])
+    got = carried(both, by=[by], order=[F.col(at), F.col("_side")], value=F.col("_v"))
+    return got.where("_side = 1").select("_row.*", *[F.col(f"_carried.{v}").alias(v) for v in values])
 
 
 def range_join(points: DataFrame, intervals: DataFrame, *, value: str, low: str, high: str, width: float) -> DataFrame:

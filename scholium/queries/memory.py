@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
 from ..operators import memory as M
+from ..plans.answer import hashing_embedding
 from ..session import table
 
 QUERIES: dict = {}
@@ -98,11 +101,38 @@ def mem_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mem_update_in_order")
 def mem_update_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's user turns as candidates, folded in order over its first turn."""
+    """Each conversation's user turns as candidates, folded in order over its first turn; a third have embeddings. How
+    alike texts are is no SQL function, and each step sees what those before it did."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    shaped = turns.select(F.col("conv_id").alias("user_id"), F.col("turn"), F.concat(F.lit("用户"), "text").alias("content"), F.lit("semantic").alias("memory_type"), F.concat(F.lit("k"), (F.col("turn") % 4).cast("string")).alias("memory_key"), F.lit(0.6).alias("importance"), F.lit(0.7).alias("confidence"))
-    state = shaped.where("turn = 0").select("user_id", F.lit(1).cast("long").alias("id"), "content", "memory_type", "memory_key", "importance", "confidence", F.lit(True).alias("is_active"), F.lit(None).cast("long").alias("superseded_by"))
-    return M.update_in_order(state, shaped.where("turn > 0").withColumnRenamed("turn", "ord"), user="user_id").drop("content")
+    kind = F.when(F.col("conv_id") % 2 == 0, "semantic").otherwise("episodic")
+    vector = F.when(F.col("conv_id") % 3 == 0, hashing_embedding(F.col("text")))
+    shaped = turns.select(F.col("conv_id").alias("user_id"), "turn", F.concat(F.lit("用户"), "text").alias("content"), kind.alias("memory_type"), F.concat(F.lit("k"), (F.col("turn") % 4).cast("string")).alias("memory_key"), F.lit(0.6).alias("importance"), F.lit(0.7).alias("confidence"), vector.alias("embedding"), F.col("turn").alias("session_id"))
+    state = shaped.where("turn = 0").withColumns({"id": F.lit(1).cast("long"), "is_active": F.lit(True), "updated_at": F.lit(datetime.datetime(2024, 1, 1))})
+    done = M.update_in_order(state, shaped.where("turn > 0").withColumnRenamed("turn", "ord"), user="user_id", now=datetime.datetime(2024, 6, 1))
+    return done.drop("content", "embedding")
+
+
+@query("session_libraries", "SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 0 THEN 7 WHEN conv_id % 4 <> 0 THEN conv_id % 5 END AS library FROM conversations")
+def session_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library of each conversation: what the request names, else that of its session, which a quarter lack."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    sessions = ids.where("conv_id % 4 <> 0").select("conv_id", (F.col("conv_id") % 5).alias("library"))
+    asked = ids.select("conv_id", F.when(F.col("conv_id") % 3 == 0, F.lit(7).cast("long")).alias("library"))
+    return M.session_library(sessions, asked, session="conv_id", group="library")
+
+
+@query("relevant_turns", """WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT count(*) AS m FROM embeddings)
+SELECT conv_id, turn FROM r, m JOIN v AS a ON a.vec_id = (conv_id * 31 + turn) % m JOIN v AS b ON b.vec_id = conv_id % m WHERE n <= 8 AND (conv_id % 9 = 0 OR round(list_cosine_similarity(a.e, b.e), 6) >= 0.05)""")
+def relevant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last eight messages of each conversation that are like what is asked; vectors stand for both. A ninth ask without one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    m = vectors.count()
+    last = M.recent_turns(table(spark, sf_dir, "conversations"), session="conv_id", order="turn", turns=4)
+    met = last.withColumn("vec_id", (F.col("conv_id") * 31 + F.col("turn")) % m).join(vectors, "vec_id").drop("vec_id")
+    asked = met.withColumn("vec_id", F.col("conv_id") % m).join(vectors.withColumnRenamed("embedding", "wanted"), "vec_id")
+    both = asked.withColumn("asked", F.when(F.col("conv_id") % 9 != 0, F.col("wanted")))
+    return M.relevant_turns(both, embedding="embedding", asked="asked", threshold=0.05).select("conv_id", "turn")
 
 
 CANDIDATES = r"""c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'how to ' || text ELSE text END AS message, '用户' || substr(text, 1, (turn % 5 * 80)::INT) || CASE WHEN conv_id % 13 = 0 THEN ' my API key' ELSE '' END AS content,

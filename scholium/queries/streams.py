@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +60,69 @@ def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(states.groupBy("key").agg(F.max("n").alias("n"), F.max("last").alias("last")))
 
 
+def parts(spark: SparkSession, sf_dir: str, columns: list[str], cuts: list) -> str:
+    """A folder of the events in files, one for each condition, which are read in this order; ts as it is."""
+    where = fresh_dir(spark, "parts")
+    rows = table(spark, sf_dir, "events").select(*columns)
+    for n, cut in enumerate(cuts):
+        rows.where(cut).coalesce(1).write.mode("append").parquet(where)
+        time.sleep(0.02)  # files are told apart by their time
+    return where
+
+
+def thirds(spark: SparkSession, sf_dir: str) -> tuple:
+    """Two times that cut the events' span into three."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    return first + (last - first) / 3, first + (last - first) * 2 / 3
+
+
 @query("stream_upsert", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In three batches, the latest events first: what comes later does not replace what is newer."""
+    early, late = thirds(spark, sf_dir)
     where = fresh_dir(spark, "upsert")
-    rows = source(spark, sf_dir).select("user_id", "event_id", F.struct("ts", "event_id").alias("version"))
+    cuts = [F.col("ts") >= F.lit(late), F.col("ts") < F.lit(early), (F.col("ts") >= F.lit(early)) & (F.col("ts") < F.lit(late))]
+    rows = S.stream(spark, parts(spark, sf_dir, ["user_id", "event_id", "ts"], cuts), files_per_batch=1).select("user_id", "event_id", F.struct("ts", "event_id").alias("version"))
     S.incremental_upsert(rows, f"{where}/table", key=["user_id"], checkpoint=f"{where}/checkpoint", newest="version")
     return S.current_version(spark, f"{where}/table").select("user_id", "event_id")
 
 
+#: The times that cut the events' span into three, events that come two batches late, and the watermark then.
+LATE = """b AS (SELECT min(ts) AS a, max(ts) AS z FROM events), t AS (SELECT a + (z - a) / 3 AS early, a + (z - a) * 2 / 3 AS late FROM b),
+e AS (SELECT events.*, ts < early AND event_id % 50 = 0 AS tardy, ts < early AND event_id % 50 <> 0 AS first FROM events, t),
+w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM e WHERE first)"""
+
+
+def tardy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in three batches by time, a fiftieth of the first third with the last; then two far later events, which close all before them."""
+    early, late = thirds(spark, sf_dir)
+    tardy = (F.col("ts") < F.lit(early)) & (F.col("event_id") % 50 == 0)
+    cuts = [(F.col("ts") < F.lit(early)) & ~tardy, (F.col("ts") >= F.lit(early)) & (F.col("ts") < F.lit(late)), (F.col("ts") >= F.lit(late)) | tardy]
+    where = parts(spark, sf_dir, ["event_id", "ts", "user_id", "event_type", "value"], cuts)
+    for days in (4_000, 8_000):
+        time.sleep(0.02)
+        end = table(spark, sf_dir, "events").limit(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(late) + F.make_dt_interval(days=F.lit(days))).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+        end.coalesce(1).write.mode("append").parquet(where)
+    rows = S.stream(spark, where, files_per_batch=1)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_closed_windows", f"""WITH {LATE} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e, w
+ WHERE NOT (tardy AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark) GROUP BY ALL""")
+def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: each window once, when it is closed; what comes for a window that was closed before is dropped."""
+    rows = S.windowed(tardy_stream(spark, sf_dir), time="ts", key="event_type", value="value", size="1 hour")
+    return plain(S.drain(rows, fresh_dir(spark, "stream")).where("event_type <> 'end'"))
+
+
+@query("stream_expired", f"WITH {LATE} SELECT user_id::VARCHAR AS key, count(*) AS n, max(ts) AS last FROM e, w WHERE NOT (tardy AND ts <= mark + INTERVAL 10 MINUTE) GROUP BY 1")
+def stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a key when its state expires, idle for five years of event time; late events are not counted."""
+    rows = S.last_seen(tardy_stream(spark, sf_dir), time="ts", key="user_id", idle_minutes=5 * 365 * 24 * 60)
+    states = S.drain(rows, fresh_dir(spark, "stream"))
+    return plain(states.where("expired and key <> '-1'").select("key", "n", "last"))
+
+
 BREAKER = """WITH RECURSIVE c AS (SELECT event_type AS service, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, epoch_us(ts) / 1000000.0 AS moment, event_id % 4 <> 0 AS ok FROM events),
 w AS (SELECT service, 0::BIGINT AS i, 'closed' AS state, 0::BIGINT AS n, 0::DOUBLE AS since, true AS allowed, 0::BIGINT AS event_id FROM c GROUP BY service
  UNION ALL SELECT service, i, CASE WHEN NOT allowed THEN pre WHEN ok THEN 'closed' WHEN pre = 'half_open' OR n + 1 >= 3 THEN 'open' ELSE 'closed' END,

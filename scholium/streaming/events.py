@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ready
 
 
-def stream(spark: SparkSession, path: str, *, pattern: str | None = None, time: str | None = None) -> DataFrame:
-    """A stream of the Parquet files below path (whose names match the pattern), time as a timestamp."""
+def stream(spark: SparkSession, path: str, *, pattern: str | None = None, time: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files below path (whose names match the pattern), the oldest first, time as a timestamp."""
     schema = spark.read.parquet(f"{path}/{pattern}" if pattern else path).schema
     reader = ready(spark).readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
     rows = (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
     return rows.withColumn(time, F.col(time).cast("timestamp")) if time else rows
 
@@ -70,27 +74,58 @@ def last_seen(events: DataFrame, *, time: str, key: str, idle_minutes: int) -> D
     return rows.groupBy("key").applyInPandasWithState(step, "key string, n long, last timestamp, expired boolean", "n long, last long", "append", "EventTimeTimeout")
 
 
-def incremental_upsert(rows: DataFrame, target: str, *, key: list[str], checkpoint: str, newest: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Loads a stream into versions of a Parquet table below target; readers follow `current`. Running a batch twice
-    writes the same version again. Of rows with one key in a batch the newest stays."""
+def incremental_upsert(rows: DataFrame, target: str, *, key: list[str], checkpoint: str, newest: str, buckets: int = 64, on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Loads a stream into a table below target of one row for each key: that of the greatest newest, whichever batch it
+    comes in. Of equals the one that came first stays.
+
+    Rows lie in buckets by a hash of the key. A batch writes new versions of the buckets that it touches, then the list
+    of all buckets' versions; readers follow the last list. A batch that runs again writes the same again."""
     spark = rows.sparkSession
 
     def load(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), newest).alias("r")).select("r.*")
-        if number:
-            old = spark.read.schema(batch.schema).parquet(f"{target}/v{number - 1}")
-            fresh = old.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{target}/v{number}")
-        spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{target}/current")
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")
+        fresh = batch.select("*", bucket)
+        fresh = fresh.groupBy("bucket", *key).agg(F.max_by(F.struct(*batch.columns), newest).alias("r")).select("bucket", "r.*").persist()
+        touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # `buckets` at most
+        versions = _versions(spark, target, before=number)
+        old = _buckets(spark, target, {b: v for b, v in versions.items() if b in touched}, fresh.schema)
+        both = old.withColumn("_is_new", F.lit(False)).unionByName(fresh.withColumn("_is_new", F.lit(True)))
+        best = both.groupBy("bucket", *key).agg(F.max_by(F.struct(*batch.columns), F.struct(F.col(newest).alias("v"), (~F.col("_is_new")).alias("first"))).alias("r"))
+        best.select("bucket", "r.*").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v{number}")
+        now = versions | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{target}/current/at={number}")
+        fresh.unpersist()
         if on_batch is not None:
             on_batch(batch, number)
 
     rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """The version of each bucket, by the last list (before a batch)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/current")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return {}
+    done = [int(f.getPath().getName()[3:]) for f in store.listStatus(folder) if f.getPath().getName().startswith("at=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    last = max([n for n in done if before is None or n < before], default=None)
+    return {} if last is None else {r["bucket"]: r["version"] for r in spark.read.parquet(f"{target}/current/at={last}").collect()}
+
+
+def _buckets(spark: SparkSession, target: str, versions: dict[int, int], schema: T.StructType) -> DataFrame:
+    """bucket and the rows of the given buckets, each at its version."""
+    out = spark.createDataFrame([], schema)
+    for version in sorted(set(versions.values())):
+        own = [b for b, v in versions.items() if v == version]
+        out = out.unionByName(spark.read.schema(schema).parquet(f"{target}/v{version}").where(F.col("bucket").isin(own)))
+    return out
+
+
 def current_version(spark: SparkSession, target: str) -> DataFrame:
-    number = spark.read.parquet(f"{target}/current").first()["version"]
-    return spark.read.parquet(f"{target}/v{number}")
+    """The rows of the table as its last complete batch left it."""
+    versions = _versions(spark, target)
+    kind = spark.read.parquet(f"{target}/v{max(versions.values())}").schema
+    return _buckets(spark, target, versions, kind).drop("bucket")
 
 
 def breaker_states(calls: DataFrame, *, service: str, order: str, at: str, ok: str, failures: int = 3, cooldown_s: float = 60.0) -> DataFrame:
@@ -98,24 +133,30 @@ def breaker_states(calls: DataFrame, *, service: str, order: str, at: str, ok: s
 
     at: seconds. A failure in the closed state counts up and opens at `failures`; success does not reset the count.
     An open breaker lets one probe through after the cooldown; its success closes and resets, its failure opens again.
-    Services are folded one by one, each over its own calls."""
-    kind = calls.schema[service].dataType.simpleString()
-    order_kind = calls.schema[order].dataType.simpleString()
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        state, count, since, out = "closed", 0, 0.0, []
-        for r in frame.sort_values(order).itertuples():
-            now, good = getattr(r, at), getattr(r, ok)
-            if state == "open" and now - since > cooldown_s:
-                state = "half_open"
-            allowed = state != "open"
-            if allowed and good:
-                state, count = "closed", 0 if state == "half_open" else count
-            elif allowed:
-                count += state == "closed"
-                if state == "half_open" or count >= failures:
-                    state, since = "open", now
-            out.append((getattr(r, service), getattr(r, order), state, allowed))
-        return pd.DataFrame(out, columns=[service, order, "state", "allowed"])
-
-    return ready(calls.sparkSession) and calls.groupBy(service).applyInPandas(fold, f"{service} {kind}, {order} {order_kind}, state string, allowed boolean")
+    Each state depends on the one before, so a service's calls go through one task, in order, of which only the state
+    is held."""
+    schema = calls.select(service, order).schema
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state, count, since = object(), "closed", 0, 0.0
+        for batch in batches:
+            states, allowed = [], []
+            for own, now, good in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
+                if own != name:
+                    name, state, count, since = own, "closed", 0, 0.0
+                if state == "open" and now - since > cooldown_s:
+                    state = "half_open"
+                allowed.append(state != "open")
+                if state != "open" and good:
+                    state, count = "closed", 0 if state == "half_open" else count
+                elif state != "open":
+                    count += state == "closed"
+                    if state == "half_open" or count >= failures:
+                        state, since = "open", now
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kinds[0]), batch.column(1).cast(kinds[1]), pa.array(states, pa.string()), pa.array(allowed, pa.bool_())], names=[service, order, "state", "allowed"])
+
+    out = T.StructType([*schema, T.StructField("state", T.StringType()), T.StructField("allowed", T.BooleanType())])
+    ready(calls.sparkSession)
+    return calls.select(service, order, at, ok).repartition(service).sortWithinPartitions(service, order).mapInArrow(fold, out)

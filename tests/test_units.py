@@ -1,5 +1,6 @@
 """Exact behaviour on small inputs."""
 
+import datetime
 import difflib
 import hashlib
 import json
@@ -146,10 +147,10 @@ def test_bm25_counts_repeated_question_words_and_pads(spark):
     assert padded.where("question_id = 8").count() == 2
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_top_k_in_blocks(spark, block):
+@pytest.mark.parametrize(("block", "query_bytes"), [(4096, 1 << 20), (2, 40)])
+def test_top_k_in_blocks(spark, block, query_bytes):
     rows = spark.createDataFrame([(k, [float(k % 3), float(k % 5), 1.0]) for k in range(30)] + [(99, None)], "id long, embedding array<float>")
-    got = top_k(rows.where("id < 5"), rows, 3, query_id="id", vector_id="id", metric="l2", exclude_self=True, block=block).collect()
+    got = top_k(rows.where("id < 5"), rows, 3, query_id="id", vector_id="id", metric="l2", exclude_self=True, block=block, query_bytes=query_bytes).collect()
     assert len(got) == 15 and all(r.query_id != r.vector_id for r in got)
     assert [r.vector_id for r in sorted(got, key=lambda r: (r.query_id, r["rank"])) if r.query_id == 0] == [15, 6, 10]
 
@@ -206,10 +207,23 @@ def test_memory_candidates(spark):
 
 
 def test_memory_updates_in_order(spark):
+    now = datetime.datetime(2024, 6, 1)
     state = spark.createDataFrame([(1, 1, "用户喜欢短回答", "semantic", "pref", 0.5, 0.5, True, None)], "u long, id long, content string, memory_type string, memory_key string, importance double, confidence double, is_active boolean, superseded_by long")
     new = [(1, 1, "用户喜欢短回答。", "semantic", "pref", 0.6, 0.7), (1, 2, "用户不再喜欢短回答", "semantic", "pref", 0.6, 0.7), (2, 1, "用户研究电机方向", "semantic", "topic", 0.6, 0.7)]
-    got = {(r.u, r.id): r for r in memory.update_in_order(state, spark.createDataFrame(new, "u long, ord int, content string, memory_type string, memory_key string, importance double, confidence double"), user="u").collect()}
+    got = {(r.u, r.id): r for r in memory.update_in_order(state, spark.createDataFrame(new, "u long, ord int, content string, memory_type string, memory_key string, importance double, confidence double"), user="u", now=now).collect()}
     assert got[1, 1].importance == pytest.approx(0.63) and not got[1, 1].is_active and got[1, 1].superseded_by == 2 and got[1, 2].is_active and got[2, 1].memory_key == "topic"
+    assert (got[1, 1].merged, got[1, 1].inserted, got[1, 1].superseded) == (1, 1, 1) and got[1, 2].expires_at is None and got[1, 2].updated_at == now
+
+
+def test_memory_updates_by_embeddings_expiry_and_time(spark):
+    now, day = datetime.datetime(2024, 6, 1), datetime.timedelta(days=1)
+    old = [(1, 1, "用户甲", "episodic", "k", 0.5, 0.5, [1.0, 0.0], now - 9 * day, now - 50 * day, True), (1, 2, "用户乙乙", "episodic", "k", 0.5, 0.5, None, None, now - 40 * day, True), (1, 3, "用户丙", "semantic", None, 0.5, 0.5, None, None, now, False)]
+    state = spark.createDataFrame(old, "u long, id long, content string, memory_type string, memory_key string, importance double, confidence double, embedding array<double>, expires_at timestamp, updated_at timestamp, is_active boolean")
+    new = [(1, 1, "完全不同", "episodic", None, 0.9, 0.9, [0.99, 0.01], 4), (1, 2, "用户第三件", "episodic", "k", 0.6, 0.6, None, 5), (1, 3, "用户丙", "semantic", None, 0.6, 0.6, None, 6)]
+    got = {r.id: r for r in memory.update_in_order(state, spark.createDataFrame(new, "u long, ord int, content string, memory_type string, memory_key string, importance double, confidence double, embedding array<double>, session_id long"), user="u", now=now).collect()}
+    assert got[1].importance == pytest.approx(0.93) and got[1].session_id == 4 and got[1].expires_at == now + 180 * day and got[1].is_active  # merged by its embedding
+    assert not got[2].is_active and got[2].superseded_by == 4 and got[4].session_id == 5  # of the rows of one key that of the latest update goes
+    assert got[5].content == "用户丙" and not got[3].is_active and (got[1].inserted, got[1].merged, got[1].superseded) == (2, 1, 1)  # what is inactive is no double
 
 
 def test_repeated_questions(spark):
@@ -328,6 +342,9 @@ def test_incremental_versions(spark, tmp_path):
     load()
     load()  # nothing new
     assert sorted((r.id, r.text) for r in E.current_version(spark, where).collect()) == [(1, "a"), (2, "BB"), (3, "c")]
+    rows((2, 2, "late"), (2, 3, "as new"), (1, 9, "newest")).write.mode("append").parquet(src)
+    load()
+    assert sorted((r.id, r.text) for r in E.current_version(spark, where).collect()) == [(1, "newest"), (2, "BB"), (3, "c")]
 
 
 def test_asof_and_range(spark):
@@ -336,6 +353,13 @@ def test_asof_and_range(spark):
     assert sorted((r.k, r.t, r.v) for r in relational.asof_join(left, right, by="k", at="t", values=["v"]).collect()) == [("a", 1, None), ("a", 5, "y"), ("b", 9, None)]
 
 
+def test_asof_of_a_hot_key(spark):
+    left = spark.range(500).select(F.lit("k").alias("k"), (F.col("id") * 3).alias("t"))
+    right = spark.range(5).select(F.lit("k").alias("k"), (F.col("id") * 301).alias("t"), F.col("id").cast("string").alias("v"))
+    got = relational.asof_join(left.repartition(5), right, by="k", at="t", values=["v"]).collect()
+    assert {r.t: r.v for r in got} == {3 * k: str(3 * k // 301) for k in range(500)}
+
+
 def test_vectors(spark):
     arr = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     assert value(spark, cosine(arr(1, 0), arr(0, 0))) == 0.0 and value(spark, cosine(arr(1, 1), arr(2, 2))) == pytest.approx(1)
