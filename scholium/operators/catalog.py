@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_safe_filename
-
 
 def assign_index(existing: DataFrame, uploads: DataFrame, *, group: str, name: str, order: str, index: str = "library_index") -> DataFrame:
     """uploads with their library index: that of the latest paper of the same name, else the next after the greatest.
@@ -103,7 +101,27 @@ def valid_batch(rows: DataFrame, *, key: str, embedding: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("n_keys"), F.count_distinct(F.size(embedding)).alias("n_dims"), F.round(F.min(norm), 4).alias("least_norm"))
 
 
-def safe_uploads(uploads: DataFrame, *, name: str) -> DataFrame:
-    """Uploads with a proper PDF name that no other upload of the batch has."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lower(name)))
-    return uploads.withColumn("accepted", is_safe_filename(F.col(name)) & (n == 1))
+def update_fields(rows: DataFrame, changes: DataFrame, *, key: str, allowed: list[str], now: Column, stamp: str = "updated_at") -> DataFrame:
+    """rows with what changes says of the allowed fields, null where it says nothing, and the time of the change.
+
+    Other columns of changes change nothing; a row without an allowed change keeps its time."""
+    fields = [f for f in allowed if f in changes.columns]
+    met = sparse_update(rows, changes, key=key, fields=fields)
+    touched = changes.where(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull() if fields else F.lit(False)).select(F.col(key).alias("_t")).distinct()
+    marked = met.join(touched, F.col(key) == F.col("_t"), "left")
+    return marked.withColumn(stamp, F.when(F.col("_t").isNotNull(), now).otherwise(F.col(stamp))).drop("_t")
+
+
+def visible(chunks: DataFrame, versions: DataFrame, *, doc: str, version: str, status: str) -> DataFrame:
+    """The chunks that readers see: of each document those of its latest ready version. What a failed load left behind
+    belongs to a version that is not ready, so a rollback has nothing to undo."""
+    last = versions.where(F.col(status) == "ready").groupBy(F.col(doc).alias("_d")).agg(F.max(version).alias("_v"))
+    return chunks.join(last, (F.col(doc) == F.col("_d")) & (F.col(version) == F.col("_v")), "left_semi")
+
+
+def delete_step(papers: DataFrame, outcomes: DataFrame, *, key: str, status: str) -> DataFrame:
+    """papers after a deletion was tried: gone where the chunks and files went, cleanup_failed where either stayed, so
+    that it is tried again; those still deleting have no outcome yet. outcomes: key, chunks_gone, files_gone."""
+    own = outcomes.select(F.col(key).alias("_k"), (F.col("chunks_gone") & F.col("files_gone")).alias("_gone"))
+    met = papers.join(own, F.col(key) == F.col("_k"), "left").where(~F.coalesce("_gone", F.lit(False)) | (F.col(status) != "deleting"))
+    return met.withColumn(status, F.when((F.col(status) == "deleting") & F.col("_gone").isNotNull(), "cleanup_failed").otherwise(F.col(status))).drop("_k", "_gone")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
@@ -59,3 +60,12 @@ def markdown(row: dict) -> str:
     """A report's row as a Markdown table; null as N/A."""
     lines = [f"| {k} | {'N/A' if v is None else f'{v:.4f}' if isinstance(v, float) else v} |" for k, v in row.items()]
     return "\n".join(["| metric | value |", "|---|---|", *lines]) + "\n"
+
+
+def write_report(spark: SparkSession, row: dict, where: str) -> None:
+    """A report below a folder, as report.json and report.md, in any store that Spark writes."""
+    for name, text in (("json", json.dumps(row, ensure_ascii=False, default=str)), ("md", markdown(row))):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/report.{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()

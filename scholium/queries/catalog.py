@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_safe_filename
 from ..operators import catalog as K
+from ..operators.layout import paper_titles
 from ..session import table
+from .documents import CLEAN, PLAUSIBLE
 
 QUERIES: dict = {}
 QUERY_SQL: dict = {}
@@ -169,9 +171,14 @@ def filename_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", is_safe_filename(name).alias("safe"))
 
 
-@query("title_backfill", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(nullif(split_part(text, chr(10), 1), ''), source) ELSE lang END AS title FROM documents")
+@query("title_backfill", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE doc_id % 3 = 0),
+g AS (SELECT doc_id, pos, t FROM (SELECT doc_id, pos, {CLEAN.format("line")} AS t FROM l WHERE pos < 20) WHERE {PLAUSIBLE}),
+f AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM g QUALIFY place < 8),
+b AS (SELECT doc_id, first(t ORDER BY round(55 - 2 * place + least(length(t), 120) / 30.0 - CASE WHEN lower(t) = lower(source) THEN 35 ELSE 0 END, 6) DESC, length(t) DESC, place) AS title FROM f JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(title, source) ELSE lang END AS title FROM documents LEFT JOIN b USING (doc_id)""")
 def title_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles for the third of the papers that have a blank one."""
+    """Titles for the third of the papers that have a blank one, found on their first pages."""
     rows = table(spark, sf_dir, "documents").withColumn("title", F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("lang")))
-    found = rows.where(F.trim(F.coalesce("title", F.lit(""))) == "").select("doc_id", F.coalesce(F.nullif(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")), "source").alias("title"))
-    return K.sparse_update(rows.select("doc_id", "title"), found, key="doc_id", fields=["title"])
+    blank = rows.where(F.trim(F.coalesce("title", F.lit(""))) == "")
+    parsed = blank.select("doc_id", F.concat("source", F.lit(".pdf")).alias("filename"), F.array(F.struct(F.lit(1).alias("page"), F.col("text").alias("text"))).alias("pages"))
+    return K.sparse_update(rows.select("doc_id", "title"), paper_titles(parsed, doc="doc_id", filename="filename"), key="doc_id", fields=["title"])

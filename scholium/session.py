@@ -15,7 +15,10 @@ BATCH_ROWS = 1024
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets the session's Python workers import this package, where they see the same path, and get small batches."""
+    """Lets the session's Python workers import this package, where they see the same path, and get small batches.
+
+    It changes the session: PYTHONPATH of its workers, and spark.sql.execution.arrow.maxRecordsPerBatch where that has
+    Spark's default. A session with a value of its own keeps it."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
@@ -41,9 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that this process has named, for clear_scratch.
+_scratch: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. It stays until clear_scratch, as results are read from it later."""
+    _scratch.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the folders that fresh_dir has named in this process, once their results are written elsewhere, and says
+    how many. Checkpoints go by themselves with spark.cleaner.referenceTracking.cleanCheckpoints."""
+    gone = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,6 +55,20 @@ def parsed_files(spark: SparkSession, path: str, parse: Callable[[bytes, str], d
     return files.select("path", "content").mapInArrow(run, "path string, markdown string, pages array<struct<page:int,text:string>>, error string")
 
 
+def first_of(*parsers: Callable[[bytes, str], dict]) -> Callable[[bytes, str], dict]:
+    """A parser that asks the others in turn, the next where one fails; what the last raises is its own error."""
+
+    def parse(content: bytes, path: str) -> dict:
+        for parser in parsers[:-1]:
+            try:
+                return parser(content, path)
+            except Exception:  # noqa: BLE001 - the next one may do
+                continue
+        return parsers[-1](content, path)
+
+    return parse
+
+
 def plain_pages(content: bytes, path: str) -> dict:
     """A parser of text files whose pages are ended by form feeds."""
     pages = [(k, t) for k, t in enumerate(content.decode("utf-8").split("\f"), 1) if sum(c.isalnum() for c in t) >= 4]

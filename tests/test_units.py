@@ -4,6 +4,7 @@ import datetime
 import difflib
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -522,3 +523,130 @@ def test_titles_of_headings_and_large_lines(spark):
     rows = spark.createDataFrame([(1, "a.pdf", headings, None, None), (2, "a.pdf", split, None, None), (3, "a.pdf", None, "Words of its properties", lines), (4, "a.pdf", None, "Words of its properties", None)], f"id long, filename string, blocks array<{layout.BLOCK}>, metadata_title string, lines array<struct<size:double,y:double,text:string>>").withColumn("page_height", F.lit(800.0))
     got = {r.id: r.title for r in layout.paper_titles(rows, doc="id", filename="filename").collect()}
     assert got == {1: "High-Temperature Superconducting Motors for Aviation", 2: "High-Temperature Superconducting Motors for Aviation and Ships", 3: "A Title in Large Letters", 4: "Words of its properties"}
+
+
+def test_searches_of_services(spark):
+    from scholium.sources.services import search_papers
+
+    body = json.dumps({"message": {"items": [{"DOI": "10.1/a", "title": ["A"], "abstract": "x"}]}})
+    found = search_papers(spark, " q ", lambda p, q, n: body if p == "crossref" else 1 / 0)
+    assert [r.title for r in found.papers.collect()] == ["A"] and found.providers == ("crossref",) and len(found.warnings) == 1 and not found.failed
+    assert search_papers(spark, "q", lambda p, q, n: 1 / 0).failed
+    none = search_papers(spark, "q", lambda p, q, n: '{"message": {"items": []}}', provider="Crossref")
+    assert not none.failed and none.papers.count() == 0 and "abstract" in none.warnings[0]
+    for bad in ({"query": " "}, {"query": "q", "provider": "nowhere"}, {"query": "q", "provider": "openalex"}, {"query": "q", "enabled": False}):
+        asked = bad.pop("query")
+        got = search_papers(spark, asked, lambda p, q, n: body, **bad)
+        assert got.failed and got.papers is None and got.warnings
+
+
+SERVER = """
+import json, sys
+for line in sys.stdin:
+    m = json.loads(line)
+    if "id" not in m:
+        continue
+    print(json.dumps({"jsonrpc": "2.0", "method": "notifications/message"}), flush=True)
+    p, out = m["params"], {}
+    if m["method"] == "initialize":
+        out = {"serverInfo": {"name": "s"}}
+    elif m["method"] == "tools/list":
+        out = {"tools": [{"name": "a"}], "nextCursor": "2"} if not p.get("cursor") else {"tools": [{"name": "b"}]}
+    elif m["method"] == "tools/call":
+        out = {"content": [{"type": "text", "text": p["name"] + str(p["arguments"]["x"])}, {"type": "image", "data": "AA", "mimeType": "image/png"}], "isError": False}
+    elif m["method"] == "resources/read":
+        out = {"contents": [{"uri": p["uri"], "blob": "AA"}]}
+    if m["method"] in ("resources/list", "prompts/list"):
+        print(json.dumps({"jsonrpc": "2.0", "id": m["id"], "error": {"message": "no " + m["method"]}}), flush=True)
+    else:
+        print(json.dumps({"jsonrpc": "2.0", "id": m["id"], "result": out}), flush=True)
+"""
+
+
+def test_context_servers(tmp_path):
+    import sys
+
+    from scholium.sources import mcp
+
+    (tmp_path / "server.py").write_text(SERVER)
+    connect = lambda c: mcp.Pipe(sys.executable, [c["command"]]) if c["name"] == "s" else mcp.Post(c["url"], lambda *a: 1 / 0)
+    servers = mcp.Servers([{"name": "s", "command": str(tmp_path / "server.py")}], connect)
+    got = servers.call("s", "t", {"x": 1})
+    assert got.text == "t1" and [c.kind for c in got.content] == ["text", "image"] and not got.is_error
+    assert servers.read("s", "u:1")[0].data == "AA"
+    (probe,) = servers.probe_all()
+    assert probe.ok and [t["name"] for t in probe.tools] == ["a", "b"] and len(probe.errors) == 2 and probe.info["serverInfo"]["name"] == "s"
+    with pytest.raises(mcp.ServerError):
+        servers.call("none", "t")
+    down = mcp.Servers([{"name": "h", "url": "http://x"}], lambda c: mcp.Post(c["url"], lambda *a: (_ for _ in ()).throw(OSError("down"))))
+    assert not down.probe("h").ok and down.probe("h").errors == ["down"]
+    seen = []
+
+    def post(url, body, headers):
+        seen.append(headers.get("Mcp-Session-Id"))
+        m = json.loads(body)
+        return (b"" if "id" not in m else b"data: " + json.dumps({"id": m["id"], "result": {"ok": 1}}).encode(), {"Mcp-Session-Id": "77"})
+
+    with mcp.Client(mcp.Post("u", post)) as client:
+        client.ping()
+    assert seen == [None, "77", "77"]
+
+
+def test_pictures_once_for_equal_content(spark):
+    from scholium.sources import images as M
+
+    def render(content, page, box):
+        if page > 2:
+            raise ValueError
+        return None if box == [0.0] else content[:2]
+
+    block = "array<struct<block_id:string,page:int,bbox:array<double>>>"
+    rows = [(1, b"aaa", [("x", 1, [0.0]), ("y", 2, [1.0]), ("z", 9, None)]), (2, b"bbb", None), (3, b"", [("x", 1, None)])]
+    found = M.stored_figures(M.rendered_figures(spark.createDataFrame(rows, f"id long, content binary, blocks {block}"), render, lambda c: [(4, c, "jpeg")], doc="id"), doc="id", root="/r")
+    got = {(r.id, r.block_id): r for r in found.collect()}
+    assert set(got) == {(1, "x"), (1, "y"), (2, "figure_0004_001")}  # one file's renderer fails on its last figure, another has no content
+    assert got[1, "y"].image_path == got[1, "x"].image_path and got[1, "y"].data is None and bytes(got[1, "x"].data) == b"aa"
+    pictures = spark.createDataFrame([("h1", b"a", "cap"), ("h1", b"a", ""), ("h2", b"b", None), ("h3", None, "gone")], "image_hash string, data binary, caption string")
+    text = {r.image_hash: r.summary for r in M.summaries(pictures, lambda d, c: 1 / 0 if d == b"b" else f"{c} seen").collect()}
+    assert text == {"h1": "cap seen", "h2": ""}
+
+
+def test_parsers_in_turn_and_reports(spark, tmp_path):
+    parse = S.first_of(lambda c, p: 1 / 0, lambda c, p: {"markdown": p, "pages": []})
+    assert parse(b"", "x")["markdown"] == "x"
+    with pytest.raises(ZeroDivisionError):
+        S.first_of(lambda c, p: {}["x"], lambda c, p: 1 / 0)(b"", "x")
+    evaluate.write_report(spark, {"n": 3, "recall": None}, f"file://{tmp_path}/r")
+    assert json.loads((tmp_path / "r/report.json").read_text()) == {"n": 3, "recall": None} and "| recall | N/A |" in (tmp_path / "r/report.md").read_text()
+
+
+def test_example_plugin_and_progress(spark, tmp_path):
+    from scholium.plans import example_plugin
+    from scholium.streaming.progress import Progress
+
+    plugins = Plugins()
+    assert plugins.discover(["scholium.plans.example_plugin"]) == (["scholium.plans.example_plugin"], [])
+    assert plugins.run("after_retrieve", spark.range(2)).value.first().plugin_tag == example_plugin.TAG
+    listener = Progress(most=2)
+    spark.streams.addListener(listener)
+    spark.range(3).write.parquet(f"file://{tmp_path}/in")
+    E.drain(E.stream(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    deadline, seen = time.time() + 20, []
+    while time.time() < deadline and "ended" not in [e.kind for e in seen]:
+        seen += listener.drain()
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert seen[-1].kind == "ended" and not list(listener.drain())
+
+
+def test_scratch_is_cleared(spark):
+    from scholium import session
+
+    session.clear_scratch(spark)
+    where = session.fresh_dir(spark, "scratch")
+    spark.range(3).write.parquet(where)
+    session.fresh_dir(spark, "unused")
+    assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(where)
