@@ -72,3 +72,96 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vect
     better = F.desc("score") if metric == "cosine" else F.asc("score")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(better, "v"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), F.col("v").alias("vector_id"), (F.col("score") + F.lit(0.0)).alias("score"), "rank")
+
+
+#: Vectors that the cells of an index are fitted on, and cells, at most.
+SAMPLE, MOST_CELLS = 20_000, 4096
+
+
+def _means(rows: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """Centres of the rows by Lloyd's method; one that loses all its rows begins again at a random row."""
+    rng = np.random.default_rng(seed)
+    centres = rows[rng.choice(len(rows), cells, replace=False)]
+    for _ in range(rounds):
+        own = _nearest(rows, centres, 1)[:, 0]
+        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=cells)
+        np.add.at(sums, own, rows)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], rows[rng.integers(0, len(rows), cells)])
+    return centres
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n): the nearest centres of each row, the nearest first."""
+    far = (centres**2).sum(axis=1)[None] - 2 * rows @ centres.T
+    n = min(n, len(centres))
+    some = np.argpartition(far, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1)
+
+
+def build_cells(vectors: DataFrame, where: str, *, vector_id: str, embedding: str = "embedding", cells: int | None = None) -> None:
+    """An index for search_cells below where: every vector in the folder of its nearest centre, and the centres.
+
+    The centres are fitted on at most SAMPLE vectors, the first by a hash of their ids; there are as many as the square
+    root of the number of vectors, unless said otherwise."""
+    spark = ready(vectors.sparkSession)
+    rows = vectors.where(F.col(embedding).isNotNull()).select(F.col(vector_id).cast("long").alias("v"), F.col(embedding).cast("array<double>").alias("e"))
+    sample = np.array([r["e"] for r in rows.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], np.float64)
+    n = max(1, min(cells or int(rows.count() ** 0.5), MOST_CELLS, len(sample)))
+    centres = _means(sample, n) if len(sample) else np.zeros((1, 1))
+    shared = spark.sparkContext.broadcast(centres)  # MOST_CELLS rows at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _nearest(_matrix(batch.column(1)), shared.value, 1)[:, 0].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["v", "e", "cell"])
+
+    placed = rows.mapInArrow(place, "v long, e array<double>, cell int")
+    placed.repartition("cell", F.pmod("v", F.lit(16))).write.mode("overwrite").partitionBy("cell").parquet(f"{where}/vectors")
+    spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, e array<double>").coalesce(1).write.mode("overwrite").parquet(f"{where}/centres")
+
+
+def search_cells(queries: DataFrame, where: str, k: int, *, query_id: str, embedding: str = "embedding", probes: int = 8, query_bytes: int = QUERY_BYTES, digits: int = 6) -> DataFrame:
+    """query_id, vector_id, score (cosine), rank: the k best vectors in the `probes` cells nearest to each query, ties by
+    vector_id. Only the cells that some query probes are read. Not all of the k best need be there; see the tests."""
+    spark = ready(queries.sparkSession)
+    centres = np.array([r["e"] for r in spark.read.parquet(f"{where}/centres").orderBy("cell").collect()], np.float64)
+    rows = queries.where(F.col(embedding).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(embedding).cast("array<double>").alias("e"))
+    size, found = rows.agg(F.sum(F.size("e") * 8 + 8)).first()[0] or 0, None
+    slices = max(1, -(-size // query_bytes))
+    stored = spark.read.schema("v long, e array<double>, cell int").parquet(f"{where}/vectors")
+    for k_slice in range(slices):
+        part = (rows.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == k_slice) if slices > 1 else rows).collect()  # query_bytes, or about that
+        ids, matrix = np.array([r["q"] for r in part], np.int64), np.array([r["e"] for r in part], np.float64).reshape(len(part), -1 if part else 1)
+        cells = _nearest(matrix, centres, probes) if len(part) else np.zeros((0, 1), np.int64)
+        asked = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
+        shared = spark.sparkContext.broadcast((ids, matrix, asked))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix, asked = shared.value
+            norms = np.linalg.norm(matrix, axis=1)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v, e, own = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+                for c in np.unique(own):
+                    at, who = np.flatnonzero(own == c), asked.get(int(c), np.zeros(0, np.int64))
+                    if not len(who):
+                        continue
+                    scale = np.outer(norms[who], np.linalg.norm(e[at], axis=1))
+                    products = matrix[who] @ e[at].T
+                    scores = np.round(np.divide(products, scale, out=np.zeros_like(products), where=scale > 0), digits)
+                    keep = min(k, len(at))
+                    worst = np.partition(scores, len(at) - keep, axis=1)[:, len(at) - keep]
+                    q, x = np.nonzero(scores >= worst[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who[q]]), pa.array(v[at[x]]), pa.array(scores[q, x])], names=["q", "v", "score"])
+
+        got = stored.where(F.col("cell").isin(sorted(asked))).mapInArrow(search, "q long, v long, score double")
+        found = got if found is None else found.unionByName(got)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias("query_id"), F.col("v").alias("vector_id"), (F.col("score") + F.lit(0.0)).alias("score"), "rank")

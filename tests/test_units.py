@@ -4,6 +4,8 @@ import datetime
 import difflib
 import hashlib
 import json
+import random
+import re
 import time
 
 import pytest
@@ -650,3 +652,60 @@ def test_scratch_is_cleared(spark):
     assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(where)
+
+
+def test_cells_find_nine_of_ten(spark, tmp_path):
+    """Against all vectors, with and without slices of the queries; and an index of nothing."""
+    from scholium.functions.vector import build_cells, search_cells
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = rows.where("vec_id % 50 = 0")
+    where = f"file://{tmp_path}/cells"
+    build_cells(rows, where, vector_id="vec_id", cells=16)
+    exact = {(r.query_id, r.vector_id) for r in top_k(asked, rows, 20, query_id="vec_id", vector_id="vec_id").collect()}
+    for size in (1 << 20, 20_000):
+        got = {(r.query_id, r.vector_id) for r in search_cells(asked, where, 20, query_id="vec_id", probes=12, query_bytes=size).collect()}
+        assert len(exact & got) >= 0.9 * len(exact) and len(got) == len(exact)
+    assert spark.read.parquet(f"{where}/vectors").count() == rows.count()
+    whole = {(r.query_id, r.vector_id) for r in search_cells(asked, where, 20, query_id="vec_id", probes=16).collect()}
+    assert whole == exact
+    build_cells(rows.where("vec_id < 0"), f"{where}-none", vector_id="vec_id")
+    assert search_cells(asked.where("vec_id < 0"), f"{where}-none", 3, query_id="vec_id").count() == 0
+
+
+def test_joined_tables_are_those_of_a_plain_fold(spark):
+    """Random tables, and the rules once more, one by one."""
+    rng = random.Random(4)
+    cells = lambda: ["Model", "Score", "Year"][: rng.randint(1, 3)] if rng.random() < 0.7 else [rng.choice("abc") for _ in range(rng.randint(1, 3))]
+    rows = []
+    for doc in range(150):
+        page = 1
+        for ord in range(rng.randint(1, 5)):
+            caption = rng.choice(["", "", "Table 1", "Table 2 x", "Table 1 (continued)", "Notes"])
+            rows.append((doc, ord, caption, page, page, [cells() for _ in range(rng.randint(0, 3))], rng.choice([None, 0.1, 0.5]), rng.choice([None, 0.6, 0.9])))
+            page += rng.choice([1, 1, 1, 2])
+    number = lambda c: (re.findall(r"Table (\d+)", c) or [""])[0]
+    header = lambda rs: next((" | ".join(x.lower() for x in r) for r in rs if any(r)), "")
+    want = []
+    for doc in range(150):
+        out = []
+        for _, _, caption, start, end, cs, top, bottom in (r for r in rows if r[0] == doc):
+            last = out[-1] if out else None
+            ok = last is not None and start == last["end"] + 1
+            ok = ok and not (number(caption) and number(last["caption"]) and number(caption) != number(last["caption"])) and not (number(caption) and not number(last["caption"]) and "continued" not in caption)
+            if ok:
+                a, b = header(last["rows"]), header(cs)
+                like = difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0
+                wide = max(map(len, last["rows"]), default=0)
+                points = 2 + 3 * (wide > 0 and wide == max(map(len, cs), default=0)) + (4 if like >= 0.82 else 2 if like >= 0.55 else 0)
+                points += 5 if "continued" in caption else 2 if not caption else 4 if number(caption) and number(caption) == number(last["caption"]) else -3
+                points += 2 * ((last["bottom"] or 0) >= 0.78) + 2 * (top is not None and top <= 0.25)
+                ok = points >= 7
+            if ok:
+                last |= {"end": end, "rows": last["rows"] + (cs[1:] if last["rows"] and cs and like >= 0.82 else cs), "caption": last["caption"] or caption, "joined": True}
+            else:
+                out.append({"start": start, "end": end, "rows": list(cs), "caption": caption, "bottom": bottom, "joined": False})
+        want += [(doc, f"table_{k:03d}", t["caption"], t["start"], t["end"], t["joined"], t["rows"]) for k, t in enumerate(out, 1)]
+    tables = spark.createDataFrame(rows, "doc int, ord int, caption string, page_start int, page_end int, rows array<array<string>>, top double, bottom double")
+    got = sorted((r.doc, r.table_id, r.caption, r.page_start, r.page_end, r.continued, [list(x) for x in r["rows"]]) for r in layout.merge_continued(tables, doc="doc").collect())
+    assert got == want and 20 < sum(w[5] for w in want) < len(want)
