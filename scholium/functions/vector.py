@@ -34,18 +34,21 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vect
     shuffle carries k rows for each query and task. Cosine: higher is better; l2 (squared): lower. Rows without an
     embedding match nothing."""
     spark = ready(vectors.sparkSession)
-    rows = queries.where(F.col(embedding).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(embedding).alias("e"))
-    size = rows.agg(F.sum(F.size("e") * 8 + 8)).first()[0] or 0
+    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(embedding).alias("e"))
+    size = rows.agg(F.sum(F.coalesce(F.size("e"), F.lit(0)) * 8 + 8)).first()[0] or 0
     slices, found = max(1, -(-size // query_bytes)), None
-    plain = vectors.where(F.col(embedding).isNotNull()).select(F.col(vector_id).cast("long").alias("v"), F.col(embedding).alias("e"))
+    # those without an embedding are left out by the tasks: a filter would make a computed embedding twice
+    plain = vectors.select(F.col(vector_id).cast("long").alias("v"), F.col(embedding).alias("e"))
     for k_slice in range(slices):
         part = (rows.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == k_slice) if slices > 1 else rows).collect()  # query_bytes, or about that
+        part = [r for r in part if r["e"] is not None]
         ids, matrix = np.array([r["q"] for r in part], np.int64), np.array([r["e"] for r in part], np.float64)
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             all_ids, all_rows = shared.value
             for batch in batches if len(all_ids) else ():
+                batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
                     continue
                 v = batch.column(0).to_numpy()

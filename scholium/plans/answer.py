@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
-from ..functions.text import canonical_query, sentences, tokens
+from ..functions.text import canonical_query, once, sentences, tokens
 from ..functions.vector import cosine, dot, top_k
 from ..operators import citations as C
 from ..operators import compress
@@ -29,10 +29,14 @@ DIMENSIONS = 64
 
 def hashing_embedding(text: Column) -> Column:
     """A stand-in for an embedding service: the counts of the tokens' hashes, of unit length; zeros without tokens."""
-    buckets = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % DIMENSIONS)
-    counts = F.transform(F.array(buckets), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda k: F.size(F.filter(bs, lambda b: b == k)).cast("double")))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.get(F.transform(counts, lambda v: F.transform(F.array(F.greatest(norm(v), F.lit(1e-12))), lambda n: F.transform(v, lambda x: x / n))[0]), F.lit(0))
+    numbers = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % DIMENSIONS).cast("double"))
+    marks = F.array(*[F.lit(k + 0.5) for k in range(DIMENSIONS)])
+    # between two marks of the sorted numbers lie those of one dimension
+    ends = lambda sorted_: F.transform(marks, lambda m: F.array_position(sorted_, m))
+    counts = lambda at: F.transform(at, lambda p, i: (p - F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)) - 1).cast("double"))
+    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
+    unit = lambda v: once(norm(v), lambda n: F.transform(v, lambda x: x / n))
+    return once(once(once(F.array_sort(F.concat(numbers, marks)), ends), counts), unit)
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], *, text: str, out: str = "embedding", batch: int = DEFAULTS.embedding_batch) -> DataFrame:
