@@ -33,16 +33,19 @@ def cut(frame: DataFrame, rows: int | None = None) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-#: The most frequent keys, whose rows are joined by broadcast.
-FREQUENT = 10_000
+#: The most frequent keys, whose rows are joined by broadcast; up to WHOLE keys all are, 50 bytes each.
+FREQUENT, WHOLE = 10_000, 500_000
 
 
-def join_spread(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
+def join_spread(rows: DataFrame, side: DataFrame, key: str, weight: str, *, keys: int) -> DataFrame:
     """rows with the columns of side, which has one row for each key of rows and, as weight, how many rows have it.
 
-    Rows of the most frequent keys, a fixed number, meet theirs by broadcast and stay where they are; the others have
-    no hot key. rows is read twice, so it should be a written table; weight is dropped."""
+    keys: how many rows side has at most. Up to WHOLE it is broadcast. Of more, rows of the most frequent keys, a fixed
+    number, meet theirs by broadcast and stay where they are; the others have no hot key. rows is then read twice, so it
+    should be a written table; weight is dropped."""
     own = [c for c in side.columns if c not in (key, weight)]
+    if keys <= WHOLE:
+        return rows.join(F.broadcast(side.drop(weight)), key).select(*rows.columns, *own)
     packed = side.select(key, F.struct(*own).alias("_side"), weight)
     top = packed.orderBy(F.desc(weight), key).limit(FREQUENT).drop(weight)
     met = rows.join(F.broadcast(top), key, "left")

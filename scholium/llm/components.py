@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct(), n)
     state = _state(edges)
     while state[0]:
-        edges = cut(_small_star(_large_star(edges)), state[0])
+        edges = cut(_small_star(_large_star(edges, state[0]), state[0]), state[0])
         before, state = state, _state(edges)
         if state == before:
             break
@@ -31,16 +31,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    met = join_spread(both.where("v > u"), least, "u", "n")
+    met = join_spread(both.where("v > u"), least, "u", "n", keys=2 * n)
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    met = join_spread(edges, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    met = join_spread(edges, least, "u", "n", keys=n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return met.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

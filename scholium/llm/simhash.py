@@ -445,7 +445,7 @@ def _rooted(prints: DataFrame, words: int, find: Callable[[DataFrame], DataFrame
     firsts = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     alone = rooted.where("root is null").select("class", F.col("first_id").alias("component_id"), "n", F.col("class").alias("root"))
     homes = cut(alone.unionByName(joined.join(firsts, "root").select("class", "component_id", "n", "root")))
-    return join_spread(prints.withColumn("class", number(words)), homes, "class", "n").select("doc_id", "tag", *own, "root", "component_id")
+    return join_spread(prints.withColumn("class", number(words)), homes, "class", "n", keys=homes.count()).select("doc_id", "tag", *own, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, place_limit: int = PLACE_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

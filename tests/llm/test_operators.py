@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, chat, decontaminate, licenses, pii, quality, simhash, toxicity, urlfilter, warc
+from scholium.llm import bpe, chat, common, decontaminate, licenses, pii, quality, simhash, toxicity, urlfilter, warc
 from scholium.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -612,7 +612,10 @@ def test_native_fold_gives_the_same_ids(spark, ranks):
     assert got == {w: bpe.merge(w, small) for w in words}
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("whole", [500_000, 10])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, whole):
+    monkeypatch.setattr(common, "WHOLE", whole)
+    monkeypatch.setattr(common, "FREQUENT", 5)
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 130)] + [(200, 200), (None, 5), (301, 300), (300, 301)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {found[k] for k in range(61)} == {0} and {found[k] for k in range(100, 130)} == {100} and 200 not in found and found[301] == 300
