@@ -14,6 +14,9 @@ from ..functions.text import escape_markdown, squash
 #: The forms of targets, links and the references below an answer.
 TARGET = r"^g(\d+)-d(\d+)-p(\d+)-r(\d+)$"
 LINK = r'\[\[(\d+)\]\]\((?:\?open_citation=[^)\s"]+|https?://[^)\s"]+|#参考来源)(?:\s+"(?:\\.|[^"\\])*")?\)'
+FULL_LABEL = r"\[文献(\d+)《([^\]\r\n]+?)》，([^\]\r\n]+)\]"
+LEGACY_LINK = r"(?i)(?<!\[)\[(\d+)\](?=\((?:\?open_citation=|https?://[^)\s]*[?&]open_citation=))"
+FRAGMENT = r"(?i)\[\s*片段\s*\d+(?:\s*\|[^\]\r\n]*)?\s*\]"
 REFERENCES = r"(?s)\n{2,}---\s*\n{2,}### 参考来源\s*(?:\n.*)?$"
 
 
@@ -120,13 +123,49 @@ def strip_rendering(answer: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), REFERENCES, ""), LINK, "[$1]")
 
 
+def visible_brackets(text: Column) -> Column:
+    """Links of the older form [2](…) as [[2]](…), where a number in brackets is what is seen."""
+    return F.regexp_replace(text, LEGACY_LINK, "[[$1]]")
+
+
+def expand_fragments(text: Column, labels: Column) -> Column:
+    """The text with the label of that place (from 1) for each fragment's mark; marks of other places stay."""
+    marks = F.regexp_extract_all(text, F.lit(FRAGMENT), F.lit(0))
+    label = lambda m: F.coalesce(F.get(labels, F.regexp_extract(m, r"(\d+)", 1).cast("int") - 1), m)
+    pieces = F.zip_with(F.split(text, FRAGMENT), F.transform(marks, label), lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit(""))))
+    return F.when(F.size(marks) > 0, F.array_join(pieces, "")).otherwise(text)
+
+
 def stored_labels(answers: DataFrame, papers: DataFrame, *, answer: str, text: str) -> DataFrame:
-    """answer, library_index, title, valid: the labels in saved answers, valid if the paper of that number has that title."""
-    found = answers.select(answer, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(\[文献\d+《[^\]\r\n]+?》，[^\]\r\n]+\])"), F.lit(1))).alias("label")).distinct()
-    parts = found.select(answer, "label", F.regexp_extract("label", r"文献(\d+)《", 1).cast("int").alias("library_index"), F.regexp_extract("label", r"《(.+?)》，", 1).alias("title"))
-    own = papers.select(F.col("library_index").alias("_i"), title_of(F.col("paper_title"), F.col("filename")).alias("_t"))
-    met = parts.join(own, F.col("library_index") == F.col("_i"), "left")
-    return met.select(answer, "label", "library_index", "title", F.coalesce(F.col("_t") == F.col("title"), F.lit(False)).alias("valid"))
+    """answer, pos, label, library_index, title, paper, page, page_end, section, paragraph, valid: the different labels in
+    saved answers, in order. A label is valid if what is read from it makes the same label again; its paper may be gone
+    (paper is null then). papers: library_index, doc_id."""
+    found = answers.select(answer, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({FULL_LABEL})"), F.lit(1))).alias("pos", "label"))
+    once = found.groupBy(answer, "label").agg(F.min("pos").alias("pos"))
+    part = lambda pattern, k: F.nullif(F.regexp_extract(F.regexp_extract("label", FULL_LABEL, 3), pattern, k), F.lit(""))
+    read = once.select(
+        answer, "pos", "label", F.regexp_extract("label", FULL_LABEL, 1).cast("int").alias("library_index"), F.regexp_extract("label", FULL_LABEL, 2).alias("title"), part(r"第(\d+)(?:–(\d+))?页", 1).cast("int").alias("page"),
+        part(r"第(\d+)(?:–(\d+))?页", 2).cast("int").alias("page_end"), F.coalesce(part(r"(?:^|，)§([^，]+)", 1), F.lit("正文")).alias("section"), part(r"段落(\d+)", 1).cast("int").alias("paragraph"),
+    )
+    own = papers.select(F.col("library_index").alias("_i"), F.col("doc_id").cast("long").alias("paper")).groupBy("_i").agg(F.max("paper").alias("paper"))
+    met = read.join(own, F.col("library_index") == F.col("_i"), "left").drop("_i")
+    again = label(library_index=F.col("library_index"), doc_id=F.col("paper"), position=F.lit(1), title=F.col("title"), filename=F.lit(""), page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"))
+    return met.withColumn("valid", again == F.col("label"))
+
+
+def finalize_saved(answers: DataFrame, papers: DataFrame, *, answer: str, text: str, group: int) -> DataFrame:
+    """answer, text: saved answers with links for their valid labels and the references below; those that have references
+    already, or no valid label, only get visible brackets."""
+    body = answers.select(answer, visible_brackets(F.coalesce(F.col(text), F.lit(""))).alias("_body"))
+    labels = stored_labels(body, papers, answer=answer, text="_body").where("valid")
+    title = title_of(F.col("title"), F.lit(""))
+    href = F.when(F.col("paper").isNotNull(), F.concat(F.lit("?open_citation="), encode_target(F.lit(group), F.col("paper"), F.col("page"), F.col("paragraph")))).otherwise("#参考来源")
+    key = F.coalesce(F.concat(F.lit("doc_id:"), F.col("paper").cast("string")), F.concat(F.lit("library:"), F.col("library_index").cast("string")))
+    where = location(page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"), title=title)
+    one = F.struct("pos", "label", key.alias("key"), title.alias("reference"), where.alias("location"), href.alias("href"))
+    listed = labels.groupBy(answer).agg(F.array_sort(F.collect_list(one), lambda x, y: x["pos"] - y["pos"]).alias("_es"))
+    shape = lambda x: F.struct(x["label"].alias("label"), x["key"].alias("key"), x["reference"].alias("reference"), x["location"].alias("location"), x["href"].alias("href"))
+    return body.join(listed, answer, "left").select(answer, F.when(F.col("_es").isNull(), F.col("_body")).otherwise(render_answers("_body", F.transform("_es", shape))).alias("text"))
 
 
 def render(text: str, evidence: list[dict]) -> str:

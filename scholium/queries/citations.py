@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_markdown, mime_type
@@ -109,12 +109,41 @@ def strip_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.strip_rendering(shown).alias("body"))
 
 
-@query("stored_labels", """SELECT doc_id, library_index, title, title = 'src' || library_index AS valid FROM (SELECT DISTINCT doc_id, (doc_id % 20)::INT AS library_index, source AS title FROM documents)""")
+SAVED = """CASE doc_id % 5 WHEN 0 THEN '第2页' WHEN 1 THEN '第2–4页，§Results，段落7' WHEN 2 THEN '第0页' WHEN 3 THEN '页码未知，段落3' ELSE '第3–2页' END"""
+
+
+def saved_label() -> Column:
+    k = F.col("doc_id") % 5
+    place = F.when(k == 0, "第2页").when(k == 1, "第2–4页，§Results，段落7").when(k == 2, "第0页").when(k == 3, "页码未知，段落3").otherwise("第3–2页")
+    return F.concat(F.lit("[文献"), (F.col("doc_id") % 25).cast("string"), F.lit("《"), F.col("source"), F.lit("》，"), place, F.lit("]"))
+
+
+def numbered_papers(spark: SparkSession) -> DataFrame:
+    return spark.range(1, 20).select(F.col("id").cast("int").alias("library_index"), (F.col("id") + 100).alias("doc_id"))
+
+
+@query("stored_labels", f"""SELECT doc_id, (doc_id % 25)::INT AS library_index, source AS title, CASE WHEN doc_id % 25 BETWEEN 1 AND 19 THEN doc_id % 25 + 100 END AS paper, doc_id % 5 IN (0, 1, 3) AND doc_id % 25 > 0 AS valid FROM (SELECT DISTINCT doc_id, source FROM documents)""")
 def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    answers = docs.select("doc_id", F.concat(F.lit("a [文献"), (F.col("doc_id") % 20).cast("string"), F.lit("《"), F.col("source"), F.lit("》，第1页] b")).alias("text"))
-    papers = spark.range(20).select(F.col("id").cast("int").alias("library_index"), F.concat(F.lit("src"), F.col("id").cast("string")).alias("paper_title"), F.lit("").alias("filename"))
-    return C.stored_labels(answers, papers, answer="doc_id", text="text").drop("label")
+    """Labels in saved answers, some of which are not made again as they are, some of papers that are gone."""
+    answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer"), F.concat(F.lit("a "), saved_label(), F.lit(" b "), saved_label()).alias("text"))
+    found = C.stored_labels(answers, numbered_papers(spark), answer="answer", text="text")
+    return found.select(F.col("answer").alias("doc_id"), "library_index", "title", "paper", "valid")
+
+
+@query("saved_answers", f"""WITH a AS (SELECT DISTINCT doc_id, source, doc_id % 25 AS i, {SAVED} AS place FROM documents), l AS (SELECT *, '[文献' || i || '《' || source || '》，' || place || ']' AS label FROM a)
+SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 3) AND i > 0 THEN 'a [[1]](' || CASE WHEN i < 20 THEN '?open_citation=g3-d' || (i + 100) || CASE doc_id % 5 WHEN 0 THEN '-p2-r0' WHEN 1 THEN '-p2-r7' ELSE '-p0-r3' END ELSE '#参考来源' END || ' "' || label || '") [[2]](?open_citation=x)' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### 参考来源' || chr(10) || '[1] ' || source || '：' || place
+ ELSE 'a ' || label || ' [[2]](?open_citation=x)' END AS text FROM l""")
+def saved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved answers as they are shown now: links for their labels, visible brackets for older links."""
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a "), saved_label(), F.lit(" [2](?open_citation=x)")).alias("text"))
+    return C.finalize_saved(answers, numbered_papers(spark), answer="doc_id", text="text", group=3)
+
+
+@query("fragment_labels", "SELECT doc_id, 'x ' || lang || ' y ' || source || ' [片段9] z ' || lang AS text FROM documents")
+def fragment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of fragments that a model has left, as the labels of those places."""
+    text = F.lit("x [片段1] y [ 片段 2 | any words ] [片段9] z [片段1]")
+    return table(spark, sf_dir, "documents").select("doc_id", C.expand_fragments(text, F.array("lang", "source")).alias("text"))
 
 
 @query("paper_keys", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'academic:10.1/' || doc_id WHEN doc_id % 5 = 1 THEN 'academic:ev' || doc_id WHEN doc_id % 5 = 2 AND doc_id > 0 THEN 'doc_id:' || doc_id WHEN doc_id % 5 = 3 THEN 'library:0:' || (doc_id % 7 + 1) ELSE 'source:' || source END AS key FROM documents")
