@@ -168,7 +168,14 @@ def image_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", mime_type(path).alias("kind"))
 
 
-@query("rendered_answers")
+LABEL = "'[文献' || CASE WHEN library_index > 0 THEN library_index::VARCHAR WHEN doc_id > 0 THEN 'ID' || doc_id ELSE '?' || greatest(1, position) END || '《' || title || '》，' || place || ']'"
+
+
+@query("rendered_answers", f"""WITH {EVIDENCE}, o AS (SELECT *, {LABEL} AS label, row_number() OVER (PARTITION BY answer ORDER BY position, doc_id::VARCHAR, {LABEL}) AS i FROM g),
+n AS (SELECT answer, doc_id, row_number() OVER (PARTITION BY answer ORDER BY min(i)) AS no, replace(arg_min(title, i), '（x）', '[x]') AS title FROM o GROUP BY answer, doc_id),
+b AS (SELECT answer, string_agg('fact [[' || no || ']](?open_citation=g1-d' || doc_id || '-p' || greatest(0, page) || '-r' || greatest(0, paragraph) || ' "' || label || '")', ' ' ORDER BY i) AS body FROM o JOIN n USING (answer, doc_id) GROUP BY answer),
+p AS (SELECT answer, no, n.title AS title, place, min(i) AS seen FROM o JOIN n USING (answer, doc_id) GROUP BY ALL), r AS (SELECT answer, no, '[' || no || '] ' || title || '：' || string_agg(place, '；' ORDER BY seen) AS line FROM p GROUP BY answer, no, title)
+SELECT answer, body || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### 参考来源' || chr(10) || lines AS text FROM b JOIN (SELECT answer, string_agg(line, chr(10) ORDER BY no) AS lines FROM r GROUP BY answer) USING (answer)""")
 def rendered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer for each order that cites its line items by bare numbers, rendered with links and references."""
     e = evidence(spark, sf_dir)
