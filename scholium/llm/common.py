@@ -33,8 +33,8 @@ def cut(frame: DataFrame, rows: int | None = None) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-#: The most frequent keys, whose rows are joined by broadcast; up to WHOLE keys all are, 50 bytes each.
-FREQUENT, WHOLE = 10_000, 500_000
+#: The most frequent keys, whose rows are joined by broadcast; of few keys all are.
+FREQUENT, WHOLE = 10_000, 20_000
 
 
 def join_spread(rows: DataFrame, side: DataFrame, key: str, weight: str, *, keys: int) -> DataFrame:
