@@ -259,7 +259,7 @@ tables AS (SELECT doc_id, 1 AS way, 0 AS part, CASE WHEN doc_id % 4 = 1 THEN 'Ta
 u AS (SELECT doc_id, way, part, text, page, page_start, page_end, section, content_type, NULL::VARCHAR AS table_id, NULL::VARCHAR AS table_caption, NULL::BOOLEAN AS continued_table FROM blocks
  UNION ALL SELECT doc_id, way, part, text, page, NULL::BIGINT, NULL::BIGINT, section, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::BOOLEAN FROM pages WHERE text <> ''
  UNION ALL SELECT doc_id, way, part, text, page, 2, 3, section, 'table', 't1', caption, doc_id % 4 = 1 FROM tables)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY way, part) - 1 AS chunk_index, page, page_start, page_end, section, content_type, length(u.text) AS char_count, table_id, table_caption, continued_table, source AS paper_title, (doc_id % 7)::INT AS library_index, 'group:' || (doc_id % 3) AS permission,
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY way, part) - 1 AS chunk_index, page, page_start, page_end, section, content_type, length(u.text) AS char_count, table_id, table_caption, coalesce(continued_table, false) AS continued_table, source AS paper_title, (doc_id % 7)::INT AS library_index, 'group:' || (doc_id % 3) AS permission,
  CASE WHEN doc_id % 2 = 0 THEN 'high' END AS layout_confidence FROM u JOIN documents USING (doc_id)""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as parsed papers: half have blocks, the others pages and tables. Chunks may be longer than any text, so that none is split."""
@@ -273,7 +273,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.when(k % 2 == 0, F.transform(lines, block)).alias("blocks"), F.when(k % 2 == 1, F.transform(lines, lambda x, i: F.struct((i + 1).alias("page"), F.trim(x).alias("text")))).alias("pages"), F.lit("").alias("markdown"),
         F.array(one).alias("tables"), F.concat("source", F.lit(".pdf")).alias("filename"), (k % 7).cast("string").alias("library_index"), (k % 3).alias("group_id"),
     )
-    return L.chunk_documents(parsed, target=1_000_000, most=1_000_000).select(*CHUNK_COLUMNS)
+    return L.chunk_documents(parsed, target=1_000_000, most=1_000_000).select(*CHUNK_COLUMNS).withColumn("continued_table", F.coalesce("continued_table", F.lit(False)))
 
 
 @query("chunk_markdown")
