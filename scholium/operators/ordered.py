@@ -34,11 +34,14 @@ def running(rows: DataFrame, *, by: list[str], order: list[Column], value: Colum
 
 def percentiles(rows: DataFrame, *, group: str, value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """group, p50, p95, p99: the value at that share of the way, its place rounded half to even. Exact."""
-    some = rows.where(F.col(value).isNotNull()).select(group, value)
-    placed = running(some, by=[group], order=[F.col(value)])
-    n = some.groupBy(F.col(group).alias("_key")).agg(F.count(F.lit(1)).alias("_count"))
-    wanted = n.select("_key", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.bround(F.lit(p) * (F.col("_count") - 1)) + 1).cast("long").alias("at")) for k, p in enumerate(ps)])).alias("w")).select("_key", "w.k", "w.at")
-    met = placed.join(wanted, F.col(group).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("at")))  # as many rows as percentiles
+    # equal values are counted first, so that a frequent one is one row
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_times"))
+    placed = running(counted, by=[group], order=[F.col(value)], value=F.col("_times"))
+    n = counted.groupBy(F.col(group).alias("_key")).agg(F.sum("_times").alias("_count"))
+    place = lambda p: (F.bround(F.lit(p) * (F.col("_count") - 1)) + 1).cast("long")
+    wanted = n.select("_key", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), place(p).alias("at")) for k, p in enumerate(ps)])).alias("w")).select("_key", "w.k", "w.at")
+    here = (F.col("at") > F.col("_before")) & (F.col("at") <= F.col("_before") + F.col("_times"))
+    met = placed.join(wanted, F.col(group).eqNullSafe(F.col("_key")) & here)  # as many rows as percentiles
     return met.groupBy(group).agg(*[F.max(F.when(F.col("k") == k, F.col(value))).alias(f"p{round(p * 100)}") for k, p in enumerate(ps)])
 
 

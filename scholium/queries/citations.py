@@ -96,9 +96,9 @@ def target_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.look_up(targets, chunks, target="target")
 
 
-@query("markdown_escape", r"SELECT doc_id, length(regexp_replace(text, '([\\`*_{}\[\]()<>#+\-.!|])', '\\\1', 'g')) AS n FROM documents")
+@query("markdown_escape", r"SELECT doc_id, sha256(regexp_replace(text, '([\\`*_{}\[\]()<>#+\-.!|])', '\\\1', 'g')) AS text_sha256 FROM documents")
 def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(escape_markdown(F.col("text"))).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(escape_markdown(F.col("text")), 256).alias("text_sha256"))
 
 
 @query("strip_citations", "SELECT doc_id, lang || ' [' || (doc_id % 9) || '] end' AS body FROM documents")

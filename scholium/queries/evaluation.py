@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp01, is_refusal
 from ..operators import evaluate as E
 from ..operators import ordered as O
+from ..operators.review import judged
 from ..session import table
 from .retrieval import VECTORS, vectors
 
@@ -95,3 +96,19 @@ def judge_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source", "doc_id").agg(F.sum("quality").alias("good"), F.count("quality").alias("total"))
     ratio = F.when(F.col("total") > 0, clamp01(F.col("good") / F.col("total")))
     return joined.withColumn("r", ratio).groupBy("source").agg(E.mean4("r").alias("faithfulness"), F.count(F.lit(1)).alias("n"))
+
+
+@query("judge_scores", "SELECT conv_id, turn, round(least(1, (length(text) % 13) / 10.0), 4) AS faithfulness, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 0.5 END::DOUBLE AS answer_relevance, NULL::DOUBLE AS context_precision, CASE WHEN role = 'user' THEN 0.25 ELSE 0 END::DOUBLE AS context_recall FROM conversations")
+def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge that scores too high, fails, answers without JSON, in a fence, or below zero."""
+
+    def judge(metric: str, row: dict) -> str:
+        n = len(row["text"])
+        if metric == "faithfulness":
+            return f'Well: {{"faithfulness": {n % 13 / 10}}}'
+        if metric == "answer_relevance":
+            return '{"answer_relevance": "0.5"}' if n % 5 else str(1 / 0)
+        return "no score" if metric == "context_precision" else '```json\n{"context_recall": 0.25}\n```' if row["role"] == "user" else '{"context_recall": -3}'
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return judged(rows, judge, inputs=["text", "role"]).drop("role", "text").withColumn("faithfulness", F.round("faithfulness", 4))
