@@ -49,7 +49,7 @@ SEED = 42
 COPY_SHINGLE, SIMILARITY, WORDS, RECALL, WITHIN = 5, 0.8, 4, 0.98, 0.95
 PLACE_LIMIT = 32_768
 PIVOTS = 16
-#: Rows that are broadcast at most; 100 bytes each are 50 MB.
+#: Rows that are broadcast at most; 200 bytes each are 100 MB.
 MAX_BROADCAST = 500_000
 #: Costs of sending a value and of comparing a pair, in microseconds; only their ratio matters.
 SEND_COST, PAIR_COST = 1.0, 0.02
