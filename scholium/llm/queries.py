@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, decontaminate, licenses, pii, quality, simhash, toxicity, urlfilter, warc
+from . import bpe, chat, decontaminate, licenses, merkle, pii, quality, simhash, toxicity, urlfilter, warc
+from .common import lower_ascii
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +134,57 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot and proof, and the root that a copy leads to of which a fifth of the texts is changed."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = [lower_ascii(F.col(f)) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.unhex(merkle.leaf_of(lowered)))
+    rows = merkle.manifest(docs, keep={"changed": changed})
+    refolded = rows.withColumn("folded_root", merkle.folded(F.coalesce(F.lower(F.hex("changed")), "leaf"), F.col("path")))
+    proof = merkle.digest_of(merkle.siblings(F.col("path")))
+    return refolded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: An unsigned crc32 in SQL, of a text of ASCII characters: bytes by folding, bits by folding.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def merkle_sql(depth: int, top_depth: int) -> str:
+    """For up to 16 ** depth documents of a source and 16 ** top_depth sources."""
+    value = lambda v: f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
+    fields = lambda text: "sha256(" + " || ".join(value(text if f == "text" else f) for f in merkle.FIELDS) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"""leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g, {fields("text")} AS leaf,
+  CASE WHEN {CRC32_SQL.format("doc_id::VARCHAR")} % 5 = 0 THEN {fields(lowered)} ELSE {fields("text")} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+a0 AS (SELECT g, i, leaf AS h, n FROM placed)"""
+    ]
+
+    def level(k: str, up: str) -> None:
+        run = f"OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+        steps.append(f"""s{k} AS (SELECT g, i, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {k} WHERE n > 1)""")
+        steps.append(f"{up} AS (SELECT g, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (n + 15) // 16 AS n FROM {k} WHERE n > 1 GROUP BY g, i // 16, n)")
+
+    for k in range(depth):
+        level(f"a{k}", f"a{k + 1}")
+    steps.append("tops AS (" + " UNION ALL ".join(f"SELECT g, h FROM a{k} WHERE n = 1" for k in range(depth + 1)) + ")")
+    steps.append("b0 AS (SELECT 0 AS g, g - 1 AS i, h, count(*) OVER () AS n FROM tops)")
+    for k in range(top_depth):
+        level(f"b{k}", f"b{k + 1}")
+    steps.append("root AS (" + " UNION ALL ".join(f"SELECT h FROM b{k} WHERE n = 1" for k in range(top_depth + 1)) + ")")
+    steps.append("f0 AS (SELECT *, changed AS f, '' AS p FROM placed)")
+    runs = [(f"sa{k}", f"s.g = f.g AND s.i = f.i // {16**k}") for k in range(depth)] + [(f"sb{k}", f"s.i = (f.g - 1) // {16**k}") for k in range(top_depth)]
+    for k, (s, on) in enumerate(runs):
+        steps.append(f"f{k + 1} AS (SELECT f.* EXCLUDE (f, p), CASE WHEN s.i IS NULL THEN f.f ELSE sha256(s.l || f.f || s.r) END AS f, p || coalesce(s.l || s.r, '') AS p FROM f{k} f LEFT JOIN {s} s ON {on})")
+    last = f"SELECT doc_id, leaf, t.h AS subroot, root.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = root.h AS verified FROM f{len(runs)} f JOIN tops t USING (g), root"
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
+OP13_SQL = merkle_sql(6, 3)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
@@ -145,5 +197,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_merkle": op13_merkle,
 }
-QUERY_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_warc": OP4_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL}
+QUERY_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_warc": OP4_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op13_merkle": OP13_SQL}
