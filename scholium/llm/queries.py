@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, chat, decontaminate, licenses, merkle, pii, quality, simhash, toxicity, urlfilter, warc
+from . import bpe, chat, decontaminate, licenses, merkle, pii, quality, repair, repeats, simhash, toxicity, urlfilter, warc
 from .common import lower_ascii
 
 
@@ -134,6 +134,85 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
 
+#: An unsigned crc32 in SQL, of a text of ASCII characters: bytes by folding, bits by folding.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of words, of those that stand in repeated windows, and a digest of the others."""
+    done = repeats.without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+c AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY gram) > 1),
+h AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM c),
+u AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN h USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with planted faults: by a checksum of its number, a turn is dropped, emptied, bereft of its
+    full stops, repeated, or given to the user."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20
+    role = F.when(kind == 4, "user").otherwise(spaced("role"))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(spaced("text"), "[.!?]", "")).otherwise(spaced("text"))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with its faults and its cheapest repair."""
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.repair(damaged(turns)).withColumnRenamed("conv_id", "r_conv_id")
+    met = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("r_conv_id")), "left").drop("r_conv_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return met.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def repair_sql() -> str:
+    """The four states are texts of nine digits of cost and the audit, so that the least one is the cheapest."""
+    add = lambda x, cost, letter: f"(lpad((left({x}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || '{letter}')"
+    crc = CRC32_SQL.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    kept = lambda c, x: f"CASE WHEN ok AND c = '{c}' THEN {add(x, 't', 'K')} END"
+    rerole = lambda x: f"CASE WHEN ok THEN {add(x, '2 + t', 'R')} END"
+    before_user = "least(n, s, a)"
+    return f"""
+WITH RECURSIVE c AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS g, {crc} % 20 AS k FROM conversations),
+e AS (SELECT g, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM c WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+             lag(left(role, 1)) OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) || left(role, 1) AS pair FROM e),
+f AS (SELECT *, left(role, 1) AS c, fault <> 'b' AND fault <> 'd' AS ok, (fault = 't')::BIGINT AS t FROM (SELECT *,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM o)),
+p AS (SELECT g, 0::BIGINT AS i, '000000000' AS n, NULL::VARCHAR AS s, '000000002I' AS u, '000000004II' AS a FROM (SELECT DISTINCT g FROM f)
+      UNION ALL
+      SELECT g, i, n, s, u2, least(a, {add("u2", 2, "I")}) FROM (SELECT *, least(u, {add(before_user, 2, "I")}) AS u2 FROM
+        (SELECT p.g, f.i, {add("n", 3, "D")} AS n, least({add("s", 3, "D")}, {kept("s", "n")}) AS s,
+                least({add("u", 3, "D")}, {kept("u", before_user)}, {rerole(before_user)}) AS u, least({add("a", 3, "D")}, {kept("a", "u")}, {rerole("u")}) AS a
+         FROM p JOIN f ON p.g = f.g AND f.i = p.i + 1))),
+w AS (SELECT g, left(x, 9)::BIGINT AS cost, substr(x, 10) AS audit FROM (SELECT g, least(n, a) AS x FROM p QUALIFY i = max(i) OVER (PARTITION BY g))),
+l AS (SELECT g, unnest(range(1, length(audit) + 1)) AS pos, unnest(string_split(audit, '')) AS letter FROM w WHERE audit <> ''),
+m AS (SELECT *, sum((letter <> 'I')::INT) OVER (PARTITION BY g ORDER BY pos) AS i, sum((letter <> 'D')::INT) OVER (PARTITION BY g ORDER BY pos) AS q, sum((letter <> 'D')::INT) OVER (PARTITION BY g) AS total FROM l),
+r AS (SELECT m.g, string_agg(CASE WHEN letter = 'K' THEN role WHEN (q + total) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS repaired
+      FROM m LEFT JOIN f ON m.g = f.g AND m.i = f.i AND letter <> 'I' WHERE letter <> 'D' GROUP BY m.g),
+k AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM c) LEFT JOIN k USING (g) LEFT JOIN w USING (g) LEFT JOIN r USING (g)
+"""
+
+
+OP12_SQL = repair_sql()
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, subroot and proof, and the root that a copy leads to of which a fifth of the texts is changed."""
     docs = table(spark, sf_dir, "documents")
@@ -145,11 +224,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refolded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-#: An unsigned crc32 in SQL, of a text of ASCII characters: bytes by folding, bits by folding.
-CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
-    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
-
-
 def merkle_sql(depth: int, top_depth: int) -> str:
     """For up to 16 ** depth documents of a source and 16 ** top_depth sources."""
     value = lambda v: f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
@@ -197,6 +271,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_repeats": op11_repeats,
+    "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
-QUERY_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_warc": OP4_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op13_merkle": OP13_SQL}
+QUERY_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_warc": OP4_SQL, "op7_url_filter": OP7_SQL, "op9_quality": OP9_SQL, "op11_repeats": OP11_SQL, "op12_repair": OP12_SQL, "op13_merkle": OP13_SQL}
