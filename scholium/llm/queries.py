@@ -187,10 +187,10 @@ def repair_sql() -> str:
 WITH RECURSIVE c AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS g, {crc} % 20 AS k FROM conversations),
 e AS (SELECT g, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy,
              CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM c WHERE k <> 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i,
              lag(left(role, 1)) OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) || left(role, 1) AS pair FROM e),
 f AS (SELECT *, left(role, 1) AS c, fault <> 'b' AND fault <> 'd' AS ok, (fault = 't')::BIGINT AS t FROM (SELECT *,
-             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM o)),
+             row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM o)),
 p AS (SELECT g, 0::BIGINT AS i, '000000000' AS n, NULL::VARCHAR AS s, '000000002I' AS u, '000000004II' AS a FROM (SELECT DISTINCT g FROM f)
       UNION ALL
       SELECT g, i, n, s, u2, least(a, {add("u2", 2, "I")}) FROM (SELECT *, least(u, {add(before_user, 2, "I")}) AS u2 FROM
