@@ -201,7 +201,7 @@ def repaired_turns(turns: DataFrame, repairs: DataFrame, *, conv: str = "conv_id
     placed = running(pieces, by=["conv"], order=[F.col("k")], value=F.length(F.translate("piece", "D", ""))).select("conv", "total", "k", "piece", "_before")
     numbered = said.select(F.col("conv").alias("s_conv"), (F.col("_n") - 1).alias("s_k"), "role", "text")
     met = placed.join(numbered, F.col("conv").eqNullSafe(F.col("s_conv")) & (F.col("k") == F.col("s_k")), "left")
-    each = met.select("conv", "total", "role", "text", "_before", F.posexplode(F.split("piece", "(?!^)")).alias("at", "edit")).where("edit <> 'D'")
+    each = met.select("conv", "total", "role", "text", "_before", F.posexplode(F.regexp_extract_all("piece", F.lit("."), F.lit(0))).alias("at", "edit")).where("edit <> 'D'")
     place = (F.col("_before") + F.col("at") + 1).cast("long")
     named = F.when(F.col("edit") == "K", F.col("role")).otherwise(F.when((place + F.col("total")) % 2 == 1, NAME[USER]).otherwise(NAME[ASSISTANT]))
     return each.select(F.col("conv").alias(conv), place.alias("place"), named.alias("role"), F.when(F.col("edit") == "I", "").otherwise(F.col("text")).alias("text"), "edit")

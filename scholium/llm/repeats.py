@@ -41,8 +41,10 @@ WINDOW = 35
 #: Words of a minimiser.
 SEED = 4
 #: Packed bytes of a bucket on average, of one that is still gathered, and of the strings that a task holds at once.
-BUCKET_BYTES, LIMIT_BYTES, HELD_BYTES = 2 << 20, 16 << 20, 32 << 20
+BUCKET_BYTES, LIMIT_BYTES, HELD_BYTES = 4 << 20, 32 << 20, 64 << 20
 MOST_HOT = 20_000
+#: Bytes of texts that are looked at in one go.
+PIECE = 2 << 20
 #: Rows of digests that leave a function at once.
 DIGESTS = 20_000
 #: Bytes of a word that are hashed in one go with those of others.
@@ -193,7 +195,7 @@ def _sized(words: Words, first: np.ndarray, last: np.ndarray, window: int) -> np
 
 def _loads(window: int, seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             words, _ = _cut_texts(batch, window)
             least, first, last = super_kmers(words, window, seed)
             found, where = np.unique(least % _U(buckets), return_inverse=True)
@@ -216,7 +218,7 @@ def _blocks(window: int, seed: int, buckets: int, hot: frozenset[int]):
             held.clear()
             return _batch(BLOCK, list(zip(*rows)))
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             words, keys = _cut_texts(batch, window)
             least, first, last = super_kmers(words, window, seed)
             of, size = words.of[first], _sized(words, first, last, window)
@@ -257,7 +259,7 @@ def _digests(strings: Iterator[tuple[bytes, bytes, int]], window: int) -> Iterat
 
 def _hot_windows(window: int, seed: int, buckets: int, hot: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             words, keys = _cut_texts(batch, window)
             least, first, last = super_kmers(words, window, seed)
             in_hot = np.isin(least % _U(buckets), np.array(sorted(hot), np.uint64))

@@ -19,7 +19,7 @@ def shown(value):
 @pytest.mark.parametrize("name", sorted(queries.QUERY_SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.QUERY_SQL[name])
