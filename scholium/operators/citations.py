@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import escape_markdown, squash
+from ..functions.text import ESCAPED, escape_markdown, squash
 
 #: The forms of targets, links and the references below an answer.
 TARGET = r"^g(\d+)-d(\d+)-p(\d+)-r(\d+)$"
 LINK = r'\[\[(\d+)\]\]\((?:\?open_citation=[^)\s"]+|https?://[^)\s"]+|#参考来源)(?:\s+"(?:\\.|[^"\\])*")?\)'
 FULL_LABEL = r"\[文献(\d+)《([^\]\r\n]+?)》，([^\]\r\n]+)\]"
 LEGACY_LINK = r"(?i)(?<!\[)\[(\d+)\](?=\((?:\?open_citation=|https?://[^)\s]*[?&]open_citation=))"
-FRAGMENT = r"(?i)\[\s*片段\s*\d+(?:\s*\|[^\]\r\n]*)?\s*\]"
-REFERENCES = r"(?s)\n{2,}---\s*\n{2,}### 参考来源\s*(?:\n.*)?$"
+FRAGMENT = r"(?i)\[\s*片段\s*(\d+)(?:\s*\|[^\]\r\n]*)?\s*\]"
+BARE = r"(?<!\[)\[(\d+)\](?!\]|\()"
+REFERENCES = r"\n{2,}---\s*\n{2,}### 参考来源\s*(?:\n|$)"
+#: The comment that older answers carry before the heading, whatever its first word.
+COMMENT = r"<!-- \w+-reference-list -->\n?"
 
 
 def positive(value: Column) -> Column:
@@ -43,9 +46,14 @@ def location(*, page: Column, page_end: Column, section: Column, paragraph: Colu
     return F.concat_ws("，", pages_text(page, page_end), named, F.concat(F.lit("段落"), number.cast("string")))
 
 
+def paper_number(*, library_index: Column, doc_id: Column, position: Column) -> Column:
+    """A paper's place in its library, else its id, else its place in the evidence."""
+    return F.coalesce(positive(library_index).cast("string"), F.concat(F.lit("ID"), positive(doc_id).cast("string")), F.concat(F.lit("?"), F.greatest(F.lit(1), position).cast("string")))
+
+
 def label(*, library_index: Column, doc_id: Column, position: Column, title: Column, filename: Column, page: Column, page_end: Column, section: Column, paragraph: Column) -> Column:
     name = title_of(title, filename)
-    number = F.coalesce(positive(library_index).cast("string"), F.concat(F.lit("ID"), positive(doc_id).cast("string")), F.concat(F.lit("?"), F.greatest(F.lit(1), position).cast("string")))
+    number = paper_number(library_index=library_index, doc_id=doc_id, position=position)
     return F.concat(F.lit("[文献"), number, F.lit("《"), name, F.lit("》，"), location(page=page, page_end=page_end, section=section, paragraph=paragraph, title=name), F.lit("]"))
 
 
@@ -100,12 +108,27 @@ def number_papers(evidence: DataFrame, *, answer: str, position: str, key: str)
     return evidence.join(numbered, [answer, key])
 
 
-def reference_list(numbered: DataFrame, *, answer: str, position: str, title: str, location: str) -> DataFrame:
-    """answer, paper_no, reference: each paper once, with its distinct locations in order of appearance."""
-    each = numbered.groupBy(answer, "paper_no", location).agg(F.min(position).alias("_at"), F.min_by(title, position).alias("_title"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", location))), lambda x: x[location])
-    out = each.groupBy(answer, "paper_no").agg(F.min_by("_title", "_at").alias("_title"), F.array_join(listed, "；").alias("_where"))
-    return out.select(answer, "paper_no", F.concat(F.lit("["), F.col("paper_no").cast("string"), F.lit("] "), escape_markdown(F.col("_title")), F.lit("："), F.col("_where")).alias("reference"))
+def paper_reference(*, library_index: Column, doc_id: Column, position: Column, title: Column, filename: Column) -> Column:
+    """How the list of references names a paper of a library."""
+    return F.concat(F.lit("文献"), paper_number(library_index=library_index, doc_id=doc_id, position=position), F.lit("《"), title_of(title, filename), F.lit("》"))
+
+
+def link(number: Column, href: Column, label: Column) -> Column:
+    """A number in visible brackets that leads to its evidence and shows its label."""
+    shown = F.replace(F.replace(F.regexp_replace(label, r"(?U)\s+", " "), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit("[["), number.cast("string"), F.lit("]]("), href, F.lit(' "'), shown, F.lit('")'))
+
+
+def reference_list(numbered: DataFrame, *, answer: str, position: str, label: str, href: str, reference: str, location: str) -> DataFrame:
+    """answer, paper_no, reference: each paper once, with a link to its first place and all its different places in order
+    of appearance."""
+    each = numbered.groupBy(answer, "paper_no", location).agg(F.min(position).alias("_at"), F.min(F.struct(position, label, href, reference)).alias("_one"))
+    places = F.transform(F.array_sort(F.collect_list(F.struct("_at", location))), lambda x: escape_markdown(x[location]))
+    out = each.groupBy(answer, "paper_no").agg(F.min_by("_one", F.struct("_at", location)).alias("_one"), places.alias("_where"))
+    one = lambda c: F.col("_one")[c]
+    then = F.when(F.size("_where") == 1, "，").otherwise("：")
+    line = F.concat(F.lit("- "), link(F.col("paper_no"), one(href), one(label)), F.lit(" "), escape_markdown(one(reference)), then, F.array_join("_where", "；"))
+    return out.select(answer, "paper_no", line.alias("reference"))
 
 
 def look_up(targets: DataFrame, chunks: DataFrame, *, target: str) -> DataFrame:
@@ -118,16 +141,26 @@ def look_up(targets: DataFrame, chunks: DataFrame, *, target: str) -> DataFrame:
     return met.groupBy(target).agg(F.min(F.struct(priority.alias("priority"), F.col("chunk_index").alias("chunk_index"))).alias("m")).select(target, "m.priority", "m.chunk_index")
 
 
-def strip_rendering(answer: Column) -> Column:
-    """The text with plain numbers for links, without the references."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), REFERENCES, ""), LINK, "[$1]")
-
-
 def visible_brackets(text: Column) -> Column:
     """Links of the older form [2](…) as [[2]](…), where a number in brackets is what is seen."""
     return F.regexp_replace(text, LEGACY_LINK, "[[$1]]")
 
 
+def without_comment(text: Column) -> Column:
+    """Without the comment that marked the list of references."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "")
+
+
+def has_references(text: Column) -> Column:
+    return text.rlike(REFERENCES)
+
+
+def strip_rendering(answer: Column) -> Column:
+    """The text with plain numbers for links, without the references."""
+    body = F.regexp_replace(without_comment(visible_brackets(answer)), f"(?s){REFERENCES}.*", "")
+    return F.regexp_replace(F.regexp_replace(body, r"(?U)\s+$", ""), f"(?i){LINK}", "[$1]")
+
+
 def expand_fragments(text: Column, labels: Column) -> Column:
     """The text with the label of that place (from 1) for each fragment's mark; marks of other places stay."""
     marks = F.regexp_extract_all(text, F.lit(FRAGMENT), F.lit(0))
@@ -155,49 +188,55 @@ def stored_labels(answers: DataFrame, papers: DataFrame, *, answer: str, text: s
 
 def finalize_saved(answers: DataFrame, papers: DataFrame, *, answer: str, text: str, group: int) -> DataFrame:
     """answer, text: saved answers with links for their valid labels and the references below; those that have references
-    already, or no valid label, only get visible brackets."""
-    body = answers.select(answer, visible_brackets(F.coalesce(F.col(text), F.lit(""))).alias("_body"))
-    labels = stored_labels(body, papers, answer=answer, text="_body").where("valid")
-    title = title_of(F.col("title"), F.lit(""))
+    already, or no valid label, only get visible brackets and lose the older comment."""
+    body = answers.select(answer, without_comment(visible_brackets(F.col(text))).alias("_body"))
+    labels = stored_labels(body.where(~has_references(F.col("_body"))), papers, answer=answer, text="_body").where("valid")
+    title, where = title_of(F.col("title"), F.lit("")), {"page": F.col("page"), "page_end": F.col("page_end"), "section": F.col("section"), "paragraph": F.col("paragraph")}
     href = F.when(F.col("paper").isNotNull(), F.concat(F.lit("?open_citation="), encode_target(F.lit(group), F.col("paper"), F.col("page"), F.col("paragraph")))).otherwise("#参考来源")
     key = F.coalesce(F.concat(F.lit("doc_id:"), F.col("paper").cast("string")), F.concat(F.lit("library:"), F.col("library_index").cast("string")))
-    where = location(page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"), title=title)
-    one = F.struct("pos", "label", key.alias("key"), title.alias("reference"), where.alias("location"), href.alias("href"))
-    listed = labels.groupBy(answer).agg(F.array_sort(F.collect_list(one), lambda x, y: x["pos"] - y["pos"]).alias("_es"))
-    shape = lambda x: F.struct(x["label"].alias("label"), x["key"].alias("key"), x["reference"].alias("reference"), x["location"].alias("location"), x["href"].alias("href"))
-    return body.join(listed, answer, "left").select(answer, F.when(F.col("_es").isNull(), F.col("_body")).otherwise(render_answers("_body", F.transform("_es", shape))).alias("text"))
+    named = paper_reference(library_index=F.col("library_index"), doc_id=F.col("paper"), position=F.lit(1), title=F.col("title"), filename=F.lit(""))
+    one = F.struct("pos", "label", key.alias("key"), named.alias("reference"), location(**where, title=title).alias("location"), href.alias("href"))
+    listed = labels.groupBy(answer).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("pos")).alias("_es"))
+    met = body.join(listed, answer, "left")
+    return met.select(answer, F.when(F.col("_es").isNull(), F.col("_body")).otherwise(render_answers("_body", "_es")).alias("text"))
+
+
+def _linked(number: int, e: dict) -> str:
+    title = re.sub(r"\s+", " ", e["label"]).replace("\\", "\\\\").replace('"', '\\"')
+    return f'[[{number}]]({e["href"]} "{title}")'
 
 
 def render(text: str, evidence: list[dict]) -> str:
-    """text with its labels and bare numbers as links, numbered by paper, and the references below.
+    """text with its labels, marks of fragments and bare numbers as links, numbered by paper in the order of their first
+    use, and the references below: each paper's line links to its first place and names all. Evidence that no label
+    uses is left out of the references, but all is listed where none is used. A text that has references stays.
 
     evidence: label, key, reference, location, href in the order of their positions. Rendering twice changes nothing."""
-    if re.search(r"\n{2,}---\s*\n{2,}### 参考来源", text):
-        return text
-    numbers: dict[str, int] = {}
-    used: dict[str, list[dict]] = {}
-
-    def link(e: dict) -> str:
-        number = numbers.setdefault(e["key"], len(numbers) + 1)
-        used.setdefault(e["key"], []).append(e)
-        title = re.sub(r"\s+", " ", e["label"]).replace("\\", "\\\\").replace('"', '\\"')
-        return f'[[{number}]]({e["href"]} "{title}")'
-
-    labels = {e["label"]: e for e in reversed(evidence)}
-    mark = "|".join(re.escape(x) for x in sorted(labels, key=len, reverse=True))
-    pattern = re.compile((f"({mark})|" if mark else "(?!)()|") + r"(?<!\[)\[(\d+)\](?!\]|\()")
-
-    def swap(m: re.Match) -> str:
-        if m[1]:
-            return link(labels[m[1]])
-        place = int(m[2])
-        return link(evidence[place - 1]) if 1 <= place <= len(evidence) else m[0]
-
-    body = pattern.sub(swap, text)
-    if not used:
+    label_at = lambda m: evidence[k - 1]["label"] if 1 <= (k := int(m[1])) <= len(evidence) else m[0]
+    body = re.sub(FRAGMENT, label_at, text)
+    body = re.sub(COMMENT, "", re.sub(LEGACY_LINK, r"[[\1]]", body)).strip()
+    if not body or not evidence or re.search(REFERENCES, body):
         return body
-    lines = [f"[{numbers[k]}] {es[0]['reference']}：{'；'.join(dict.fromkeys(e['location'] for e in es))}" for k, es in used.items()]
-    return f"{body}\n\n---\n\n### 参考来源\n" + "\n".join(lines)
+    body = re.sub(BARE, label_at, body)
+    known = {e["label"]: e for e in reversed(evidence)}  # of equal labels the first
+    papers: dict[str, dict[str, dict]] = {}  # the evidence used, by paper and label, in the order of use
+    numbers: dict[str, int] = {}
+
+    def use(e: dict) -> str:
+        papers.setdefault(e["key"], {}).setdefault(e["label"], e)
+        return _linked(numbers.setdefault(e["key"], len(numbers) + 1), e)
+
+    body = re.sub("|".join(re.escape(x) for x in sorted(known, key=len, reverse=True)), lambda m: use(known[m[0]]), body)
+    if not papers:
+        for e in evidence:
+            use(e)
+    escaped = lambda x: re.sub(ESCAPED, r"\\\1", x)
+    lines = []
+    for key, used in papers.items():
+        first, *_ = used.values()
+        places = [escaped(p) for p in dict.fromkeys(e["location"] for e in used.values())]
+        lines.append(f"- {_linked(numbers[key], first)} {escaped(first['reference'])}{'，' if len(places) == 1 else '：'}{'；'.join(places)}")
+    return f"{body}\n\n---\n\n### 参考来源\n\n" + "\n".join(lines)
 
 
 @F.pandas_udf(T.StringType())

@@ -139,8 +139,9 @@ def cited_evidence(rows: DataFrame) -> DataFrame:
     title = C.title_of(F.col("paper_title"), F.col("filename"))
     at = {"page": F.col("page"), "page_end": F.col("page_end"), "section": F.col("section"), "paragraph": F.col("paragraph_index")}
     label = C.label(library_index=F.col("library_index"), doc_id=F.col("doc_id"), position=F.col("n"), title=F.col("paper_title"), filename=F.col("filename"), **at)
+    named = C.paper_reference(library_index=F.col("library_index"), doc_id=F.col("doc_id"), position=F.col("n"), title=F.col("paper_title"), filename=F.col("filename"))
     href = F.concat(F.lit("?open_citation="), C.encode_target(F.lit(1), F.col("doc_id"), F.col("page"), F.col("paragraph_index")))
-    one = F.struct("n", "text", label.alias("label"), F.concat(F.lit("doc_id:"), F.col("doc_id").cast("string")).alias("key"), title.alias("reference"), C.location(title=title, **at).alias("location"), href.alias("href"))
+    one = F.struct("n", "text", label.alias("label"), F.concat(F.lit("doc_id:"), F.col("doc_id").cast("string")).alias("key"), named.alias("reference"), C.location(title=title, **at).alias("location"), href.alias("href"))
     return rows.withColumn("n", place).groupBy("question_id").agg(F.array_sort(F.collect_list(one)).alias("evidence"))  # at most rerank_top_n
 
 

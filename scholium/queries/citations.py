@@ -60,13 +60,28 @@ def citation_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.number_papers(evidence(spark, sf_dir), answer="answer", position="position", key="doc_id").select("answer", "position", "doc_id", "paper_no")
 
 
-@query("reference_list", rf"""WITH {NUMBERED}, r AS (SELECT answer, paper_no, place, min(position) AS seen, arg_min(title, position) AS title FROM g JOIN n USING (answer, doc_id) GROUP BY ALL)
-SELECT answer, paper_no, '[' || paper_no || '] ' || regexp_replace(arg_min(title, seen), '([\\`*_{{}}\[\]()<>#+\-.!|])', '\\\1', 'g') || '：' || string_agg(place, '；' ORDER BY seen, place) AS reference FROM r GROUP BY answer, paper_no""")
-def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+LABEL = "'[文献' || CASE WHEN library_index > 0 THEN library_index::VARCHAR WHEN doc_id > 0 THEN 'ID' || doc_id ELSE '?' || greatest(1, position) END || '《' || title || '》，' || place || ']'"
+NAMED = LABEL.replace("'[文献'", "'文献'").replace("'》，' || place || ']'", "'》'")
+HREF = "'?open_citation=g1-d' || doc_id || '-p' || greatest(0, page) || '-r' || greatest(0, paragraph)"
+MARKDOWN = lambda x: rf"regexp_replace({x}, '([\\`*_{{}}\[\]()<>#+\-.!|])', '\\\1', 'g')"
+LINK = """'[[' || {0} || ']](' || href || ' "' || replace(replace(label, '\\', '\\\\'), '"', '\\"') || '")'"""
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evidence with what its references need."""
     e = evidence(spark, sf_dir)
-    place = C.location(page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"), title=F.col("title"))
-    titled = e.withColumn("place", place).withColumn("title", C.title_of(F.col("title"), F.lit("")))
-    return C.reference_list(C.number_papers(titled, answer="answer", position="position", key="doc_id"), answer="answer", position="position", title="title", location="place")
+    of_paper = {c: F.col(c) for c in ("library_index", "doc_id", "position", "title")} | {"filename": F.lit("")}
+    at = {c: F.col(c) for c in ("page", "page_end", "section", "paragraph")}
+    href = F.concat(F.lit("?open_citation="), C.encode_target(F.lit(1), F.col("doc_id"), F.col("page"), F.col("paragraph")))
+    return e.withColumns({"place": C.location(**at, title=C.title_of(F.col("title"), F.lit(""))), "label": C.label(**of_paper, **at), "href": href, "named": C.paper_reference(**of_paper)})
+
+
+@query("reference_list", f"""WITH {NUMBERED}, r AS (SELECT answer, paper_no, place, min(position) AS seen, min({{'position': position, 'label': {LABEL}, 'href': {HREF}, 'named': {NAMED}}}) AS one FROM g JOIN n USING (answer, doc_id) GROUP BY ALL),
+l AS (SELECT answer, paper_no, unnest(arg_min(one, {{'s': seen, 'p': place}})), string_agg({MARKDOWN("place")}, '；' ORDER BY seen, place) AS places, count(*) AS n FROM r GROUP BY answer, paper_no)
+SELECT answer, paper_no, '- ' || {LINK.format("paper_no")} || ' ' || {MARKDOWN("named")} || CASE WHEN n = 1 THEN '，' ELSE '：' END || places AS reference FROM l""")
+def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = C.number_papers(cited(spark, sf_dir), answer="answer", position="position", key="doc_id")
+    return C.reference_list(numbered, answer="answer", position="position", label="label", href="href", reference="named", location="place")
 
 
 @query("citation_enrich", "SELECT l_orderkey, l_linenumber, CASE WHEN p_size > 25 THEN p_name ELSE 'old' END AS title FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
@@ -101,12 +116,15 @@ def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(escape_markdown(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("strip_citations", "SELECT doc_id, lang || ' [' || (doc_id % 9) || '] end' AS body FROM documents")
+@query("strip_citations", "SELECT doc_id, lang || ' [' || (doc_id % 9) || '] end [3]' || CASE WHEN doc_id % 4 = 3 THEN chr(10) || '### 参考来源 of a kind' ELSE '' END AS body FROM documents")
 def strip_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered answers back to their plain text."""
-    n = (F.col("doc_id") % 9).cast("string")
-    shown = F.concat(F.col("lang"), F.lit(" [["), n, F.lit(']](?open_citation=g1-d2-p3-r4 "a \\"b\\"") end\n\n---\n\n### 参考来源\n['), n, F.lit("] x"))
-    return table(spark, sf_dir, "documents").select("doc_id", C.strip_rendering(shown).alias("body"))
+    """Rendered answers back to their plain text: with references, with those of older answers, and with none."""
+    n, k = (F.col("doc_id") % 9).cast("string"), F.col("doc_id") % 4
+    line = F.lit("\n\n---\n\n")
+    below = F.when(k == 0, F.concat(line, F.lit("### 参考来源\n\n- [["), n, F.lit("]](#参考来源) x\n"))).when(k == 1, F.concat(line, F.lit("<!-- older-reference-list -->\n### 参考来源\n["), n, F.lit("] x")))
+    shown = F.concat(F.lit(" [["), n, F.lit(']](?open_citation=g1-d2-p3-r4 "a \\"b\\"") end [3](https://a.org/?open_citation=g1)'))
+    none = F.when(k == 3, "\n### 参考来源 of a kind").otherwise(" \n<!-- older-reference-list -->\n")
+    return table(spark, sf_dir, "documents").select("doc_id", C.strip_rendering(F.concat("lang", shown, F.coalesce(below, none))).alias("body"))
 
 
 SAVED = """CASE doc_id % 5 WHEN 0 THEN '第2页' WHEN 1 THEN '第2–4页，§Results，段落7' WHEN 2 THEN '第0页' WHEN 3 THEN '页码未知，段落3' ELSE '第3–2页' END"""
@@ -130,12 +148,17 @@ def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("answer").alias("doc_id"), "library_index", "title", "paper", "valid")
 
 
-@query("saved_answers", f"""WITH a AS (SELECT DISTINCT doc_id, source, doc_id % 25 AS i, {SAVED} AS place FROM documents), l AS (SELECT *, '[文献' || i || '《' || source || '》，' || place || ']' AS label FROM a)
-SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 3) AND i > 0 THEN 'a [[1]](' || CASE WHEN i < 20 THEN '?open_citation=g3-d' || (i + 100) || CASE doc_id % 5 WHEN 0 THEN '-p2-r0' WHEN 1 THEN '-p2-r7' ELSE '-p0-r3' END ELSE '#参考来源' END || ' "' || label || '") [[2]](?open_citation=x)' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### 参考来源' || chr(10) || '[1] ' || source || '：' || place
- ELSE 'a ' || label || ' [[2]](?open_citation=x)' END AS text FROM l""")
+@query("saved_answers", f"""WITH a AS (SELECT DISTINCT doc_id, source, doc_id % 25 AS i, {SAVED} AS place FROM documents), l AS (SELECT *, '[文献' || i || '《' || source || '》，' || place || ']' AS label FROM a),
+h AS (SELECT *, CASE WHEN i < 20 THEN '?open_citation=g3-d' || (i + 100) || CASE doc_id % 5 WHEN 0 THEN '-p2-r0' WHEN 1 THEN '-p2-r7' ELSE '-p0-r3' END ELSE '#参考来源' END AS href FROM l)
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'a ' || label || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### 参考来源' || chr(10) || 'b'
+ WHEN doc_id % 5 IN (0, 1, 3) AND i > 0 THEN 'a ' || {LINK.format(1)} || ' [[2]](?open_citation=x)' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### 参考来源' || chr(10) || chr(10) || '- ' || {LINK.format(1)} || ' 文献' || i || '《' || {MARKDOWN("source")} || '》，' || {MARKDOWN("place")}
+ ELSE 'a ' || label || ' [[2]](?open_citation=x)' END AS text FROM h""")
 def saved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved answers as they are shown now: links for their labels, visible brackets for older links."""
-    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a "), saved_label(), F.lit(" [2](?open_citation=x)")).alias("text"))
+    """Saved answers as they are shown now: links for their labels, visible brackets for older links, no older comment;
+    those that have references stay."""
+    older = F.lit("\n\n---\n\n<!-- older-reference-list -->\n### 参考来源\nb")
+    end = F.when(F.col("doc_id") % 7 == 0, older).otherwise(" [2](?open_citation=x)")
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a "), saved_label(), end).alias("text"))
     return C.finalize_saved(answers, numbered_papers(spark), answer="doc_id", text="text", group=3)
 
 
@@ -168,21 +191,24 @@ def image_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", mime_type(path).alias("kind"))
 
 
-LABEL = "'[文献' || CASE WHEN library_index > 0 THEN library_index::VARCHAR WHEN doc_id > 0 THEN 'ID' || doc_id ELSE '?' || greatest(1, position) END || '《' || title || '》，' || place || ']'"
-
 
-@query("rendered_answers", f"""WITH {EVIDENCE}, o AS (SELECT *, {LABEL} AS label, row_number() OVER (PARTITION BY answer ORDER BY position, doc_id::VARCHAR, {LABEL}) AS i FROM g),
-n AS (SELECT answer, doc_id, row_number() OVER (PARTITION BY answer ORDER BY min(i)) AS no, replace(arg_min(title, i), '（x）', '[x]') AS title FROM o GROUP BY answer, doc_id),
-b AS (SELECT answer, string_agg('fact [[' || no || ']](?open_citation=g1-d' || doc_id || '-p' || greatest(0, page) || '-r' || greatest(0, paragraph) || ' "' || label || '")', ' ' ORDER BY i) AS body FROM o JOIN n USING (answer, doc_id) GROUP BY answer),
-p AS (SELECT answer, no, n.title AS title, place, min(i) AS seen FROM o JOIN n USING (answer, doc_id) GROUP BY ALL), r AS (SELECT answer, no, '[' || no || '] ' || title || '：' || string_agg(place, '；' ORDER BY seen) AS line FROM p GROUP BY answer, no, title)
-SELECT answer, body || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### 参考来源' || chr(10) || lines AS text FROM b JOIN (SELECT answer, string_agg(line, chr(10) ORDER BY no) AS lines FROM r GROUP BY answer) USING (answer)""")
+@query("rendered_answers", f"""WITH {EVIDENCE}, o AS (SELECT *, {LABEL} AS label, {HREF} AS href, {NAMED} AS named, answer % 4 AS kind, row_number() OVER (PARTITION BY answer ORDER BY position, doc_id::VARCHAR, {LABEL}) AS i FROM g),
+m AS (SELECT *, min(i) OVER (PARTITION BY answer, label) AS first FROM o),
+u AS (SELECT m.answer, m.kind, m.i, CASE m.kind WHEN 3 THEN -m.i ELSE m.i END AS turn, o.doc_id, o.place, o.label, o.href, o.named FROM m JOIN o ON m.answer = o.answer AND m.first = o.i),
+n AS (SELECT answer, doc_id, row_number() OVER (PARTITION BY answer ORDER BY min(turn)) AS no FROM u GROUP BY answer, doc_id),
+b AS (SELECT answer, kind, string_agg('fact ' || {LINK.format("no")}, ' ' ORDER BY turn) AS body FROM u JOIN n USING (answer, doc_id) GROUP BY answer, kind),
+p AS (SELECT answer, no, place, min(turn) AS seen, arg_min({{'href': href, 'label': label, 'named': named}}, turn) AS one FROM u JOIN n USING (answer, doc_id) GROUP BY answer, no, place),
+q AS (SELECT answer, no, unnest(arg_min(one, seen)), string_agg({MARKDOWN("place")}, '；' ORDER BY seen) AS places, count(*) AS n FROM p GROUP BY answer, no),
+r AS (SELECT answer, string_agg('- ' || {LINK.format("no")} || ' ' || {MARKDOWN("named")} || CASE WHEN n = 1 THEN '，' ELSE '：' END || places, chr(10) ORDER BY no) AS lines FROM q GROUP BY answer)
+SELECT answer, CASE kind WHEN 0 THEN 'no mark' WHEN 2 THEN 'fact [[1]](#参考来源)' ELSE body END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### 参考来源' || chr(10) || CASE kind WHEN 2 THEN '[1] x' ELSE chr(10) || lines END AS text FROM b JOIN r USING (answer)""")
 def rendered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer for each order that cites its line items by bare numbers, rendered with links and references."""
-    e = evidence(spark, sf_dir)
-    place = C.location(page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"), title=F.col("title"))
-    label = C.label(library_index=F.col("library_index"), doc_id=F.col("doc_id"), position=F.col("position"), title=F.col("title"), filename=F.lit(""), page=F.col("page"), page_end=F.col("page_end"), section=F.col("section"), paragraph=F.col("paragraph"))
-    href = F.concat(F.lit("?open_citation="), C.encode_target(F.lit(1), F.col("doc_id"), F.col("page"), F.col("paragraph")))
-    one = F.struct("position", F.col("doc_id").cast("string").alias("key"), label.alias("label"), F.col("title").alias("reference"), place.alias("location"), href.alias("href"))
-    answers = e.groupBy("answer").agg(F.array_sort(F.collect_list(one)).alias("es"))
-    text = F.array_join(F.transform("es", lambda x, i: F.concat(F.lit("fact ["), (i + 1).cast("string"), F.lit("]"))), " ")
-    return answers.select("answer", C.render_answers(text, F.transform("es", lambda x: F.struct(x["label"].alias("label"), x["key"].alias("key"), x["reference"].alias("reference"), x["location"].alias("location"), x["href"].alias("href")))).alias("text"))
+    """An answer for each order that cites its line items, rendered with links and references: by bare numbers, by labels
+    in reverse, not at all, and one that has references with the older comment already."""
+    one = F.struct("position", F.col("doc_id").cast("string").alias("key"), "label", F.col("named").alias("reference"), F.col("place").alias("location"), "href")
+    answers = cited(spark, sf_dir).groupBy("answer").agg(F.array_sort(F.collect_list(one)).alias("es"))
+    k = F.col("answer") % 4
+    bare = F.array_join(F.transform("es", lambda x, i: F.concat(F.lit("fact ["), (i + 1).cast("string"), F.lit("]"))), " ")
+    labels = F.array_join(F.reverse(F.transform("es", lambda x: F.concat(F.lit("fact "), x["label"]))), " ")
+    older = F.lit("fact [[1]](#参考来源)\n\n---\n\n<!-- older-reference-list -->\n### 参考来源\n[1] x")
+    text = F.when(k == 0, " no mark\n").when(k == 1, bare).when(k == 2, older).otherwise(labels)
+    return answers.select("answer", C.render_answers(text, F.transform("es", lambda x: x.dropFields("position"))).alias("text"))

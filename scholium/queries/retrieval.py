@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower, canonical_query, sentences, tokens
 from ..functions.vector import build_cells, cosine, search_cells, top_k
 from ..operators import compress as C
+from ..operators import index as X
 from ..operators import retrieval as R
 from ..plans.answer import answer, hashing_embedding
 from ..session import fresh_dir, table
@@ -65,6 +66,59 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("bm25_topk", f"WITH {BM25} SELECT * FROM bm")(bm25)
 
+#: The indexes of this process's sessions, by session and table.
+_KEPT: dict[tuple, str] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> str:
+    """An index over documents, made once for a session and a table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        where = fresh_dir(spark, "index")
+        X.put(table(spark, sf_dir, "documents"), where)
+        _KEPT[key] = where
+    return _KEPT[key]
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+@query("bm25_indexed", f"WITH {BM25} SELECT * FROM bm")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk through the kept index."""
+    return X.search(asked(spark, sf_dir), kept_index(spark, sf_dir), 20)
+
+
+@query("index_blocks", f"""WITH {TERMS},
+place AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {X.RANGE} AS range FROM documents),
+q AS (SELECT DISTINCT item_id AS question_id, unnest({TOKENS_OF("text")}) AS token FROM benchmark),
+b AS (SELECT DISTINCT token, range FROM post JOIN place USING (doc_id))
+SELECT question_id, count(*) AS blocks, TRUE AS reads_less FROM q JOIN b USING (token) GROUP BY question_id""")
+def index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each question's tokens, and whether the best document of a question is found with fewer of them."""
+    read = X.search(asked(spark, sf_dir), kept_index(spark, sf_dir), 1, with_blocks=True)
+    return read.select("question_id", "blocks", (F.col("blocks_read") < F.col("blocks")).alias("reads_less"))
+
+
+#: Documents as they are after changes: a third is gone, of the others some are replaced, and new ones come.
+CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN lang || ' ' || text || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 7 = 1
+ UNION ALL SELECT doc_id + 10000000, lang || ' ' || text FROM documents WHERE doc_id % 10 = 0)"""
+BM25_CHANGED = BM25.replace("FROM documents),", f"FROM {CHANGED}),", 1)
+
+
+@query("index_changes", f"WITH {BM25_CHANGED} SELECT * FROM bm")
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question after documents were deleted, replaced and added, each as a change of the index, and then merged."""
+    docs, where = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), fresh_dir(spark, "index")
+    spaced = lambda *cs: F.concat_ws(" ", *[F.col(c) for c in cs])
+    X.put(docs, where)
+    X.delete(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")), where)
+    X.put(docs.where("doc_id % 7 = 1").select("doc_id", spaced("lang", "text", "source").alias("text")), where)
+    X.put(docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 10_000_000).alias("doc_id"), spaced("lang", "text").alias("text")), where)
+    X.merge(spark, where)
+    return X.search(asked(spark, sf_dir), where, 20)
+
 #: Ideographs for letters: texts whose runs have no spaces between words.
 HAN_LETTERS = "".join(chr(0x4E00 + 97 * k) for k in range(26))
 HAN_TEXT = f"translate(translate(substr(text, 1, length(text)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'abcdefghijklmnopqrstuvwxyz', '{HAN_LETTERS}')"

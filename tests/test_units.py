@@ -256,8 +256,22 @@ def test_citation_texts(spark):
 def test_rendering_twice_changes_nothing():
     evidence = [{"label": "[文献1《A》，第1页]", "key": "1", "reference": "A", "location": "第1页，段落4", "href": "?open_citation=a"}, {"label": "[文献1《A》，第6页]", "key": "1", "reference": "A", "location": "第6页", "href": "?open_citation=b"}, {"label": "[文献2《B》，第1页]", "key": "2", "reference": "B", "location": "第1页", "href": "#参考来源"}]
     once = C.render("x [2] y [文献2《B》，第1页] z [1] [9]", evidence)
-    assert once.startswith("x [[1]](?open_citation=b") and "[9]" in once and "[1] A：第6页；第1页，段落4" in once and "[2] B：第1页" in once
-    assert C.render(once, evidence) == once and C.render("none", evidence) == "none"
+    assert once.startswith("x [[1]](?open_citation=b") and "[9]" in once
+    assert once.endswith('\n\n- [[1]](?open_citation=b "[文献1《A》，第6页]") A：第6页；第1页，段落4\n- [[2]](#参考来源 "[文献2《B》，第1页]") B，第1页')
+    assert C.render(once, evidence) == once and C.render(" none ", []) == "none" and C.render("", evidence) == ""
+
+
+def test_an_answer_without_labels_lists_all_evidence():
+    evidence = [{"label": f"[文献{k}《A.b》，第1页]", "key": str(k), "reference": f"文献{k}《A.b》", "location": "第1页，§1.2", "href": "#参考来源"} for k in (1, 2)]
+    assert C.render("none", evidence).split("\n") == ["none", "", "---", "", "### 参考来源", "", *[f'- [[{k}]](#参考来源 "[文献{k}《A.b》，第1页]") 文献{k}《A\\.b》，第1页，§1\\.2' for k in (1, 2)]]
+    assert C.render("see [片段 2 | x] and [片段9]", evidence).startswith('see [[1]](#参考来源 "[文献2《A.b》，第1页]") and [片段9]\n')
+
+
+def test_the_comment_of_older_answers_goes(spark):
+    older = '结论[[1]](?open_citation=g3-d70-p1-r4 "来源")\n\n---\n\n<!-- any-reference-list -->\n### 参考来源\n\n- [[1]](?open_citation=g3-d70-p1-r4 "来源") 文献7《论文》'
+    assert value(spark, C.strip_rendering(F.col("x")), x=older) == "结论[1]"
+    assert C.render(older, [{"label": "来源"}]) == older.replace("<!-- any-reference-list -->\n", "")
+    assert value(spark, C.strip_rendering(F.col("x")), x="a [[1]](HTTPS://x.org) \n") == "a [1]" and value(spark, C.strip_rendering(F.col("x")), x=None) == ""
 
 
 @pytest.mark.parametrize(("url", "safe"), [("https://a.org/x", True), ("http://u:p@a.org", False), ("ftp://a.org", False), ("https://", False), ("javascript:alert(1)", False), (" https://a.org ", True), (None, False)])
