@@ -81,19 +81,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vect
 SAMPLE, MOST_CELLS = 20_000, 4096
 
 
-def _means(rows: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+def means(rows: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
     """Centres of the rows by Lloyd's method; one that loses all its rows begins again at a random row."""
     rng = np.random.default_rng(seed)
     centres = rows[rng.choice(len(rows), cells, replace=False)]
     for _ in range(rounds):
-        own = _nearest(rows, centres, 1)[:, 0]
+        own = nearest(rows, centres, 1)[:, 0]
         sums, counts = np.zeros_like(centres), np.bincount(own, minlength=cells)
         np.add.at(sums, own, rows)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], rows[rng.integers(0, len(rows), cells)])
     return centres
 
 
-def _nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+def nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """(rows, n): the nearest centres of each row, the nearest first."""
     far = (centres**2).sum(axis=1)[None] - 2 * rows @ centres.T
     n = min(n, len(centres))
@@ -101,7 +101,7 @@ def _nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1)
 
@@ -115,13 +115,13 @@ def build_cells(vectors: DataFrame, where: str, *, vector_id: str, embedding: st
     rows = vectors.where(F.col(embedding).isNotNull()).select(F.col(vector_id).cast("long").alias("v"), F.col(embedding).cast("array<double>").alias("e"))
     sample = np.array([r["e"] for r in rows.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], np.float64)
     n = max(1, min(cells or int(rows.count() ** 0.5), MOST_CELLS, len(sample)))
-    centres = _means(sample, n) if len(sample) else np.zeros((1, 1))
+    centres = means(sample, n) if len(sample) else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(centres)  # MOST_CELLS rows at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = _nearest(_matrix(batch.column(1)), shared.value, 1)[:, 0].astype(np.int32)
+                own = nearest(matrix_of(batch.column(1)), shared.value, 1)[:, 0].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["v", "e", "cell"])
 
     placed = rows.mapInArrow(place, "v long, e array<double>, cell int")
@@ -141,7 +141,7 @@ def search_cells(queries: DataFrame, where: str, k: int, *, query_id: str, embed
     for k_slice in range(slices):
         part = (rows.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == k_slice) if slices > 1 else rows).collect()  # query_bytes, or about that
         ids, matrix = np.array([r["q"] for r in part], np.int64), np.array([r["e"] for r in part], np.float64).reshape(len(part), -1 if part else 1)
-        cells = _nearest(matrix, centres, probes) if len(part) else np.zeros((0, 1), np.int64)
+        cells = nearest(matrix, centres, probes) if len(part) else np.zeros((0, 1), np.int64)
         asked = {int(c): np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells)}
         shared = spark.sparkContext.broadcast((ids, matrix, asked))
 
@@ -151,7 +151,7 @@ def search_cells(queries: DataFrame, where: str, k: int, *, query_id: str, embed
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v, e, own = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+                v, e, own = batch.column(0).to_numpy(), matrix_of(batch.column(1)), batch.column(2).to_numpy()
                 for c in np.unique(own):
                     at, who = np.flatnonzero(own == c), asked.get(int(c), np.zeros(0, np.int64))
                     if not len(who):

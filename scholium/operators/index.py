@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokens
 from ..session import ready, shared_dir
+from .retrieval import Tokenizer
 
 #: Documents of a shard on average, documents of a range, questions that meet a shard at once.
 SHARD, RANGE, QUESTIONS = 20_000, 8, 500
@@ -137,9 +138,9 @@ def _without(spark: SparkSession, where: str, version: Version, ids: DataFrame)
     return hit.select("seg", "shard", F.col("hit_ids").alias("ids")), counts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).where("n > 0")
 
 
-def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _counted(docs: DataFrame, doc_id: str, text: str, cut: Tokenizer) -> DataFrame:
     """id, dl, counts of each document."""
-    words = docs.select(F.col(doc_id).cast("long").alias("id"), F.array_sort(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).alias("ts"))
+    words = docs.select(F.col(doc_id).cast("long").alias("id"), F.array_sort(F.coalesce(cut(F.col(text)), F.array().cast("array<string>"))).alias("ts"))
     # the sorted tokens' ends tell how often each stands there
     last = F.filter(F.transform("ts", lambda t, i: F.struct(t.alias("token"), i.alias("i"))), lambda x: ~x["token"].eqNullSafe(F.get("ts", x["i"] + 1)))
     ends = words.select("id", F.size("ts").alias("dl"), last.alias("ends"))
@@ -147,13 +148,13 @@ def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return ends.select("id", "dl", F.transform("ends", lambda x, i: F.struct(x["token"].alias("token"), (x["i"] - before(i)).alias("f"))).alias("counts"))
 
 
-def put(docs: DataFrame, where: str, *, doc_id: str = "doc_id", text: str = "text", docs_per_range: int = RANGE) -> Version:
+def put(docs: DataFrame, where: str, *, doc_id: str = "doc_id", text: str = "text", docs_per_range: int = RANGE, cut: Tokenizer = tokens) -> Version:
     """Adds the documents as a segment of the index below where; those whose ids it has are replaced. Ids are distinct."""
     spark = ready(docs.sparkSession)
     shared_dir(spark)
     was = current(spark, where)
     at = was.version + 1
-    rows = _counted(docs, doc_id, text).checkpoint(eager=True)
+    rows = _counted(docs, doc_id, text, cut).checkpoint(eager=True)
     n, length = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     _write_segment(rows, where, at, n, docs_per_range)
     added = rows.select(F.explode("counts").alias("c")).groupBy("c.token").agg(F.count(F.lit(1)).alias("df"))
@@ -281,15 +282,15 @@ class _Shard:
 FOUND = "question_id long, doc_id long, score double, blocks_read long, blocks long"
 
 
-def search(questions: DataFrame, where: str, k: int = DEFAULTS.recall_k, *, question_id: str = "question_id", question: str = "question", settings: Settings = DEFAULTS, docs_per_range: int = RANGE, with_blocks: bool = False) -> DataFrame:
+def search(questions: DataFrame, where: str, k: int = DEFAULTS.recall_k, *, question_id: str = "question_id", question: str = "question", settings: Settings = DEFAULTS, docs_per_range: int = RANGE, with_blocks: bool = False, cut: Tokenizer = tokens) -> DataFrame:
     """question_id, doc_id, score, rank: as retrieval.bm25 over the documents that the index has now.
 
     with_blocks: question_id, blocks_read, blocks instead. Questions meet shards in groups of about QUESTIONS, through
-    the postings of their tokens; what a shard sends is k rows for each question. docs_per_range: as in put."""
+    the postings of their tokens; what a shard sends is k rows for each question. docs_per_range, cut: as in put."""
     spark = ready(questions.sparkSession)
     version = current(spark, where)
     k1, b, avgdl = settings.bm25_k1, settings.bm25_b, version.length / version.n if version.n else 1.0
-    asked = questions.select(F.col(question_id).cast("long").alias("question_id"), F.explode(tokens(F.col(question))).alias("token")).groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    asked = questions.select(F.col(question_id).cast("long").alias("question_id"), F.explode(cut(F.col(question))).alias("token")).groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("times"))
     groups = max(1, math.ceil(questions.count() / QUESTIONS))
     raw = _raw(F.lit(version.n), F.col("df"))
     idf = F.when(raw < 0, settings.bm25_epsilon * version.mean_raw).otherwise(raw)

@@ -137,7 +137,7 @@ def _alike(one: dict, two: dict) -> float:
     return difflib.SequenceMatcher(None, _bare(one["content"]), _bare(two["content"])).ratio()
 
 
-class _Memories:
+class Memories:
     """One user's memories while candidates come in, and what was done."""
 
     def __init__(self, rows: list[dict], now: pd.Timestamp, threshold: float, keep_days: float):
@@ -146,7 +146,8 @@ class _Memories:
         self.live = sorted((r for r in rows if r["is_active"]), key=lambda r: (r["updated_at"] or pd.Timestamp.min, r["id"]), reverse=True)
         self.rows, self.actions, self.next_id = rows, [], max((r["id"] for r in rows), default=0) + 1
 
-    def take(self, c: dict) -> None:
+    def take(self, c: dict) -> list[tuple[str, int]]:
+        """Takes one candidate; what it did to which ids."""
         same = [r for r in self.live if r["memory_type"] == c["memory_type"]]
         equal = next((r for r in same if _bare(r["content"]) == _bare(c["content"])), None)
         likes = [(_alike(c, r), r) for r in same] if equal is None else [(1.0, equal)]
@@ -159,7 +160,7 @@ class _Memories:
             double |= {"importance": min(1.0, max(double["importance"], c["importance"]) + 0.03), "confidence": max(double["confidence"], c["confidence"]), "session_id": c["session_id"], "updated_at": self.now}
             double |= {"embedding": double["embedding"] if double["embedding"] is not None else c["embedding"], "expires_at": expiry or double["expires_at"]}
             self.actions.append("merged")
-            return
+            return [("merged", double["id"])]
         fresh = c | {"id": self.next_id, "expires_at": expiry, "updated_at": self.now, "is_active": True, "superseded_by": None}
         self.next_id += 1
         self.rows.append(fresh)
@@ -169,6 +170,7 @@ class _Memories:
             self.live = [r for r in self.live if r is not owner]
             self.actions.append("superseded")
         self.live.append(fresh)
+        return [("inserted", fresh["id"])] + ([("superseded", owner["id"])] if owner is not None else [])
 
 
 def update_in_order(state: DataFrame, candidates: DataFrame, *, user: str, now: datetime.datetime, threshold: float = 0.92, keep_days: float = DEFAULTS.episodic_max_idle_days) -> DataFrame:
@@ -187,7 +189,7 @@ def update_in_order(state: DataFrame, candidates: DataFrame, *, user: str, now:
         return [{f: clean(r.get(f)) for f in fields} for r in rows]
 
     def fold(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        own = _Memories(records(old, "id"), at, threshold, keep_days)
+        own = Memories(records(old, "id"), at, threshold, keep_days)
         for c in records(new, "ord"):
             own.take(c)
         out = pd.DataFrame(own.rows, columns=fields)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, canonical_query, sentences, tokens
+from ..functions.codes import encode, search_codes
 from ..functions.vector import build_cells, cosine, search_cells, top_k
 from ..operators import compress as C
 from ..operators import index as X
 from ..operators import retrieval as R
+from ..operators import segment as W
 from ..plans.answer import answer, hashing_embedding
 from ..session import fresh_dir, table
 
@@ -135,6 +137,51 @@ def bm25_han(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(asked, docs, 20, question_id="item_id", question="text", doc_id="doc_id", text="text")
 
 
+#: The dictionary that segment.count_words finds in those texts, the cheapest cut of each of their runs, and its words.
+RUNS = f"regexp_extract_all({PLAIN.format(HAN_TEXT)}, '[㐀-鿿]+')"
+WORDS = f"""
+runs AS (SELECT run, count(*) AS times FROM (SELECT unnest({RUNS}) AS run FROM documents) GROUP BY run),
+cuts AS (SELECT substr(run, i, k) AS word, sum(times)::BIGINT AS n FROM (SELECT run, times, k, unnest(range(1, length(run) - k + 2)) AS i FROM runs, range(1, {W.LONGEST + 1}) AS r(k)) GROUP BY word),
+total AS (SELECT sum(n)::BIGINT AS total FROM cuts WHERE length(word) = 1),
+held AS (SELECT c.word, c.n FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM cuts WHERE length(word) > 1 AND n >= {W.LEAST_COUNT}) c
+  JOIN cuts h ON h.word = substr(c.word, 1, i) JOIN cuts t ON t.word = substr(c.word, i + 1), total GROUP BY c.word, c.n, total HAVING c.n * total >= {W.COHESION} * max(h.n * t.n)),
+dict AS (SELECT word, n FROM cuts WHERE length(word) = 1 UNION ALL SELECT word, n FROM held),
+cost AS (SELECT word, round(-ln(n / (SELECT sum(n) FROM dict)) * {W.MILLION})::BIGINT AS cost FROM dict),
+asked_runs AS (SELECT run FROM runs UNION SELECT unnest({RUNS}) FROM benchmark),
+"""
+
+
+def words_sql() -> str:
+    """The cheapest path from the end of each run: one step of the recursion for each place, all runs at once."""
+    lengths = range(1, W.LONGEST + 1)
+    joins = " ".join(f"LEFT JOIN cost c{k} ON c{k}.word = substr(run, i, {k}) AND i + {k - 1} <= length(run)" for k in lengths)
+    options = ", ".join(f"{{'c': {'coalesce(c1.cost, unknown)' if k == 1 else f'c{k}.cost'} + costs[{k}], 'k': -{k}}}" for k in lengths)
+    return f"""{WORDS}
+rare AS (SELECT round(-ln(1 / sum(n)) * {W.MILLION})::BIGINT AS unknown FROM dict),
+way AS (SELECT run, length(run) AS i, [0::BIGINT] AS costs, []::BIGINT[] AS steps, unknown FROM asked_runs, rare
+  UNION ALL SELECT run, i - 1, list_prepend(b.c, costs), list_prepend((-b.k)::BIGINT, steps), unknown FROM
+    (SELECT run, i, costs, steps, unknown, list_min(list_filter([{options}], lambda x: x.c IS NOT NULL)) AS b FROM way {joins} WHERE i > 0)),
+steps AS (SELECT run, steps FROM way WHERE i = 0),
+walk AS (SELECT run, 1::BIGINT AS i, []::VARCHAR[] AS words, steps FROM steps UNION ALL SELECT run, i + steps[i], list_append(words, substr(run, i, steps[i])), steps FROM walk WHERE i <= length(run)),
+found AS (SELECT run, words FROM walk WHERE i > length(run))"""
+
+
+def han_documents(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table's texts in ideographs."""
+    from string import ascii_lowercase
+
+    return table(spark, sf_dir, name).select(key, F.translate(ascii_lower(F.col("text")), ascii_lowercase, HAN_LETTERS).alias("text"))
+
+
+@query("han_words", f"WITH RECURSIVE {words_sql()} SELECT run, array_to_string(words, '/') AS words, times FROM runs JOIN found USING (run)")
+def han_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different run of ideographs of the texts, cut into words of a dictionary that is counted from them."""
+    docs = han_documents(spark, sf_dir, "documents", "doc_id")
+    cut = W.tokenizer(W.Dictionary.of(W.count_words(docs, text="text")))
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[㐀-鿿]+"), F.lit(0))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("times"))
+    return runs.select("run", F.array_join(cut(F.col("run")), "/").alias("words"), "times")
+
+
 DISTANCE = "round(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 6)"
 VECTORS = f"""q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS vector_id, round(list_cosine_similarity(q.e, v.e), 6) AS cos, abs({DISTANCE}) AS dist FROM q, v),
@@ -166,6 +213,30 @@ def vec_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_cells(rows.where("vec_id % 50 = 0"), where, 20, query_id="vec_id", probes=12)
 
 
+@query("vec_topk_codes", f"WITH {VECTORS} SELECT * FROM alike")
+def vec_topk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_topk_cosine through codes of an eighth of the vectors' bytes: the codes tell which vectors to read, and those
+    tell the rest. Exact by the codes' bounds."""
+    where, rows = fresh_dir(spark, "codes"), table(spark, sf_dir, "embeddings")
+    encode(rows, where, vector_id="vec_id")
+    return search_codes(rows.where("vec_id % 50 = 0"), where, 20, query_id="vec_id")
+
+
+@query("vec_codes_recall", """SELECT vec_id AS query_id, 20::BIGINT AS wanted, TRUE AS reached, TRUE AS an_eighth FROM embeddings WHERE vec_id % 50 = 0""")
+def vec_codes_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the 20 best a query finds that reads 200 vectors at most: reached is whether that is 0.9 of all
+    queries' best; an_eighth, whether the codes' bytes are at most an eighth of the vectors'."""
+    where, rows = fresh_dir(spark, "codes"), table(spark, sf_dir, "embeddings")
+    encode(rows, where, vector_id="vec_id")
+    asked = rows.where("vec_id % 50 = 0")
+    best = vectors(spark, sf_dir, "cosine").select(F.col("query_id").alias("q"), F.col("vector_id").alias("v"))
+    got = search_codes(asked, where, 20, query_id="vec_id", most=200).select(F.col("query_id").alias("q"), F.col("vector_id").alias("v"), F.lit(1).alias("hit"))
+    share = best.join(got, ["q", "v"], "left").agg((F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("reached"))
+    n_bytes = lambda name, size: spark.read.parquet(f"{where}/{name}").agg(F.sum(size).alias(name))
+    sizes = n_bytes("codes", F.octet_length("code")).join(F.broadcast(n_bytes("vectors", 4 * F.size("e"))))  # one row each
+    return best.groupBy(F.col("q").alias("query_id")).agg(F.count(F.lit(1)).alias("wanted")).join(F.broadcast(share)).join(F.broadcast(sizes.select((8 * F.col("codes") <= F.col("vectors")).alias("an_eighth"))))
+
+
 RRF = f"""WITH {VECTORS}, u AS (SELECT query_id, vector_id, rank, 0 AS l FROM near UNION ALL SELECT query_id, vector_id, rank, 1 FROM alike),
 s AS (SELECT query_id, vector_id, round(sum(0.5 / (60 + rank)), 9) AS score, min(l) AS l, min_by(rank, l) AS r FROM u GROUP BY 1, 2)"""
 

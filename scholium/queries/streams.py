@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
 from ..session import fresh_dir, table
 from ..streaming import events as S
+from ..streaming import memories as M
 
 QUERIES: dict = {}
 QUERY_SQL: dict = {}
@@ -76,6 +80,67 @@ def thirds(spark: SparkSession, sf_dir: str) -> tuple:
     return first + (last - first) / 3, first + (last - first) * 2 / 3
 
 
+def in_runs(rows: DataFrame, cuts: list, where: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream that make makes gives over the rows of each condition in turn: each is a run of its own, which
+    takes up the checkpoint of the one before it."""
+    out = None
+    for cut in cuts:
+        rows.where(cut).write.mode("append").parquet(f"{where}/in")
+        out = S.drain(make(S.stream(rows.sparkSession, f"{where}/in")), where)
+    return out
+
+
+#: Days that the memories of some kinds are kept.
+KEEP_DAYS = 4
+MEMORIES = f"""WITH t AS (SELECT min(ts) + (max(ts) - min(ts)) / 3 AS early, min(ts) + (max(ts) - min(ts)) * 2 / 3 AS late FROM events),
+e AS (SELECT user_id, event_id, ts, event_type AS key, '用户' || event_type || (event_id % 3) AS content, event_type IN ('view', 'click') AS episodic, (0.5 + (event_id % 5) / 10.0)::DOUBLE AS confidence, CASE WHEN ts < early THEN 1 WHEN ts < late THEN 2 ELSE 3 END AS batch FROM events, t),
+c AS (SELECT *, max(ts) OVER (PARTITION BY user_id, batch) AS now FROM e),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch) AS mark FROM e GROUP BY batch),
+p AS (SELECT *, lag(content) OVER w AS was, lag(now) OVER w AS touched, lag(batch) OVER w AS before FROM c WINDOW w AS (PARTITION BY user_id, key ORDER BY batch, event_id)),
+g AS (SELECT p.*, coalesce(episodic AND before < p.batch AND touched + INTERVAL {KEEP_DAYS} DAY <= mark, false) AS gone FROM p LEFT JOIN m ON m.batch = p.batch - 1),
+r AS (SELECT *, sum((was IS NULL OR was <> content OR gone)::INT) OVER (PARTITION BY user_id, key ORDER BY batch, event_id) AS run FROM g),
+a AS (SELECT user_id, key, run, any_value(content) AS content, any_value(episodic) AS episodic, min((batch, event_id)) AS first, arg_min(gone, (batch, event_id)) AS after_gone, arg_min(now, (batch, event_id)) AS began,
+             max(now) AS touched, round(least(1.0, 0.5 + 0.03 * (count(*) - 1)), 6)::DOUBLE AS importance, max(confidence) AS confidence FROM r GROUP BY user_id, key, run),
+i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS id FROM a),
+n AS (SELECT *, lead(id) OVER w AS next_id, lead(after_gone) OVER w AS next_gone, lead(began) OVER w AS next_began FROM i WINDOW w AS (PARTITION BY user_id, key ORDER BY run))
+SELECT user_id, id, key AS memory_key, content, importance, confidence, CASE WHEN next_id IS NOT NULL AND NOT next_gone THEN next_id END AS superseded_by,
+       next_id IS NULL AND NOT (episodic AND touched + INTERVAL {KEEP_DAYS} DAY <= (SELECT max(mark) FROM m)) AS is_active, CASE WHEN next_id IS NULL OR next_gone THEN touched ELSE next_began END AS updated_at,
+       CASE WHEN episodic THEN touched + INTERVAL {KEEP_DAYS} DAY END AS expires_at FROM n"""
+
+
+@query("stream_memories", MEMORIES)
+def stream_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as candidates for memories of their user, in three runs: equal ones merge, others of a kind supersede, and
+    those of two kinds expire when nothing touches them."""
+    early, late = thirds(spark, sf_dir)
+    kind, turn = F.col("event_type"), F.col("event_id") % 3
+    kinds = ["signup", "view", "click", "error", "purchase"]
+    place = 3 * F.array_position(F.array(*map(F.lit, kinds)), kind) + turn  # contents are alike only where they are equal
+    rows = table(spark, sf_dir, "events").select(
+        "user_id", "ts", "event_id", F.concat(F.lit("用户"), kind, turn.cast("string")).alias("content"), F.when(kind.isin("view", "click"), "episodic").otherwise("semantic").alias("memory_type"), kind.alias("memory_key"),
+        F.lit(0.5).alias("importance"), (0.5 + (F.col("event_id") % 5) / 10.0).alias("confidence"), F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: (k == place).cast("double")).alias("embedding"),
+    )
+    cuts = [F.col("ts") < F.lit(early), (F.col("ts") >= F.lit(early)) & (F.col("ts") < F.lit(late)), F.col("ts") >= F.lit(late)]
+    settings = replace(DEFAULTS, episodic_max_idle_days=float(KEEP_DAYS))
+    log = in_runs(rows, cuts, fresh_dir(spark, "memories"), lambda s: M.remember(s, user="user_id", time="ts", order="event_id", settings=settings))
+    now = M.memories_now(log, user="user_id").withColumn("importance", F.round("importance", 6))
+    return plain(now.select("user_id", "id", "memory_key", "content", "importance", "confidence", "superseded_by", "is_active", "updated_at", "expires_at"))
+
+
+@query("stream_recent_turns", """SELECT conv_id::VARCHAR AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn AS at, role, sha256(text) AS content
+ FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)""")
+def stream_recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last four messages of each conversation, kept between runs of a stream of early, middle and late turns."""
+    rows, turn = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.sha2("text", 256).alias("text")).distinct(), F.col("turn")
+    cuts = [turn < 2, turn.between(2, 4), turn > 4]
+    none = "spark.sql.streaming.noDataMicroBatches.enabled"  # which, with a clock, would never end
+    before = spark.conf.get(none)
+    spark.conf.set(none, "false")
+    windows = in_runs(rows, cuts, fresh_dir(spark, "turns"), lambda s: M.recent_turns(s, session="conv_id", order="turn", role="role", content="text", turns=2))
+    spark.conf.set(none, before)
+    return M.turns_now(windows)
+
+
 @query("stream_upsert", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In three batches, the latest events first: what comes later does not replace what is newer."""
