@@ -3,7 +3,8 @@
 A transcript is a sequence of blocks of lines. States are a role's first line and its further lines; a line's
 features are its speaker marker (of a user, an assistant, a system, a bare dash, an unknown speaker, or none), whether it
 begins a block, whether it asks, and its length class. The model's tables are counted, with add-one smoothing, on a
-bounded sample of labelled blocks and their first lines. Turns are rendered in one canonical form, without their markers.
+bounded sample of labelled blocks and their first lines. Turns are rendered in one canonical form, without the markers
+that name their speaker; what only looks like a marker ("The answer: 42") stays.
 
 Sequences are dealt by ranges of (conversation, place), so a conversation of any length may lie in many tasks. Each
 task sums up the parts of conversations that it does not hold whole as max-plus matrices; the driver finds the states
@@ -185,25 +186,48 @@ def _end_states(rows: list) -> dict[tuple[int, int], tuple[int, int]]:
     return found
 
 
-OUT = "role string, begins_turn boolean, n_turns long, rendered string"
+#: What a decoded block is: its first role, whether it begins a turn, how many turns begin in it, and its lines: head
+#: ("<|role|>" and a line break where a turn begins), a marker that may be a name, that name, and the rest.
+OUT = "role string, begins_turn boolean, n_turns long, lines array<struct<head:string,mark:string,name:string,body:string>>"
+LINES = pa.list_(pa.struct([(c, pa.string()) for c in ("head", "mark", "name", "body")]))
+_NAME_END = re.compile(r"\s?[:>|]? *$|\s?[-–—] +$")
 
 
-def render(lines: list[str], path: list[int]) -> tuple[str, bool, int, str]:
-    """A block's first role, whether it begins a turn, how many turns begin in it, and its lines in canonical form.
-
-    Joining the renderings of a conversation's blocks in order renders the conversation: a turn is
-    "<|role|>", a line break, and its lines, each followed by a line break."""
+def read_lines(lines: list[str], path: list[int]) -> tuple[str, bool, int, list[dict]]:
+    """OUT of a block. A marker goes at once where it names the speaker that the model has found; one that may be an unknown speaker's name stays beside it, for named to decide; all else is text."""
     out, begun = [], 0
     for line, state in zip(lines, path, strict=True):
-        m = _MARKER.match(line)
-        body = line[m.end() :] if m and state % 2 == 0 else line
-        if state % 2 == 0:
-            begun += 1
-            out.append(f"<|{ROLES[state // 2]}|>\n")
-            if m and not body:
-                continue  # a marker alone on its line
-        out.append(f"{body}\n")
-    return ROLES[path[0] // 2], path[0] % 2 == 0, begun, "".join(out)
+        m = _MARKER.match(line) if state % 2 == 0 else None
+        kind = int(m.lastgroup[1:]) if m else 0
+        head = f"<|{ROLES[state // 2]}|>\n" if state % 2 == 0 else ""
+        begun += state % 2 == 0
+        if kind == state // 2 + 1:
+            body, mark, name = line[m.end() :], None, None
+            if not body:
+                out.append({"head": head, "mark": None, "name": None, "body": None})  # a marker alone on its line
+                continue
+        elif kind in (4, 5):
+            body, mark, name = line[m.end() :], m[0], _NAME_END.sub("", m[0])
+        else:
+            body, mark, name = line, None, None
+        out.append({"head": head, "mark": mark, "name": name, "body": body})
+    return ROLES[path[0] // 2], path[0] % 2 == 0, begun, out
+
+
+def named(blocks: DataFrame, *, conv: str) -> DataFrame:
+    """blocks with rendered for lines: markers go whose name opens several turns of a conversation; others are text.
+
+    Joining the renderings of a conversation's blocks in order renders the conversation: a turn is "<|role|>", a line
+    break, and its lines, each followed by a line break."""
+    said = blocks.select(F.col(conv).alias("n_conv"), F.explode(F.filter("lines", lambda x: x["name"].isNotNull())).alias("line"))
+    often = said.groupBy("n_conv", F.col("line.name").alias("name")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    names = often.groupBy("n_conv").agg(F.collect_list("name").alias("names"))
+    met = blocks.join(names, F.col(conv).eqNullSafe(F.col("n_conv")), "left")
+    goes = lambda x: x["name"].isNotNull() & F.coalesce(F.array_contains("names", x["name"]), F.lit(False))
+    kept = lambda x: F.when(goes(x), "").otherwise(F.coalesce(x["mark"], F.lit("")))
+    alone = lambda x: x["body"].isNull() | (goes(x) & (x["body"] == ""))
+    line = lambda x: F.concat(x["head"], F.when(alone(x), "").otherwise(F.concat(kept(x), F.coalesce(x["body"], F.lit("")), F.lit("\n"))))
+    return met.withColumn("rendered", F.array_join(F.transform("lines", line), "")).drop("lines", "n_conv", "names")
 
 
 def _decoder(model: Model, max_lines: int, known, kind: pa.DataType):
@@ -213,10 +237,10 @@ def _decoder(model: Model, max_lines: int, known, kind: pa.DataType):
             path, at, done = model.decode(seen, entry, leave).tolist(), 0, []
             for r in rows:
                 lines = lines_of(r["text"])
-                done.append(render(lines, path[at : at + len(lines)]))
+                done.append(read_lines(lines, path[at : at + len(lines)]))
                 at += len(lines)
-            columns = [pa.array([r["conv"] for r in rows], pa.string()), pa.array([r["place"] for r in rows], kind)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([d[k] for d in done]) for k in range(4)]], names=["conv", "place", "role", "begins_turn", "n_turns", "rendered"])
+            columns = [pa.array([r["conv"] for r in rows], pa.string()), pa.array([r["place"] for r in rows], kind), *[pa.array([d[k] for d in done]) for k in range(3)]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[3] for d in done], LINES)], names=["conv", "place", "role", "begins_turn", "n_turns", "lines"])
 
     return run
 
@@ -230,7 +254,8 @@ def parse(transcripts: DataFrame, model: Model, *, conv: str, place: str, text:
     ends = dealt.mapInArrow(_ends(model, max_lines), "task int, part int, conv string, matrix array<double>").collect()
     known = spark.sparkContext.broadcast(_end_states(ends))
     place_type = dealt.schema["place"].dataType
-    out = dealt.mapInArrow(_decoder(model, max_lines, known, to_arrow_type(place_type)), f"conv string, place {place_type.simpleString()}, {OUT}")
+    read = cut(dealt.mapInArrow(_decoder(model, max_lines, known, to_arrow_type(place_type)), f"conv string, place {place_type.simpleString()}, {OUT}"))
+    out = named(read, conv="conv")
     return out.select(F.col("conv").cast(kind).alias(conv), F.col("place").alias(place), "role", "begins_turn", "n_turns", "rendered")
 
 
