@@ -8,13 +8,14 @@ the same. Card numbers and IBANs get check digits of the same validity, private
 Names: given names by gender and script, and family names by script, have stand-ins of their own, so "Mr. John Smith"
 and "Mr. Smith" stay one person. A collision check over all names of the texts moves those whose stand-in belongs to
 another name, or is itself a name of the texts, to the next attempt; attempts append letters, one more each time, so
-the spaces never run out and the check ends. Nearly all names stay at attempt 0, which the key alone determines, so
-only the list of the others goes to the texts: it is broadcast where it is short, and joined to the documents else.
+the spaces never run out and the check ends. The stand-ins of attempt 0 are a few hundred for each kind, so of many names
+most are moved; the list of these goes to the texts: it is broadcast where it is short, and joined to the documents else.
 In a document, names that a title introduces are also replaced where they stand without a title.
 
 Kinds: e-mail, IPv4 and IPv6 addresses, telephone, card and IBAN numbers, social security numbers, secrets (long hex,
-or what follows token, secret, password, api_key), dates of birth (behind words that say so), street addresses, and
-persons (a title of address with one or two names). Names that no title introduces are not found.
+what is given for a token, secret, password or key, tokens of known forms, long tokens of much entropy), dates of birth
+(behind words that say so), street addresses, and persons (titles of address with up to three names, initials and
+particles). Names that no title introduces are not found.
 
 Defined cases: null text stays null, without entities; empty texts stay. Repeated rows each give a row. Columns that
 carry an output's name are replaced, all others are kept. Long texts are read whole.
@@ -28,11 +29,12 @@ import ipaddress
 import math
 import re
 import secrets
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,18 +132,36 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Titles of address with the gender they tell; "n" tells none.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f"}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"
-PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<first>{_NAME})(?: (?P<second>{_NAME}))?")
+_TITLE = rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?"
+_INITIAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]\.(?:-?[A-ZÀ-ÖØ-ÞА-ЯЁ]\.)*"
+#: Fixed value: what stands between given and family names.
+PARTICLES = "van von der den de del della di da du la le ten ter zu zur af av bin al dos das".split()
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})"
+#: Titles, then two given names or initials at most, particles, and a family name.
+PERSON = re.compile(rf"(?<!\w){_TITLE}(?: {_TITLE})*(?: (?:{_INITIAL}|{_NAME}(?!\w))){{0,2}}(?: {_PARTICLE}){{0,3}} {_NAME}")
+_TITLED = re.compile(rf"(?:{_TITLE} )+")
 DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
 _LOCAL = re.compile(r"[\w.%+-]").match
-SECRET = re.compile(r"\b[0-9a-fA-F]{32,}\b|(?<=token = \")[^\s\"]{8,}|(?<=secret = \")[^\s\"]{8,}|(?<=password = \")[^\s\"]{8,}|(?<=api_key = \")[^\s\"]{8,}")
-SECRET_CUES = ('token = "', 'secret = "', 'password = "', 'api_key = "')
+HEX = re.compile(r"\b[0-9a-fA-F]{32,}\b")
+#: What is given for a secret's name: in quotes, or bare with a digit in it.
+KEYED = re.compile(
+    r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)[\"']?\s?[:=]\s?"
+    r"(?:\"(?P<double>[^\s\"]{8,})|'(?P<single>[^\s']{8,})|(?P<bare>(?=[^\s\"',;]*\d)[^\s\"',;]{8,}))",
+    re.IGNORECASE,
+)
+KEYED_CUES = ("oken", "ecret", "assw", "pwd", "key", "OKEN", "ECRET", "ASSW", "PWD", "KEY", "Key", "Pwd")
+#: Tokens of known forms, and long ones of all kinds of characters.
+ISSUED = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16}|[sp]k[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|xox[abps]-[A-Za-z0-9-]{10,})\b")
+LONG = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![\w+/=-])")
+#: Bits for each character from which a long token is no word.
+ENTROPY = 4.0
 #: Where numbers can be, and the numbers.
 RUN = re.compile(r"[\d(+][\d .()+-]{6,}")
 NUMBER = re.compile(
     rf"(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})|\(\d{2,4}\))(?:[ .-]?\d{2,4}){2,4}(?!\d|\.\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})|\(\d{2,4}\))(?:[ .-]?\d{2,4}){2,4}(?!\d|\.\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.,:/-])0\d{2,4}[ -]\d{5,9}(?![\w-]))"
 )
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
@@ -201,8 +221,7 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
             start -= 1
         if start < m.start():
             found.append((start, m.end(), "email"))
-    if re.search("[0-9a-fA-F]{32}", text) or any(c in text for c in SECRET_CUES):
-        found += [(m.start(), m.end(), "secret") for m in SECRET.finditer(text)]
+    found += [(a, b, "secret") for a, b in secrets_in(text)]
     if "::" in text or re.search("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", text):
         found += [(m.start(), m.end(), "ipv6") for m in IPV6.finditer(text) if _is_ipv6(m[0])]
     found += [(m.start(), m.start() + len(m[0].removesuffix("'s").removesuffix("’s")), "person") for m in persons(text)]
@@ -217,13 +236,31 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
+def secrets_in(text: str) -> list[tuple[int, int]]:
+    """Spans of hexadecimal numbers, what is given for a secret's name, issued tokens, and long tokens of much entropy."""
+    found = []
+    if any(c in text for c in KEYED_CUES):
+        found += [m.span(m.lastgroup) for m in KEYED.finditer(text)]
+    if "_" in text or "-" in text or "AKIA" in text:
+        found += [m.span() for m in ISSUED.finditer(text)]
+    for m in LONG.finditer(text):
+        if HEX.fullmatch(m[0]) or (re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and _entropy(m[0]) >= ENTROPY):
+            found.append(m.span())
+    return found + [m.span() for m in HEX.finditer(text)]
+
+
+def _entropy(text: str) -> float:
+    """Bits for each character."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
 def persons(text: str) -> list[re.Match]:
     return list(PERSON.finditer(text)) if any(t in text for t in TITLES) else []
 
 
 def _untitled(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Mentions of the persons' names without a title."""
-    words = {text[a:b].partition(" ")[2] for a, b, kind in found if kind == "person"}
+    words = {without_titles(text[a:b])[1] for a, b, kind in found if kind == "person"}
     words |= {w.rpartition(" ")[2] for w in words}
     known = sorted(words | {w.upper() for w in words if len(w) > 3}, key=lambda w: (-len(w), w))
     return [(m.start(), m.end(), "name") for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, known))})(?!\w)", text)] if known else []
@@ -263,29 +300,35 @@ def family_of(word: str, gender: str) -> tuple[str, str]:
     return f"family {'inflected' if script == 'cyrillic' and INFLECTED.search(base) else script}", base
 
 
+def without_titles(mention: str) -> tuple[str, str, str]:
+    """(titles with the space behind them, names, the gender that the titles tell) of a mention."""
+    m = _TITLED.match(mention)
+    titles = m[0] if m else ""
+    told = [g for t in titles.split() if (g := TITLES[t.rstrip(".")]) != "n"]
+    return titles, mention[len(titles) :], told[0] if told else "n"
+
+
 def parts_of(mention: str, genders: dict[str, str]) -> tuple[str, list[tuple[str, str, str]]]:
-    """(what stands before the names, for each name its kind, value and the word as it stands) of a mention of a person.
+    """(what stands before the names, for each of their words its kind, value and the word as it stands) of a mention of a
+    person. Kinds: given and family names, "initial", and "particle", which stays.
 
     genders: of full names that a title tells elsewhere in the document."""
-    title, space, names = mention.partition(" ")
-    if title.rstrip(".") not in TITLES:
-        title, space, names = "", "", mention
+    titles, names, gender = without_titles(mention)
     words = names.split(" ")
-    gender = TITLES.get(title.rstrip("."), "n")
     if gender == "n":
         gender = genders.get(_plain(names), genders.get(_plain(words[-1]), _GENDER_OF.get(_plain(words[0]), "n") if len(words) > 1 else "n"))
-    out = [(f"given {gender} {script_of(words[0])}", _plain(words[0]), words[0])] if len(words) > 1 else []
-    return title + space, [*out, (*family_of(words[-1], gender), words[-1])]
+    kind = lambda w: "particle" if w in PARTICLES else "initial" if w.endswith(".") else f"given {gender} {script_of(w)}"
+    return titles, [*((kind(w), _plain(w), w) for w in words[:-1]), (*family_of(words[-1], gender), words[-1])]
 
 
 def genders_in(text: str, spans: list[tuple[int, int, str]]) -> dict[str, str]:
     """The gender that titles tell of full and family names."""
     out: dict[str, str] = {}
     for a, b, kind in spans:
-        title, _, names = text[a:b].partition(" ")
-        if kind == "person" and TITLES.get(title.rstrip("."), "n") != "n":
-            out.setdefault(_plain(names), TITLES[title.rstrip(".")])
-            out.setdefault(_plain(names.split(" ")[-1]), TITLES[title.rstrip(".")])
+        _, names, gender = without_titles(text[a:b])
+        if kind == "person" and gender != "n":
+            out.setdefault(_plain(names), gender)
+            out.setdefault(_plain(names.split(" ")[-1]), gender)
     return out
 
 
@@ -439,7 +482,7 @@ def names_in(text: str) -> list[tuple[str, str]]:
         return []
     spans = mentions(text)
     genders = genders_in(text, spans)
-    return sorted({(k, v) for a, b, kind in spans if kind in ("person", "name") for k, v, _ in parts_of(text[a:b], genders)[1]})
+    return sorted({(k, v) for a, b, kind in spans if kind in ("person", "name") for k, v, _ in parts_of(text[a:b], genders)[1] if k not in ("particle", "initial")})
 
 
 def _name_finder() -> Callable[[pa.Array], dict]:
@@ -469,10 +512,10 @@ def moved_names(found: DataFrame, key: bytes) -> DataFrame:
     state = cut(make(found.withColumn("attempt", F.lit(0))), n)
     while True:
         # who came to a stand-in first keeps it; equals by the value
-        order = Window.partitionBy("kind", "stand_in").orderBy("attempt", "value")
-        ranked = state.withColumn("place", F.row_number().over(order))
+        first = state.groupBy("kind", "stand_in").agg(F.min(F.struct("attempt", "value")).alias("first"))
+        ranked = state.join(first, ["kind", "stand_in"]).withColumn("late", F.struct("attempt", "value") > F.col("first"))
         real = found.select("kind", F.col("value").alias("stand_in")).withColumn("is_real", F.lit(True))
-        judged = ranked.join(real, ["kind", "stand_in"], "left").withColumn("lost", (F.col("place") > 1) | F.col("is_real").isNotNull())
+        judged = ranked.join(real, ["kind", "stand_in"], "left").withColumn("lost", F.col("late") | F.col("is_real").isNotNull())
         judged = cut(judged.select("kind", "value", "attempt", "stand_in", "lost"), n)
         losers = judged.where("lost").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if losers.isEmpty():
@@ -488,7 +531,8 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     for a, b, kind in spans:
         if kind in ("person", "name"):
             before, words = parts_of(text[a:b], genders)
-            new = before + " ".join(_written(name_for(k, v, attempts.get((k, v), 0), key), word, k) for k, v, word in words)
+            named = lambda k, v, word: word if k == "particle" else reshaped(word, key, k) if k == "initial" else _written(name_for(k, v, attempts.get((k, v), 0), key), word, k)
+            new = before + " ".join(named(*w) for w in words)
         else:
             new = surrogate(kind, text[a:b], key)
         parts += [text[at:a], new]
