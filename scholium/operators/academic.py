@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_markup, shortened
 
 S2 = "struct<data:array<struct<paperId:string,title:string,abstract:string,year:int,authors:array<struct<name:string>>,venue:string,url:string,externalIds:struct<DOI:string>,citationCount:int,publicationDate:string,openAccessPdf:struct<url:string>>>>"
-OPENALEX = "struct<results:array<struct<id:string,display_name:string,doi:string,publication_year:int,is_retracted:boolean,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<display_name:string>>>,primary_location:struct<source:struct<display_name:string>,landing_page_url:string>,cited_by_count:int>>>"
+OPENALEX = "struct<results:array<struct<id:string,display_name:string,title:string,doi:string,publication_date:string,publication_year:int,is_retracted:boolean,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<display_name:string>>>,primary_location:struct<source:struct<display_name:string>,landing_page_url:string,pdf_url:string>,cited_by_count:int>>>"
 DATE_PARTS = "struct<`date-parts`:array<array<int>>>"
 CROSSREF = f"struct<message:struct<items:array<struct<DOI:string,title:array<string>,abstract:string,author:array<struct<given:string,family:string>>,`published-print`:{DATE_PARTS},`published-online`:{DATE_PARTS},published:{DATE_PARTS},issued:{DATE_PARTS},`container-title`:array<string>,URL:string,`is-referenced-by-count`:int>>>>"
 
@@ -55,9 +55,11 @@ def semantic_scholar(replies: DataFrame, *, body: str) -> DataFrame:
 
 def openalex(replies: DataFrame, *, body: str) -> DataFrame:
     rows = replies.select(F.explode(F.from_json(body, OPENALEX)["results"]).alias("d")).select("d.*").where(~F.coalesce("is_retracted", F.lit(False)))
+    first = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
     return rows.select(
-        F.lit("openalex").alias("provider"), F.col("id").alias("external_id"), F.col("display_name").alias("title"), rebuild_abstract(F.col("abstract_inverted_index")).alias("abstract"), F.transform("authorships", lambda a: a["author"]["display_name"]).alias("authors"),
-        "publication_year", F.col("primary_location.source.display_name").alias("venue"), "doi", F.coalesce("primary_location.landing_page_url", "id").alias("url"), F.col("cited_by_count").alias("citation_count"),
+        F.lit("openalex").alias("provider"), F.col("id").alias("external_id"), first("display_name", "title").alias("title"), rebuild_abstract(F.col("abstract_inverted_index")).alias("abstract"), F.transform("authorships", lambda a: a["author"]["display_name"]).alias("authors"),
+        "publication_year", F.col("primary_location.source.display_name").alias("venue"), "doi", first("primary_location.landing_page_url", "doi", "id").alias("url"), F.col("cited_by_count").alias("citation_count"),
+        F.coalesce("primary_location.pdf_url", F.lit("")).alias("open_access_pdf_url"), F.coalesce("publication_date", F.lit("")).alias("publication_date"),
     )
 
 

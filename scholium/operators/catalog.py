@@ -96,9 +96,9 @@ def attach_figures(blocks: DataFrame, images: DataFrame, summaries: DataFrame, *
 
 
 def valid_batch(rows: DataFrame, *, key: str, embedding: str) -> DataFrame:
-    """One row: n, n_keys, n_dims, least norm; an append is allowed if n = n_keys, n_dims = 1 and the norm is positive."""
+    """One row: n, n_keys, n_dims, least_dim, least norm; an append is allowed if n = n_keys, n_dims = 1 and least_dim > 0."""
     norm = F.sqrt(F.aggregate(F.col(embedding), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("n_keys"), F.count_distinct(F.size(embedding)).alias("n_dims"), F.round(F.min(norm), 4).alias("least_norm"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("n_keys"), F.count_distinct(F.size(embedding)).alias("n_dims"), F.min(F.coalesce(F.size(embedding), F.lit(0))).alias("least_dim"), F.round(F.min(norm), 4).alias("least_norm"))
 
 
 def update_fields(rows: DataFrame, changes: DataFrame, *, key: str, allowed: list[str], now: Column, stamp: str = "updated_at") -> DataFrame:

@@ -54,7 +54,7 @@ def ingest(spark: SparkSession, path: str, library: str, *, group_id: int, parse
     vectors.write.mode("overwrite").parquet(where)
     written = spark.read.parquet(where)
     state = K.valid_batch(written, key="chunk_id", embedding="embedding").first()
-    if state["n"] and not (state["n"] == state["n_keys"] and state["n_dims"] == 1):
+    if state["n"] and not (state["n"] == state["n_keys"] and state["n_dims"] == 1 and state["least_dim"] > 0):
         raise ValueError(f"the chunks written do not fit together: {state}")
     fresh = written.groupBy("doc_id", "filename", "library_index").agg(F.count(F.lit(1)).alias("num_chunks"))
     rows = fresh.select(F.lit(group_id).cast("long").alias("group_id"), "doc_id", "filename", F.col("library_index").cast("long").alias("library_index"), F.col("num_chunks").cast("long").alias("num_chunks"), F.lit("ready").alias("status"), F.lit(version).cast("long").alias("version"))

@@ -87,16 +87,16 @@ def adapter_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.semantic_scholar(replies, body="body").select("external_id", "title", "publication_year", "url", "citation_count")
 
 
-@query("openalex_replies", "SELECT 'W' || doc_id AS external_id, 'T' || doc_id AS title, 'b a b' AS abstract, 'https://doi.org/10.1/' || doc_id AS doi, (1990 + doc_id % 30)::INT AS publication_year, lang AS venue, CASE WHEN doc_id % 2 = 0 THEN 'https://e.example.org/' || doc_id ELSE 'W' || doc_id END AS url FROM documents WHERE doc_id % 5 <> 0")
+@query("openalex_replies", "SELECT 'W' || doc_id AS external_id, 'T' || doc_id AS title, 'b a b' AS abstract, 'https://doi.org/10.1/' || doc_id AS doi, (1990 + doc_id % 30)::INT AS publication_year, lang AS venue, CASE WHEN doc_id % 2 = 0 THEN 'https://e.example.org/' || doc_id ELSE 'https://doi.org/10.1/' || doc_id END AS url, CASE WHEN doc_id % 2 = 0 THEN 'https://e.example.org/' || doc_id || '.pdf' ELSE '' END AS open_access_pdf_url, '2020-01-0' || (doc_id % 9 + 1) AS publication_date FROM documents WHERE doc_id % 5 <> 0")
 def openalex_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies with abstracts as inverted indexes; every fifth paper is retracted."""
+    """Replies with abstracts as inverted indexes; every fifth paper is retracted, a third have a title by its other name."""
     i = F.col("doc_id")
     d = i.cast("string")
-    source = F.struct(F.struct(F.col("lang").alias("display_name")).alias("source"), F.when(i % 2 == 0, F.concat(F.lit("https://e.example.org/"), d)).alias("landing_page_url"))
+    source = F.struct(F.struct(F.col("lang").alias("display_name")).alias("source"), F.when(i % 2 == 0, F.concat(F.lit("https://e.example.org/"), d)).alias("landing_page_url"), F.when(i % 2 == 0, F.concat(F.lit("https://e.example.org/"), d, F.lit(".pdf"))).alias("pdf_url"))
     index = F.create_map(F.lit("a"), F.array(F.lit(1)), F.lit("b"), F.array(F.lit(0), F.lit(2)))
-    paper = F.struct(F.concat(F.lit("W"), d).alias("id"), F.concat(F.lit("T"), d).alias("display_name"), F.concat(F.lit("https://doi.org/10.1/"), d).alias("doi"), (1990 + i % 30).cast("int").alias("publication_year"), (i % 5 == 0).alias("is_retracted"), index.alias("abstract_inverted_index"), source.alias("primary_location"))
+    paper = F.struct(F.concat(F.lit("W"), d).alias("id"), F.when(i % 3 != 0, F.concat(F.lit("T"), d)).when(i % 3 == 0, "").alias("display_name"), F.concat(F.lit("T"), d).alias("title"), F.concat(F.lit("2020-01-0"), (i % 9 + 1).cast("string")).alias("publication_date"), F.concat(F.lit("https://doi.org/10.1/"), d).alias("doi"), (1990 + i % 30).cast("int").alias("publication_year"), (i % 5 == 0).alias("is_retracted"), index.alias("abstract_inverted_index"), source.alias("primary_location"))
     replies = table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.array(paper).alias("results"))).alias("body"))
-    return A.openalex(replies, body="body").select("external_id", "title", "abstract", "doi", "publication_year", "venue", "url")
+    return A.openalex(replies, body="body").select("external_id", "title", "abstract", "doi", "publication_year", "venue", "url", "open_access_pdf_url", "publication_date")
 
 
 @query("crossref_replies", "SELECT '10.1/' || doc_id AS external_id, CASE WHEN doc_id % 4 <> 0 THEN 'T' || doc_id END AS title, CASE doc_id % 3 WHEN 0 THEN 2001 WHEN 1 THEN 2002 END::INT AS publication_year, 'G' || doc_id || ' F|Solo' AS authors, source AS venue, CASE WHEN doc_id % 2 = 0 THEN 'https://x.example.org/' || doc_id ELSE 'https://doi.org/10.1/' || doc_id END AS url FROM documents")

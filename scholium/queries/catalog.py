@@ -159,7 +159,7 @@ def figure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.attach_figures(blocks, images, hashed.withColumn("summary", F.concat(F.lit("about "), F.substring("image_hash", 1, 6))), doc="doc_id").select("doc_id", "block_id", "image_path", "image_hash", "index_text")
 
 
-@query("vector_batch", "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_keys, count(DISTINCT len(embedding)) AS n_dims, round(min(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS least_norm FROM embeddings")
+@query("vector_batch", "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_keys, count(DISTINCT len(embedding)) AS n_dims, min(len(embedding))::INT AS least_dim, round(min(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS least_norm FROM embeddings")
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.valid_batch(table(spark, sf_dir, "embeddings"), key="vec_id", embedding="embedding")
 

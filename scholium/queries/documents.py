@@ -94,8 +94,9 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)""")
 def page_and_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    raw = F.when(k.cast("int") % 3 == 0, F.array(F.lit("0"), F.lit("x"), k, k)).otherwise(F.array(F.lit("0"), F.lit("0"), k, k, F.lit("9")))
-    rows = table(spark, sf_dir, "events").select("event_id", L.page_number(k, F.lit(None).cast("string"), F.lit(None).cast("string")).alias("page"), L.box(raw).alias("box"))
+    written = lambda form: F.replace(F.lit(form), F.lit("K"), k)
+    raw = F.when(k.cast("int") % 3 == 0, written('["0", "x", K, K]')).when(k.cast("int") % 3 == 1, written('{"x0": 0, "y0": 0, "x1": K, "y1": K, "z": 9}')).otherwise(written('[0, "0", K, K, 9]'))
+    rows = table(spark, sf_dir, "events").select("event_id", L.page_number(k, F.lit(None).cast("string"), F.lit(None).cast("string")).alias("page"), L.box_of(raw).alias("box"))
     return rows.select("event_id", "page", F.size("box").alias("n_box"), L.is_proper_box(F.col("box")).alias("proper"))
 
 
@@ -239,15 +240,18 @@ def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", F.length("text").alias("n_chars"))
 
 
+#: Characters of a block or page at most in the query of chunks: less than a chunk's, so that packing alone decides.
+PIECE = 900
+PIECES = f"flatten(list_transform(string_split(text, chr(10)), lambda s: list_transform(range(greatest(1, (length(s) + {PIECE - 1}) // {PIECE})), lambda i: substr(s, {PIECE} * i + 1, {PIECE}))))"
 CHUNK_COLUMNS = ["doc_id", "chunk_index", "page", "page_start", "page_end", "section", "content_type", "char_count", "table_id", "table_caption", "continued_table", "paper_title", "library_index", "permission", "layout_confidence"]
 
 
-@query("chunk_documents", rf"""WITH RECURSIVE {SECTIONS},
+@query("chunk_documents", rf"""WITH RECURSIVE {SECTIONS.replace("string_split(text, chr(10))", PIECES)},
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, kind IN ('table', 'equation', 'figure', 'figure_caption', 'table_caption') AS atomic FROM s WHERE trim(line) <> '' AND doc_id % 2 = 0),
 w AS (SELECT doc_id, 0::BIGINT AS i, 0 AS pack, 0::BIGINT AS used, true AS closed, false AS placed FROM r GROUP BY doc_id
   UNION ALL SELECT r.doc_id, r.i,
-    CASE WHEN kind = 'heading' THEN w.pack WHEN w.closed OR atomic OR w.used + length(trim(line)) > 1000000 THEN w.pack + 1 ELSE w.pack END,
-    CASE WHEN kind = 'heading' THEN w.used WHEN w.closed OR atomic OR w.used + length(trim(line)) > 1000000 THEN length(line) ELSE w.used + length(line) END,
+    CASE WHEN kind = 'heading' THEN w.pack WHEN w.closed OR atomic OR w.used + length(trim(line)) > 1000 THEN w.pack + 1 ELSE w.pack END,
+    CASE WHEN kind = 'heading' THEN w.used WHEN w.closed OR atomic OR w.used + length(trim(line)) > 1000 THEN length(line) ELSE w.used + length(line) END,
     kind = 'heading' OR atomic, kind <> 'heading'
   FROM w JOIN r ON r.doc_id = w.doc_id AND r.i = w.i + 1),
 blocks AS (SELECT doc_id, 0 AS way, w.pack AS part, string_agg(trim(line), chr(10) || chr(10) ORDER BY i) AS text, min(pos // 5 + 1) AS page, min(pos // 5 + 1) AS page_start, max(pos // 5 + 1) AS page_end, arg_min(section, i) AS section,
@@ -262,18 +266,20 @@ u AS (SELECT doc_id, way, part, text, page, page_start, page_end, section, conte
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY way, part) - 1 AS chunk_index, page, page_start, page_end, section, content_type, length(u.text) AS char_count, table_id, table_caption, coalesce(continued_table, false) AS continued_table, source AS paper_title, (doc_id % 7)::INT AS library_index, 'group:' || (doc_id % 3) AS permission,
  CASE WHEN doc_id % 2 = 0 THEN 'high' END AS layout_confidence FROM u JOIN documents USING (doc_id)""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as parsed papers: half have blocks, the others pages and tables. Chunks may be longer than any text, so that none is split."""
+    """Documents as parsed papers: half have blocks, which are packed to the target of 1,000 characters, the others pages
+    and tables. Lines are cut into pieces below the target, as how a longer text is split is no SQL function."""
     k = F.col("doc_id")
     kind = lambda i: F.get(F.array(*map(F.lit, RAW_TYPES)), i % len(RAW_TYPES))
     none = F.lit(None)
     block = lambda x, i: F.struct(F.concat(F.lit("b"), i.cast("string")).alias("block_id"), kind(i).alias("type"), x.alias("text"), (F.floor(i / 5) + 1).cast("int").alias("page"), none.cast("int").alias("page_end"), none.cast("double").alias("reading_order"))
-    lines = F.split("text", "\n")
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(s) - 1) / PIECE).cast("int"))), lambda i: F.substring(s, PIECE * i + 1, F.lit(PIECE)))
+    lines = F.flatten(F.transform(F.split("text", "\n"), cut))
     one = F.struct(F.lit("t1").alias("table_id"), F.when(k % 4 == 1, F.concat(F.lit("Cap "), "lang")).alias("caption"), F.lit(2).alias("page_start"), F.lit(3).alias("page_end"), (k % 4 == 1).alias("continued"), F.when(k % 4 == 1, F.concat(F.lit("Table: "), "lang")).alias("normalized_text"), F.concat_ws(" | ", "lang", "source").alias("raw_text"))
     parsed = table(spark, sf_dir, "documents").select(
         "doc_id", F.when(k % 2 == 0, F.transform(lines, block)).alias("blocks"), F.when(k % 2 == 1, F.transform(lines, lambda x, i: F.struct((i + 1).alias("page"), F.trim(x).alias("text")))).alias("pages"), F.lit("").alias("markdown"),
         F.array(one).alias("tables"), F.concat("source", F.lit(".pdf")).alias("filename"), (k % 7).cast("string").alias("library_index"), (k % 3).alias("group_id"),
     )
-    return L.chunk_documents(parsed, target=1_000_000, most=1_000_000).select(*CHUNK_COLUMNS).withColumn("continued_table", F.coalesce("continued_table", F.lit(False)))
+    return L.chunk_documents(parsed).select(*CHUNK_COLUMNS).withColumn("continued_table", F.coalesce("continued_table", F.lit(False)))
 
 
 @query("chunk_markdown")

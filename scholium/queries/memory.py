@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
+from ..operators import alike as A
 from ..operators import memory as M
 from ..plans.answer import hashing_embedding
 from ..session import table
@@ -193,3 +194,15 @@ def repeat_turn_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mem_tallies", f"SELECT action, count(*) AS n, count(superseded_id) AS superseded FROM ({QUERY_SQL['mem_decisions']}) GROUP BY action")
 def mem_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mem_decisions(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count("superseded_id").alias("superseded"))
+
+
+@query("alike_turns")
+def alike_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations, and the same with another first word, that are alike from a ratio of 0.92 on: links
+    of keys, with how many turns have each. The ratio is no SQL function."""
+    said = table(spark, sf_dir, "conversations").select("text")
+    turns = said.unionByName(said.select(F.regexp_replace("text", r"^\S+", "Else").alias("text"))).withColumn("id", F.monotonically_increasing_id())
+    keys, links = A.alike(turns, row_id="id", text="text")
+    times = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda k: times.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"))
+    return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ratio", "n_a", "n_b")

@@ -31,13 +31,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("golden_rows", "SELECT 'q' || item_id AS id, substr(text, 1, 40) AS question, item_id % 3 = 0 AS expect_refusal, 2 AS page_tolerance, CASE WHEN item_id % 3 <> 0 THEN 'p' || item_id || '.pdf' END AS filename, p AS page FROM benchmark JOIN (VALUES (0, 3), (0, 4)) AS v(z, p) ON item_id % 3 <> 0 UNION ALL SELECT 'q' || item_id, substr(text, 1, 40), true, 2, NULL, NULL FROM benchmark WHERE item_id % 3 = 0")
+@query("golden_rows", "SELECT 'q' || item_id AS id, text AS question, item_id % 3 = 0 AS expect_refusal, 2 AS page_tolerance, CASE WHEN item_id % 3 <> 0 THEN 'p' || item_id || '.pdf' END AS filename, p AS page FROM benchmark JOIN (VALUES (0, 3), (0, 4)) AS v(z, p) ON item_id % 3 <> 0 UNION ALL SELECT 'q' || item_id, text, true, 2, NULL, NULL FROM benchmark WHERE item_id % 3 = 0")
 def golden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A golden set, written as one JSON object and read again: two pages of evidence an item, none for refusals."""
     i = F.col("item_id")
     page = lambda n: F.struct(F.concat(F.lit("p"), i.cast("string"), F.lit(".pdf")).alias("filename"), F.lit(n).alias("page"))
     evidence = F.when(i % 3 != 0, F.array(page(3), page(4))).otherwise(F.slice(F.array(page(3)), 1, 0))
-    item = F.struct(F.concat(F.lit("q"), i.cast("string")).alias("id"), F.substring("text", 1, 40).alias("question"), F.lit("").alias("ground_truth"), evidence.alias("evidence"), F.when(i % 3 == 0, F.lit(True)).alias("expect_refusal"))
+    item = F.struct(F.concat(F.lit("q"), i.cast("string")).alias("id"), F.col("text").alias("question"), F.lit("").alias("ground_truth"), evidence.alias("evidence"), F.when(i % 3 == 0, F.lit(True)).alias("expect_refusal"))
     where = fresh_dir(spark, "golden")
     whole = table(spark, sf_dir, "benchmark").groupBy().agg(F.collect_list(item).alias("items")).select(F.lit(2).alias("page_tolerance"), "items")
     whole.select(F.to_json(F.struct("page_tolerance", "items")).alias("value")).write.text(where)
@@ -79,7 +79,7 @@ def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data_urls(rows, root="/store", most_images=3, group="q", order="rank")
 
 
-@query("extracted_figures", """WITH r AS (SELECT page_id, 1 AS idx, 'b1' AS block_id, 1 AS page, 'png' AS suffix, substr(html, 1, 12) AS data FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 2, 'b2', 2, 'png', substr(html, 1, 12) FROM pages WHERE page_id % 2 = 0
+@query("extracted_figures", """WITH r AS (SELECT page_id, 1 AS idx, 'b1' AS block_id, 1 AS page, 'png' AS suffix, html AS data FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 2, 'b2', 2, 'png', html FROM pages WHERE page_id % 2 = 0
  UNION ALL SELECT page_id, 3, 'b3', 1, 'png', 'first of ' || page_id FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 1, 'figure_0001_001', 1, 'jpg', url FROM pages WHERE page_id % 2 = 1),
 h AS (SELECT *, sha256(data) AS h, first_value(idx) OVER (PARTITION BY page_id, data ORDER BY idx) AS f FROM r WHERE data <> '')
 SELECT page_id, block_id, page, printf('image_%03d', idx) AS image_id, '/store/doc_' || page_id || printf('/images/figure_%03d_', f) || substr(h, 1, 12) || '.' || suffix AS image_path, CASE suffix WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END AS image_mime_type, f = idx AS stored FROM h""")
@@ -92,25 +92,32 @@ def extracted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def render(raw: bytes, page: int, box: list | None) -> bytes | None:
         file = json.loads(raw)
-        return file["html"][:12].encode() if box else f"first of {file['page_id']}".encode()
+        return file["html"].encode() if box else f"first of {file['page_id']}".encode()
 
     found = I.rendered_figures(files, render, lambda raw: [(1, json.loads(raw)["url"].encode(), "jpg")], doc="page_id")
     return I.stored_figures(found, doc="page_id", root="/store").select("page_id", "block_id", "page", "image_id", "image_path", "image_mime_type", F.col("data").isNotNull().alias("stored"))
 
 
-@query("federated_search", "SELECT provider, 'T' || k AS title, '10.1/' || k AS doi FROM (SELECT k, CASE WHEN k < 4 THEN 'semantic_scholar' ELSE 'crossref' END AS provider FROM range(6) AS r(k)) WHERE k <> 1")
+SHELF = "SELECT doc_id FROM documents WHERE contains(text, 'the') AND doc_id % {0} = 0 ORDER BY doc_id LIMIT 20"
+
+
+@query("federated_search", f"""WITH a AS ({SHELF.format(2)}), b AS ({SHELF.format(3)})
+SELECT 'semantic_scholar' AS provider, 'T' || doc_id AS title, '10.1/' || doc_id AS doi FROM a UNION ALL SELECT 'crossref', 'T' || doc_id, '10.1/' || doc_id FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)""")
 def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two indexes that share papers, a third that is down: each paper once, of the first that has it with an abstract."""
+    """Two indexes of the documents that share some, a third that is down: what each has first for a word, each paper
+    once, of the first index that has it. An index gives as many papers as it is asked for."""
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("the"))).select("doc_id", "text")
+    shelf = {p: docs.where(F.col("doc_id") % k == 0).orderBy("doc_id").limit(20).collect() for p, k in (("semantic_scholar", 2), ("crossref", 3))}
 
     def transport(provider: str, asked: str, limit: int) -> str:
         if provider == "openalex":
             raise OSError("down")
+        found = [(r["doc_id"], r["text"]) for r in shelf[provider] if asked in r["text"]][:limit]
         if provider == "crossref":
-            return json.dumps({"message": {"items": [{"DOI": f"10.1/{k}", "title": [f"T{k}"], "abstract": f"<p>{asked}</p>"} for k in range(2, 6)]}})
-        return json.dumps({"data": [{"paperId": str(k), "title": f"T{k}", "abstract": "" if k == 1 else asked, "externalIds": {"DOI": f"10.1/{k}"}} for k in range(4)]})
+            return json.dumps({"message": {"items": [{"DOI": f"10.1/{i}", "title": [f"T{i}"], "abstract": t} for i, t in found]}})
+        return json.dumps({"data": [{"paperId": str(i), "title": f"T{i}", "abstract": t, "externalIds": {"DOI": f"10.1/{i}"}} for i, t in found]})
 
-    found = search_papers(spark, "  motors   of ships ", transport, keys={"openalex": "k"})
-    return found.papers.select("provider", "title", "doi")
+    return search_papers(spark, "  the ", transport, keys={"openalex": "k"}).papers.select("provider", "title", "doi")
 
 
 VERSIONS = "v AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS version, CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'failed' ELSE 'ready' END AS status FROM lineitem)"

@@ -102,3 +102,31 @@ def test_a_memory_is_stale_when_the_batch_rule_says_so(spark, kind, importance,
         weight = memory.effective_importance(importance=F.lit(importance), memory_type=F.lit(kind), age=F.lit(age), accesses=F.lit(0))
         rule = memory.is_stale(expires_at=F.timestamp_micros(F.lit(us(expires)).cast("long")), memory_type=F.lit(kind), age=F.lit(age), effective=weight, now=now)
         assert spark.range(1).select(rule.alias("x")).first().x is stale
+
+
+def test_alike_texts_are_those_of_all_pairs(spark):
+    import difflib
+
+    from scholium.operators import alike
+
+    rng = random.Random(3)
+    base = ["".join(rng.choices("abcde fgh-日本", k=rng.randrange(2, 60))) for _ in range(60)]
+    texts = [*base, *base[:5], None, "", "?!", "a", "B", "b"]
+    for t in base[:40]:
+        edited = list(t)
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(edited))
+            edited[k : k + rng.randrange(2)] = rng.choice("xyz")
+        texts.append("".join(edited))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("key", F.lit("z"))
+    keys, links = alike.alike(rows, row_id="id", text="t")
+    of = {r.id: r.key for r in keys.collect()}
+    plain = {of[k]: "".join(c for c in (t or "").lower() if c.isalnum()) for k, t in enumerate(texts)}
+    assert len(set(plain.values())) == len(plain) and len(of) == len(texts)
+    ordered = sorted(plain)
+    want = {(a, b): round(r, 6) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (r := difflib.SequenceMatcher(None, plain[a], plain[b]).ratio()) >= 0.92}
+    assert {(r.a, r.b): r.ratio for r in links.collect()} == want and len(want) > 10
+    different = keys.select("key").distinct().join(spark.createDataFrame(list(plain.items()), "key string, bare string"), "key")
+    assert alike.candidates(different, 0.92).count() < len(plain) ** 2 / 20
+    with pytest.raises(ValueError, match="threshold"):
+        alike.candidates(different, 0.5)

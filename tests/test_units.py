@@ -229,6 +229,17 @@ def test_memory_updates_by_embeddings_expiry_and_time(spark):
     assert got[5].content == "用户丙" and not got[3].is_active and (got[1].inserted, got[1].merged, got[1].superseded) == (2, 1, 1)  # what is inactive is no double
 
 
+def test_boxes_of_arrays_and_objects(spark):
+    said = ['[1, "2", 3.5, 4, 9]', '{"x0": 1, "y0": 2, "x1": 3.5, "y1": "4"}', '{"x0": 1, "y0": 2}', "[1, 2]", "x", "", None, '{"x0": "a", "y0": 2, "x1": 3, "y1": 4}']
+    got = [value(spark, layout.box_of(F.col("x")), x=s) for s in said]
+    assert got == [[1.0, 2.0, 3.5, 4.0]] * 2 + [[]] * 6
+
+
+def test_empty_vectors_are_told(spark):
+    rows = spark.createDataFrame([(1, []), (2, [])], "id long, e array<double>")
+    assert K.valid_batch(rows, key="id", embedding="e").first().least_dim == 0
+
+
 def test_repeated_questions(spark):
     rows = [(1, "user", "Q？"), (2, "assistant", "no"), (3, "user", "other"), (4, "assistant", "reply"), (5, "user", "q")]
     got = memory.drop_repeats(spark.createDataFrame([(1, *r) for r in rows], "s long, i long, role string, text string"), F.lit("q"), session="s", order="i", role="role", message_key=F.lower(T.canonical_query(F.col("text"))))
