@@ -1,7 +1,7 @@
 """A kept index for BM25: postings in blocks with what their best score can be, changes as further segments, and a search
 that reads only blocks which can matter.
 
-Documents are dealt to shards of a bounded number of documents, and lie there in the order of their ids, in ranges of a
+Documents are cut by their ids into shards of a bounded number of documents, and lie there in that order, in ranges of a
 few. A row of postings is one token of one shard, with a block for each range that has it. A block keeps its best pairs
 (frequency, length of document): those that no other has more of and less. They give the block's highest score for any
 average length, so insertions and deletions leave them right.
@@ -19,20 +19,23 @@ fails is never seen, and the next question after a change sees it. merge writes
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokens
 from ..session import ready, shared_dir
+from .ordered import running
 from .retrieval import Tokenizer
 
-#: Documents of a shard on average, documents of a range, questions that meet a shard at once.
+#: Documents of a shard, documents of a range, questions that meet a shard at once.
 SHARD, RANGE, QUESTIONS = 20_000, 8, 500
 #: What no token is: the row of a shard's documents, and that of its deleted ones.
 DOCUMENTS, GONE = "", " "
@@ -90,24 +93,74 @@ def _publish(spark: SparkSession, where: str, at: int, segments: tuple[int, ...]
     return Version(at, segments, changes, n, length, mean)
 
 
-def _write_segment(rows: DataFrame, where: str, seg: int, n: int, docs_per_range: int) -> None:
-    """postings of one segment. rows: id, dl, and counts array<struct<token, f>> of each document.
-
-    Everything behind the deal to shards stays in its partition."""
-    shards = max(1, math.ceil(n / SHARD))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    placed = dealt.withColumn("doc", F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1)
-    each = placed.select("shard", "id", "dl", "doc", F.inline(F.concat("counts", F.array(F.struct(F.lit(DOCUMENTS).alias("token"), F.col("dl").alias("f"))))))
-    one = each.withColumn("range", F.floor(F.col("doc") / docs_per_range).cast("int"))
-    blocks = one.groupBy("shard", "token", "range").agg(F.array_sort(F.collect_list(F.struct("doc", "f", "dl", "id"))).alias("ps"))
-    beats = lambda o, p: (o["f"] >= p["f"]) & (o["dl"] <= p["dl"]) & ((o["f"] > p["f"]) | (o["dl"] < p["dl"]) | (o["doc"] < p["doc"]))
-    best = F.when(F.col("token") == DOCUMENTS, F.slice("ps", 1, 0)).otherwise(F.filter("ps", lambda p: ~F.exists("ps", lambda o: beats(o, p))))
-    listed = blocks.withColumn("best", best).groupBy("shard", "token").agg(F.array_sort(F.collect_list(F.struct("range", "ps", "best"))).alias("bs"))
-    flat = lambda field, value: F.flatten(F.transform("bs", lambda b: F.transform(b[field], lambda p: p[value])))
-    out = listed.select(
-        "shard", "token", F.transform("bs", lambda b: b["range"]).alias("ranges"), F.transform("bs", lambda b: F.size(b["ps"])).alias("sizes"), F.transform("bs", lambda b: F.size(b["best"])).alias("best_sizes"),
-        flat("best", "f").alias("best_f"), flat("best", "dl").alias("best_dl"), flat("ps", "doc").alias("docs"), flat("ps", "f").alias("fs"), F.when(F.col("token") == DOCUMENTS, flat("ps", "id")).alias("ids"),
-    )
+COUNTED = "id long, dl int, tokens array<string>, fs array<int>"
+
+
+def _shard_of(ids: DataFrame, docs_per_range: int) -> tuple[np.ndarray, Callable[[Column], Column]]:
+    """The first id of each shard, and the shard of an id: shards are cut from all ids in order, in whole ranges."""
+    size = -(-SHARD // docs_per_range) * docs_per_range
+    firsts = np.array(sorted(r["id"] for r in running(ids, by=[], order=[F.col("id")]).where((F.col("_n") - 1) % size == 0).collect()), np.int64)  # one of SHARD
+
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts, ids.to_numpy(), side="right") - 1)
+
+    return firsts, shard
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
+
+
+def _blocks(shard: int, table: pa.Table, docs_per_range: int) -> pa.RecordBatch:
+    """The postings of one shard. table: COUNTED rows of its documents."""
+    table = table.sort_by("id")
+    ids, dl = table.column("id").to_numpy(), table.column("dl").to_numpy().astype(np.int32)
+    lists = table.column("tokens").combine_chunks()
+    doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    codes, fs = coded.indices.to_numpy(zero_copy_only=False), pc.list_flatten(table.column("fs").combine_chunks()).to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")  # within a token by document
+    codes, doc, fs = codes[order], doc[order], fs[order]
+    spot = doc // docs_per_range
+    first = np.ones(len(codes), bool)  # of a block
+    first[1:] = (codes[1:] != codes[:-1]) | (spot[1:] != spot[:-1])
+    starts = np.flatnonzero(first)
+    sizes, block = np.diff(np.append(starts, len(codes))), np.cumsum(first) - 1
+    # the best pairs: by falling frequency, those that are shorter than all before them in their block
+    ranked = np.lexsort((dl[doc], -fs, block))
+    place, least, best = np.arange(len(codes)) - starts[block], np.full(len(starts), np.iinfo(np.int32).max), np.zeros(len(codes), bool)
+    for r in range(int(sizes.max(initial=0))):
+        at = ranked[place == r]
+        own, lengths = block[at], dl[doc[at]]
+        best[at] = lengths < least[own]
+        least[own] = np.minimum(least[own], lengths)
+    best_sizes = np.bincount(block[best], minlength=len(starts))
+    n_tokens = len(coded.dictionary)
+    block_ends = np.searchsorted(codes[starts], np.arange(n_tokens), side="right")
+    pair_ends = np.searchsorted(codes, np.arange(n_tokens), side="right")
+    best_ends = np.searchsorted(codes[best], np.arange(n_tokens), side="right")
+    # the row of the documents themselves comes last
+    every = np.arange(len(ids), dtype=np.int32)
+    ranges = np.unique(every // docs_per_range).astype(np.int32)
+    i32, also = lambda *xs: np.concatenate(xs).astype(np.int32), lambda ends, n: np.append(ends, (ends[-1] if len(ends) else 0) + n)
+    columns = [
+        pa.array(np.full(n_tokens + 1, shard, np.int32)), pa.array([*coded.dictionary.to_pylist(), DOCUMENTS], pa.string()), _lists(i32(spot[starts], ranges), also(block_ends, len(ranges))), _lists(i32(sizes, np.bincount(every // docs_per_range)), also(block_ends, len(ranges))),
+        _lists(i32(best_sizes, np.zeros(len(ranges))), also(block_ends, len(ranges))), _lists(i32(fs[best]), also(best_ends, 0)), _lists(i32(dl[doc[best]]), also(best_ends, 0)), _lists(i32(doc, every), also(pair_ends, len(every))), _lists(i32(fs, dl), also(pair_ends, len(every))),
+        pa.array([None] * n_tokens + [ids], pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in POSTINGS.split(", ")[1:]])
+
+
+def _write_segment(rows: DataFrame, where: str, seg: int, ids: DataFrame, docs_per_range: int) -> None:
+    """postings of one segment. rows: COUNTED; ids: their ids, however they are found. The rows are shuffled once."""
+    firsts, shard = _shard_of(ids, docs_per_range)
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _blocks(key[0].as_py(), pa.Table.from_batches(list(batches)).drop_columns(["shard"]), docs_per_range)
+
+    dealt = rows.withColumn("shard", shard("id"))
+    out = dealt.repartition(max(1, len(firsts)), "shard").groupBy("shard").applyInArrow(run, POSTINGS.split(", ", 1)[1])
     out.sortWithinPartitions("token", "shard").write.mode("overwrite").parquet(f"{where}/postings/seg={seg}")  # row groups of few tokens
 
 
@@ -127,25 +180,36 @@ def _without(spark: SparkSession, where: str, version: Version, ids: DataFrame)
     number of them, with the sum of their lengths for DOCUMENTS. Only shards that have such a document are looked at."""
     postings, gone = _postings(spark, where, version), _gone(spark, where, version)
     asked = ids.select(F.col("id").cast("long").alias("id")).distinct()
-    held = postings.where(F.col("token") == DOCUMENTS).join(gone.withColumnRenamed("ids", "before"), ["seg", "shard"], "left")
-    known = held.select("seg", "shard", F.coalesce("before", F.array().cast("array<long>")).alias("before"), F.explode(F.arrays_zip("ids", "docs", "fs")).alias("d"))
-    found = known.where(~F.array_contains("before", F.col("d.ids"))).join(asked, F.col("d.ids") == F.col("id"), "left_semi")
-    hit = found.groupBy("seg", "shard").agg(F.collect_list("d.ids").alias("hit_ids"), F.collect_list("d.docs").alias("hit_docs"))  # a shard's at most
-    met = postings.join(hit, ["seg", "shard"])
-    pairs = F.filter(F.arrays_zip("docs", "fs"), lambda p: F.array_contains("hit_docs", p["docs"]))
-    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["fs"])
-    counts = met.select("token", F.size(pairs).cast("long").alias("n"), F.when(F.col("token") == DOCUMENTS, total).otherwise(0).alias("length"))
-    return hit.select("seg", "shard", F.col("hit_ids").alias("ids")), counts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).where("n > 0")
+    known = postings.where(F.col("token") == DOCUMENTS).select("seg", "shard", F.explode(F.arrays_zip("ids", "docs")).alias("d")).select("seg", "shard", F.col("d.ids").alias("id"), F.col("d.docs").alias("doc"))
+    found = known.join(asked, "id", "left_semi").join(gone.select("seg", "shard", F.explode("ids").alias("id")), ["seg", "shard", "id"], "left_anti")
+    hit = found.groupBy("seg", "shard").agg(F.collect_list("id").alias("ids"), F.collect_list("doc").alias("docs")).checkpoint(eager=True)  # a shard's at most
+
+    def count(own: pa.Table, hits: pa.Table) -> pa.Table:
+        """token, n, length of one shard: what the documents of hits have."""
+        if not hits.num_rows or not own.num_rows:
+            return pa.table({"token": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "length": pa.array([], pa.int64())})
+        lists = own.column("docs").combine_chunks()
+        row, docs, fs = (x.to_numpy(zero_copy_only=False) for x in (pc.list_parent_indices(lists), pc.list_flatten(lists), pc.list_flatten(own.column("fs").combine_chunks())))
+        goes = np.zeros(int(docs.max(initial=0)) + 1, bool)
+        goes[hits.column("docs").combine_chunks().flatten().to_numpy()] = True
+        goes = goes[docs]
+        n = np.bincount(row[goes], minlength=own.num_rows)
+        length = np.where(np.array(own.column("token").to_pylist()) == DOCUMENTS, np.bincount(row[goes], fs[goes], minlength=own.num_rows), 0)
+        return pa.table({"token": own.column("token"), "n": n, "length": length.astype(np.int64)})
+
+    met = postings.select("seg", "shard", "token", "docs", "fs").join(F.broadcast(hit.select("seg", "shard")), ["seg", "shard"], "left_semi")  # a row for each shard
+    counts = met.groupBy("seg", "shard").cogroup(hit.select("seg", "shard", "docs").groupBy("seg", "shard")).applyInArrow(count, "token string, n long, length long")
+    return hit.select("seg", "shard", "ids"), counts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).where("n > 0")
 
 
 def _counted(docs: DataFrame, doc_id: str, text: str, cut: Tokenizer) -> DataFrame:
-    """id, dl, counts of each document."""
+    """COUNTED of each document."""
     words = docs.select(F.col(doc_id).cast("long").alias("id"), F.array_sort(F.coalesce(cut(F.col(text)), F.array().cast("array<string>"))).alias("ts"))
     # the sorted tokens' ends tell how often each stands there
     last = F.filter(F.transform("ts", lambda t, i: F.struct(t.alias("token"), i.alias("i"))), lambda x: ~x["token"].eqNullSafe(F.get("ts", x["i"] + 1)))
     ends = words.select("id", F.size("ts").alias("dl"), last.alias("ends"))
     before = lambda i: F.coalesce(F.get("ends", i - 1)["i"], F.lit(-1))
-    return ends.select("id", "dl", F.transform("ends", lambda x, i: F.struct(x["token"].alias("token"), (x["i"] - before(i)).alias("f"))).alias("counts"))
+    return ends.select("id", "dl", F.col("ends.token").alias("tokens"), F.transform("ends", lambda x, i: x["i"] - before(i)).alias("fs"))
 
 
 def put(docs: DataFrame, where: str, *, doc_id: str = "doc_id", text: str = "text", docs_per_range: int = RANGE, cut: Tokenizer = tokens) -> Version:
@@ -154,14 +218,16 @@ def put(docs: DataFrame, where: str, *, doc_id: str = "doc_id", text: str = "tex
     shared_dir(spark)
     was = current(spark, where)
     at = was.version + 1
-    rows = _counted(docs, doc_id, text, cut).checkpoint(eager=True)
-    n, length = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    _write_segment(rows, where, at, n, docs_per_range)
-    added = rows.select(F.explode("counts").alias("c")).groupBy("c.token").agg(F.count(F.lit(1)).alias("df"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("id"))
+    _write_segment(_counted(docs, doc_id, text, cut), where, at, ids, docs_per_range)
+    own = spark.read.schema(POSTINGS).parquet(f"{where}/postings/seg={at}")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    n, length = own.where(F.col("token") == DOCUMENTS).agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum(total("fs")), F.lit(0))).first()
+    added = own.where(F.col("token") != DOCUMENTS).groupBy("token").agg(F.sum(total("sizes")).alias("df"))
     lost_n = lost_length = 0
     gone = spark.createDataFrame([], "seg int, shard int, ids array<long>")
     if was.segments:
-        gone, lost = _without(spark, where, was, rows)
+        gone, lost = _without(spark, where, was, ids)
         lost = lost.checkpoint(eager=True)
         lost_n, lost_length = _lost(lost)
         added = added.unionByName(lost.where(F.col("token") != DOCUMENTS).select("token", (-F.col("n")).alias("df")))
@@ -195,12 +261,32 @@ def merge(spark: SparkSession, where: str, *, docs_per_range: int = RANGE) -> Ve
     was = current(spark, where)
     at = was.version + 1
     postings = _postings(spark, where, was)
-    docs = postings.where(F.col("token") == DOCUMENTS).select("seg", "shard", F.inline(F.arrays_zip("docs", "ids", "fs"))).select("seg", "shard", F.col("docs").alias("doc"), F.col("ids").alias("id"), F.col("fs").alias("dl"))
-    left = docs.join(_gone(spark, where, was).select("seg", "shard", F.explode("ids").alias("id")), ["seg", "shard", "id"], "left_anti")
-    each = postings.where(F.col("token") != DOCUMENTS).select("seg", "shard", "token", F.inline(F.arrays_zip("docs", "fs"))).select("seg", "shard", "token", F.col("docs").alias("doc"), F.col("fs").alias("f"))
-    counts = each.groupBy("seg", "shard", "doc").agg(F.collect_list(F.struct("token", "f")).alias("counts"))
-    rows = left.join(counts, ["seg", "shard", "doc"], "left").select("id", "dl", F.coalesce("counts", F.array().cast("array<struct<token:string,f:int>>")).alias("counts"))
-    _write_segment(rows, where, at, was.n, docs_per_range)
+    gone = _gone(spark, where, was)
+    held = postings.where(F.col("token") == DOCUMENTS).select("seg", "shard", F.explode("ids").alias("id"))
+    ids = held.join(gone.select("seg", "shard", F.explode("ids").alias("id")), ["seg", "shard", "id"], "left_anti").select("id")
+
+    def documents(own: pa.Table, away: pa.Table) -> pa.Table:
+        """The documents of one shard that are left, from its postings."""
+        tokens_of = own.column("token").to_pylist()
+        at = tokens_of.index(DOCUMENTS) if DOCUMENTS in tokens_of else -1
+        if at < 0:
+            return pa.table({"id": pa.array([], pa.int64()), "dl": pa.array([], pa.int32()), "tokens": pa.array([], pa.list_(pa.string())), "fs": pa.array([], pa.list_(pa.int32()))})
+        row = own.slice(at, 1)
+        ids, places, lengths = (row.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "docs", "fs"))
+        stays = ~np.isin(ids, away.column("ids").combine_chunks().flatten().to_numpy()) if away.num_rows else np.ones(len(ids), bool)
+        new = np.full(int(places.max()) + 1, -1, np.int64)
+        new[places[stays]] = np.arange(int(stays.sum()))
+        lists = own.column("docs").combine_chunks()
+        token, docs, fs = (x.to_numpy(zero_copy_only=False) for x in (pc.list_parent_indices(lists), pc.list_flatten(lists), pc.list_flatten(own.column("fs").combine_chunks())))
+        keep = (token != at) & (new[docs] >= 0)
+        token, docs, fs = token[keep], new[docs[keep]], fs[keep]
+        order = np.argsort(docs, kind="stable")
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(docs, minlength=int(stays.sum()))))), pa.int32())
+        names = own.column("token").combine_chunks().take(pa.array(token[order]))
+        return pa.table({"id": ids[stays], "dl": lengths[stays].astype(np.int32), "tokens": pa.ListArray.from_arrays(offsets, names), "fs": pa.ListArray.from_arrays(offsets, pa.array(fs[order].astype(np.int32)))})
+
+    rows = postings.select("seg", "shard", "token", "docs", "fs", "ids").groupBy("seg", "shard").cogroup(gone.groupBy("seg", "shard")).applyInArrow(documents, COUNTED)
+    _write_segment(rows, where, at, ids, docs_per_range)
     _frequencies(spark, where, was.changes).write.mode("overwrite").parquet(f"{where}/terms/at={at}")
     spark.createDataFrame([], "seg int, shard int, ids array<long>").write.mode("overwrite").parquet(f"{where}/gone/at={at}")
     return _publish(spark, where, at, (at,), (at,), was.n, was.length)

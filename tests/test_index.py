@@ -102,3 +102,12 @@ def test_under_a_third_of_the_blocks_is_read(spark):
     best = np.argsort(-plain, kind="stable")[:10]
     assert set(best) <= set(ids.tolist()) and np.allclose(plain[ids], scores) and len(ids) == 10
     assert read < every / 3
+
+
+def test_ranges_of_several_shards_follow_the_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SHARD", 30)  # in whole ranges: 32
+    where, said = f"file://{tmp_path}/index", texts(150, 4)
+    X.put(spark.createDataFrame([(1000 - 3 * k, t) for k, t in enumerate(said)], "doc_id long, text string"), where)
+    asked = spark.createDataFrame([(1, "w0"), (2, "w3 w40")], QUESTIONS)
+    want = {q: sum(len({n // X.RANGE for n, t in enumerate(reversed(said)) if w in t.split()}) for w in words) for q, words in ((1, ["w0"]), (2, ["w3", "w40"]))}
+    assert {r.question_id: r.blocks for r in X.search(asked, where, 1, with_blocks=True).collect()} == want
