@@ -17,9 +17,8 @@ reach:
 At a place with many classes only links that join different components are given out: a breadth-first search over the
 classes there, in numpy, gives a spanning forest. Above `place_limit` rows the place is not gathered. In the exact rule
 its links are found through midpoints, values within half the distance of both ends, with one aggregate for each
-midpoint, which loses none. By similarity, all its rows are compared with some pivots of the place; rows near none go to
-places of their own by further parts, where they meet all that share those; two rows that are near different pivots
-meet at their other places.
+midpoint, which loses none. By similarity, its rows are dealt into chunks, and each two chunks are compared whole in a
+task of their own, which loses none either: work in the square of such a place, in bounded memory.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link like any other. The component of a row is
 the smallest non-null doc_id in it, or null. Repeated rows are ordinary copies. Further columns are ignored by
@@ -48,7 +47,8 @@ SEED = 42
 #: probability that two texts of the similarity meet, and that they keep to the limit of bits.
 COPY_SHINGLE, SIMILARITY, WORDS, RECALL, WITHIN = 5, 0.8, 4, 0.98, 0.95
 PLACE_LIMIT = 32_768
-PIVOTS = 16
+#: No limit for a place, where chunks bound it.
+ALL_ROWS = 1 << 62
 #: Rows that are broadcast at most; 200 bytes each are 100 MB.
 MAX_BROADCAST = 500_000
 #: Costs of sending a value and of comparing a pair, in microseconds; only their ratio matters.
@@ -411,25 +411,14 @@ def copy_links(classes: DataFrame, *, similarity: float = SIMILARITY, recall: fl
     out = _named(near, words)
     if crowded.isEmpty():
         return out
-    members = cut(_members(sent, crowded))
-    bucket = F.pmod(F.xxhash64(*own), F.lit(PIVOTS))
-    pivots = members.groupBy("place", bucket.alias("bucket")).agg(F.min(F.struct(*own)).alias("pivot")).groupBy("place").agg(F.collect_list("pivot").alias("pivots"))  # PIVOTS at most
-    few = pivots.limit(MAX_BROADCAST // PIVOTS + 1).count() <= MAX_BROADCAST // PIVOTS
-    mine = [F.col(c) for c in own]
-    close = F.filter("pivots", lambda v: _apart(mine, [v[c] for c in own]) <= limit)
-    judged = members.join(F.broadcast(pivots) if few else pivots, "place").withColumn("near", close)
-    hashed = lambda v: F.xxhash64(*[v[c] for c in own])
-    steps = F.transform(F.concat(F.array(F.struct(*own)), "near"), hashed)
-    pairs = F.arrays_zip(F.slice(steps, F.lit(1), F.size("near")).alias("a"), F.slice(steps, F.lit(2), F.size("near")).alias("b"))
-    stars = judged.where(F.size("near") > 0).select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a <> b").distinct()
-    # rows near no pivot: at places of their own, with all rows of the crowded place that share those
-    again = F.explode(F.array(*[_place(k, bits, words, salt=F.col("place")) for k, (bits, _) in enumerate(parts)])).alias("place")
-    loose = judged.where(F.size("near") == 0).select(again, F.lit(False).alias("probe"), *own)
-    bound = judged.where(F.size("near") > 0).select(again, F.lit(True).alias("probe"), *own)
-    finer, rest = _met(loose.unionByName(_members(bound, loose.select("place").distinct())), limit, place_limit, words)
-    hubs = _members(loose, rest).groupBy("place").agg(F.min(F.struct(*own)).alias("hub"))
-    last = _members(loose, rest).join(hubs, "place").where((_apart(mine, [F.col("hub")[c] for c in own]) <= limit)).select(F.xxhash64(*own).alias("a"), hashed(F.col("hub")).alias("b")).where("a <> b")
-    return out.unionByName(stars).unionByName(_named(finer, words)).unionByName(last)
+    # chunks of a crowded place, of a quarter of place_limit rows or about that; a task compares two of them
+    members = cut(_members(sent, crowded).select("place", "probe", *own))
+    chunks = members.groupBy(F.col("place").alias("_place")).agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) * 4 / place_limit)).cast("int").alias("m"))
+    few = crowded.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    dealt = members.join(F.broadcast(chunks) if few else chunks, F.col("place") == F.col("_place")).withColumn("c", F.pmod(F.xxhash64(F.lit("chunk"), *own), F.col("m")))
+    others = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("o <> c")  # two of one chunk meet with any other
+    paired = others.select(F.xxhash64("place", F.least("c", "o"), F.greatest("c", "o")).alias("place"), "probe", *own)
+    return out.unionByName(_named(_met(paired, limit, ALL_ROWS, words)[0], words))
 
 
 # components -----------------------------------------------------------------------------------------------------------

@@ -327,6 +327,22 @@ def test_copies_of_the_similarity_are_found_and_only_close_ones_are_linked(spark
     assert all(whole[k] == whole[found[k]] for k in range(len(rows)))
 
 
+def test_no_link_is_lost_at_crowded_places(spark, monkeypatch):
+    """Pairs that differ in 30 bits of half their words and share the other half with all rows, where alone they meet:
+    each is linked with every place limit."""
+    monkeypatch.setattr(simhash, "plan_recall", lambda *_: [(list(range(128)), 0)])
+    rng, rows = np.random.default_rng(8), []
+    for _ in range(60):
+        a = rng.integers(0, 1 << 62, 2)
+        b = a.copy()
+        for at in rng.choice(124, 30, replace=False):
+            b[at // 62] ^= 1 << int(at % 62)
+        rows += [(5, 9, *map(int, a)), (5, 9, *map(int, b))]
+    classes = spark.createDataFrame(rows, "fp0 long, fp1 long, fp2 long, fp3 long")
+    links = lambda limit: {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.copy_links(classes, place_limit=limit, limit=30).collect()}
+    assert links(20) == links(32_768) and len(links(20)) == 60
+
+
 def test_longer_fingerprints_are_majorities_of_mixed_hashes():
     text = "one two three four five six seven"
     words = simhash.fingerprint(text.encode(), 5, 4)
