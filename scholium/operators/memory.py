@@ -6,6 +6,7 @@ import datetime
 import difflib
 import math
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,11 +110,21 @@ def write_decisions(candidates: DataFrame, existing: DataFrame, similarity: Colu
     asked = candidates.join(large, (F.col("c_user") == F.col("_user")) & (F.col("c_type") == F.col("_type")), "left").withColumn("_c_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_user", "_type", "_salts")
     met = asked.join(own, (F.col("c_user") == F.col("user")) & (F.col("c_type") == F.col("type")) & (F.col("_c_salt") == F.col("_salt")), "left")
     sim = F.when(F.col("c_hash") == F.col("hash"), 1.0).otherwise(F.round(similarity, 6))
-    best = F.max(F.when(F.col("id").isNotNull(), F.struct(sim.alias("s"), (-F.col("id")).alias("i"), (F.col("negated") == F.col("c_negated")).alias("agree"))))
-    own_key = F.max(F.when(F.col("key") == F.col("c_key"), F.struct("updated_at", "id")))
-    found = met.groupBy("candidate_id").agg(best.alias("best"), own_key.alias("own"))
-    dup = F.coalesce((F.col("best.s") >= threshold) & F.col("best.agree"), F.lit(False))
-    dup_id = F.when(dup, -F.col("best.i"))
+    # one number in the order of (millionths, the smaller id, agreement): a struct would have every pair sorted
+    number = lambda c, digits: c.cast(f"decimal({digits},0)")
+    most = F.lit(Decimal(10**21))  # above ten times an id
+    rank = number(F.round(sim * 1_000_000), 15) * most - number(F.col("id"), 19) * F.lit(10).cast("decimal(2,0)") + (F.col("negated") == F.col("c_negated")).cast("int").cast("decimal(1,0)")
+    best = met.groupBy("candidate_id").agg(F.max(rank.cast("decimal(38,0)")).alias("rank"))
+    ten = F.lit(10).cast("decimal(2,0)")
+    millionths = F.round(F.col("rank") / most, 0)
+    rest = F.col("rank") - millionths.cast("decimal(15,0)") * most
+    agree = F.pmod(rest, ten)
+    parts = best.select("candidate_id", (millionths.cast("double") / 1_000_000).alias("s"), (-((rest - agree) / ten)).cast("long").alias("best_id"), (agree == 1).alias("agree"))
+    keyed = existing.groupBy(F.col("user").alias("_user"), F.col("type").alias("_type"), F.col("key").alias("_key")).agg(F.max(F.struct("updated_at", "id")).alias("own"))
+    owners = candidates.select("candidate_id", "c_user", "c_type", "c_key").join(keyed, (F.col("c_user") == F.col("_user")) & (F.col("c_type") == F.col("_type")) & (F.col("c_key") == F.col("_key"))).select("candidate_id", "own")
+    found = parts.join(owners, "candidate_id", "left")
+    dup = F.coalesce((F.col("s") >= threshold) & F.col("agree"), F.lit(False))
+    dup_id = F.when(dup, F.col("best_id"))
     merge = dup & (F.col("own").isNull() | (F.col("own.id") == dup_id))
     return found.select("candidate_id", F.when(merge, "merge").otherwise("insert").alias("action"), F.when(merge, dup_id).alias("target_id"), F.when(~merge, F.col("own.id")).alias("superseded_id"))
 

@@ -750,3 +750,14 @@ def test_joined_tables_are_those_of_a_plain_fold(spark):
     tables = spark.createDataFrame(rows, "doc int, ord int, caption string, page_start int, page_end int, rows array<array<string>>, top double, bottom double")
     got = sorted((r.doc, r.table_id, r.caption, r.page_start, r.page_end, r.continued, [list(x) for x in r["rows"]]) for r in layout.merge_continued(tables, doc="doc").collect())
     assert got == want and 20 < sum(w[5] for w in want) < len(want)
+
+
+def test_write_decisions_sort_no_pairs_and_keep_large_ids(spark):
+    big = 9 * 10**18
+    made = "candidate_id long, c_user int, c_type string, c_key long, c_hash string, c_negated boolean, c_v double"
+    asked = spark.createDataFrame([(1, 1, "s", 5, "x", True, 1.0), (2, 1, "s", 6, "x", False, -1.0), (3, 2, "s", 5, "x", True, 1.0), (4, 1, "s", 7, "x", True, 0.5)], made)
+    held = spark.createDataFrame([(big, 1, "s", 5, "y", True, big, 0.95), (big - 1, 1, "s", 7, "y", True, 1, 0.95), (-3, 1, "s", 8, "y", False, 2, -0.99), (7, 1, "s", 8, "y", False, 3, None)], "id long, user int, type string, key long, hash string, negated boolean, updated_at long, v double")
+    out = memory.write_decisions(asked, held, F.col("c_v") * F.col("v"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "SortAggregate" in line and "candidate_id" in line]
+    assert sorted(map(tuple, out.collect())) == [(1, "insert", None, big), (2, "merge", -3, None), (3, "insert", None, None), (4, "insert", None, big - 1)]
