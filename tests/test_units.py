@@ -761,3 +761,11 @@ def test_write_decisions_sort_no_pairs_and_keep_large_ids(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "SortAggregate" in line and "candidate_id" in line]
     assert sorted(map(tuple, out.collect())) == [(1, "insert", None, big), (2, "merge", -3, None), (3, "insert", None, None), (4, "insert", None, big - 1)]
+
+
+def test_approximate_counts_make_no_sketch_for_each_part(spark):
+    from scholium.queries.relational import approx_counts
+
+    found = approx_counts(spark, "/root/testdata/sf0.001")
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r.near_count and r.near_median for r in found.collect())
