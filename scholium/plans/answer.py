@@ -120,7 +120,7 @@ def context(questions: DataFrame, chunks: DataFrame, services: Services, queries
     settings = services.settings
     found = recall(queries_of(questions, services) if queries is None else queries, chunks, settings)
     asked = questions.select("question_id", hashing_embedding(F.col("question")).alias("asked"))
-    pairs = found.withColumnRenamed("rank", "recalled").join(chunks, "chunk_id").join(asked, "question_id")
+    pairs = R.with_rows(found.withColumnRenamed("rank", "recalled"), chunks, key="chunk_id", settings=settings).join(asked, "question_id")
     best = R.rerank(pairs, F.round(cosine(F.col("asked"), F.col("embedding")), 6), query="question_id", tie=[F.col("chunk_id")], top_n=settings.rerank_top_n)
     like = lambda s: dot(hashing_embedding(s), F.col("asked"))  # both of unit length
     return compress.compress(best.drop("recalled"), like, group="question_id", order="rank", key="chunk_id", text="text", embedding="embedding", settings=settings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, canonical_query, sentences, tokens
+from ..functions.text import ascii_lower, canonical_query, once, sentences, tokens
 from ..functions.codes import encode, search_codes
 from ..functions.vector import build_cells, cosine, search_cells, top_k
 from ..operators import compress as C
@@ -345,15 +345,15 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap(sentence: Column) -> Column:
     """Share of a sentence's distinct tokens that the question has."""
-    own = F.array_distinct(tokens(sentence))
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, F.col("asked"))) / F.size(own))
+    share = lambda own: F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, F.col("asked"))) / F.size(own))
+    return once(F.array_distinct(tokens(sentence)), share)
 
 
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each question, with the question's tokens."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     best = bm25(spark, sf_dir).where("rank <= 5")
-    return best.join(docs.select("doc_id", "text"), "doc_id").join(asked.select(F.col("item_id").alias("question_id"), F.array_distinct(tokens(F.col("text"))).alias("asked")), "question_id")
+    return R.with_rows(best, docs.select("doc_id", "text"), key="doc_id").join(asked.select(F.col("item_id").alias("question_id"), F.array_distinct(tokens(F.col("text"))).alias("asked")), "question_id")
 
 
 SENTENCES = rf"""WITH {BM25},
