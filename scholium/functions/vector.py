@@ -26,12 +26,48 @@ def cosine(a: Column, b: Column) -> Column:
 QUERY_BYTES = 128 << 20
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vector_id: str, embedding: str = "embedding", metric: str = "cosine", exclude_self: bool = False, block: int = 4096, query_bytes: int = QUERY_BYTES, digits: int = 6) -> DataFrame:
+class Best:
+    """The k greatest scores of each query so far, of equal ones those of the lesser ids; what a task holds of its rows."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.n = k, np.zeros(queries, np.int64)
+        self.scores, self.ids = np.full((queries, k), -np.inf), np.zeros((queries, k), np.int64)
+
+    def add(self, first: int, v: np.ndarray, scores: np.ndarray) -> None:
+        """scores: of the queries from `first` on and the rows v; -inf is none."""
+        many, keep = len(scores), min(self.k, len(v))
+        least = self.scores[first : first + many, -1]
+        least = np.maximum(least, np.partition(scores, len(v) - keep, axis=1)[:, len(v) - keep] if len(v) > self.k else -np.inf)
+        q, at = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # ties stay for the ids to decide
+        self.take(first + q, v[at], scores[q, at])
+
+    def take(self, q: np.ndarray, v: np.ndarray, scores: np.ndarray) -> None:
+        """Takes the ids v with their scores for the queries at q."""
+        old, at = np.unique(q, return_inverse=True)
+        held = np.arange(self.k)[None] < self.n[old][:, None]
+        who = np.concatenate([np.nonzero(held)[0], at])
+        ids, all_scores = np.concatenate([self.ids[old][held], v]), np.concatenate([self.scores[old][held], scores])
+        order = np.lexsort((ids, -all_scores, who))
+        who, ids, all_scores = who[order], ids[order], all_scores[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        stay = place < self.k
+        self.ids[old[who[stay]], place[stay]], self.scores[old[who[stay]], place[stay]] = ids[stay], all_scores[stay]
+        self.n[old] = np.minimum(self.k, np.bincount(who, minlength=len(old)))
+
+    def batches(self, queries: np.ndarray, sign: int, size: int = 65_536) -> Iterator[pa.RecordBatch]:
+        """q, v and score times sign of what is held."""
+        q, place = np.nonzero(np.arange(self.k)[None] < self.n[:, None])
+        for at in range(0, len(q), size):
+            a, b = q[at : at + size], place[at : at + size]
+            yield pa.RecordBatch.from_arrays([pa.array(queries[a]), pa.array(self.ids[a, b]), pa.array(self.scores[a, b] * sign)], names=["q", "v", "score"])
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vector_id: str, embedding: str = "embedding", metric: str = "cosine", exclude_self: bool = False, block: int = 1024, query_bytes: int = QUERY_BYTES, digits: int = 6) -> DataFrame:
     """query_id, vector_id, score, rank: the k best vectors of each query, ties by vector_id.
 
     Queries go out in broadcasts of a checked size, one scan of the vectors for each (for 64 numbers, 260,000 queries);
-    a task multiplies a block of queries with its rows by matrix and passes on only what may be among the k best, so the
-    shuffle carries k rows for each query and task. Cosine: higher is better; l2 (squared): lower. Rows without an
+    a task multiplies a block of queries with its rows by matrix, holds the k best of each query and passes on only these,
+    so the shuffle carries k rows for each query and task. Cosine: higher is better; l2 (squared): lower. Rows without an
     embedding match nothing."""
     spark = ready(vectors.sparkSession)
     rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(embedding).alias("e"))
@@ -47,6 +83,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vect
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             all_ids, all_rows = shared.value
+            best = Best(len(all_ids), k)
             for batch in batches if len(all_ids) else ():
                 batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
@@ -56,19 +93,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, vect
                 own = np.linalg.norm(e, axis=1)
                 for first in range(0, len(all_ids), block):
                     ids, rows = all_ids[first : first + block], all_rows[first : first + block]
-                    norms, products = np.linalg.norm(rows, axis=1), rows @ e.T
+                    norms, scores = np.linalg.norm(rows, axis=1), rows @ e.T
                     if metric == "cosine":
                         scale = np.outer(norms, own)
-                        scores = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
+                        scores = np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
                     else:
-                        scores = -((norms**2)[:, None] + (own**2)[None] - 2 * products)
+                        scores = -((norms**2)[:, None] + (own**2)[None] - 2 * scores)
                     scores = np.round(scores, digits)
                     if exclude_self:
                         scores[ids[:, None] == v[None]] = -np.inf
-                    keep = min(k, len(v))
-                    worst = np.partition(scores, len(v) - keep, axis=1)[:, len(v) - keep]
-                    q, at = np.nonzero((scores >= worst[:, None]) & np.isfinite(scores))  # ties stay for the ids to decide
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v[at]), pa.array(scores[q, at] * (1 if metric == "cosine" else -1))], names=["q", "v", "score"])
+                    best.add(first, v, scores)
+            yield from best.batches(all_ids, 1 if metric == "cosine" else -1)
 
         got = plain.mapInArrow(search, "q long, v long, score double")
         found = got if found is None else found.unionByName(got)
