@@ -102,10 +102,10 @@ def enrich(chunks: DataFrame, papers: DataFrame, *, key: str, fields: list[str])
 
 
 def number_papers(evidence: DataFrame, *, answer: str, position: str, key: str) -> DataFrame:
-    """evidence with paper_no, counted by first appearance in each answer."""
-    first = evidence.groupBy(answer, key).agg(F.min(position).alias("_first"))
-    numbered = first.withColumn("paper_no", F.row_number().over(Window.partitionBy(answer).orderBy("_first", key))).drop("_first")
-    return evidence.join(numbered, [answer, key])
+    """evidence of known papers with paper_no, counted by first appearance in each answer. What is partitioned by answer is not shuffled;
+    an answer's evidence is short."""
+    first = evidence.where(F.col(answer).isNotNull() & F.col(key).isNotNull()).withColumn("_first", F.min(position).over(Window.partitionBy(answer, key)))
+    return first.withColumn("paper_no", F.dense_rank().over(Window.partitionBy(answer).orderBy("_first", key))).drop("_first")
 
 
 def paper_reference(*, library_index: Column, doc_id: Column, position: Column, title: Column, filename: Column) -> Column:
