@@ -158,33 +158,38 @@ e AS (SELECT events.*, ts < early AND event_id % 50 = 0 AS tardy, ts < early AND
 w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM e WHERE first)"""
 
 
-def tardy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events in three batches by time, a fiftieth of the first third with the last; then two far later events, which close all before them."""
+def tardy_runs(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What make gives of the events in three runs by time, a fiftieth of the first third with the last; then of two far
+    later events, which close all before them. Nothing runs between the runs' batches, so what is late in one is judged
+    as in a stream that never stops."""
     early, late = thirds(spark, sf_dir)
     tardy = (F.col("ts") < F.lit(early)) & (F.col("event_id") % 50 == 0)
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    end = lambda days: events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(late) + F.make_dt_interval(days=F.lit(days))).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
     cuts = [(F.col("ts") < F.lit(early)) & ~tardy, (F.col("ts") >= F.lit(early)) & (F.col("ts") < F.lit(late)), (F.col("ts") >= F.lit(late)) | tardy]
-    where = parts(spark, sf_dir, ["event_id", "ts", "user_id", "event_type", "value"], cuts)
-    for days in (4_000, 8_000):
-        time.sleep(0.02)
-        end = table(spark, sf_dir, "events").limit(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(late) + F.make_dt_interval(days=F.lit(days))).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-        end.coalesce(1).write.mode("append").parquet(where)
-    rows = S.stream(spark, where, files_per_batch=1)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    where, out = fresh_dir(spark, "stream"), None
+    none = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(none)
+    spark.conf.set(none, "false")
+    for part in [*(events.where(cut) for cut in cuts), end(4_000), end(8_000)]:
+        part.write.mode("append").parquet(f"{where}/in")
+        out = S.drain(make(S.stream(spark, f"{where}/in", time="ts")), where)
+    spark.conf.set(none, before)
+    return out
 
 
 @query("stream_closed_windows", f"""WITH {LATE} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e, w
  WHERE NOT (tardy AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark) GROUP BY ALL""")
 def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append mode: each window once, when it is closed; what comes for a window that was closed before is dropped."""
-    rows = S.windowed(tardy_stream(spark, sf_dir), time="ts", key="event_type", value="value", size="1 hour")
-    return plain(S.drain(rows, fresh_dir(spark, "stream")).where("event_type <> 'end'"))
+    closed = tardy_runs(spark, sf_dir, lambda rows: S.windowed(rows, time="ts", key="event_type", value="value", size="1 hour"))
+    return plain(closed.where("event_type <> 'end'"))
 
 
 @query("stream_expired", f"WITH {LATE} SELECT user_id::VARCHAR AS key, count(*) AS n, max(ts) AS last FROM e, w WHERE NOT (tardy AND ts <= mark + INTERVAL 10 MINUTE) GROUP BY 1")
 def stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of a key when its state expires, idle for five years of event time; late events are not counted."""
-    rows = S.last_seen(tardy_stream(spark, sf_dir), time="ts", key="user_id", idle_minutes=5 * 365 * 24 * 60)
-    states = S.drain(rows, fresh_dir(spark, "stream"))
+    states = tardy_runs(spark, sf_dir, lambda rows: S.last_seen(rows, time="ts", key="user_id", idle_minutes=5 * 365 * 24 * 60))
     return plain(states.where("expired and key <> '-1'").select("key", "n", "last"))
 
 
