@@ -1,52 +1,139 @@
-"""A similarity join of texts by the ratio of their matching blocks, without comparing all pairs.
+"""A similarity join of texts by the ratio of their matching blocks; only pairs that can reach it are compared by it.
 
-Two texts of a and b characters with a ratio of t have t (a + b) / 2 characters in matching blocks, and what is between
-the blocks is (1 - t) (a + b) at most. So the blocks are few, as each but one has something between it and the next, and
-the texts share most of their grams of q characters: t (a + b) / 2 - (q - 1) ((1 - t) (a + b) + 1) at least. Each text is
-known by its grams (the second same one being another than the first), the rarest of the corpus first; of two alike texts
-the first few of either must share one, as many as the bound leaves. Only texts that meet there, and whose lengths allow
-the ratio, are compared. Short texts meet by grams of two characters, others by grams of four."""
+Two texts of a and b characters with a ratio of t have m = t (a + b) / 2 characters in matching blocks at least, and what
+is between the blocks is a + b - 2 m at most. So the blocks are few, as each but one has something between it and the
+next, and the texts share most of their grams of q characters: m - (q - 1) (a + b - 2 m + 1) at least. This leaves open
+six tenths of their grams, so even the rarest of these make nearly all pairs meet. Instead each text's grams (the second
+same one being another than the first) set one of many bits each, where even ones cancel out: two texts' bits differ in
+no more places than their grams do. Texts lie in chunks by their length, of which each two of near lengths meet in one
+task. That compares the bits of each pair of near lengths and passes on those pairs alone that the bound leaves: seconds
+grow with the square of the texts, shuffle and memory do not."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity_ratio
+from ..functions.text import bare_text, similarity_ratio
+from ..session import ready, shared_dir
 
 #: What the ratio is taken of: letters and digits, in lower case.
 _BARE = r"(?U)[\W_]+"
 LEAST = 0.9
-#: Characters from which texts meet by longer grams.
-LONG = 20
+#: Characters of the texts in a chunk, at least and at most, and what a text counts beside its own.
+LEAST_CHUNK, MOST_CHUNK, ROW = 1 << 18, 1 << 25, 200
+#: Of texts up to so many characters: the characters of a gram, and bits for each character.
+GRAMS = ((200, 3, 8), (1000, 4, 12), (1300, 5, 24), (math.inf, 5, 48))
+_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
 def bare(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _BARE, ""))
 
 
-def _by_rarity(texts: DataFrame, threshold: float, q: int) -> DataFrame:
-    """key, n_chars, gram, nth: the first grams of each text, as many as alike texts must share one of."""
-    each = texts.select("key", F.length("bare").alias("n_chars"), F.explode(F.regexp_extract_all("bare", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))).alias("gram"))
-    counted = each.groupBy("key", "n_chars", "gram").agg(F.count(F.lit(1)).alias("n"))
-    numbered = counted.select("key", "n_chars", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
-    often = numbered.groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("often", "gram", "nth"))  # of one text
-    both = F.col("n_chars") * (1 + threshold / (2 - threshold))  # a partner has t / (2 - t) times the characters at least
-    shared = F.ceil(threshold / 2 * both - (q - 1) * ((1 - threshold) * both + 1))
-    first = F.col("n_chars") - q + 1 - F.greatest(F.lit(1), shared) + 1
-    return numbered.join(often, ["gram", "nth"]).withColumn("_n", place).where(F.col("_n") <= first).select("key", "n_chars", "gram", "nth")
+def _set_bits(words: np.ndarray, texts: list[str], q: int) -> None:
+    """Flips in the row of each text a bit for each of its grams."""
+    n = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner, last = np.repeat(np.arange(len(texts)), n), np.repeat(np.cumsum(n), n)
+    grams = np.zeros(len(points), np.uint64)
+    for k in range(q):
+        grams[: len(points) - k] = grams[: len(points) - k] * _MIX[0] ^ points[k:] * _MIX[1]
+        grams ^= grams >> np.uint64(29)
+    whole = np.arange(len(points)) + q <= last
+    grams, owner = grams[whole], owner[whole]
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    fresh = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])][: len(grams)])
+    nth = np.arange(len(grams)) - np.repeat(fresh, np.diff(np.r_[fresh, len(grams)]))
+    mixed = (grams + nth.astype(np.uint64) * _MIX[0]) * _MIX[2]
+    bit = (mixed ^ mixed >> np.uint64(32)) % np.uint64(64 * words.shape[1])
+    np.bitwise_xor.at(words.reshape(-1), owner * words.shape[1] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+
+
+def _bits(texts: list[str], q: int, n_words: int, at_once: int = 1 << 20) -> np.ndarray:
+    """(texts, n_words): the bits of each text, made of about at_once characters at a time."""
+    words, first, size = np.zeros((len(texts), n_words), np.uint64), 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= at_once or k + 1 == len(texts):
+            _set_bits(words[first : k + 1], texts[first : k + 1], q)
+            first, size = k + 1, 0
+    return words
+
+
+def _most_apart(a: int, b: np.ndarray, t: float, q: int) -> np.ndarray:
+    """In how many grams a text of a characters and those of b can differ if their ratio is t or more."""
+    m = np.ceil(t * (a + b) / 2)
+    shared = np.maximum(0, m - (q - 1) * (a + b - 2 * m + 1))
+    return max(0, a - q + 1) + np.maximum(0, b - q + 1) - 2 * shared
+
+
+def _met(left: tuple[list, list[str]], right: tuple[list, list[str]] | None, t: float, at_once: int = 1 << 22) -> Iterator[tuple]:
+    """Pairs of the ids of two lists of ids and texts, or of one, that can have the ratio t."""
+    own = right is None
+    sides = []
+    for ids, texts in [left] if own else [left, right]:
+        order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+        sides.append(([ids[k] for k in order], [texts[k] for k in order]))
+    longest = max((len(texts[-1]) for _, texts in sides if texts), default=0)
+    q, bits = next((q, bits) for most, q, bits in GRAMS if longest <= most)
+    n_words = (1 << max(8, math.ceil(math.log2(max(1, bits * longest)) - 0.5))) // 64
+    made = [_bits(texts, q, n_words) for _, texts in sides]
+    (ids_1, texts), words_1, (ids_2, others), words_2 = sides[0], made[0], sides[-1], made[-1]
+    n = np.array([len(x) for x in others], np.int64)
+    rows = max(1, at_once // (8 * n_words))
+    for i, text in enumerate(texts):
+        a = len(text)
+        first, end = np.searchsorted(n, a * t / (2 - t) - 1e-6), np.searchsorted(n, a * (2 - t) / t + 1e-6, side="right")
+        for k in range(max(first, i + 1) if own else first, end, rows):
+            z = min(k + rows, end)
+            apart = np.add.reduce(np.bitwise_count(words_2[k:z] ^ words_1[i]), axis=1, dtype=np.int64)
+            for j in np.flatnonzero(apart <= _most_apart(a, n[k:z], t, q)):
+                yield ids_1[i], ids_2[k + j]
 
 
 def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     """a, b (a < b): the pairs of keys whose texts can have the ratio. texts: key, bare, each different."""
     if threshold < LEAST:
         raise ValueError(f"the bound needs a threshold of {LEAST} or more")
-    long_ones = F.length("bare") >= LONG
-    rows = _by_rarity(texts.where(long_ones), threshold, 4).unionByName(_by_rarity(texts.where(F.length("bare") <= 1.4 * LONG), threshold, 2))  # alike ones are on one side
-    left, right = rows.select(F.col("key").alias("a"), F.col("n_chars").alias("a_chars"), "gram", "nth"), rows.select(F.col("key").alias("b"), F.col("n_chars").alias("b_chars"), "gram", "nth")
-    near = 2 * F.least("a_chars", "b_chars") >= threshold * (F.col("a_chars") + F.col("b_chars"))
-    return left.join(right, ["gram", "nth"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    t = threshold - 1e-6  # ratios are rounded
+    ready(texts.sparkSession)
+    # by the texts as the ratio takes them, in steps of length that alike ones lie in one of or two neighbouring ones
+    step = math.log((2 - t) / t) + 1e-6
+    n = F.length("bare")
+    rows = texts.select("key", bare_text("bare").alias("bare")).where(n > 0).select("key", "bare", F.floor(F.log(n) / step).cast("int").alias("step"))
+    sizes = {r["step"]: r["size"] for r in rows.groupBy("step").agg(F.sum(n + ROW).alias("size")).collect()}  # a few hundred at most
+    if not sizes:
+        return texts.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, sum(sizes.values()) // 16))
+    parts = {s: -(-size // chunk) for s, size in sizes.items()}
+    meetings = sum(m * (m + 1) // 2 + m * parts.get(s + 1, 0) for s, m in parts.items())
+    of = F.create_map(*[F.lit(x) for s, m in parts.items() for x in (s, m)])
+    s, part = F.col("step"), F.col("part")
+    meeting = lambda s1, p1, s2, p2, side: F.struct(s1.alias("s1"), p1.cast("int").alias("p1"), s2.alias("s2"), p2.cast("int").alias("p2"), side.cast("int").alias("side"))
+    all_of = lambda step: F.when(F.coalesce(F.try_element_at(of, step), F.lit(0)) > 0, F.sequence(F.lit(0), F.try_element_at(of, step).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(all_of(s), lambda p: meeting(s, F.least(p, part), s, F.greatest(p, part), p < part))
+    longer = F.transform(all_of(s + 1), lambda p: meeting(s, part, s + 1, p, F.lit(0)))
+    shorter = F.transform(all_of(s - 1), lambda p: meeting(s - 1, p, s, part, F.lit(1)))
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.element_at(of, s)).cast("int"))
+    going = placed.select("key", "bare", F.explode(F.concat(own, longer, shorter)).alias("m")).select("m.*", "key", "bare")
+
+    def meet(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        lists = [(got.column("key").to_pylist(), got.column("bare").to_pylist()) for got in (group.filter(pa.array(side == k)) for k in (0, 1))]
+        one = group.slice(0, 1).to_pylist()[0]
+        own = (one["s1"], one["p1"]) == (one["s2"], one["p2"])
+        pairs = [(min(x), max(x)) for x in _met(lists[0], None if own else lists[1], t)] if own or all(len(x[0]) for x in lists) else []
+        return pa.table({"a": pa.array([x[0] for x in pairs], pa.string()), "b": pa.array([x[1] for x in pairs], pa.string())})
+
+    by = ["s1", "p1", "s2", "p2"]
+    return going.repartition(min(4096, max(8, meetings)), *by).groupBy(*by).applyInArrow(meet, "a string, b string")
 
 
 def alike(rows: DataFrame, *, row_id: str, text: str, threshold: float = 0.92) -> tuple[DataFrame, DataFrame]:
@@ -54,8 +141,9 @@ def alike(rows: DataFrame, *, row_id: str, text: str, threshold: float = 0.92) -
 
     Rows of one bare text have one key and are alike; links between different texts are pairs of keys, so that many equal
     rows make no pairs. Null is like an empty text."""
+    shared_dir(ready(rows.sparkSession))
     keyed = rows.select(F.col(f"`{row_id}`").alias(row_id), bare(F.col(f"`{text}`")).alias("bare")).withColumn("key", F.sha2("bare", 256))
-    texts = keyed.select("key", "bare").distinct()
+    texts = keyed.select("key", "bare").distinct().checkpoint(eager=True)
     pairs = candidates(texts, threshold)
     of = lambda k: texts.select(F.col("key").alias(k), F.col("bare").alias(f"text_{k}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
