@@ -6,15 +6,19 @@ import datetime
 import difflib
 import math
 import re
+from collections import Counter
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.text import clamp01, content_hash
+from ..functions.text import bare_of, clamp01, content_hash
 from ..functions.vector import cosine
+from ..session import ready
 
 #: Types and subtypes, labels of secrets, signs of negation, cues of questions and of self-disclosure.
 TYPES = ("semantic", "episodic")
@@ -133,19 +137,40 @@ def write_decisions(candidates: DataFrame, existing: DataFrame, similarity: Colu
 MEMORY = "id long, content string, memory_type string, memory_key string, importance double, confidence double, embedding array<double>, session_id long, expires_at timestamp, updated_at timestamp, is_active boolean, superseded_by long"
 
 
-def _bare(text: str) -> str:
-    return re.sub(r"[\W_]+", "", text).lower()
+#: Characters of the grams by which two contents are told apart before they are compared; for longer ones, and from where.
+GRAM, LONG_GRAM, LONG = 4, 5, 1000
 
 
-def _alike(one: dict, two: dict) -> float:
-    """1 for equal contents; the cosine of the embeddings where both have one, else the ratio of matching blocks."""
-    if _bare(one["content"]) == _bare(two["content"]):
-        return 1.0
-    a, b = one["embedding"], two["embedding"]
-    if a is not None and b is not None and len(a) == len(b):
-        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-        return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
-    return difflib.SequenceMatcher(None, _bare(one["content"]), _bare(two["content"])).ratio()
+class _Said:
+    """What is compared of a content, made once: its letters and digits, how often it has each, and each of its grams."""
+
+    def __init__(self, content: str) -> None:
+        self.bare, self.negated = bare_of(content), any(w in (content or "").lower() for w in NEGATIONS)
+        self.letters, self.grams = Counter(self.bare), {}
+
+    def of(self, q: int) -> Counter:
+        if q not in self.grams:
+            self.grams[q] = Counter(self.bare[k : k + q] for k in range(len(self.bare) - q + 1))
+        return self.grams[q]
+
+
+def _common(one: Counter, two: Counter) -> int:
+    one, two = (one, two) if len(one) <= len(two) else (two, one)
+    return sum(min(n, two[x]) for x, n in one.items() if x in two)
+
+
+def _ratio(one: _Said, two: _Said, least: float) -> float:
+    """The ratio of matching blocks, or 0 where it cannot be least. Of so many characters in blocks as that takes, each is
+    in both contents, and all but q - 1 of each block begin a gram that both have (see operators.alike)."""
+    both = len(one.bare) + len(two.bare)
+    need = math.ceil((least - 1e-9) * both / 2)
+    if min(len(one.bare), len(two.bare)) < need or _common(one.letters, two.letters) < need:
+        return 0.0
+    q = GRAM if both < 2 * LONG else LONG_GRAM
+    shared = need - (q - 1) * (both - 2 * need + 1)
+    if shared > 0 and _common(one.of(q), two.of(q)) < shared:
+        return 0.0
+    return difflib.SequenceMatcher(None, one.bare, two.bare).ratio()
 
 
 class Memories:
@@ -156,16 +181,33 @@ class Memories:
         # the latest update first, as they are looked through; new ones go behind
         self.live = sorted((r for r in rows if r["is_active"]), key=lambda r: (r["updated_at"] or pd.Timestamp.min, r["id"]), reverse=True)
         self.rows, self.actions, self.next_id = rows, [], max((r["id"] for r in rows), default=0) + 1
+        self.said: dict[str, _Said] = {}  # of the live ones' contents
+
+    def _said(self, row: dict) -> _Said:
+        if row["content"] not in self.said:
+            if len(self.said) > 2 * len(self.live) + 16:
+                live = {r["content"] for r in self.live}
+                self.said = {c: x for c, x in self.said.items() if c in live}
+            self.said[row["content"]] = _Said(row["content"])
+        return self.said[row["content"]]
+
+    def _alike(self, one: dict, two: dict) -> float:
+        """The cosine of the embeddings where both have one, else the ratio of matching blocks (0 where that is below the
+        threshold)."""
+        a, b = one["embedding"], two["embedding"]
+        if a is not None and b is not None and len(a) == len(b):
+            norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+            return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
+        return _ratio(self._said(one), self._said(two), self.threshold)
 
     def take(self, c: dict) -> list[tuple[str, int]]:
         """Takes one candidate; what it did to which ids."""
         same = [r for r in self.live if r["memory_type"] == c["memory_type"]]
-        equal = next((r for r in same if _bare(r["content"]) == _bare(c["content"])), None)
-        likes = [(_alike(c, r), r) for r in same] if equal is None else [(1.0, equal)]
+        equal = next((r for r in same if self._said(r).bare == self._said(c).bare), None)
+        likes = [(self._alike(c, r), r) for r in same] if equal is None else [(1.0, equal)]
         like, best = max(likes, key=lambda x: x[0], default=(0.0, None))  # of equals the first
         owner = next((r for r in same if c["memory_key"] and r["memory_key"] == c["memory_key"]), None)
-        negated = lambda r: any(w in r["content"].lower() for w in NEGATIONS)
-        double = best if best is not None and like >= self.threshold and negated(best) == negated(c) else None
+        double = best if best is not None and like >= self.threshold and self._said(best).negated == self._said(c).negated else None
         expiry = self.until if c["memory_type"] == "episodic" else None
         if double is not None and (owner is None or owner is double):
             double |= {"importance": min(1.0, max(double["importance"], c["importance"]) + 0.03), "confidence": max(double["confidence"], c["confidence"]), "session_id": c["session_id"], "updated_at": self.now}
@@ -191,32 +233,35 @@ def update_in_order(state: DataFrame, candidates: DataFrame, *, user: str, now:
     state: user and the columns of MEMORY; candidates: user, ord, content, memory_type, memory_key, importance,
     confidence, and embedding and session_id where there are such. Episodic memories expire keep_days after now, also when
     they are merged. A user's memories are held by one task; how candidates meet depends on their order."""
-    fields = [x.split(" ")[0] for x in MEMORY.split(", ")]
-    at = pd.Timestamp(now)
-
-    def records(frame: pd.DataFrame, order: str) -> list[dict]:
-        rows = frame.sort_values(order).to_dict("records") if len(frame) else []
-        clean = lambda v: None if v is None or (not isinstance(v, (list, tuple)) and not hasattr(v, "shape") and pd.isna(v)) else v
-        return [{f: clean(r.get(f)) for f in fields} for r in rows]
-
-    def fold(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "timestamp": pa.timestamp("us"), "boolean": pa.bool_()}
+    fields = {x.split(" ")[0]: kinds[x.split(" ")[1]] for x in MEMORY.split(", ")}
+    at, spark = pd.Timestamp(now), ready(state.sparkSession)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+
+    def records(rows: pa.Table, order: str) -> list[dict]:
+        for k, c in enumerate(rows.column_names):
+            if pa.types.is_timestamp(rows.schema.field(k).type) and rows.schema.field(k).type.tz:  # as the session's clock shows it
+                rows = rows.set_column(k, c, pc.local_timestamp(rows.column(k).cast(pa.timestamp("us", zone))))
+        listed = sorted(rows.to_pylist(), key=lambda r: (r[order] is None, r[order]))
+        return [{f: r.get(f) for f in fields} for r in listed]
+
+    def fold(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
         own = Memories(records(old, "id"), at, threshold, keep_days)
         for c in records(new, "ord"):
             own.take(c)
-        out = pd.DataFrame(own.rows, columns=fields)
-        for c in ("superseded_by", "session_id"):
-            out[c] = out[c].astype("Int64")
-        for c in ("expires_at", "updated_at"):
-            out[c] = pd.to_datetime(out[c])
-        for c in ("inserted", "merged", "superseded"):
-            out[c] = own.actions.count(c)
-        out.insert(0, user, key[0])
-        return out
+        n = len(own.rows)
+        made = {f: pa.array([r[f] for r in own.rows], t) for f, t in fields.items()}
+        made |= {f: pc.assume_timezone(made[f], zone, ambiguous="earliest", nonexistent="latest").cast(pa.timestamp("us", "UTC")) for f, t in fields.items() if pa.types.is_timestamp(t)}
+        counts = {c: pa.array([own.actions.count(c)] * n, pa.int32()) for c in ("inserted", "merged", "superseded")}
+        return pa.table({user: pa.array([key[0].as_py()] * n, key[0].type)} | made | counts)
 
     kind = state.schema[user].dataType.simpleString()
     candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])  # own columns, also where both come from one table
     whole = state.select(F.col(user), *[(F.col(c.split(" ", 1)[0]) if c.split(" ", 1)[0] in state.columns else F.lit(None)).cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) for c in MEMORY.split(", ")])
-    return whole.groupBy(user).cogroup(candidates.groupBy(user)).applyInPandas(fold, f"{user} {kind}, {MEMORY}, inserted int, merged int, superseded int")
+    # users cost time, not bytes, by which partitions would be joined
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    both = whole.repartition(tasks, user).groupBy(user).cogroup(candidates.repartition(tasks, user).groupBy(user))
+    return both.applyInArrow(fold, f"{user} {kind}, {MEMORY}, inserted int, merged int, superseded int")
 
 
 def memory_context(memories: DataFrame, *, group: str) -> DataFrame:
