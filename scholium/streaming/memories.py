@@ -2,7 +2,8 @@
 
 A user's live memories lie in a map state, one entry each, so that a batch writes only what it changes; what is no longer
 live leaves the state and stays in the log of changes that the stream gives. A timer in event time stands at the moment
-at which the first of them goes stale, by its expiry or by idleness. A conversation's last turns are a list state whose
+at which the first of them goes stale, by its expiry or by idleness; when it rings, all go that are stale by the
+watermark, as a timer that is set then would not ring before the next batch. A conversation's last turns are a list state whose
 entries go by themselves after a time. The state store writes to the stream's checkpoint, from which a stopped stream
 goes on."""
 
@@ -64,6 +65,17 @@ class _Rememberer(StatefulProcessor):
         own.next_id = next_id
         return own, seq, timer
 
+    def _archived(self, own: Memories, timers) -> dict[int, str]:
+        """Archives what is stale by the watermark, which may be later than a timer; the changes."""
+        mark, changes = timers.getCurrentWatermarkInMs() * 1000, {}
+        for r in own.live:
+            times = {c: None if r[c] is None else r[c].value // 1000 for c in ("expires_at", "updated_at")}
+            if stale_at(r | times, self.settings) <= mark:
+                r["is_active"] = False
+                changes[r["id"]] = "archived"
+        own.live = [r for r in own.live if r["is_active"]]
+        return changes
+
     def _closed(self, own: Memories, seq: int, timer: int | None, changes: dict[int, str]) -> Iterator[pd.DataFrame]:
         """Writes what changed, sets the timer, and gives the log's rows, in the order of ids."""
         us = lambda t: None if t is None or pd.isna(t) else t.value // 1000
@@ -96,21 +108,15 @@ class _Rememberer(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(self.order)
         own, seq, timer = self._opened(pd.Timestamp(int(frame[self.time].max()), unit="us"))
         plain = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else list(v) if hasattr(v, "shape") and v.shape else v
-        changes: dict[int, str] = {}
+        changes = self._archived(own, timerValues)
         for c in frame.to_dict("records"):
             for what, i in own.take({f: plain(c.get(f)) for f in (*COLUMNS, "id", "is_active", "superseded_by")}):
                 changes[i] = "inserted" if what == "merged" and changes.get(i) == "inserted" else what
         yield from self._closed(own, seq, timer, changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        moment = expiredTimerInfo.getExpiryTimeInMs()
-        own, seq, _ = self._opened(pd.Timestamp(moment, unit="ms"))
-        changes = {}
-        for r in own.rows:
-            times = {c: None if r[c] is None else r[c].value // 1000 for c in ("expires_at", "updated_at")}
-            if stale_at(r | times, self.settings) <= moment * 1000:
-                r["is_active"] = False
-                changes[r["id"]] = "archived"
+        own, seq, _ = self._opened(pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))
+        changes = self._archived(own, timerValues)
         yield from self._closed(own, seq, None, changes)
 
 
