@@ -3,11 +3,12 @@
 Two texts of a and b characters with a ratio of t have m = t (a + b) / 2 characters in matching blocks at least, and what
 is between the blocks is a + b - 2 m at most. So the blocks are few, as each but one has something between it and the
 next, and the texts share most of their grams of q characters: m - (q - 1) (a + b - 2 m + 1) at least. This leaves open
-six tenths of their grams, so even the rarest of these make nearly all pairs meet. Instead each text's grams (the second
-same one being another than the first) set one of many bits each, where even ones cancel out: two texts' bits differ in
-no more places than their grams do. Texts lie in chunks by their length, of which each two of near lengths meet in one
-task. That compares the bits of each pair of near lengths and passes on those pairs alone that the bound leaves: seconds
-grow with the square of the texts, shuffle and memory do not."""
+six tenths of their grams, so even the rarest of these make nearly all pairs meet. So texts lie in chunks by their length, of which each two of near
+lengths meet in one task, where how many grams two texts share is counted for tiles of them at once. Matching blocks keep
+their order, so a gram lies at most half of a + b - 2 m characters nearer to or farther from its text's middle in one than
+in the other: only grams of neighbouring zones are shared (the second same one of a zone is another than the first). Rare
+grams add one to each pair that has them, frequent ones are a product of matrices. Only the pairs that the bound leaves go
+on: seconds grow with the square of the texts, shuffle and memory do not."""
 
 from __future__ import annotations
 
@@ -27,8 +28,12 @@ _BARE = r"(?U)[\W_]+"
 LEAST = 0.9
 #: Characters of the texts in a chunk, at least and at most, and what a text counts beside its own.
 LEAST_CHUNK, MOST_CHUNK, ROW = 1 << 18, 1 << 25, 200
-#: Of texts up to so many characters: the characters of a gram, and bits for each character.
-GRAMS = ((200, 3, 8), (1000, 4, 12), (1300, 5, 24), (math.inf, 5, 48))
+#: Texts and characters of a tile, at most; a gram is frequent if more than one in so many pairs of a tile share it.
+TILE, TILE_SIZE, SPARSE = 1024, 1 << 21, 400
+#: The characters of a gram, of texts up to so many; fewer where the bound would leave less than a share of the grams.
+GRAMS, LEAST_SHARE = ((40, 3), (80, 4), (160, 5), (math.inf, 6)), 0.1
+#: Slots that grams are dealt to, at most, as a power of two, and zones of a text.
+MOST_SLOTS, MOST_ZONES = 22, 64
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -36,8 +41,14 @@ def bare(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _BARE, ""))
 
 
-def _set_bits(words: np.ndarray, texts: list[str], q: int) -> None:
-    """Flips in the row of each text a bit for each of its grams."""
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as it counts, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _grams(texts: list[str], q: int, width: float, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slot and the owner of each gram, by slot, and where each slot starts. Slots of a gram's neighbouring zones, which
+    are width half characters wide, are neighbours; grams that fall together count as one."""
     n = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner, last = np.repeat(np.arange(len(texts)), n), np.repeat(np.cumsum(n), n)
@@ -45,57 +56,100 @@ def _set_bits(words: np.ndarray, texts: list[str], q: int) -> None:
     for k in range(q):
         grams[: len(points) - k] = grams[: len(points) - k] * _MIX[0] ^ points[k:] * _MIX[1]
         grams ^= grams >> np.uint64(29)
-    whole = np.arange(len(points)) + q <= last
-    grams, owner = grams[whole], owner[whole]
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    fresh = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])][: len(grams)])
-    nth = np.arange(len(grams)) - np.repeat(fresh, np.diff(np.r_[fresh, len(grams)]))
-    mixed = (grams + nth.astype(np.uint64) * _MIX[0]) * _MIX[2]
-    bit = (mixed ^ mixed >> np.uint64(32)) % np.uint64(64 * words.shape[1])
-    np.bitwise_xor.at(words.reshape(-1), owner * words.shape[1] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-
-
-def _bits(texts: list[str], q: int, n_words: int, at_once: int = 1 << 20) -> np.ndarray:
-    """(texts, n_words): the bits of each text, made of about at_once characters at a time."""
-    words, first, size = np.zeros((len(texts), n_words), np.uint64), 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= at_once or k + 1 == len(texts):
-            _set_bits(words[first : k + 1], texts[first : k + 1], q)
-            first, size = k + 1, 0
-    return words
-
-
-def _most_apart(a: int, b: np.ndarray, t: float, q: int) -> np.ndarray:
-    """In how many grams a text of a characters and those of b can differ if their ratio is t or more."""
-    m = np.ceil(t * (a + b) / 2)
-    shared = np.maximum(0, m - (q - 1) * (a + b - 2 * m + 1))
-    return max(0, a - q + 1) + np.maximum(0, b - q + 1) - 2 * shared
-
-
-def _met(left: tuple[list, list[str]], right: tuple[list, list[str]] | None, t: float, at_once: int = 1 << 22) -> Iterator[tuple]:
+    place = np.arange(len(points))
+    whole = place + q <= last
+    middle = np.cumsum(n) * 2 - n
+    zone = np.floor((2 * place - middle[owner]) / width).astype(np.int64) + MOST_ZONES
+    high, low = np.uint64(32), np.uint64(16)
+    both = np.sort((grams[whole] * _MIX[2] >> high << high) | (zone[whole] << 16 | owner[whole]).astype(np.uint64))
+    fresh = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
+    nth = np.arange(len(both)) - np.repeat(fresh, np.diff(np.r_[fresh, len(both)]))
+    slot = ((both >> high) + nth.astype(np.uint64) * _MIX[0]) * _MIX[1] >> np.uint64(64 - slots)
+    both = np.sort(slot + (both >> low & np.uint64(0xFFFF)) << low | both & np.uint64(0xFFFF))
+    slot = (both >> low).astype(np.int32)
+    starts = np.r_[0, np.cumsum(np.bincount(slot, minlength=(1 << slots) + 2 * MOST_ZONES + 2))].astype(np.int32)
+    return slot, (both & np.uint64(0xFFFF)).astype(np.int32), starts
+
+
+def _shared(left: tuple, right: tuple, n_left: int, n_right: int, at_once: int = 1 << 19) -> np.ndarray:
+    """(n_left, n_right): how many grams two texts share, at least as many as they do."""
+    (slot, own, starts_1), (_, others, starts_2) = left, right
+    start = starts_2[slot - 1]
+    count = starts_2[slot + 2] - start
+    frequent = (starts_1[slot + 1] - starts_1[slot]).astype(np.int64) * count * SPARSE > n_left * n_right
+    shared = np.zeros((n_left, n_right), np.float32)
+    if frequent.any():
+        often, nth = np.unique(slot[frequent], return_inverse=True)
+        owner = own[frequent].astype(np.int64)
+        for k in range(0, len(often), TILE):
+            w = often[k : k + TILE]
+            some = (nth >= k) & (nth < k + len(w))
+            one = np.bincount(owner[some] * len(w) + nth[some] - k, minlength=n_left * len(w))
+            n = starts_2[w + 2] - starts_2[w - 1]
+            two = np.bincount(others[_ranges(starts_2[w - 1], n)] * len(w) + np.repeat(np.arange(len(w)), n), minlength=n_right * len(w))
+            shared += one.reshape(n_left, len(w)).astype(np.float32) @ two.reshape(n_right, len(w)).astype(np.float32).T
+    rare = np.flatnonzero(~frequent & (count > 0))
+    own, start, count = own[rare] * n_right, start[rare], count[rare]
+    ends, k = np.cumsum(count, dtype=np.int64), 0
+    found = np.zeros(n_left * n_right, np.int64)
+    while k < len(own):
+        z = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + max(at_once, 2 * len(found)), side="right")))
+        n = count[k:z]
+        found += np.bincount(np.repeat(own[k:z], n) + others[_ranges(start[k:z], n)], minlength=len(found))
+        k = z
+    return shared + found.reshape(n_left, n_right)
+
+
+def _least_shared(both: np.ndarray, t: float, q: int) -> np.ndarray:
+    """How many grams two texts of so many characters in all share if their ratio is t or more."""
+    m = np.ceil(t * both / 2)
+    return np.maximum(0, m - (q - 1) * (both - 2 * m + 1))
+
+
+def _counts(texts: list[str], of: int = 64) -> np.ndarray:
+    """(texts, of): how often each text has characters of so many kinds."""
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(owner * of + points % of, minlength=len(texts) * of).reshape(len(texts), of)
+
+
+def _tiles(ids: list, texts: list[str], *how) -> Iterator[tuple[list, np.ndarray, tuple]]:
+    """Ids, lengths and grams of tiles of the texts: by length, and of some tiles' texts those with the same characters
+    side by side, as texts of two languages or scripts share few frequent grams."""
+    longer, order = sorted(range(len(texts)), key=lambda k: len(texts[k])), []
+    for k in range(0, len(longer), 4 * TILE):
+        some = longer[k : k + 4 * TILE]
+        counts = np.concatenate([_counts([texts[i] for i in some[z : z + TILE]]) for z in range(0, len(some), TILE)])
+        shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+        order += [some[i] for i in np.argsort(shares @ np.linalg.eigh(np.cov(shares.T, ddof=0))[1][:, -1], kind="stable")]
+    first, size = 0, 0
+    for z, k in enumerate(order, 1):
+        size += len(texts[k])
+        if z == len(order) or z - first == TILE or size + len(texts[order[z]]) > TILE_SIZE:
+            of = order[first:z]
+            yield [ids[i] for i in of], np.array([len(texts[i]) for i in of], np.int64), _grams([texts[i] for i in of], *how)
+            first, size = z, 0
+
+
+def _met(left: tuple[list, list[str]], right: tuple[list, list[str]] | None, t: float) -> Iterator[tuple]:
     """Pairs of the ids of two lists of ids and texts, or of one, that can have the ratio t."""
-    own = right is None
-    sides = []
-    for ids, texts in [left] if own else [left, right]:
-        order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
-        sides.append(([ids[k] for k in order], [texts[k] for k in order]))
-    longest = max((len(texts[-1]) for _, texts in sides if texts), default=0)
-    q, bits = next((q, bits) for most, q, bits in GRAMS if longest <= most)
-    n_words = (1 << max(8, math.ceil(math.log2(max(1, bits * longest)) - 0.5))) // 64
-    made = [_bits(texts, q, n_words) for _, texts in sides]
-    (ids_1, texts), words_1, (ids_2, others), words_2 = sides[0], made[0], sides[-1], made[-1]
-    n = np.array([len(x) for x in others], np.int64)
-    rows = max(1, at_once // (8 * n_words))
-    for i, text in enumerate(texts):
-        a = len(text)
-        first, end = np.searchsorted(n, a * t / (2 - t) - 1e-6), np.searchsorted(n, a * (2 - t) / t + 1e-6, side="right")
-        for k in range(max(first, i + 1) if own else first, end, rows):
-            z = min(k + rows, end)
-            apart = np.add.reduce(np.bitwise_count(words_2[k:z] ^ words_1[i]), axis=1, dtype=np.int64)
-            for j in np.flatnonzero(apart <= _most_apart(a, n[k:z], t, q)):
-                yield ids_1[i], ids_2[k + j]
+    longest = max((len(x) for side in (left, right) if side for x in side[1]), default=0)
+    q = min(next(q for most, q in GRAMS if longest <= most), 1 + int((t - LEAST_SHARE) / (2 - 2 * t)) if t < 1 else 5)
+    slots = min(MOST_SLOTS, math.ceil(math.log2(4 * TILE * (longest + 1))))
+    how = q, max(2 * (1 - t) * longest, 2 * longest / MOST_ZONES) + 1, slots
+    tiles = list(_tiles(*left, *how))
+    for k, (ids_2, n_2, grams_2) in enumerate(tiles if right is None else _tiles(*right, *how)):
+        for ids_1, n_1, grams_1 in tiles[: k + 1] if right is None else tiles:
+            if n_2.min() * t > n_1.max() * (2 - t) + 1e-6 or n_1.min() * t > n_2.max() * (2 - t) + 1e-6:
+                continue
+            both = n_1[:, None] + n_2
+            least = _least_shared(np.arange(both.max() + 1), t, q).astype(np.float32)
+            i, j = np.nonzero(_shared(grams_1, grams_2, len(n_1), len(n_2)) >= least[both])
+            can = np.minimum(n_1[i], n_2[j]) >= t * (n_1[i] + n_2[j]) / 2 - 1e-6
+            if right is None and ids_1 is ids_2:
+                can &= i < j
+            for x, y in zip(i[can].tolist(), j[can].tolist(), strict=True):
+                yield ids_1[x], ids_2[y]
 
 
 def candidates(texts: DataFrame, threshold: float) -> DataFrame:
@@ -103,11 +157,11 @@ def candidates(texts: DataFrame, threshold: float) -> DataFrame:
     if threshold < LEAST:
         raise ValueError(f"the bound needs a threshold of {LEAST} or more")
     t = threshold - 1e-6  # ratios are rounded
-    ready(texts.sparkSession)
+    shared_dir(ready(texts.sparkSession))
     # by the texts as the ratio takes them, in steps of length that alike ones lie in one of or two neighbouring ones
     step = math.log((2 - t) / t) + 1e-6
     n = F.length("bare")
-    rows = texts.select("key", bare_text("bare").alias("bare")).where(n > 0).select("key", "bare", F.floor(F.log(n) / step).cast("int").alias("step"))
+    rows = texts.select("key", bare_text("bare").alias("bare")).where(n > 0).select("key", "bare", F.floor(F.log(n) / step).cast("int").alias("step")).checkpoint(eager=True)
     sizes = {r["step"]: r["size"] for r in rows.groupBy("step").agg(F.sum(n + ROW).alias("size")).collect()}  # a few hundred at most
     if not sizes:
         return texts.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
@@ -146,6 +200,7 @@ def alike(rows: DataFrame, *, row_id: str, text: str, threshold: float = 0.92) -
     texts = keyed.select("key", "bare").distinct().checkpoint(eager=True)
     pairs = candidates(texts, threshold)
     of = lambda k: texts.select(F.col("key").alias(k), F.col("bare").alias(f"text_{k}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    # few bytes, but much work each
+    met = pairs.join(of("a"), "a").join(of("b"), "b").repartition(max(32, 4 * rows.sparkSession.sparkContext.defaultParallelism))
     scored = met.select("a", "b", F.round(similarity_ratio("text_a", "text_b"), 6).alias("ratio"))
     return keyed.select(row_id, "key"), scored.where(F.col("ratio") >= threshold)
