@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,17 +100,17 @@ class _Rememberer(StatefulProcessor):
             self.handle.registerTimer(first)
         self.numbers.update((own.next_id, seq, first if first >= 0 else None))
         if out:
-            frame = pd.DataFrame(out, columns=LOGGED)
-            for c in ("session_id", "superseded_by", "expires_at", "updated_at"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+            whole = lambda c: (lambda v: None if v is None or v != v else int(v)) if c in ("session_id", "superseded_by", "expires_at", "updated_at") else lambda v: v
+            # by column and as they are, as conversions of a frame take longer than all else of a user
+            yield pd.DataFrame({c: np.array([whole(c)(r[c]) for r in out] + [None], object)[:-1] for c in LOGGED})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        frame = pd.concat(list(rows)).sort_values(self.order)
-        own, seq, timer = self._opened(pd.Timestamp(int(frame[self.time].max()), unit="us"))
+        records = [dict(zip(frame.columns, values, strict=True)) for frame in rows for values in zip(*(frame[c].tolist() for c in frame.columns), strict=True)]
+        records.sort(key=lambda r: (r[self.order] is None or r[self.order] != r[self.order], r[self.order]))
+        own, seq, timer = self._opened(pd.Timestamp(max(int(r[self.time]) for r in records if r[self.time] is not None and r[self.time] == r[self.time]), unit="us"))
         plain = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else list(v) if hasattr(v, "shape") and v.shape else v
         changes = self._archived(own, timerValues)
-        for c in frame.to_dict("records"):
+        for c in records:
             for what, i in own.take({f: plain(c.get(f)) for f in (*COLUMNS, "id", "is_active", "superseded_by")}):
                 changes[i] = "inserted" if what == "merged" and changes.get(i) == "inserted" else what
         yield from self._closed(own, seq, timer, changes)
